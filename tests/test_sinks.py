@@ -1,0 +1,28 @@
+"""Sinks: write, then read back."""
+
+import os
+
+from shopflow.operators import traffic
+from shopflow.plans.catalog import actions
+from shopflow.sources import sinks
+from conftest import SF_SMALL
+
+
+def test_json_tsv_report_round_trip(spark, scratch):
+    df = traffic.pv_uv_by_date(actions(spark, SF_SMALL))
+    n = df.count()
+    j = os.path.join(scratch, "json")
+    sinks.write_json(df, j, single_file=True)
+    assert len([f for f in os.listdir(j) if f.endswith(".json")]) == 1
+    back = spark.read.json(j)
+    assert back.count() == n and set(back.columns) == {"date", "pv", "uv"}
+
+    t = os.path.join(scratch, "tsv")
+    sinks.write_tsv(df.select("date", "pv"), t)
+    lines = spark.read.text(t).collect()
+    assert len(lines) == n and all(len(r[0].split("\t")) == 2 for r in lines)
+
+    r = os.path.join(scratch, "report")
+    sinks.write_report(df, r, single_file=True)
+    text = sorted(x[0] for x in spark.read.text(r).collect())
+    assert len(text) == n and text[0].startswith("date: 2024-01-01, pv: ")
