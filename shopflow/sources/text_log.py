@@ -22,6 +22,11 @@ from shopflow.schema import ACTION_COLUMNS, DEFAULT_VALID_CODES, LAYOUT_5, LAYOU
 
 REJECT_REASON = "reason"
 
+# Fixed formats of the log: day "yyyy-MM-dd", time "yyyy-MM-dd HH" (hour may be unpadded).
+# Shape is checked by pattern; the calendar check is the cast to DATE.
+_DATE = r"^\d{4}-\d{2}-\d{2}$"
+_TIME = r"^\d{4}-\d{2}-\d{2} \d{1,2}$"
+
 
 def _header(layout: int) -> str:
     return ",".join(LAYOUT_7 if layout == 7 else LAYOUT_5)
@@ -60,17 +65,18 @@ def parse_lines(
         raise ValueError("mode must be 'permissive' or 'strict'")
     headers = [_header(5), _header(7)]
     body = lines.select(F.col(column).alias("line"))
-    body = body.where(~F.lower(F.trim("line")).isin(headers))
 
     # Staged projections: each field is split, trimmed and cast once and then
     # referenced by name, which keeps the generated code small.
-    parts = F.split("line", ",", -1)
-    raw = body.select(
+    split = body.select("line", F.split("line", ",", -1).alias("parts"))
+    parts = F.col("parts")
+    raw = split.select(
         "line",
         F.size(parts).alias("n_fields"),
         *[_field(parts, k).alias(f"f{k}") for k in range(layout)],
     )
     t = F.col("f4")
+    t_shape = t.rlike(_TIME)
     typed = raw.select(
         "line",
         "n_fields",
@@ -79,11 +85,13 @@ def parse_lines(
         F.col("f1").try_cast("bigint").alias("item_id"),
         F.col("f2").try_cast("int").alias("behavior_type"),
         F.col("f3").try_cast("bigint").alias("item_category"),
-        F.try_to_date(F.substring(t, 1, 10), "yyyy-MM-dd").alias("t_day"),
-        F.when(t.rlike(r"^\d{4}-\d{2}-\d{2} \d{1,2}$"), F.substring(t, 12, 2).try_cast("int"))
-        .alias("t_hour"),
+        F.when(t_shape, F.substring(t, 1, 10).try_cast("date")).alias("t_day"),
+        F.when(t_shape, F.substring(t, 12, 2).try_cast("int")).alias("t_hour"),
         *(
-            [F.try_to_date("f5", "yyyy-MM-dd").alias("d7"), F.col("f6").try_cast("int").alias("h7")]
+            [
+                F.when(F.col("f5").rlike(_DATE), F.col("f5").try_cast("date")).alias("d7"),
+                F.col("f6").try_cast("int").alias("h7"),
+            ]
             if layout == 7
             else []
         ),
@@ -116,17 +124,23 @@ def parse_lines(
             ("hour", ~F.coalesce(hour.between(0, 23), F.lit(False))),
         ]
     )
-    parsed = checked.select(
-        user_id,
-        item_id,
-        behavior,
-        category,
+    # The finished record leaves through a one-row generator.  Filters on
+    # ``reason`` and the header test then stay above it: pushed below, they
+    # would inline the whole parse (or whatever produced ``line``) into the
+    # filter and evaluate it again for every reference.
+    record = F.struct(
+        user_id.alias("user_id"),
+        item_id.alias("item_id"),
+        behavior.alias("behavior_type"),
+        category.alias("item_category"),
         time.alias("time"),
         date.alias("date"),
         hour.alias("hour"),
         reason.alias(REJECT_REASON),
-        "line",
+        F.col("line").alias("line"),
+        F.lower(F.trim("line")).isin(headers).alias("is_header"),
     )
+    parsed = checked.select(F.inline(F.array(record))).where(~F.col("is_header"))
     if mode == "strict":
         fail = F.raise_error(F.concat(F.lit("rejected action-log line ("), F.col(REJECT_REASON),
                                       F.lit("): "), F.col("line")))
