@@ -12,6 +12,7 @@ from shopflow.operators import funnel, profile, repurchase, traffic, value
 from shopflow.plans import sql_forms
 from shopflow.sources import sinks
 from shopflow.sources.events import read_events, table_path
+from shopflow.sources.orders import read_order_purchases
 from shopflow.sources.text_log import parse_lines, rejected_counts, render_lines
 
 # Fixed value: the "peak day" parameter D used by the day-level queries.
@@ -26,6 +27,10 @@ def _on(fn, *args):
     return lambda spark, sf_dir: fn(actions(spark, sf_dir), *args)
 
 
+def _on_orders(fn, *args):
+    return lambda spark, sf_dir: fn(read_order_purchases(spark, sf_dir), *args)
+
+
 def _parsed(spark: SparkSession, sf_dir: str):
     # The events rendered as a 7-column log; the "other" code 0 is outside the
     # log's valid codes 1-4, so those lines are the rejects.
@@ -74,4 +79,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "arpu_by_date_sql": _on(sql_forms.arpu_by_date_sql),
     "paying_ratio_by_date_sql": _on(sql_forms.paying_ratio_by_date_sql),
     "repurchase_mean_by_user_sql": _on(sql_forms.repurchase_mean_by_user_sql),
+    # Purchase-side operators over orders JOIN lineitem (one action per line item).
+    "order_arppu_by_date": _on_orders(value.arppu_by_date),
+    "order_pay_days_by_user": _on_orders(repurchase.pay_days_by_user),
+    "order_repeat_buy_rate": _on_orders(repurchase.repeat_buy_rate),
+    "order_repurchase_gaps": _on_orders(repurchase.repurchase_gaps),
+    "order_repurchase_gap_lists": _on_orders(repurchase.repurchase_gap_lists),
+    "order_repurchase_mean_by_user": _on_orders(repurchase.repurchase_mean_by_user),
+    "order_repurchase_gap_cumulative": _on_orders(repurchase.repurchase_gap_cumulative),
 }

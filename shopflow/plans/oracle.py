@@ -28,11 +28,27 @@ _ACTIONS = """A AS (
 
 _D = f"DATE '{DAY}'"
 
+# The orders JOIN lineitem -> purchases adapter (shopflow.sources.orders).
+_ORDER_ACTIONS = """A AS (
+    SELECT o_custkey AS user_id,
+           l_partkey AS item_id,
+           4 AS behavior_type,
+           l_orderkey * 100 + l_linenumber AS event_id,
+           CAST(o_orderdate AS DATE) AS "date"
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+)"""
+
 
 def _q(select: str, *ctes: str) -> str:
     return "WITH " + ",\n".join([_ACTIONS, *ctes]) + "\n" + select
 
 
+def _on_orders(sql: str) -> str:
+    """The same SQL with the purchases-from-orders adapter as ``A``."""
+    assert sql.startswith("WITH " + _ACTIONS)
+    return "WITH " + _ORDER_ACTIONS + sql[len("WITH " + _ACTIONS):]
+
+
 _PVUV_HOUR_DAY = (
     f'SELECT "hour", count(*) AS pv, count(DISTINCT user_id) AS uv FROM A '
     f'WHERE "date" = {_D} GROUP BY "hour"'
@@ -179,12 +195,15 @@ ORACLE_SQL: dict[str, str] = {
         'GROUP BY user_id, "date"'
     ),
     "repurchase_gaps": _q("SELECT * FROM gg", *_GAPS),
+    # Rows are numbered once, so the gap and the list use the same order even
+    # when two purchases tie on (date, event_id).
     "repurchase_gap_lists": _q(
-        "SELECT user_id, coalesce(string_agg(gap, ',' ORDER BY \"date\", event_id), '') AS gaps "
+        "SELECT user_id, coalesce(string_agg(gap, ',' ORDER BY rn), '') AS gaps "
         "FROM r GROUP BY user_id",
-        'b AS (SELECT user_id, "date", event_id FROM A WHERE behavior_type = 4)',
-        "r AS (SELECT user_id, \"date\", event_id, CAST(date_diff('day', lag(\"date\") OVER "
-        '(PARTITION BY user_id ORDER BY "date", event_id), "date") AS VARCHAR) AS gap FROM b)',
+        'b AS (SELECT user_id, "date", row_number() OVER (PARTITION BY user_id ORDER BY "date", '
+        "event_id) AS rn FROM A WHERE behavior_type = 4)",
+        "r AS (SELECT user_id, rn, CAST(date_diff('day', lag(\"date\") OVER "
+        '(PARTITION BY user_id ORDER BY rn), "date") AS VARCHAR) AS gap FROM b)',
     ),
     "repurchase_mean_by_user": _MEAN,
     "repurchase_gap_histogram": _q("SELECT * FROM h", *_GAPS, _HIST),
@@ -237,6 +256,10 @@ def _bigint_count_if(sql: str) -> str:
         i = k
 
 
+for _k in ("arppu_by_date", "pay_days_by_user", "repeat_buy_rate", "repurchase_gaps",
+           "repurchase_gap_lists", "repurchase_mean_by_user", "repurchase_gap_cumulative"):
+    ORACLE_SQL["order_" + _k] = _on_orders(ORACLE_SQL[_k])
+
 ORACLE_SQL = {k: _bigint_count_if(v) for k, v in ORACLE_SQL.items()}
 ORACLE_SQL["arpu_by_date_sql"] = ORACLE_SQL["arpu_by_date"]
 ORACLE_SQL["paying_ratio_by_date_sql"] = ORACLE_SQL["paying_ratio_by_date"]
