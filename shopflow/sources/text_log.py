@@ -44,20 +44,21 @@ def _first_reason(checks) -> Column:
     return expr  # NULL when every check passes
 
 
-def parse_lines(
+def parse_all(
     lines: DataFrame,
     layout: int = 7,
     valid_codes=DEFAULT_VALID_CODES,
     mode: str = "permissive",
     column: str = "value",
-) -> tuple[DataFrame, DataFrame]:
-    """Parse text lines into (ACTIONS rows, rejected lines).
-
-    Header lines vanish.  A line is rejected, with the first failing reason,
-    when it has the wrong number of fields, a non-blank non-integer id, a
-    behaviour code that is missing or not in ``valid_codes``, or no valid
-    date / hour.  A blank ``user_id`` is kept as NULL (it counts in PV, not in
-    UV).  ``mode='strict'`` makes the first rejected line fail the job.
+) -> DataFrame:
+    """Parse text lines into one frame: the ACTIONS columns, ``reason``
+    (NULL for a good line) and the original ``line``.  Header lines vanish.
+
+    A line is rejected, with the first failing reason, when it has the wrong
+    number of fields, a non-blank non-integer id, a behaviour code that is
+    missing or not in ``valid_codes``, or no valid date / hour.  A blank
+    ``user_id`` is kept as NULL (it counts in PV, not in UV).
+    ``mode='strict'`` makes the first rejected line fail the job.
     """
     if layout not in (5, 7):
         raise ValueError("layout must be 5 or 7")
@@ -140,14 +141,28 @@ def parse_lines(
         F.col("line").alias("line"),
         F.lower(F.trim("line")).isin(headers).alias("is_header"),
     )
-    parsed = checked.select(F.inline(F.array(record))).where(~F.col("is_header"))
+    parsed = checked.select(F.inline(F.array(record))).where(~F.col("is_header")).drop("is_header")
     if mode == "strict":
         fail = F.raise_error(F.concat(F.lit("rejected action-log line ("), F.col(REJECT_REASON),
                                       F.lit("): "), F.col("line")))
-        good = parsed.where(F.when(F.col(REJECT_REASON).isNotNull(), fail).isNull())
-    else:
-        good = parsed.where(F.col(REJECT_REASON).isNull())
-    good = good.select(*ACTION_COLUMNS)
+        parsed = parsed.where(F.when(F.col(REJECT_REASON).isNotNull(), fail).isNull())
+    return parsed
+
+
+def parse_lines(
+    lines: DataFrame,
+    layout: int = 7,
+    valid_codes=DEFAULT_VALID_CODES,
+    mode: str = "permissive",
+    column: str = "value",
+) -> tuple[DataFrame, DataFrame]:
+    """Parse text lines into (ACTIONS rows, rejected ``line, reason`` rows).
+
+    See :func:`parse_all` for the rules.  Both frames come from the same
+    plan; a caller that needs both should write :func:`parse_all` once.
+    """
+    parsed = parse_all(lines, layout, valid_codes, mode, column)
+    good = parsed.where(F.col(REJECT_REASON).isNull()).select(*ACTION_COLUMNS)
     rejects = parsed.where(F.col(REJECT_REASON).isNotNull()).select("line", REJECT_REASON)
     return good, rejects
 
