@@ -29,10 +29,9 @@ if __package__ in (None, ""):
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 from shopflow.operators import funnel, profile, repurchase, traffic, value  # noqa: E402
-from shopflow.schema import ACTION_COLUMNS, ACTIONS  # noqa: E402
 from shopflow.sources import sinks  # noqa: E402
 from shopflow.sources.events import read_events  # noqa: E402
-from shopflow.sources.text_log import REJECT_REASON, parse_all  # noqa: E402
+from shopflow.sources.text_log import REJECT_REASON, parse_all, read_parsed_table  # noqa: E402
 
 # (name, operator, needs the day parameter, reduced to key cardinality)
 METRICS = [
@@ -77,11 +76,7 @@ def ingest_text(spark: SparkSession, path: str, out: str, layout: int = 7, **kw)
         .partitionBy("accepted", "date")
         .parquet(staged)
     )
-    schema = ACTIONS.add("line", "string").add(REJECT_REASON, "string").add("accepted", "boolean")
-    table = spark.read.schema(schema).parquet(staged)
-    good = table.where(F.col("accepted")).select(*ACTION_COLUMNS)
-    rejects = table.where(~F.col("accepted")).select("line", REJECT_REASON)
-    return good, rejects
+    return read_parsed_table(spark, staged)
 
 
 def run(spark: SparkSession, actions: DataFrame, out: str, day=None, rejects: DataFrame | None = None) -> list[str]:

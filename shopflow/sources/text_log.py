@@ -17,8 +17,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shopflow.schema import ACTION_COLUMNS, DEFAULT_VALID_CODES, LAYOUT_5, LAYOUT_7
+from shopflow.schema import ACTION_COLUMNS, ACTIONS, DEFAULT_VALID_CODES, LAYOUT_5, LAYOUT_7
 
 REJECT_REASON = "reason"
 
@@ -182,6 +183,26 @@ def read_log(
     return parse_lines(spark.read.text(path), layout, valid_codes, mode)
 
 
+def read_parsed_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(actions, rejects) from a parsed-log table written partitioned by
+    ``accepted`` and ``date`` (batch report or streaming ingest).
+
+    The schema is given, not inferred, so partition values keep their types
+    and ``accepted=true`` is a partition filter (only those folders are read).
+    """
+    schema = (
+        T.StructType([f for f in ACTIONS.fields if f.name != "date"])
+        .add("line", "string")
+        .add(REJECT_REASON, "string")
+        .add("accepted", "boolean")
+        .add("date", "date")
+    )
+    table = spark.read.schema(schema).parquet(path)
+    good = table.where(F.col("accepted")).select(*ACTION_COLUMNS)
+    rejects = table.where(~F.col("accepted")).select("line", REJECT_REASON)
+    return good, rejects
+
+
 def rejected_counts(rejects: DataFrame) -> DataFrame:
     """Rejected lines per reason."""
     return rejects.groupBy(REJECT_REASON).agg(F.count(F.lit(1)).alias("n"))
