@@ -6,17 +6,14 @@ code; Catalyst plans both, and the tests check the two forms agree.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
 from shopflow.schema import BUY
 
 
 def _run(actions: DataFrame, sql: str) -> DataFrame:
-    view = f"actions_{uuid.uuid4().hex[:12]}"
-    actions.createOrReplaceTempView(view)
-    return actions.sparkSession.sql(sql.format(A=view))
+    # ``{A}`` is bound to the frame by spark.sql itself (no named view left behind).
+    return actions.sparkSession.sql(sql, A=actions)
 
 
 def arpu_by_date_sql(actions: DataFrame) -> DataFrame:

@@ -32,9 +32,26 @@ def build_session(master: str | None = None, app: str = "shopflow", conf: dict |
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     ensure_checkpoint_dir(spark)
+    _size_shuffles(spark, conf or {})
     return spark
 
 
+def _size_shuffles(spark: SparkSession, conf: dict) -> None:
+    """Start shuffles with enough partitions for the cluster.
+
+    Adaptive execution only merges shuffle partitions (to the advisory
+    size), it does not split them, so the first count must be large enough
+    for the biggest shuffle: three per core of the cluster.  A count the user
+    set (here or at submit time) is kept.
+    """
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    submitted = spark.sparkContext.getConf()
+    if any(k in conf or submitted.contains(k) for k in keys):
+        return
+    n = max(200, 3 * spark.sparkContext.defaultParallelism)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster (``spark.checkpoint.dir``).
 
