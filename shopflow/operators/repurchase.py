@@ -74,6 +74,24 @@ def repurchase_gap_lists(actions: DataFrame) -> DataFrame:
     return lists.select("user_id", F.coalesce("gaps", F.lit("")).alias("gaps"))
 
 
+def repurchase_gap_runs(actions: DataFrame) -> DataFrame:
+    """O-31 as rows: one row per (user, purchase day) with the gap from the
+    previous purchase day (NULL on the first) and ``repeats``, the number of
+    further purchases that day (each a 0-day gap).
+
+    Lossless: the O-31 list of a user is, day by day, ``gap_days`` then
+    ``repeats`` zeros.  Every row is bounded, so this form suits users whose
+    list would be too long for one string value.
+    """
+    per_day = purchases(actions).groupBy("user_id", "date").agg(F.count(F.lit(1)).alias("c"))
+    return per_day.select(
+        "user_id",
+        "date",
+        F.datediff("date", F.lag("date").over(_by_user_date())).alias("gap_days"),
+        (F.col("c") - 1).alias("repeats"),
+    )
+
+
 def repurchase_mean_by_user(actions: DataFrame) -> DataFrame:
     """O-32: mean interval between repeat purchases of the same item, per user.
 

@@ -67,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "buys_by_user_date": _on(repurchase.buys_by_user_date),
     "repurchase_gaps": _on(repurchase.repurchase_gaps),
     "repurchase_gap_lists": _on(repurchase.repurchase_gap_lists),
+    "repurchase_gap_runs": _on(repurchase.repurchase_gap_runs),
     "repurchase_mean_by_user": _on(repurchase.repurchase_mean_by_user),
     "repurchase_gap_histogram": _on(repurchase.repurchase_gap_histogram),
     "repurchase_gap_cumulative": _on(repurchase.repurchase_gap_cumulative),

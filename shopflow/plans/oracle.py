@@ -205,6 +205,12 @@ ORACLE_SQL: dict[str, str] = {
         "r AS (SELECT user_id, rn, CAST(date_diff('day', lag(\"date\") OVER "
         '(PARTITION BY user_id ORDER BY rn), "date") AS VARCHAR) AS gap FROM b)',
     ),
+    "repurchase_gap_runs": _q(
+        "SELECT user_id, \"date\", CAST(date_diff('day', lag(\"date\") OVER (PARTITION BY user_id "
+        'ORDER BY "date"), "date") AS INTEGER) AS gap_days, repeats FROM pc',
+        'pc AS (SELECT user_id, "date", count(*) - 1 AS repeats FROM A WHERE behavior_type = 4 '
+        'GROUP BY user_id, "date")',
+    ),
     "repurchase_mean_by_user": _MEAN,
     "repurchase_gap_histogram": _q("SELECT * FROM h", *_GAPS, _HIST),
     "repurchase_gap_cumulative": _q(

@@ -57,6 +57,7 @@ METRICS = [
     ("repeat_buy_rate", repurchase.repeat_buy_rate, False, True),
     ("repurchase_gaps", repurchase.repurchase_gaps, False, False),
     ("repurchase_gap_lists", repurchase.repurchase_gap_lists, False, False),
+    ("repurchase_gap_runs", repurchase.repurchase_gap_runs, False, False),
     ("repurchase_mean_by_user", repurchase.repurchase_mean_by_user, False, False),
     ("repurchase_gap_cumulative", repurchase.repurchase_gap_cumulative, False, True),
 ]

@@ -93,3 +93,18 @@ def test_mean_matches_window_form(A):
     assert a.keys() == b.keys()
     for k in a:
         assert a[k] == pytest.approx(b[k])
+
+
+def test_gap_runs_rebuild_gap_lists(A):
+    # Day by day: the gap (if any) then `repeats` zeros gives the O-31 string.
+    from pyspark.sql import Window
+
+    runs = repurchase.repurchase_gap_runs(A)
+    zeros = F.array_join(F.array_repeat(F.lit("0"), F.col("repeats").cast("int")), ",")
+    piece = F.nullif(F.concat_ws(",", F.col("gap_days").cast("string"), F.nullif(zeros, F.lit(""))), F.lit(""))
+    rebuilt = runs.groupBy("user_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("date", piece.alias("p")))),
+                                 lambda x: x["p"]), ",").alias("gaps"))
+    a = {r[0]: r[1] for r in rebuilt.collect()}
+    b = {r[0]: r[1] for r in repurchase.repurchase_gap_lists(A).collect()}
+    assert a == b
