@@ -80,18 +80,33 @@ def ingest_text(spark: SparkSession, path: str, out: str, layout: int = 7, **kw)
     return read_parsed_table(spark, staged)
 
 
-def run(spark: SparkSession, actions: DataFrame, out: str, day=None, rejects: DataFrame | None = None) -> list[str]:
+SINKS = {
+    "json": sinks.write_json,  # K-1 JSON lines
+    "text": sinks.write_report,  # K-2 "field: value, ..." lines
+    "tsv": sinks.write_tsv,  # K-3 tab-separated
+}
+
+
+def run(
+    spark: SparkSession,
+    actions: DataFrame,
+    out: str,
+    day=None,
+    rejects: DataFrame | None = None,
+    sink: str = "json",
+) -> list[str]:
     """Write every metric under ``out``; returns the names written."""
+    write = SINKS[sink]
     written = []
     for name, op, needs_day, reduced in METRICS:
         if needs_day and day is None:
             continue
         df = op(actions, day) if needs_day else op(actions)
-        sinks.write_json(df, f"{out.rstrip('/')}/{name}", single_file=reduced)
+        write(df, f"{out.rstrip('/')}/{name}", single_file=reduced)
         written.append(name)
     if rejects is not None:
         counts = rejects.groupBy(REJECT_REASON).agg(F.count(F.lit(1)).alias("n"))
-        sinks.write_json(counts, f"{out.rstrip('/')}/rejected_lines", single_file=True)
+        write(counts, f"{out.rstrip('/')}/rejected_lines", single_file=True)
         written.append("rejected_lines")
     return written
 
@@ -103,6 +118,7 @@ def main(argv=None) -> None:
     ap.add_argument("--layout", type=int, choices=[5, 7], default=7)
     ap.add_argument("--out", required=True, help="shared output folder")
     ap.add_argument("--day", default=None, help="day D for the day-level metrics (yyyy-MM-dd)")
+    ap.add_argument("--sink", choices=sorted(SINKS), default="json")
     args = ap.parse_args(argv)
 
     from shopflow.session import build_session
@@ -112,7 +128,7 @@ def main(argv=None) -> None:
         actions, rejects = ingest_text(spark, args.input, args.out, layout=args.layout)
     else:
         actions, rejects = read_events(spark, args.input), None
-    for name in run(spark, actions, args.out, args.day, rejects):
+    for name in run(spark, actions, args.out, args.day, rejects, sink=args.sink):
         print(f"wrote {args.out.rstrip('/')}/{name}")
 
 

@@ -44,3 +44,16 @@ def test_report_cli_on_events(spark, scratch):
                  "--out", out, "--day", "2024-01-12"])
     rows = read_json_dir(os.path.join(out, "dataset_profile"))
     assert rows[0]["rows"] == 1000
+
+
+def test_report_text_and_tsv_sinks(spark, scratch):
+    src = write(os.path.join(scratch, "log.csv"), [HEADER, *GOOD])
+    good, rejects = report.ingest_text(spark, src, os.path.join(scratch, "o1"), layout=7)
+    out_t = os.path.join(scratch, "txt")
+    report.run(spark, good, out_t, rejects=rejects, sink="text")
+    lines = [r[0] for r in spark.read.text(os.path.join(out_t, "pv_uv_by_date")).collect()]
+    assert "date: 2014-12-12, pv: 6, uv: 2" in lines
+    out_v = os.path.join(scratch, "tsv")
+    report.run(spark, good, out_v, sink="tsv")
+    rows = [r[0].split("\t") for r in spark.read.text(os.path.join(out_v, "pv_uv_by_date")).collect()]
+    assert ["2014-12-12", "6", "2"] in rows

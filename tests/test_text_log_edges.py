@@ -1,0 +1,78 @@
+"""Edge cases of the action-log parser, 7- and 5-column layouts."""
+
+import datetime as dt
+
+import pytest
+
+from shopflow.sources.text_log import parse_all
+
+H7 = "user_id,item_id,behavior_type,item_category,time,date,hour"
+CASES_7 = [
+    ("10,100,1,5,2014-12-11 09,2014-12-11,9", None),
+    (" 10 , 100 ,1, 5 ,2014-12-11 09, 2014-12-11 ,9", None),       # spaces are trimmed
+    ("10,,1,,2014-12-11 09,2014-12-11,9", None),                    # blank item / category kept as NULL
+    ("10,abc,1,5,2014-12-11 09,2014-12-11,9", "item_id"),
+    ("10,100,1,x5,2014-12-11 09,2014-12-11,9", "item_category"),
+    ("1.5,100,1,5,2014-12-11 09,2014-12-11,9", "user_id"),
+    ("10,100,,5,2014-12-11 09,2014-12-11,9", "behavior_type"),
+    ("10,100,0,5,2014-12-11 09,2014-12-11,9", "behavior_type"),
+    ("10,100,1,5,2014-02-30 09,2014-12-11,9", "time"),              # impossible calendar day
+    ("10,100,1,5,2014-12-11 9,2014-12-11,9", None),                 # unpadded hour in time
+    ("10,100,1,5,,2014-12-11,9", None),                             # time blank, date/hour given
+    ("10,100,1,5,2014-12-11 09,2014/12/11,9", "date"),
+    ("10,100,1,5,2014-12-11 09,2014-12-11,24", "hour"),
+    ("10,100,1,5,2014-12-11 09,2014-12-11,", "hour"),
+    ("", "field_count"),
+    ("10,100,1,5,2014-12-11 09,2014-12-11", "field_count"),
+    (H7.upper(), None),                                             # header in any case: dropped
+]
+
+
+def reasons(spark, lines, layout):
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    return {r["line"]: r["reason"] for r in parse_all(df, layout=layout).collect()}
+
+
+def test_seven_column_rules(spark):
+    got = reasons(spark, [c[0] for c in CASES_7], 7)
+    for line, reason in CASES_7:
+        if line.lower() == H7:
+            assert line not in got
+        else:
+            assert got[line] == reason, line
+
+
+def test_five_column_rules(spark):
+    lines = {
+        "10,100,1,5,2014-12-11 09": None,
+        "10,100,1,5,2014-12-11 23": None,
+        "10,100,1,5,2014-12-11 24": "time",
+        "10,100,1,5,": "time",
+        "10,100,1,5,2014-12-11": "time",
+        "10,100,1,5,2014-12-11 09,x": "field_count",
+    }
+    got = reasons(spark, list(lines), 5)
+    assert got == lines
+
+
+def test_values_of_a_good_line(spark):
+    df = spark.createDataFrame([("7,8,4,9,2014-12-11 05",), (",8,4,9,2014-12-12 23",)], "value string")
+    rows = sorted(parse_all(df, layout=5).collect(), key=lambda r: r["date"])
+    r = rows[0]
+    assert (r.user_id, r.item_id, r.behavior_type, r.item_category) == (7, 8, 4, 9)
+    assert r.time == dt.datetime(2014, 12, 11, 5) and r.date == dt.date(2014, 12, 11) and r.hour == 5
+    assert rows[1].user_id is None and rows[1].reason is None
+
+
+def test_custom_valid_codes(spark):
+    df = spark.createDataFrame([("7,8,0,9,2014-12-11 05",)], "value string")
+    assert parse_all(df, layout=5).first().reason == "behavior_type"
+    assert parse_all(df, layout=5, valid_codes=(0, 1, 2, 3, 4)).first().reason is None
+
+
+def test_bad_arguments(spark):
+    df = spark.createDataFrame([("x",)], "value string")
+    with pytest.raises(ValueError):
+        parse_all(df, layout=6)
+    with pytest.raises(ValueError):
+        parse_all(df, mode="lenient")
