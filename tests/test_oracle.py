@@ -29,3 +29,18 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["date", "pv", "uv"]
     assert df.count() > 0
+
+
+def test_buy_count_distribution_test_bounds(spark, cons):
+    # SURVEY: bounds are a parameter; 5/10/20 in tests.
+    from shopflow.operators import buy_count_distribution
+    from shopflow.plans import catalog, oracle
+
+    lo, label = oracle._bucket_sql((5, 10, 20))
+    sql = oracle._bigint_count_if(oracle._q(
+        f"SELECT {lo} AS bucket_lo, {label} AS bucket, count(*) AS users FROM u GROUP BY bucket_lo, bucket",
+        "u AS (SELECT user_id, count(*) AS c FROM A WHERE behavior_type = 4 GROUP BY user_id)",
+    ))
+    got = sorted(tuple(r) for r in buy_count_distribution(catalog.actions(spark, SF_CHECK), (5, 10, 20)).collect())
+    want = sorted(cons[SF_CHECK].sql(sql).fetchall())
+    assert got == want and len(got) > 1
