@@ -11,6 +11,12 @@ from pyspark.sql import DataFrame
 from shopflow.schema import BUY
 
 
+def register(actions: DataFrame, name: str = "actions") -> str:
+    """S-4: expose an ACTIONS frame to SQL under ``name`` (session-scoped)."""
+    actions.createOrReplaceTempView(name)
+    return name
+
+
 def _run(actions: DataFrame, sql: str) -> DataFrame:
     # ``{A}`` is bound to the frame by spark.sql itself (no named view left behind).
     return actions.sparkSession.sql(sql, A=actions)

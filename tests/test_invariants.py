@@ -108,3 +108,9 @@ def test_gap_runs_rebuild_gap_lists(A):
     a = {r[0]: r[1] for r in rebuilt.collect()}
     b = {r[0]: r[1] for r in repurchase.repurchase_gap_lists(A).collect()}
     assert a == b
+
+
+def test_registered_view(spark, A):
+    name = sql_forms.register(A, "actions_view_test")
+    n = spark.sql(f"SELECT count(*) FROM {name}").first()[0]
+    assert n == A.count()
