@@ -129,8 +129,10 @@ def repurchase_gap_cumulative(actions: DataFrame) -> DataFrame:
     days the log spans, never by its rows.
     """
     hist = repurchase_gap_histogram(actions)
-    running = Window.orderBy("gap_days").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.partitionBy()
+    # Same ordering, two frames: one Window operator computes both sums.
+    ordered = Window.orderBy("gap_days")
+    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    everything = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return hist.select(
         "gap_days",
         "n",
