@@ -11,6 +11,7 @@ from shopflow.operators.repurchase import (
     repurchase_gap_lists,
     repurchase_gap_runs,
     repurchase_gaps,
+    repurchase_item_intervals,
     repurchase_mean_by_user,
 )
 from shopflow.operators.traffic import (

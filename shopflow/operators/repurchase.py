@@ -92,6 +92,29 @@ def repurchase_gap_runs(actions: DataFrame) -> DataFrame:
     )
 
 
+def repurchase_item_intervals(actions: DataFrame) -> DataFrame:
+    """W-1: per (user, item, purchase day) the next day the same user bought
+    the same item (``lead``), the days until then, and ``repeats``, the
+    further purchases of that item that same day (each a 0-day interval).
+
+    The window runs over one row per (user, item, day), so a (user, item)
+    pair holding a third of all purchases still has at most one row per
+    calendar day in its window partition.  ``next_date`` is NULL on the last
+    day.  Together the rows hold every interval of the per-item definition
+    of O-32.
+    """
+    per_day = purchases(actions).groupBy("user_id", "item_id", "date").agg(F.count(F.lit(1)).alias("c"))
+    nxt = F.lead("date").over(Window.partitionBy("user_id", "item_id").orderBy("date"))
+    return per_day.select(
+        "user_id",
+        "item_id",
+        "date",
+        nxt.alias("next_date"),
+        F.datediff(nxt, F.col("date")).alias("days_to_next"),
+        (F.col("c") - 1).alias("repeats"),
+    )
+
+
 def repurchase_mean_by_user(actions: DataFrame) -> DataFrame:
     """O-32: mean interval between repeat purchases of the same item, per user.
 

@@ -68,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "repurchase_gaps": _on(repurchase.repurchase_gaps),
     "repurchase_gap_lists": _on(repurchase.repurchase_gap_lists),
     "repurchase_gap_runs": _on(repurchase.repurchase_gap_runs),
+    "repurchase_item_intervals": _on(repurchase.repurchase_item_intervals),
     "repurchase_mean_by_user": _on(repurchase.repurchase_mean_by_user),
     "repurchase_gap_histogram": _on(repurchase.repurchase_gap_histogram),
     "repurchase_gap_cumulative": _on(repurchase.repurchase_gap_cumulative),

@@ -211,6 +211,14 @@ ORACLE_SQL: dict[str, str] = {
         'pc AS (SELECT user_id, "date", count(*) - 1 AS repeats FROM A WHERE behavior_type = 4 '
         'GROUP BY user_id, "date")',
     ),
+    "repurchase_item_intervals": _q(
+        "SELECT user_id, item_id, \"date\", next_date, "
+        "CAST(date_diff('day', \"date\", next_date) AS INTEGER) AS days_to_next, repeats FROM nx2",
+        'pid AS (SELECT user_id, item_id, "date", count(*) - 1 AS repeats FROM A '
+        'WHERE behavior_type = 4 GROUP BY user_id, item_id, "date")',
+        'nx2 AS (SELECT *, lead("date") OVER (PARTITION BY user_id, item_id ORDER BY "date") '
+        "AS next_date FROM pid)",
+    ),
     "repurchase_mean_by_user": _MEAN,
     "repurchase_gap_histogram": _q("SELECT * FROM h", *_GAPS, _HIST),
     "repurchase_gap_cumulative": _q(

@@ -58,6 +58,7 @@ METRICS = [
     ("repurchase_gaps", repurchase.repurchase_gaps, False, False),
     ("repurchase_gap_lists", repurchase.repurchase_gap_lists, False, False),
     ("repurchase_gap_runs", repurchase.repurchase_gap_runs, False, False),
+    ("repurchase_item_intervals", repurchase.repurchase_item_intervals, False, False),
     ("repurchase_mean_by_user", repurchase.repurchase_mean_by_user, False, False),
     ("repurchase_gap_cumulative", repurchase.repurchase_gap_cumulative, False, True),
 ]

@@ -114,3 +114,17 @@ def test_registered_view(spark, A):
     name = sql_forms.register(A, "actions_view_test")
     n = spark.sql(f"SELECT count(*) FROM {name}").first()[0]
     assert n == A.count()
+
+
+def test_item_intervals_give_the_mean(A):
+    # Sum of intervals (days_to_next + 0-day repeats) over count equals O-32.
+    iv = repurchase.repurchase_item_intervals(A)
+    per_user = iv.groupBy("user_id").agg(
+        F.sum(F.coalesce("days_to_next", F.lit(0))).alias("t"),
+        F.sum(F.col("repeats") + F.when(F.col("next_date").isNotNull(), 1).otherwise(0)).alias("n"),
+    ).where("n > 0")
+    a = {r[0]: r[1] / r[2] for r in per_user.collect()}
+    b = {r[0]: r[1] for r in repurchase.repurchase_mean_by_user(A).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k] == pytest.approx(b[k])
