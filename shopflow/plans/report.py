@@ -64,20 +64,23 @@ METRICS = [
 ]
 
 
-def ingest_text(spark: SparkSession, path: str, out: str, layout: int = 7, **kw) -> tuple[DataFrame, DataFrame]:
+def ingest_text(
+    spark: SparkSession, path: str, out: str, layout: int = 7, rebalance: bool = False, **kw
+) -> tuple[DataFrame, DataFrame]:
     """Parse the log once, write it, return (actions, rejects) read back.
 
-    No shuffle before the write: a time-ordered log gives each input split
-    only a few days, so each task writes few ``date=`` files.
+    By default there is no shuffle before the write: a time-ordered log gives
+    each input split only a few days, so each task writes few ``date=``
+    files.  For a log in another order, ``rebalance=True`` adds one shuffle
+    on (accepted, date) through the ``rebalance`` hint, whose adaptive
+    execution splits a hot day over several tasks and merges small ones.
     """
     parsed = parse_all(spark.read.text(path), layout=layout, **kw)
+    parsed = parsed.withColumn("accepted", F.col(REJECT_REASON).isNull())
+    if rebalance:
+        parsed = parsed.hint("rebalance", "accepted", "date")
     staged = f"{out.rstrip('/')}/actions"
-    (
-        parsed.withColumn("accepted", F.col(REJECT_REASON).isNull())
-        .write.mode("overwrite")
-        .partitionBy("accepted", "date")
-        .parquet(staged)
-    )
+    parsed.write.mode("overwrite").partitionBy("accepted", "date").parquet(staged)
     return read_parsed_table(spark, staged)
 
 
@@ -120,13 +123,14 @@ def main(argv=None) -> None:
     ap.add_argument("--out", required=True, help="shared output folder")
     ap.add_argument("--day", default=None, help="day D for the day-level metrics (yyyy-MM-dd)")
     ap.add_argument("--sink", choices=sorted(SINKS), default="json")
+    ap.add_argument("--rebalance", action="store_true", help="shuffle by day before writing (unordered logs)")
     args = ap.parse_args(argv)
 
     from shopflow.session import build_session
 
     spark = build_session(app="shopflow-report")
     if args.format == "text":
-        actions, rejects = ingest_text(spark, args.input, args.out, layout=args.layout)
+        actions, rejects = ingest_text(spark, args.input, args.out, layout=args.layout, rebalance=args.rebalance)
     else:
         actions, rejects = read_events(spark, args.input), None
     for name in run(spark, actions, args.out, args.day, rejects, sink=args.sink):

@@ -57,3 +57,9 @@ def test_report_text_and_tsv_sinks(spark, scratch):
     report.run(spark, good, out_v, sink="tsv")
     rows = [r[0].split("\t") for r in spark.read.text(os.path.join(out_v, "pv_uv_by_date")).collect()]
     assert ["2014-12-12", "6", "2"] in rows
+
+
+def test_ingest_with_rebalance(spark, scratch):
+    src = write(os.path.join(scratch, "log.csv"), [HEADER, *GOOD, *BAD])
+    good, rejects = report.ingest_text(spark, src, os.path.join(scratch, "rb"), layout=7, rebalance=True)
+    assert good.count() == 12 and rejects.count() == 4
