@@ -1,10 +1,12 @@
 """Repurchase behaviour: purchase days, repeat rate and the gaps between buys.
 
-Scale notes.  Every window here is partitioned by user and runs over rows
-already reduced to one per (user, day): a user can hold a third of all raw
-rows, but a window partition holds at most one row per calendar day of the
-log.  The reductions are hash aggregates with map-side combine, keyed on
-(user, day) so a hot user is spread over many reducers.
+Scale notes.  Every per-user (or per user and item) window runs over rows
+already reduced to one per (user[, item], day): a user can hold a third of
+all raw rows, but a window partition holds at most one row per calendar day
+of the log.  The reductions are hash aggregates with map-side combine, keyed
+on (user, day) so a hot user is spread over many reducers.  The only
+unpartitioned window (O-34) runs over the gap histogram, at most one row per
+distinct gap length.
 """
 
 from __future__ import annotations
