@@ -101,10 +101,7 @@ def parse_all(
     t_ok = F.coalesce(F.col("t_day").isNotNull() & F.col("t_hour").between(0, 23), F.lit(False))
     checked = typed.select("*", t_ok.alias("t_ok"))
     day, hr = F.col("t_day"), F.col("t_hour")
-    time = F.when(
-        F.col("t_ok"),
-        F.try_make_timestamp_ntz(F.year(day), F.month(day), F.dayofmonth(day), hr, F.lit(0), F.lit(0)),
-    )
+    time = F.when(F.col("t_ok"), day.cast("timestamp_ntz") + F.make_dt_interval(hours=hr))
     if layout == 7:
         date, hour = F.col("d7"), F.col("h7")
         time_bad = F.col("f4").isNotNull() & ~F.col("t_ok")
@@ -140,7 +137,8 @@ def parse_all(
         hour.alias("hour"),
         reason.alias(REJECT_REASON),
         F.col("line").alias("line"),
-        F.lower(F.trim("line")).isin(headers).alias("is_header"),
+        # A header has a non-numeric first field; the text test runs only then.
+        (user_id.isNull() & F.lower(F.trim("line")).isin(headers)).alias("is_header"),
     )
     parsed = checked.select(F.inline(F.array(record))).where(~F.col("is_header")).drop("is_header")
     if mode == "strict":
