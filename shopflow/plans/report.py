@@ -1,8 +1,8 @@
 """The whole analysis as one Spark application.
 
 1. Ingest: the action log (text, 5 or 7 columns) is parsed once and written
-   as parquet under ``<out>/actions``, partitioned by ``accepted`` and
-   ``date``.  Rejected lines keep their text and reason in the same write,
+   as parquet under the shared checkpoint folder (or ``--stage-dir``),
+   partitioned by ``accepted`` and ``date``.  Rejected lines keep their text and reason in the same write,
    so the input is scanned once.  The written table is the lineage cut: if
    executors are lost later, metrics recompute from it, not from the text.
    A parquet ``events`` table can be used directly instead (no ingest).
@@ -21,6 +21,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ if __package__ in (None, ""):
 from shopflow.operators import funnel, profile, repurchase, traffic, value  # noqa: E402
 from shopflow.sources import sinks  # noqa: E402
 from shopflow.sources.events import read_events  # noqa: E402
+from shopflow.session import ensure_checkpoint_dir  # noqa: E402
 from shopflow.sources.text_log import REJECT_REASON, parse_all, read_parsed_table  # noqa: E402
 
 # (name, operator, needs the day parameter, reduced to key cardinality)
@@ -65,10 +67,18 @@ METRICS = [
 
 
 def ingest_text(
-    spark: SparkSession, path: str, out: str, layout: int = 7, rebalance: bool = False, **kw
+    spark: SparkSession,
+    path: str,
+    stage_dir: str | None = None,
+    layout: int = 7,
+    rebalance: bool = False,
+    **kw,
 ) -> tuple[DataFrame, DataFrame]:
     """Parse the log once, write it, return (actions, rejects) read back.
 
+    The table goes to ``stage_dir``, by default a new folder under the
+    session's shared checkpoint folder (``spark.checkpoint.dir``).
+
     By default there is no shuffle before the write: a time-ordered log gives
     each input split only a few days, so each task writes few ``date=``
     files.  For a log in another order, ``rebalance=True`` adds one shuffle
@@ -79,9 +89,10 @@ def ingest_text(
     parsed = parsed.withColumn("accepted", F.col(REJECT_REASON).isNull())
     if rebalance:
         parsed = parsed.hint("rebalance", "accepted", "date")
-    staged = f"{out.rstrip('/')}/actions"
-    parsed.write.mode("overwrite").partitionBy("accepted", "date").parquet(staged)
-    return read_parsed_table(spark, staged)
+    if stage_dir is None:
+        stage_dir = f"{ensure_checkpoint_dir(spark).rstrip('/')}/actions-{uuid.uuid4().hex}"
+    parsed.write.mode("overwrite").partitionBy("accepted", "date").parquet(stage_dir)
+    return read_parsed_table(spark, stage_dir)
 
 
 SINKS = {
@@ -124,13 +135,16 @@ def main(argv=None) -> None:
     ap.add_argument("--day", default=None, help="day D for the day-level metrics (yyyy-MM-dd)")
     ap.add_argument("--sink", choices=sorted(SINKS), default="json")
     ap.add_argument("--rebalance", action="store_true", help="shuffle by day before writing (unordered logs)")
+    ap.add_argument("--stage-dir", default=None, help="where the parsed log is written (default: checkpoint dir)")
     args = ap.parse_args(argv)
 
     from shopflow.session import build_session
 
-    spark = build_session(app="shopflow-report")
+    spark = build_session(app="shopflow-report")  # reads spark.checkpoint.dir from the cluster
     if args.format == "text":
-        actions, rejects = ingest_text(spark, args.input, args.out, layout=args.layout, rebalance=args.rebalance)
+        actions, rejects = ingest_text(
+            spark, args.input, args.stage_dir, layout=args.layout, rebalance=args.rebalance
+        )
     else:
         actions, rejects = read_events(spark, args.input), None
     for name in run(spark, actions, args.out, args.day, rejects, sink=args.sink):

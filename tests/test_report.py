@@ -19,7 +19,7 @@ def read_json_dir(path):
 def test_report_end_to_end(spark, scratch):
     src = write(os.path.join(scratch, "log.csv"), [HEADER, *GOOD, HEADER, *BAD])
     out = os.path.join(scratch, "out")
-    good, rejects = report.ingest_text(spark, src, out, layout=7)
+    good, rejects = report.ingest_text(spark, src, os.path.join(out, "actions"), layout=7)
     assert good.count() == 12
     parts = sorted(p for p in os.listdir(os.path.join(out, "actions")) if p.startswith("accepted="))
     assert parts == ["accepted=false", "accepted=true"]
@@ -48,7 +48,7 @@ def test_report_cli_on_events(spark, scratch):
 
 def test_report_text_and_tsv_sinks(spark, scratch):
     src = write(os.path.join(scratch, "log.csv"), [HEADER, *GOOD])
-    good, rejects = report.ingest_text(spark, src, os.path.join(scratch, "o1"), layout=7)
+    good, rejects = report.ingest_text(spark, src, layout=7)  # staged under the checkpoint folder
     out_t = os.path.join(scratch, "txt")
     report.run(spark, good, out_t, rejects=rejects, sink="text")
     lines = [r[0] for r in spark.read.text(os.path.join(out_t, "pv_uv_by_date")).collect()]
@@ -62,4 +62,5 @@ def test_report_text_and_tsv_sinks(spark, scratch):
 def test_ingest_with_rebalance(spark, scratch):
     src = write(os.path.join(scratch, "log.csv"), [HEADER, *GOOD, *BAD])
     good, rejects = report.ingest_text(spark, src, os.path.join(scratch, "rb"), layout=7, rebalance=True)
+    assert os.path.isdir(os.path.join(scratch, "rb", "accepted=true"))
     assert good.count() == 12 and rejects.count() == 4
