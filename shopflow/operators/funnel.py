@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopflow.functions.columns import percent, ratio
-from shopflow.schema import BROWSE, BUY, CART, FAVOURITE, on_day
+from shopflow.schema import BROWSE, BUY, CART, FAVOURITE, count_actions_if, on_day
 
 
 def funnel_counts(actions: DataFrame, day=None) -> DataFrame:
@@ -18,9 +18,9 @@ def funnel_counts(actions: DataFrame, day=None) -> DataFrame:
     rows = actions if day is None else on_day(actions, day)
     code = F.col("behavior_type")
     return rows.agg(
-        F.count_if(code == F.lit(BROWSE)).alias("browse"),
-        F.count_if(code.isin(FAVOURITE, CART)).alias("interest"),
-        F.count_if(code == F.lit(BUY)).alias("buy"),
+        count_actions_if(rows, code == F.lit(BROWSE)).alias("browse"),
+        count_actions_if(rows, code.isin(FAVOURITE, CART)).alias("interest"),
+        count_actions_if(rows, code == F.lit(BUY)).alias("buy"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopflow.schema import ACTION_COLUMNS
+from shopflow.schema import ACTION_COLUMNS, count_actions, count_actions_if
 
 
 def dataset_profile(actions: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def dataset_profile(actions: DataFrame) -> DataFrame:
     is bounded by the distinct values per task, not by the rows.
     """
     return actions.agg(
-        F.count(F.lit(1)).alias("rows"),
+        count_actions(actions).alias("rows"),
         F.count_distinct("user_id").alias("users"),
         F.count_distinct("item_id").alias("items"),
         F.count_distinct("item_category").alias("categories"),
@@ -38,7 +38,7 @@ def missing_profile(actions: DataFrame, columns=ACTION_COLUMNS) -> DataFrame:
     single row into (column_name, n_missing) rows.
     """
     counts = actions.agg(
-        *[F.count_if(_missing(actions, c)).alias(f"m{i}") for i, c in enumerate(columns)]
+        *[count_actions_if(actions, _missing(actions, c)).alias(f"m{i}") for i, c in enumerate(columns)]
     )
     pairs = ", ".join(f"'{c}', m{i}" for i, c in enumerate(columns))
     return counts.selectExpr(f"stack({len(columns)}, {pairs}) AS (column_name, n_missing)")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from shopflow.functions.columns import ratio
 from shopflow.operators.value import purchases
+from shopflow.schema import count_actions
 
 
 def _by_user_date():
@@ -41,7 +42,8 @@ def repeat_buy_rate(actions: DataFrame) -> DataFrame:
 
 def buys_by_user_date(actions: DataFrame) -> DataFrame:
     """O-24: purchases per (user, date)."""
-    return purchases(actions).groupBy("user_id", "date").agg(F.count(F.lit(1)).alias("buy_count"))
+    buys = purchases(actions)
+    return buys.groupBy("user_id", "date").agg(count_actions(buys).alias("buy_count"))
 
 
 def repurchase_gaps(actions: DataFrame) -> DataFrame:
@@ -65,7 +67,8 @@ def repurchase_gap_lists(actions: DataFrame) -> DataFrame:
     The work therefore runs over one row per (user, day) carrying its count;
     only the output string grows with a user's purchases.
     """
-    per_day = purchases(actions).groupBy("user_id", "date").agg(F.count(F.lit(1)).alias("c"))
+    buys = purchases(actions)
+    per_day = buys.groupBy("user_id", "date").agg(count_actions(buys).alias("c"))
     gap = F.datediff("date", F.lag("date").over(_by_user_date())).cast("string")
     zeros = F.array_join(F.array_repeat(F.lit("0"), (F.col("c") - 1).cast("int")), ",")
     piece = F.nullif(F.concat_ws(",", gap, F.nullif(zeros, F.lit(""))), F.lit(""))
@@ -85,7 +88,8 @@ def repurchase_gap_runs(actions: DataFrame) -> DataFrame:
     ``repeats`` zeros.  Every row is bounded, so this form suits users whose
     list would be too long for one string value.
     """
-    per_day = purchases(actions).groupBy("user_id", "date").agg(F.count(F.lit(1)).alias("c"))
+    buys = purchases(actions)
+    per_day = buys.groupBy("user_id", "date").agg(count_actions(buys).alias("c"))
     return per_day.select(
         "user_id",
         "date",
@@ -105,7 +109,8 @@ def repurchase_item_intervals(actions: DataFrame) -> DataFrame:
     day.  Together the rows hold every interval of the per-item definition
     of O-32.
     """
-    per_day = purchases(actions).groupBy("user_id", "item_id", "date").agg(F.count(F.lit(1)).alias("c"))
+    buys = purchases(actions)
+    per_day = buys.groupBy("user_id", "item_id", "date").agg(count_actions(buys).alias("c"))
     nxt = F.lead("date").over(Window.partitionBy("user_id", "item_id").orderBy("date"))
     return per_day.select(
         "user_id",
@@ -127,8 +132,9 @@ def repurchase_mean_by_user(actions: DataFrame) -> DataFrame:
     repeated item are absent.  ``avg_days_trunc`` is the integer mean
     (``sum div count``).
     """
-    per_item = purchases(actions).groupBy("user_id", "item_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last")
+    buys = purchases(actions)
+    per_item = buys.groupBy("user_id", "item_id").agg(
+        count_actions(buys).alias("n"), F.min("date").alias("first"), F.max("date").alias("last")
     )
     per_user = per_item.groupBy("user_id").agg(
         F.sum(F.datediff("last", "first")).alias("total_days"),

@@ -15,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopflow.schema import BUY, BROWSE, CART, FAVOURITE, on_day
+from shopflow.schema import BUY, BROWSE, CART, FAVOURITE, count_actions, count_actions_if, on_day
 
 
-def _pv():
-    return F.count(F.lit(1)).alias("pv")
+def _pv(actions: DataFrame):
+    return count_actions(actions).alias("pv")
 
 
 def _uv():
@@ -27,7 +27,7 @@ def _uv():
 
 
 def pv_by(actions: DataFrame, *keys: str) -> DataFrame:
-    return actions.groupBy(*keys).agg(_pv())
+    return actions.groupBy(*keys).agg(_pv(actions))
 
 
 def uv_by(actions: DataFrame, *keys: str) -> DataFrame:
@@ -36,7 +36,7 @@ def uv_by(actions: DataFrame, *keys: str) -> DataFrame:
 
 def pv_uv_by(actions: DataFrame, *keys: str) -> DataFrame:
     """O-6: PV and UV per key from one scan and one aggregate."""
-    return actions.groupBy(*keys).agg(_pv(), _uv())
+    return actions.groupBy(*keys).agg(_pv(actions), _uv())
 
 
 def pv_by_date(actions: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def pv_by_behavior_hour(actions: DataFrame) -> DataFrame:
 def behavior_counts(actions: DataFrame, day=None) -> DataFrame:
     """O-9 (all days) / O-10 (``day`` given): actions per behaviour."""
     rows = actions if day is None else on_day(actions, day)
-    return rows.groupBy("behavior_type").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("behavior_type").agg(count_actions(rows).alias("n"))
 
 
 def pv_behavior_pivot(actions: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def pv_behavior_pivot(actions: DataFrame) -> DataFrame:
     code = F.col("behavior_type")
     return actions.groupBy("hour").agg(
         *[
-            F.count_if(code == F.lit(c)).alias(f"b{c}")
+            count_actions_if(actions, code == F.lit(c)).alias(f"b{c}")
             for c in (BROWSE, FAVOURITE, CART, BUY)
         ]
     )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopflow.functions.columns import bucket_label, bucket_low, ratio, ratio_or_zero
-from shopflow.schema import BUY, behavior_is
+from shopflow.schema import BUY, behavior_is, count_actions, count_actions_if
 
 # Purchase-count bucket edges from the published analysis
 # (most users under 50 purchases, some over 100, a few over 800).
@@ -25,18 +25,19 @@ def purchases(actions: DataFrame) -> DataFrame:
 
 def buy_count_by_user(actions: DataFrame) -> DataFrame:
     """O-14: purchases per user."""
-    return purchases(actions).groupBy("user_id").agg(F.count(F.lit(1)).alias("buy_count"))
+    buys = purchases(actions)
+    return buys.groupBy("user_id").agg(count_actions(buys).alias("buy_count"))
 
 
 def actions_by_date_user_behavior(actions: DataFrame) -> DataFrame:
     """O-15: actions per (date, user, behaviour)."""
-    return actions.groupBy("date", "user_id", "behavior_type").agg(F.count(F.lit(1)).alias("n"))
+    return actions.groupBy("date", "user_id", "behavior_type").agg(count_actions(actions).alias("n"))
 
 
 def daily_consumption(actions: DataFrame) -> DataFrame:
     """O-16: purchases and active (distinct) users per day."""
     return actions.groupBy("date").agg(
-        F.count_if(F.col("behavior_type") == F.lit(BUY)).alias("buys"),
+        count_actions_if(actions, F.col("behavior_type") == F.lit(BUY)).alias("buys"),
         F.count_distinct("user_id").alias("active_users"),
     )
 
@@ -52,7 +53,8 @@ def arpu_by_date(actions: DataFrame) -> DataFrame:
 
 def buys_by_date_user(actions: DataFrame) -> DataFrame:
     """O-18: purchases per (date, user)."""
-    return purchases(actions).groupBy("date", "user_id").agg(F.count(F.lit(1)).alias("buy_count"))
+    buys = purchases(actions)
+    return buys.groupBy("date", "user_id").agg(count_actions(buys).alias("buy_count"))
 
 
 def arppu_by_date(actions: DataFrame) -> DataFrame:
@@ -62,9 +64,8 @@ def arppu_by_date(actions: DataFrame) -> DataFrame:
     per (date, user) inside the distinct aggregate, which is the two-step plan
     of the original, without a join.
     """
-    d = purchases(actions).groupBy("date").agg(
-        F.count(F.lit(1)).alias("buys"), F.count_distinct("user_id").alias("payers")
-    )
+    buys = purchases(actions)
+    d = buys.groupBy("date").agg(count_actions(buys).alias("buys"), F.count_distinct("user_id").alias("payers"))
     return d.select("date", ratio("buys", "payers").alias("arppu"))
 
 

@@ -6,9 +6,12 @@
    so the input is scanned once.  The written table is the lineage cut: if
    executors are lost later, metrics recompute from it, not from the text.
    A parquet ``events`` table can be used directly instead (no ingest).
-2. Metrics: every operator reads the cleaned table (day-level metrics touch
-   one ``date=`` directory) and writes JSON lines under ``<out>/<metric>``;
-   results reduced to key cardinality are written as one file.
+2. Hourly counts: one aggregate turns the log into one row per (date, hour,
+   user, behaviour) with the number of actions, written the same way.
+3. Metrics: every operator that needs no item column reads the hourly
+   counts (day-level metrics touch one ``date=`` directory), the others the
+   cleaned log; each writes under ``<out>/<metric>``; results reduced to key
+   cardinality are written as one file.
 
 Usage::
 
@@ -32,39 +35,43 @@ if __package__ in (None, ""):
 from shopflow.operators import funnel, profile, repurchase, traffic, value  # noqa: E402
 from shopflow.sources import sinks  # noqa: E402
 from shopflow.sources.events import read_events  # noqa: E402
+from shopflow.schema import pre_aggregate  # noqa: E402
 from shopflow.session import ensure_checkpoint_dir  # noqa: E402
 from shopflow.sources.text_log import REJECT_REASON, parse_all, read_parsed_table  # noqa: E402
 
-# (name, operator, needs the day parameter, reduced to key cardinality)
+# (name, operator, needs the day parameter, reduced to key cardinality,
+#  needs item columns -- runs on the full log instead of the hourly counts)
 METRICS = [
-    ("dataset_profile", profile.dataset_profile, False, True),
-    ("missing_profile", profile.missing_profile, False, True),
-    ("pv_uv_by_date", traffic.pv_uv_by_date, False, True),
-    ("pv_uv_by_hour", traffic.pv_uv_by_hour, False, True),
-    ("pv_uv_by_hour_on_day", traffic.pv_uv_by_hour_on_day, True, True),
-    ("pv_by_behavior_hour", traffic.pv_by_behavior_hour, False, True),
-    ("pv_behavior_pivot", traffic.pv_behavior_pivot, False, True),
-    ("hourly_day_vs_overall", traffic.hourly_day_vs_overall, True, True),
-    ("behavior_counts", traffic.behavior_counts, False, True),
-    ("behavior_counts_on_day", traffic.behavior_counts, True, True),
-    ("funnel_rates", funnel.funnel_rates, False, True),
-    ("funnel_rates_on_day", funnel.funnel_rates, True, True),
-    ("funnel_step_loss", funnel.funnel_step_loss, False, True),
-    ("buy_count_by_user", value.buy_count_by_user, False, False),
-    ("buy_count_distribution", value.buy_count_distribution, False, True),
-    ("arpu_by_date", value.arpu_by_date, False, True),
-    ("arppu_by_date", value.arppu_by_date, False, True),
-    ("paying_ratio_by_date", value.paying_ratio_by_date, False, True),
-    ("pay_days_by_user", repurchase.pay_days_by_user, False, False),
-    ("repeat_buy_rate", repurchase.repeat_buy_rate, False, True),
-    ("repurchase_gaps", repurchase.repurchase_gaps, False, False),
-    ("repurchase_gap_lists", repurchase.repurchase_gap_lists, False, False),
-    ("repurchase_gap_runs", repurchase.repurchase_gap_runs, False, False),
-    ("repurchase_item_intervals", repurchase.repurchase_item_intervals, False, False),
-    ("repurchase_mean_by_user", repurchase.repurchase_mean_by_user, False, False),
-    ("repurchase_gap_cumulative", repurchase.repurchase_gap_cumulative, False, True),
+    ("dataset_profile", profile.dataset_profile, False, True, True),
+    ("missing_profile", profile.missing_profile, False, True, True),
+    ("pv_uv_by_date", traffic.pv_uv_by_date, False, True, False),
+    ("pv_uv_by_hour", traffic.pv_uv_by_hour, False, True, False),
+    ("pv_uv_by_hour_on_day", traffic.pv_uv_by_hour_on_day, True, True, False),
+    ("pv_by_behavior_hour", traffic.pv_by_behavior_hour, False, True, False),
+    ("pv_behavior_pivot", traffic.pv_behavior_pivot, False, True, False),
+    ("hourly_day_vs_overall", traffic.hourly_day_vs_overall, True, True, False),
+    ("behavior_counts", traffic.behavior_counts, False, True, False),
+    ("behavior_counts_on_day", traffic.behavior_counts, True, True, False),
+    ("funnel_rates", funnel.funnel_rates, False, True, False),
+    ("funnel_rates_on_day", funnel.funnel_rates, True, True, False),
+    ("funnel_step_loss", funnel.funnel_step_loss, False, True, False),
+    ("buy_count_by_user", value.buy_count_by_user, False, False, False),
+    ("buy_count_distribution", value.buy_count_distribution, False, True, False),
+    ("arpu_by_date", value.arpu_by_date, False, True, False),
+    ("arppu_by_date", value.arppu_by_date, False, True, False),
+    ("paying_ratio_by_date", value.paying_ratio_by_date, False, True, False),
+    ("pay_days_by_user", repurchase.pay_days_by_user, False, False, False),
+    ("repeat_buy_rate", repurchase.repeat_buy_rate, False, True, False),
+    ("repurchase_gaps", repurchase.repurchase_gaps, False, False, False),
+    ("repurchase_gap_lists", repurchase.repurchase_gap_lists, False, False, False),
+    ("repurchase_gap_runs", repurchase.repurchase_gap_runs, False, False, False),
+    ("repurchase_item_intervals", repurchase.repurchase_item_intervals, False, False, True),
+    ("repurchase_mean_by_user", repurchase.repurchase_mean_by_user, False, False, True),
+    ("repurchase_gap_cumulative", repurchase.repurchase_gap_cumulative, False, True, False),
 ]
 
+HOURLY_SCHEMA = "hour int, user_id bigint, behavior_type int, n_actions bigint, date date"
+
 
 def ingest_text(
     spark: SparkSession,
@@ -102,6 +109,17 @@ SINKS = {
 }
 
 
+def hourly_counts(spark: SparkSession, actions: DataFrame, stage_dir: str | None = None) -> DataFrame:
+    """Pre-aggregate the log once to one row per (date, hour, user, behaviour)
+    with ``n_actions``, write it (partitioned by date) under the shared
+    checkpoint folder and read it back.  Most metrics then scan this table
+    instead of the log; it is also their lineage cut."""
+    if stage_dir is None:
+        stage_dir = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hourly-{uuid.uuid4().hex}"
+    pre_aggregate(actions).write.mode("overwrite").partitionBy("date").parquet(stage_dir)
+    return spark.read.schema(HOURLY_SCHEMA).parquet(stage_dir)
+
+
 def run(
     spark: SparkSession,
     actions: DataFrame,
@@ -109,19 +127,27 @@ def run(
     day=None,
     rejects: DataFrame | None = None,
     sink: str = "json",
+    preaggregate: bool = True,
 ) -> list[str]:
-    """Write every metric under ``out``; returns the names written."""
+    """Write every metric under ``out``; returns the names written.
+
+    With ``preaggregate`` (default) the metrics that need no item columns
+    run on :func:`hourly_counts`; the operators count ``n_actions``, so the
+    results are the same as on the log itself.
+    """
     write = SINKS[sink]
+    counts = hourly_counts(spark, actions) if preaggregate else actions
     written = []
-    for name, op, needs_day, reduced in METRICS:
+    for name, op, needs_day, reduced, raw_only in METRICS:
         if needs_day and day is None:
             continue
-        df = op(actions, day) if needs_day else op(actions)
+        src = actions if raw_only else counts
+        df = op(src, day) if needs_day else op(src)
         write(df, f"{out.rstrip('/')}/{name}", single_file=reduced)
         written.append(name)
     if rejects is not None:
-        counts = rejects.groupBy(REJECT_REASON).agg(F.count(F.lit(1)).alias("n"))
-        write(counts, f"{out.rstrip('/')}/rejected_lines", single_file=True)
+        counts_by_reason = rejects.groupBy(REJECT_REASON).agg(F.count(F.lit(1)).alias("n"))
+        write(counts_by_reason, f"{out.rstrip('/')}/rejected_lines", single_file=True)
         written.append("rejected_lines")
     return written
 
@@ -136,6 +162,7 @@ def main(argv=None) -> None:
     ap.add_argument("--sink", choices=sorted(SINKS), default="json")
     ap.add_argument("--rebalance", action="store_true", help="shuffle by day before writing (unordered logs)")
     ap.add_argument("--stage-dir", default=None, help="where the parsed log is written (default: checkpoint dir)")
+    ap.add_argument("--no-preaggregate", action="store_true", help="run every metric on the full log")
     args = ap.parse_args(argv)
 
     from shopflow.session import build_session
@@ -147,7 +174,8 @@ def main(argv=None) -> None:
         )
     else:
         actions, rejects = read_events(spark, args.input), None
-    for name in run(spark, actions, args.out, args.day, rejects, sink=args.sink):
+    written = run(spark, actions, args.out, args.day, rejects, sink=args.sink, preaggregate=not args.no_preaggregate)
+    for name in written:
         print(f"wrote {args.out.rstrip('/')}/{name}")
 
 

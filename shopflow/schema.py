@@ -82,3 +82,30 @@ def on_day(actions: DataFrame, day) -> DataFrame:
     Catalyst turns the comparison into a ``time`` range that reaches the scan.
     """
     return actions.where(F.col("date") == day_literal(day))
+
+
+# Optional multiplicity column: a frame pre-aggregated by some ACTIONS
+# columns carries the number of actions each row stands for.  Operators count
+# actions through the two helpers below, so they give the same results on the
+# raw log and on such a table; distinct counts need no change.
+WEIGHT = "n_actions"
+
+
+def count_actions(frame: DataFrame) -> Column:
+    """``count(*)`` of actions: ``sum(n_actions)`` on a pre-aggregated frame."""
+    if WEIGHT in frame.columns:
+        return F.coalesce(F.sum(WEIGHT), F.lit(0).cast("bigint"))
+    return F.count(F.lit(1))
+
+
+def count_actions_if(frame: DataFrame, cond: Column) -> Column:
+    """``count_if(cond)`` of actions, weighted the same way."""
+    if WEIGHT in frame.columns:
+        return F.coalesce(F.sum(F.when(cond, F.col(WEIGHT))), F.lit(0).cast("bigint"))
+    return F.count_if(cond)
+
+
+def pre_aggregate(actions: DataFrame, keys=("date", "hour", "user_id", "behavior_type")) -> DataFrame:
+    """One row per distinct ``keys`` with ``n_actions``; a map-side combined
+    aggregate.  Every operator that needs only ``keys`` runs on it unchanged."""
+    return actions.groupBy(*keys).agg(count_actions(actions).alias(WEIGHT))

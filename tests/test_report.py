@@ -64,3 +64,14 @@ def test_ingest_with_rebalance(spark, scratch):
     good, rejects = report.ingest_text(spark, src, os.path.join(scratch, "rb"), layout=7, rebalance=True)
     assert os.path.isdir(os.path.join(scratch, "rb", "accepted=true"))
     assert good.count() == 12 and rejects.count() == 4
+
+
+def test_report_same_with_and_without_hourly_counts(spark, scratch):
+    src = write(os.path.join(scratch, "log.csv"), [HEADER, *GOOD, HEADER, *BAD])
+    good, rejects = report.ingest_text(spark, src, layout=7)
+    a, b = os.path.join(scratch, "pre"), os.path.join(scratch, "raw")
+    names = report.run(spark, good, a, day="2014-12-12", rejects=rejects)
+    assert names == report.run(spark, good, b, day="2014-12-12", rejects=rejects, preaggregate=False)
+    for n in names:
+        x, y = spark.read.json(os.path.join(a, n)), spark.read.json(os.path.join(b, n))
+        assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0, n
