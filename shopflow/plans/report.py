@@ -37,7 +37,7 @@ from shopflow.sources import sinks  # noqa: E402
 from shopflow.sources.events import read_events  # noqa: E402
 from shopflow.schema import pre_aggregate  # noqa: E402
 from shopflow.session import ensure_checkpoint_dir  # noqa: E402
-from shopflow.sources.text_log import REJECT_REASON, parse_all, read_parsed_table  # noqa: E402
+from shopflow.sources.text_log import REJECT_REASON, parse_all, read_lines, read_parsed_table  # noqa: E402
 
 # (name, operator, needs the day parameter, reduced to key cardinality,
 #  needs item columns -- runs on the full log instead of the hourly counts)
@@ -79,6 +79,7 @@ def ingest_text(
     stage_dir: str | None = None,
     layout: int = 7,
     rebalance: bool = False,
+    spread: int | None = None,
     **kw,
 ) -> tuple[DataFrame, DataFrame]:
     """Parse the log once, write it, return (actions, rejects) read back.
@@ -92,7 +93,7 @@ def ingest_text(
     on (accepted, date) through the ``rebalance`` hint, whose adaptive
     execution splits a hot day over several tasks and merges small ones.
     """
-    parsed = parse_all(spark.read.text(path), layout=layout, **kw)
+    parsed = parse_all(read_lines(spark, path, spread), layout=layout, **kw)
     parsed = parsed.withColumn("accepted", F.col(REJECT_REASON).isNull())
     if rebalance:
         parsed = parsed.hint("rebalance", "accepted", "date")
@@ -163,6 +164,7 @@ def main(argv=None) -> None:
     ap.add_argument("--rebalance", action="store_true", help="shuffle by day before writing (unordered logs)")
     ap.add_argument("--stage-dir", default=None, help="where the parsed log is written (default: checkpoint dir)")
     ap.add_argument("--no-preaggregate", action="store_true", help="run every metric on the full log")
+    ap.add_argument("--spread", type=int, default=None, help="deal lines to N partitions (unsplittable input)")
     args = ap.parse_args(argv)
 
     from shopflow.session import build_session
@@ -170,7 +172,7 @@ def main(argv=None) -> None:
     spark = build_session(app="shopflow-report")  # reads spark.checkpoint.dir from the cluster
     if args.format == "text":
         actions, rejects = ingest_text(
-            spark, args.input, args.stage_dir, layout=args.layout, rebalance=args.rebalance
+            spark, args.input, args.stage_dir, layout=args.layout, rebalance=args.rebalance, spread=args.spread
         )
     else:
         actions, rejects = read_events(spark, args.input), None

@@ -166,19 +166,32 @@ def parse_lines(
     return good, rejects
 
 
+def read_lines(spark: SparkSession, path: str, spread: int | None = None) -> DataFrame:
+    """Log lines from any Hadoop path (file, dir, glob).
+
+    Plain text splits by block, so a large file is read in parallel.  A
+    compressed file that cannot be split (gzip) is read by one task; with
+    ``spread=N`` its lines are dealt round-robin to N partitions right after
+    the read, so the parse and everything after it run in parallel even when
+    one such file holds a large share of the log.
+    """
+    lines = spark.read.text(path)
+    return lines.repartition(spread) if spread else lines
+
+
 def read_log(
     spark: SparkSession,
     path: str,
     layout: int = 7,
     valid_codes=DEFAULT_VALID_CODES,
     mode: str = "permissive",
+    spread: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """S-1/S-5: scan action-log text at any Hadoop path (file, dir, glob).
+    """S-1/S-5: scan and parse action-log text (see :func:`read_lines`).
 
-    Text files split by block, so a large log is read in parallel; the header
-    test is per line, not per split.
+    The header test is per line, not per split or per file.
     """
-    return parse_lines(spark.read.text(path), layout, valid_codes, mode)
+    return parse_lines(read_lines(spark, path, spread), layout, valid_codes, mode)
 
 
 def read_parsed_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

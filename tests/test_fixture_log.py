@@ -155,3 +155,14 @@ def test_strict_mode_fails_on_reject(spark, tmp_path):
         good.collect()
     p2 = write(tmp_path / "ok.csv", [HEADER, GOOD[0]])
     assert read_log(spark, str(p2), layout=7, mode="strict")[0].count() == 1
+
+
+def test_gzip_log_spread(spark, tmp_path):
+    import gzip
+
+    p = tmp_path / "log.csv.gz"
+    with gzip.open(p, "wt") as f:
+        f.write("\n".join([HEADER, *GOOD, *BAD]) + "\n")
+    good, rejects = read_log(spark, str(p), layout=7, spread=4)
+    assert good.rdd.getNumPartitions() == 4
+    assert good.count() == 12 and rejects.count() == 4
