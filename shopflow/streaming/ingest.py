@@ -15,6 +15,12 @@ PV/UV definition incrementally over a folder that keeps receiving log files.
 
 from __future__ import annotations
 
+import os
+import sys
+
+if __package__ in (None, ""):
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -77,3 +83,29 @@ def pv_uv_by_date_stream(actions: DataFrame, lateness: str = "1 day") -> DataFra
     return per_day.select(
         F.to_date(F.col("day.start")).alias("date"), F.col("pv").cast("bigint").alias("pv"), "uv"
     )
+
+
+def main(argv=None) -> None:
+    """``spark-submit shopflow/streaming/ingest.py --source DIR --out DIR --checkpoint DIR``"""
+    import argparse
+
+    from shopflow.session import build_session
+
+    ap = argparse.ArgumentParser(description="incremental action-log ingest")
+    ap.add_argument("--source", required=True, help="folder that receives log files")
+    ap.add_argument("--out", required=True, help="parquet table (partitioned by accepted, date)")
+    ap.add_argument("--checkpoint", required=True, help="shared folder for the stream's progress")
+    ap.add_argument("--layout", type=int, choices=[5, 7], default=7)
+    ap.add_argument("--continuous", action="store_true", help="keep running (default: process what is there)")
+    ap.add_argument("--max-files-per-trigger", type=int, default=None)
+    args = ap.parse_args(argv)
+    spark = build_session(app="shopflow-ingest")
+    q = ingest_stream(
+        spark, args.source, args.out, args.checkpoint, layout=args.layout,
+        available_now=not args.continuous, max_files_per_trigger=args.max_files_per_trigger,
+    )
+    q.awaitTermination()
+
+
+if __name__ == "__main__":
+    main()

@@ -45,3 +45,14 @@ def test_pv_uv_stream(spark, scratch):
     d = dt.date.fromisoformat
     assert got == [(d("2014-12-11"), 3, 1), (d("2014-12-12"), 6, 2), (d("2014-12-13"), 1, 1),
                    (d("2014-12-14"), 1, 1), (d("2014-12-16"), 1, 1)]
+
+
+def test_ingest_cli(spark, scratch):
+    from shopflow.streaming.ingest import main
+
+    src = os.path.join(scratch, "in")
+    os.makedirs(src)
+    write(os.path.join(src, "a.csv"), [HEADER, *GOOD])
+    out = os.path.join(scratch, "out")
+    main(["--source", src, "--out", out, "--checkpoint", os.path.join(scratch, "ck")])
+    assert read_parsed_table(spark, out)[0].count() == 12
