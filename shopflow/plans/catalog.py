@@ -27,8 +27,9 @@ def _on(fn, *args):
     return lambda spark, sf_dir: fn(actions(spark, sf_dir), *args)
 
 
-def _on_orders(fn, *args):
-    return lambda spark, sf_dir: fn(read_order_purchases(spark, sf_dir), *args)
+def _on_orders(fn, *args, items=False):
+    # Metrics without items read one row per order (line items counted first).
+    return lambda spark, sf_dir: fn(read_order_purchases(spark, sf_dir, items=items), *args)
 
 
 def _parsed(spark: SparkSession, sf_dir: str):
@@ -87,6 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "order_repeat_buy_rate": _on_orders(repurchase.repeat_buy_rate),
     "order_repurchase_gaps": _on_orders(repurchase.repurchase_gaps),
     "order_repurchase_gap_lists": _on_orders(repurchase.repurchase_gap_lists),
-    "order_repurchase_mean_by_user": _on_orders(repurchase.repurchase_mean_by_user),
+    "order_repurchase_mean_by_user": _on_orders(repurchase.repurchase_mean_by_user, items=True),
     "order_repurchase_gap_cumulative": _on_orders(repurchase.repurchase_gap_cumulative),
 }
