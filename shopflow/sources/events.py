@@ -48,7 +48,9 @@ def from_events(events: DataFrame) -> DataFrame:
     item = props_k(F.col("props")).cast("int")
     # Two projections: the category is derived from the already-extracted
     # item, so the pattern runs once per row.
-    staged = events.select("event_id", "user_id", "event_type", "ts", item.alias("item_id"))
+    # ts as wall-clock time; a no-op for the driver's timestamp_ntz column.
+    ts = F.col("ts").cast("timestamp_ntz").alias("ts")
+    staged = events.select("event_id", "user_id", "event_type", ts, item.alias("item_id"))
     return staged.select(
         F.col("event_id"),
         F.col("user_id"),
