@@ -28,33 +28,31 @@ def ratio_or_zero(num, den) -> Column:
     return F.when(_col(den) > 0, _col(num).cast("double") / _col(den)).otherwise(F.lit(0.0))
 
 
+def _bucket(col, bounds, value) -> Column:
+    """CASE over the half-open intervals ``[1, b1), [b1, b2), ..., [bn, inf)``;
+    ``value(lo, hi)`` gives the result for each (``hi`` is None for the last)."""
+    c = _col(col)
+    edges = [1, *bounds]
+    expr = None
+    for lo, hi in zip(edges, edges[1:]):
+        cond, v = c < F.lit(hi), value(lo, hi)
+        expr = F.when(cond, v) if expr is None else expr.when(cond, v)
+    last = value(edges[-1], None)
+    return last if expr is None else expr.otherwise(last)
+
+
 def bucket_label(col, bounds) -> Column:
     """Label ``col`` with the half-open interval of ``bounds`` it falls in.
 
     ``bounds=(50, 100, 800)`` gives ``[1,50)``, ``[50,100)``, ``[100,800)``,
     ``[800,inf)``; values are counts, so the first interval starts at 1.
     """
-    c = _col(col)
-    edges = [1, *bounds]
-    expr = None
-    for lo, hi in zip(edges, edges[1:]):
-        cond = c < F.lit(hi)
-        label = F.lit(f"[{lo},{hi})")
-        expr = F.when(cond, label) if expr is None else expr.when(cond, label)
-    last = F.lit(f"[{edges[-1]},inf)")
-    return last if expr is None else expr.otherwise(last)
+    return _bucket(col, bounds, lambda lo, hi: F.lit(f"[{lo},{'inf' if hi is None else hi})"))
 
 
 def bucket_low(col, bounds) -> Column:
     """Lower edge of the interval chosen by :func:`bucket_label`."""
-    c = _col(col)
-    edges = [1, *bounds]
-    expr = None
-    for lo, hi in zip(edges, edges[1:]):
-        cond = c < F.lit(hi)
-        expr = F.when(cond, F.lit(lo)) if expr is None else expr.when(cond, F.lit(lo))
-    last = F.lit(edges[-1])
-    return (last if expr is None else expr.otherwise(last)).cast("int")
+    return _bucket(col, bounds, lambda lo, hi: F.lit(lo)).cast("int")
 
 
 def field_report(*names: str) -> Column:
