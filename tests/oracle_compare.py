@@ -41,7 +41,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return (1, "nan")
-        return (1, repr(round(v, 9)))
+        return (1, repr(v))  # exact: both sides do the same double arithmetic
     if hasattr(v, "isoformat"):
         return (1, v.isoformat())
     return (1, repr(v))
