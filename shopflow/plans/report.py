@@ -25,6 +25,7 @@ import argparse
 import os
 import sys
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,6 +130,7 @@ def run(
     rejects: DataFrame | None = None,
     sink: str = "json",
     preaggregate: bool = True,
+    parallel: int = 4,
 ) -> list[str]:
     """Write every metric under ``out``; returns the names written.
 
@@ -138,19 +140,25 @@ def run(
     """
     write = SINKS[sink]
     counts = hourly_counts(spark, actions) if preaggregate else actions
-    written = []
+    jobs = []
     for name, op, needs_day, reduced, raw_only in METRICS:
         if needs_day and day is None:
             continue
         src = actions if raw_only else counts
-        df = op(src, day) if needs_day else op(src)
-        write(df, f"{out.rstrip('/')}/{name}", single_file=reduced)
-        written.append(name)
+        jobs.append((name, op(src, day) if needs_day else op(src), reduced))
     if rejects is not None:
-        counts_by_reason = rejects.groupBy(REJECT_REASON).agg(F.count(F.lit(1)).alias("n"))
-        write(counts_by_reason, f"{out.rstrip('/')}/rejected_lines", single_file=True)
-        written.append("rejected_lines")
-    return written
+        by_reason = rejects.groupBy(REJECT_REASON).agg(F.count(F.lit(1)).alias("n"))
+        jobs.append(("rejected_lines", by_reason, True))
+
+    def save(job):
+        name, df, reduced = job
+        write(df, f"{out.rstrip('/')}/{name}", single_file=reduced)
+        return name
+
+    # Independent small jobs: a few driver threads let Spark's scheduler run
+    # them side by side instead of leaving the cluster idle between them.
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        return list(pool.map(save, jobs))
 
 
 def main(argv=None) -> None:
@@ -165,6 +173,7 @@ def main(argv=None) -> None:
     ap.add_argument("--stage-dir", default=None, help="where the parsed log is written (default: checkpoint dir)")
     ap.add_argument("--no-preaggregate", action="store_true", help="run every metric on the full log")
     ap.add_argument("--spread", type=int, default=None, help="deal lines to N partitions (unsplittable input)")
+    ap.add_argument("--parallel", type=int, default=4, help="metric jobs submitted at once")
     args = ap.parse_args(argv)
 
     from shopflow.session import build_session
@@ -176,7 +185,10 @@ def main(argv=None) -> None:
         )
     else:
         actions, rejects = read_events(spark, args.input), None
-    written = run(spark, actions, args.out, args.day, rejects, sink=args.sink, preaggregate=not args.no_preaggregate)
+    written = run(
+        spark, actions, args.out, args.day, rejects,
+        sink=args.sink, preaggregate=not args.no_preaggregate, parallel=args.parallel,
+    )
     for name in written:
         print(f"wrote {args.out.rstrip('/')}/{name}")
 
