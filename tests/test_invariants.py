@@ -3,13 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_CHECK, SF_SMALL
+from conftest import SF_BENCH, SF_CHECK, SF_SMALL
 from shopflow.operators import repurchase, traffic, value
 from shopflow.plans import sql_forms
 from shopflow.plans.catalog import DAY, actions
 
 
-@pytest.fixture(scope="module", params=[SF_SMALL, SF_CHECK])
+@pytest.fixture(scope="module", params=[SF_SMALL, SF_CHECK, SF_BENCH])
 def A(spark, request):
     return actions(spark, request.param)
 
