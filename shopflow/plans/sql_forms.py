@@ -27,7 +27,7 @@ def arpu_by_date_sql(actions: DataFrame) -> DataFrame:
     return _run(
         actions,
         f"""
-        WITH daily_metrics AS (
+        WITH per_day AS (
             SELECT `date`,
                    count_if(behavior_type = {BUY}) AS buys,
                    count(DISTINCT user_id) AS active_users
@@ -36,7 +36,7 @@ def arpu_by_date_sql(actions: DataFrame) -> DataFrame:
         )
         SELECT `date`,
                CASE WHEN active_users > 0 THEN CAST(buys AS DOUBLE) / active_users ELSE 0.0D END AS arpu
-        FROM daily_metrics
+        FROM per_day
         """,
     )
 
@@ -51,7 +51,7 @@ def paying_ratio_by_date_sql(actions: DataFrame) -> DataFrame:
             FROM {{A}}
             GROUP BY `date`, user_id
         ),
-        daily_metrics AS (
+        per_day AS (
             SELECT `date`,
                    count_if(user_id IS NOT NULL AND paid) AS paying_users,
                    count(user_id) AS active_users
@@ -61,7 +61,7 @@ def paying_ratio_by_date_sql(actions: DataFrame) -> DataFrame:
         SELECT `date`, paying_users, active_users,
                CASE WHEN active_users > 0 THEN CAST(paying_users AS DOUBLE) / active_users
                     ELSE 0.0D END AS paying_ratio
-        FROM daily_metrics
+        FROM per_day
         """,
     )
 
