@@ -138,7 +138,9 @@ def parse_all(
         reason.alias(REJECT_REASON),
         F.col("line").alias("line"),
         # A header has a non-numeric first field; the text test runs only then.
-        (user_id.isNull() & F.lower(F.trim("line")).isin(headers)).alias("is_header"),
+        # (A leading byte-order mark, as spreadsheet exports write, is ignored.)
+        (user_id.isNull() & F.lower(F.trim(F.replace("line", F.lit("\ufeff"), F.lit("")))).isin(headers))
+        .alias("is_header"),
     )
     parsed = checked.select(F.inline(F.array(record))).where(~F.col("is_header")).drop("is_header")
     if mode == "strict":

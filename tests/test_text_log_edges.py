@@ -76,3 +76,8 @@ def test_bad_arguments(spark):
         parse_all(df, layout=6)
     with pytest.raises(ValueError):
         parse_all(df, mode="lenient")
+
+
+def test_header_with_byte_order_mark(spark):
+    got = reasons(spark, ["\ufeff" + H7, "10,100,1,5,2014-12-11 09,2014-12-11,9"], 7)
+    assert list(got.values()) == [None]
