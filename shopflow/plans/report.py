@@ -115,10 +115,17 @@ def hourly_counts(spark: SparkSession, actions: DataFrame, stage_dir: str | None
     """Pre-aggregate the log once to one row per (date, hour, user, behaviour)
     with ``n_actions``, write it (partitioned by date) under the shared
     checkpoint folder and read it back.  Most metrics then scan this table
-    instead of the log; it is also their lineage cut."""
+    instead of the log; it is also their lineage cut.
+
+    The aggregate comes out hash-partitioned on all four keys, so every task
+    would hold every day; the ``rebalance`` hint on ``date`` regroups the
+    (already reduced) rows so each day is written by a few tasks of the
+    advisory size, a hot day split over several, instead of one small file
+    per task and day."""
     if stage_dir is None:
         stage_dir = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hourly-{uuid.uuid4().hex}"
-    pre_aggregate(actions).write.mode("overwrite").partitionBy("date").parquet(stage_dir)
+    hourly = pre_aggregate(actions).hint("rebalance", "date")
+    hourly.write.mode("overwrite").partitionBy("date").parquet(stage_dir)
     return spark.read.schema(HOURLY_SCHEMA).parquet(stage_dir)
 
 
