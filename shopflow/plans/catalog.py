@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shopflow.operators import funnel, profile, repurchase, traffic, value
 from shopflow.plans import sql_forms
+from shopflow.schema import pre_aggregate
 from shopflow.sources import sinks
 from shopflow.sources.events import read_events, table_path
 from shopflow.sources.orders import read_order_purchases
@@ -32,6 +33,11 @@ def _on_orders(fn, *args, items=False):
     return lambda spark, sf_dir: fn(read_order_purchases(spark, sf_dir, items=items), *args)
 
 
+def _on_hourly(fn, *args):
+    # The same operator on the (date, hour, user, behaviour) pre-aggregate.
+    return lambda spark, sf_dir: fn(pre_aggregate(actions(spark, sf_dir)), *args)
+
+
 def _parsed(spark: SparkSession, sf_dir: str):
     # The events rendered as a 7-column log; the "other" code 0 is outside the
     # log's valid codes 1-4, so those lines are the rejects.
@@ -82,6 +88,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "arpu_by_date_sql": _on(sql_forms.arpu_by_date_sql),
     "paying_ratio_by_date_sql": _on(sql_forms.paying_ratio_by_date_sql),
     "repurchase_mean_by_user_sql": _on(sql_forms.repurchase_mean_by_user_sql),
+    # The report job's plan: operators on the hourly pre-aggregate (n_actions).
+    "pv_uv_by_date_hourly": _on_hourly(traffic.pv_uv_by_date),
+    "arpu_by_date_hourly": _on_hourly(value.arpu_by_date),
+    "repurchase_gap_lists_hourly": _on_hourly(repurchase.repurchase_gap_lists),
     # Purchase-side operators over orders JOIN lineitem (one action per line item).
     "order_arppu_by_date": _on_orders(value.arppu_by_date),
     "order_pay_days_by_user": _on_orders(repurchase.pay_days_by_user),

@@ -278,3 +278,5 @@ ORACLE_SQL = {k: _bigint_count_if(v) for k, v in ORACLE_SQL.items()}
 ORACLE_SQL["arpu_by_date_sql"] = ORACLE_SQL["arpu_by_date"]
 ORACLE_SQL["paying_ratio_by_date_sql"] = ORACLE_SQL["paying_ratio_by_date"]
 ORACLE_SQL["repurchase_mean_by_user_sql"] = ORACLE_SQL["repurchase_mean_by_user"]
+for _k in ("pv_uv_by_date", "arpu_by_date", "repurchase_gap_lists"):
+    ORACLE_SQL[_k + "_hourly"] = ORACLE_SQL[_k]
