@@ -66,12 +66,24 @@ def ingest_stream(
     return writer.start(out)
 
 
+def _wall_clock_instant(ts):
+    """The wall-clock ``timestamp_ntz`` as the instant with that reading in
+    UTC: day windows then fall on calendar days whatever the session zone
+    (watermarks need a zoned timestamp)."""
+    seconds = (
+        F.unix_date(F.to_date(ts)).cast("long") * 86400
+        + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    )
+    return F.timestamp_seconds(seconds)
+
+
 def pv_uv_by_date_stream(actions: DataFrame, lateness: str = "1 day") -> DataFrame:
     """PV and UV per day over a streaming ACTIONS frame (append mode).
 
-    Day boundaries are UTC days of ``time`` (the session zone is UTC).
+    Days are the calendar days of the wall-clock ``time``, independent of
+    the session zone.
     """
-    timed = actions.withColumn("event_time", F.col("time").cast("timestamp")).withWatermark(
+    timed = actions.withColumn("event_time", _wall_clock_instant(F.col("time"))).withWatermark(
         "event_time", lateness
     )
     per_user = timed.groupBy(F.window("event_time", "1 day").alias("day"), "user_id").agg(
@@ -80,9 +92,8 @@ def pv_uv_by_date_stream(actions: DataFrame, lateness: str = "1 day") -> DataFra
     per_day = per_user.groupBy(F.window(F.window_time("day"), "1 day").alias("day")).agg(
         F.sum("n").alias("pv"), F.count("user_id").alias("uv")
     )
-    return per_day.select(
-        F.to_date(F.col("day.start")).alias("date"), F.col("pv").cast("bigint").alias("pv"), "uv"
-    )
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(F.col("day.start")) / 86400).cast("int"))
+    return per_day.select(day.alias("date"), F.col("pv").cast("bigint").alias("pv"), "uv")
 
 
 def main(argv=None) -> None:
