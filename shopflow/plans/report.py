@@ -138,6 +138,7 @@ def run(
     sink: str = "json",
     preaggregate: bool = True,
     parallel: int = 4,
+    only=None,
 ) -> list[str]:
     """Write every metric under ``out``; returns the names written.
 
@@ -146,14 +147,21 @@ def run(
     results are the same as on the log itself.
     """
     write = SINKS[sink]
-    counts = hourly_counts(spark, actions) if preaggregate else actions
+    chosen = [m for m in METRICS if only is None or m[0] in set(only)]
+    unknown = set(only or ()) - {m[0] for m in METRICS} - {"rejected_lines"}
+    if unknown:
+        raise ValueError(f"unknown metrics: {sorted(unknown)}")
+    if preaggregate and any(not m[4] for m in chosen):
+        counts = hourly_counts(spark, actions)
+    else:
+        counts = actions
     jobs = []
-    for name, op, needs_day, reduced, raw_only in METRICS:
+    for name, op, needs_day, reduced, raw_only in chosen:
         if needs_day and day is None:
             continue
         src = actions if raw_only else counts
         jobs.append((name, op(src, day) if needs_day else op(src), reduced))
-    if rejects is not None:
+    if rejects is not None and (only is None or "rejected_lines" in only):
         by_reason = rejects.groupBy(REJECT_REASON).agg(F.count(F.lit(1)).alias("n"))
         jobs.append(("rejected_lines", by_reason, True))
 
@@ -181,6 +189,7 @@ def main(argv=None) -> None:
     ap.add_argument("--no-preaggregate", action="store_true", help="run every metric on the full log")
     ap.add_argument("--spread", type=int, default=None, help="deal lines to N partitions (unsplittable input)")
     ap.add_argument("--parallel", type=int, default=4, help="metric jobs submitted at once")
+    ap.add_argument("--only", default=None, help="comma-separated metric names (default: all)")
     args = ap.parse_args(argv)
 
     from shopflow.session import build_session
@@ -195,6 +204,7 @@ def main(argv=None) -> None:
     written = run(
         spark, actions, args.out, args.day, rejects,
         sink=args.sink, preaggregate=not args.no_preaggregate, parallel=args.parallel,
+        only=args.only.split(",") if args.only else None,
     )
     for name in written:
         print(f"wrote {args.out.rstrip('/')}/{name}")

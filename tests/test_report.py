@@ -75,3 +75,14 @@ def test_report_same_with_and_without_hourly_counts(spark, scratch):
     for n in names:
         x, y = spark.read.json(os.path.join(a, n)), spark.read.json(os.path.join(b, n))
         assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0, n
+
+
+def test_report_only_some_metrics(spark, scratch):
+    import pytest
+
+    out = os.path.join(scratch, "some")
+    report.main(["--input", "/root/testdata/sf0.001/events.parquet", "--format", "events",
+                 "--out", out, "--only", "pv_uv_by_date,repurchase_mean_by_user"])
+    assert sorted(p for p in os.listdir(out) if not p.startswith(".")) == ["pv_uv_by_date", "repurchase_mean_by_user"]
+    with pytest.raises(ValueError):
+        report.run(spark, None, out, only=["no_such_metric"])
