@@ -26,3 +26,10 @@ def test_json_tsv_report_round_trip(spark, scratch):
     sinks.write_report(df, r, single_file=True)
     text = sorted(x[0] for x in spark.read.text(r).collect())
     assert len(text) == n and text[0].startswith("date: 2024-01-01, pv: ")
+
+
+def test_preview_prints_first_rows(spark, capsys):
+    df = traffic.pv_uv_by_date(actions(spark, SF_SMALL)).orderBy("date")
+    sinks.preview(df, n=3)
+    out = capsys.readouterr().out
+    assert "2024-01-01" in out and "only showing top 3 rows" in out
