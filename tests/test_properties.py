@@ -96,3 +96,65 @@ def test_operators_match_definitions(spark, rows):
     f = funnel.funnel_rates(A).first()
     assert all(near(a, b) for a, b in zip(f, rates))
     A.unpersist()
+
+
+def brute_more(rows):
+    buys = [r for r in rows if r[2] == 4]
+    per_user_days = defaultdict(set)
+    per_user_count = defaultdict(int)
+    per_day_count = defaultdict(int)
+    per_item_day = defaultdict(int)
+    for u, i, b, d, h in buys:
+        per_user_days[u].add(d)
+        per_user_count[u] += 1
+        per_day_count[(u, d)] += 1
+        per_item_day[(u, i, d)] += 1
+    purchasers = len(per_user_days)
+    repeat = sum(1 for s in per_user_days.values() if len(s) > 1)
+    rate = (purchasers, repeat, repeat / purchasers if purchasers else None)
+    runs = set()
+    for u, days in per_user_days.items():
+        prev = None
+        for d in sorted(days):
+            runs.add((u, D0 + dt.timedelta(days=d), None if prev is None else d - prev, per_day_count[(u, d)] - 1))
+            prev = d
+    intervals = set()
+    by_pair = defaultdict(list)
+    for (u, i, d), c in per_item_day.items():
+        by_pair[(u, i)].append((d, c))
+    for (u, i), lst in by_pair.items():
+        lst.sort()
+        for k, (d, c) in enumerate(lst):
+            nxt = lst[k + 1][0] if k + 1 < len(lst) else None
+            intervals.add((u, i, D0 + dt.timedelta(days=d),
+                           None if nxt is None else D0 + dt.timedelta(days=nxt),
+                           None if nxt is None else nxt - d, c - 1))
+    pivot = defaultdict(lambda: [0, 0, 0, 0])
+    for u, i, b, d, h in rows:
+        pivot[h]
+        if 1 <= b <= 4:
+            pivot[h][b - 1] += 1
+    counts = defaultdict(int)
+    for r in rows:
+        counts[r[2]] += 1
+    buckets = defaultdict(int)
+    for c in per_user_count.values():
+        lo = 1 if c < 2 else 2 if c < 4 else 4
+        buckets[lo] += 1
+    return rate, runs, intervals, {h: tuple(v) for h, v in pivot.items()}, dict(counts), dict(buckets)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(row, min_size=0, max_size=40))
+def test_more_operators_match_definitions(spark, rows):
+    A = frame(spark, rows).cache()
+    rate, runs, intervals, pivot, counts, buckets = brute_more(rows)
+    r = repurchase.repeat_buy_rate(A).first()
+    assert (r["purchasers"], r["repeat_purchasers"]) == rate[:2] and near(r["repeat_rate"], rate[2])
+    assert {tuple(x) for x in repurchase.repurchase_gap_runs(A).collect()} == runs
+    assert {tuple(x) for x in repurchase.repurchase_item_intervals(A).collect()} == intervals
+    assert {x["hour"]: (x["b1"], x["b2"], x["b3"], x["b4"]) for x in traffic.pv_behavior_pivot(A).collect()} == pivot
+    assert {x["behavior_type"]: x["n"] for x in traffic.behavior_counts(A).collect()} == counts
+    got = {x["bucket_lo"]: x["users"] for x in value.buy_count_distribution(A, (2, 4)).collect()}
+    assert got == buckets
+    A.unpersist()
