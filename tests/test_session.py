@@ -19,9 +19,12 @@ spark.stop()
 """
 
 
-def run(ckpt):
+def run(ckpt, conf_dir=None):
+    env = dict(os.environ)
+    if conf_dir is not None:
+        env["SPARK_CONF_DIR"] = conf_dir  # which spark-defaults.conf applies
     out = subprocess.run([sys.executable, "-c", SCRIPT.format(root=ROOT, ckpt=ckpt)],
-                         capture_output=True, text=True, timeout=300)
+                         capture_output=True, text=True, timeout=300, env=env)
     lines = dict(x.split(" ", 1) for x in out.stdout.splitlines() if x.startswith(("CKPT", "PARTS")))
     return lines
 
@@ -33,6 +36,14 @@ def test_checkpoint_dir_from_session():
     assert got["PARTS"] == "200"  # 3 per core, at least 200
 
 
+def test_checkpoint_dir_from_cluster_defaults():
+    conf_dir = tempfile.mkdtemp(prefix="conf-")
+    shared = tempfile.mkdtemp(prefix="cluster-ckpt-")
+    with open(os.path.join(conf_dir, "spark-defaults.conf"), "w") as f:
+        f.write(f"spark.checkpoint.dir {shared}\n")
+    assert shared in run("", conf_dir)["CKPT"]
+
+
 def test_scratch_checkpoint_only_when_unset():
-    got = run("")
+    got = run("", tempfile.mkdtemp(prefix="empty-conf-"))
     assert "shopflow-ckpt-" in got["CKPT"]
