@@ -1,5 +1,6 @@
 """Named queries: each is ``(spark, sf_dir) -> DataFrame`` over the driver's
-``events`` table (through the ACTIONS adapter), so its work grows with it.
+tables -- ``events`` through the ACTIONS adapter, or ``orders`` and
+``lineitem`` for the ``order_*`` keys -- read whole, so its work grows with them.
 """
 
 from __future__ import annotations
