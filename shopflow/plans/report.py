@@ -74,6 +74,12 @@ METRICS = [
 HOURLY_SCHEMA = "hour int, user_id bigint, behavior_type int, n_actions bigint, date date"
 
 
+def _adaptive(spark: SparkSession) -> bool:
+    # Without adaptive execution a rebalance is a plain hash repartition, which
+    # would put a whole hot day in one task; then the write goes without it.
+    return spark.conf.get("spark.sql.adaptive.enabled", "true").lower() == "true"
+
+
 def ingest_text(
     spark: SparkSession,
     path: str,
@@ -96,7 +102,7 @@ def ingest_text(
     """
     parsed = parse_all(read_lines(spark, path, spread), layout=layout, **kw)
     parsed = parsed.withColumn("accepted", F.col(REJECT_REASON).isNull())
-    if rebalance:
+    if rebalance and _adaptive(spark):
         parsed = parsed.hint("rebalance", "accepted", "date")
     if stage_dir is None:
         stage_dir = f"{ensure_checkpoint_dir(spark).rstrip('/')}/actions-{uuid.uuid4().hex}"
@@ -124,7 +130,9 @@ def hourly_counts(spark: SparkSession, actions: DataFrame, stage_dir: str | None
     per task and day."""
     if stage_dir is None:
         stage_dir = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hourly-{uuid.uuid4().hex}"
-    hourly = pre_aggregate(actions).hint("rebalance", "date")
+    hourly = pre_aggregate(actions)
+    if _adaptive(spark):
+        hourly = hourly.hint("rebalance", "date")
     hourly.write.mode("overwrite").partitionBy("date").parquet(stage_dir)
     return spark.read.schema(HOURLY_SCHEMA).parquet(stage_dir)
 
