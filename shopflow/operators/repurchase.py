@@ -70,8 +70,11 @@ def repurchase_gap_lists(actions: DataFrame) -> DataFrame:
     buys = purchases(actions)
     per_day = buys.groupBy("user_id", "date").agg(count_actions(buys).alias("c"))
     gap = F.datediff("date", F.lag("date").over(_by_user_date())).cast("string")
-    zeros = F.array_join(F.array_repeat(F.lit("0"), (F.col("c") - 1).cast("int")), ",")
-    piece = F.nullif(F.concat_ws(",", gap, F.nullif(zeros, F.lit(""))), F.lit(""))
+    # ",gap" (none on the first day) then ",0" per same-day repeat, built as one
+    # string; the leading comma is then dropped.
+    text = F.concat(F.coalesce(F.concat(F.lit(","), gap), F.lit("")),
+                    F.repeat(F.lit(",0"), (F.col("c") - 1).cast("int")))
+    piece = F.nullif(F.substring(text, 2, 2147483647), F.lit(""))
     pieces = per_day.select("user_id", "date", piece.alias("piece"))
     lists = pieces.groupBy("user_id").agg(
         F.expr("listagg(piece, ',') WITHIN GROUP (ORDER BY date)").alias("gaps")
