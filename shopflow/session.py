@@ -51,7 +51,14 @@ def _size_shuffles(spark: SparkSession, conf: dict) -> None:
     submitted = spark.sparkContext.getConf()
     if any(k in conf or submitted.contains(k) for k in keys):
         return
-    n = max(200, 3 * spark.sparkContext.defaultParallelism)
+    cores = spark.sparkContext.defaultParallelism
+    # With dynamic allocation the job starts small; size for the cluster it may grow to.
+    per_executor = int(submitted.get("spark.executor.cores", "1"))
+    for key in ("spark.executor.instances", "spark.dynamicAllocation.maxExecutors"):
+        value = submitted.get(key, "")
+        if value.isdigit() and int(value) < 10**6:
+            cores = max(cores, int(value) * per_executor)
+    n = max(200, 3 * cores)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
 
 
