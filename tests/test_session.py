@@ -47,3 +47,16 @@ def test_checkpoint_dir_from_cluster_defaults():
 def test_scratch_checkpoint_only_when_unset():
     got = run("", tempfile.mkdtemp(prefix="empty-conf-"))
     assert "shopflow-ckpt-" in got["CKPT"]
+
+
+def test_shuffle_sizing_counts_configured_executors():
+    script = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from shopflow.session import build_session
+spark = build_session("local[1]", conf={{"spark.executor.instances": "100", "spark.executor.cores": "8"}})
+print("PARTS", spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum"))
+spark.stop()
+"""
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300)
+    assert "PARTS 2400" in out.stdout
