@@ -1,6 +1,7 @@
 """Task-time spread per stage, from Spark's event log, for queries on a table.
 
 Usage: ``python tests/stage_skew.py <dir with events.parquet> [key ...]``
+   or: ``python tests/stage_skew.py --log <event log> ...``
 
 Runs each registered query once with event logging to a fresh scratch
 folder, then reads the log: for every stage with several tasks it reports
@@ -39,7 +40,21 @@ def stage_spread(log_path: str) -> list[tuple[int, int, float, float]]:
     return out
 
 
+def report(log: str) -> None:
+    worst = 0.0
+    for stage, n, mx, med in stage_spread(log):
+        ratio = mx / med if med else float("inf")
+        worst = max(worst, ratio if med >= 20 else 0.0)  # ignore stages of near-empty tasks
+        print(f"stage {stage:3d}: {n:3d} tasks, max {mx:6.0f} ms, median {med:6.0f} ms")
+    print(f"largest max/median over stages with median >= 20 ms: {worst:.1f}")
+
+
 def main(argv):
+    if argv[1] == "--log":  # an existing event log, e.g. from BENCH_EVENT_LOG_DIR
+        for log in argv[2:]:
+            report(log)
+        return
+
     import __spark_entry__ as E
     from shopflow.session import build_session
 
@@ -60,13 +75,7 @@ def main(argv):
     for key in keys:
         E.queries()[key](spark, data_dir).write.format("noop").mode("overwrite").save()
     spark.stop()
-    log = glob.glob(os.path.join(log_dir, "*"))[0]
-    worst = 0.0
-    for stage, n, mx, med in stage_spread(log):
-        ratio = mx / med if med else float("inf")
-        worst = max(worst, ratio if med >= 20 else 0.0)  # ignore stages of near-empty tasks
-        print(f"stage {stage:3d}: {n:3d} tasks, max {mx:6.0f} ms, median {med:6.0f} ms")
-    print(f"largest max/median over stages with median >= 20 ms: {worst:.1f}")
+    report(glob.glob(os.path.join(log_dir, "*"))[0])
 
 
 if __name__ == "__main__":
