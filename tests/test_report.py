@@ -86,3 +86,16 @@ def test_report_only_some_metrics(spark, scratch):
     assert sorted(p for p in os.listdir(out) if not p.startswith(".")) == ["pv_uv_by_date", "repurchase_mean_by_user"]
     with pytest.raises(ValueError):
         report.run(spark, None, out, only=["no_such_metric"])
+
+
+def test_report_cli_on_text_log(spark, scratch):
+    src = write(os.path.join(scratch, "log.csv"), [HEADER, *GOOD, *BAD])
+    out = os.path.join(scratch, "cli")
+    report.main(["--input", src, "--layout", "7", "--out", out, "--day", "2014-12-12",
+                 "--spread", "2", "--rebalance", "--sink", "tsv",
+                 "--only", "pv_uv_by_hour_on_day,rejected_lines",
+                 "--stage-dir", os.path.join(scratch, "stage")])
+    rows = sorted(r[0].split("\t") for r in spark.read.text(os.path.join(out, "pv_uv_by_hour_on_day")).collect())
+    assert rows == [["20", "3", "1"], ["21", "2", "1"], ["7", "1", "1"]]
+    rej = sorted(r[0] for r in spark.read.text(os.path.join(out, "rejected_lines")).collect())
+    assert rej == ["behavior_type\t2", "field_count\t2"]
