@@ -81,3 +81,25 @@ def test_bad_arguments(spark):
 def test_header_with_byte_order_mark(spark):
     got = reasons(spark, ["\ufeff" + H7, "10,100,1,5,2014-12-11 09,2014-12-11,9"], 7)
     assert list(got.values()) == [None]
+
+
+@pytest.mark.parametrize("layout", [5, 7])
+def test_render_then_parse_round_trip(spark, layout):
+    from pyspark.sql import functions as F
+
+    from conftest import SF_SMALL
+    from shopflow.plans.catalog import actions
+    from shopflow.schema import ACTION_COLUMNS
+    from shopflow.sources.text_log import parse_lines, render_lines
+
+    A = actions(spark, SF_SMALL)
+    good, rejects = parse_lines(render_lines(A, layout=layout), layout=layout)
+    # Times are kept to the hour by the log format; code 0 is outside 1-4.
+    want = A.where("behavior_type BETWEEN 1 AND 4").select(
+        F.col("user_id"), F.col("item_id").cast("bigint"), "behavior_type",
+        F.col("item_category").cast("bigint"), F.date_trunc("hour", "time").cast("timestamp_ntz").alias("time"),
+        "date", "hour",
+    )
+    got = good.select(*ACTION_COLUMNS)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert rejects.count() == A.where("behavior_type = 0").count()
