@@ -45,7 +45,8 @@ def from_events(events: DataFrame) -> DataFrame:
     filter pushdown still reach parquet: a query that only needs
     ``date, user_id`` reads only ``ts, user_id``.
     """
-    item = props_k(F.col("props")).cast("int")
+    # try_cast: one malformed value gives a NULL item instead of failing the job.
+    item = props_k(F.col("props")).try_cast("int")
     # Two projections: the category is derived from the already-extracted
     # item, so the pattern runs once per row.
     # ts as wall-clock time; a no-op for the driver's timestamp_ntz column.

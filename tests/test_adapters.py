@@ -13,3 +13,16 @@ def test_props_k_matches_json_parser(spark):
     got = df.select(props_k(F.col("props")).alias("a"), F.get_json_object("props", "$.k").alias("b"))
     rows = got.collect()
     assert [r["a"] for r in rows] == [r["b"] for r in rows]
+
+
+def test_malformed_item_is_null_not_a_failure(spark):
+    import datetime as dt
+
+    from shopflow.sources.events import from_events
+
+    df = spark.createDataFrame(
+        [(1, dt.datetime(2024, 1, 1, 5), 7, "view", 1.0, '{"k": 7.5}'),
+         (2, dt.datetime(2024, 1, 1, 6), 8, "view", 1.0, '{"k": 12}')],
+        "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    )
+    assert [(r.item_id, r.item_category) for r in from_events(df).orderBy("event_id").collect()] == [(None, None), (12, 1)]
