@@ -5,12 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .mixing import mix
+from .simhash_popcount import fingerprint_text, near_groups
 from .token_counts import token_counts
 
 
+def op6_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return groups.select("doc_id", fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
@@ -22,6 +29,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_simhash_popcount": op6_simhash_popcount,
     "op8_mix_sources": op8_mix_sources,
     "op9_token_counts": op9_token_counts,
 }
