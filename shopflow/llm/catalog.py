@@ -8,11 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .line_windows import drop_later_lines
 from .mixing import mix
+from .oracle import LINE_WINDOWS
+from .secret_ownership import scan_secrets, span_text
 from .simhash_popcount import fingerprint_text, near_groups
 from .token_counts import token_counts
 
 
+def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+    )
+
+
 def op6_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
     return groups.select("doc_id", fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
@@ -28,11 +41,18 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), drops_space=True)
 
 
+def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_later_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_secret_ownership": op5_secret_ownership,
     "op6_simhash_popcount": op6_simhash_popcount,
     "op8_mix_sources": op8_mix_sources,
     "op9_token_counts": op9_token_counts,
+    "op10_line_windows": op10_line_windows,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_line_windows": LINE_WINDOWS}
