@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import decontaminate
 from .line_windows import drop_later_lines
 from .mixing import mix
 from .oracle import LINE_WINDOWS
@@ -16,6 +17,13 @@ from .simhash_popcount import fingerprint_text, near_groups
 from .token_counts import token_counts
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    found = decontaminate(docs, benchmark)
+    items = F.coalesce("items", F.expr("cast(array() as array<bigint>)"))
+    return found.select("doc_id", (F.size(items) > 0).alias("contaminated"), F.array_join(items.cast("array<string>"), ",").alias("items"))
+
+
 def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
@@ -47,6 +55,7 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
     "op5_secret_ownership": op5_secret_ownership,
     "op6_simhash_popcount": op6_simhash_popcount,
     "op8_mix_sources": op8_mix_sources,
