@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import decontaminate
+from .hilbert_neighbours import nearest
 from .line_windows import drop_later_lines
 from .mixing import mix
 from .oracle import LINE_WINDOWS
@@ -17,6 +18,11 @@ from .simhash_popcount import fingerprint_text, near_groups
 from .token_counts import token_counts
 
 
+def op1_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return nearest(vectors, F.col("vec_id") % 20 == 0, top=20)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
     found = decontaminate(docs, benchmark)
@@ -55,6 +61,7 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hilbert_neighbours": op1_hilbert_neighbours,
     "op2_decontaminate": op2_decontaminate,
     "op5_secret_ownership": op5_secret_ownership,
     "op6_simhash_popcount": op6_simhash_popcount,
