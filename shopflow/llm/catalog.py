@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import decontaminate
 from .hilbert_neighbours import nearest
+from .language_crf import learn, predict
 from .line_windows import drop_later_lines
 from .mixing import mix
 from .oracle import LINE_WINDOWS
@@ -30,6 +31,18 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size(items) > 0).alias("contaminated"), F.array_join(items.cast("array<string>"), ",").alias("items"))
 
 
+def held_out(doc_id: Column) -> Column:
+    """Rows that languages are never learned from."""
+    return F.crc32(doc_id.cast("string")) % 4 == 2
+
+
+def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = learn(docs, ~held_out(F.col("doc_id")))
+    labelled = predict(docs.select("doc_id", "text"), model)
+    return labelled.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
@@ -63,6 +76,7 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_neighbours": op1_hilbert_neighbours,
     "op2_decontaminate": op2_decontaminate,
+    "op3_language_crf": op3_language_crf,
     "op5_secret_ownership": op5_secret_ownership,
     "op6_simhash_popcount": op6_simhash_popcount,
     "op8_mix_sources": op8_mix_sources,
