@@ -14,6 +14,7 @@ from .language_crf import learn, predict
 from .line_windows import drop_later_lines
 from .mixing import mix
 from .oracle import LINE_WINDOWS
+from .paragraph_minhash import paragraph_duplicates
 from .secret_ownership import scan_secrets, span_text
 from .simhash_popcount import fingerprint_text, near_groups
 from .token_counts import token_counts
@@ -43,6 +44,12 @@ def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paragraph_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select("doc_id", F.size("spans").cast("long").alias("n_removed"), spans.alias("spans"), "first_docs")
+
+
 def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
@@ -77,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_neighbours": op1_hilbert_neighbours,
     "op2_decontaminate": op2_decontaminate,
     "op3_language_crf": op3_language_crf,
+    "op4_paragraph_minhash": op4_paragraph_minhash,
     "op5_secret_ownership": op5_secret_ownership,
     "op6_simhash_popcount": op6_simhash_popcount,
     "op8_mix_sources": op8_mix_sources,
