@@ -52,15 +52,15 @@ def shingle_hashes(w: Column, n: int) -> Column:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` (long): null, empty and blank texts have fingerprint 0."""
+    """``doc_id, text_hash, fp`` (longs): null, empty and blank texts have fingerprint 0."""
     python_path(docs.sparkSession)
 
     @F.pandas_udf("long")
     def majority(lists: pd.Series) -> pd.Series:
         return pd.Series([majority_bits(np.asarray(x)) for x in lists], dtype="int64")
 
-    split = docs.select(F.col(doc_id).cast("long").alias("doc_id"), words(lower_ascii(F.col(text))).alias("w"))
-    return split.select("doc_id", majority(shingle_hashes(F.col("w"), shingle)).alias("fp"))
+    split = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), words(lower_ascii(F.col(text))).alias("w"))
+    return split.select("doc_id", "text_hash", majority(shingle_hashes(F.col("w"), shingle)).alias("fp"))
 
 
 def unary_counts(fp: Column) -> Column:
@@ -111,7 +111,9 @@ def links(fps: DataFrame, most_bits: int = 3) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, most_bits: int = 3) -> DataFrame:
-    """``doc_id, fp, component_id`` per row: the smallest doc_id reachable over links.
+    """``doc_id, text_hash, fp, root, component_id`` per row: the smallest doc_id reachable over links.
+
+    ``root`` names the group by its smallest fingerprint.
 
     Null and blank texts share fingerprint 0 and are linked like any other;
     repeated rows are in one group; an empty table gives an empty result;
@@ -122,9 +124,23 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     roots = components(links(distinct, most_bits))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = staged(rooted.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id"))
+    named = staged(rooted.join(smallest, "root").select(F.col("fp").alias("_fp"), "root", "component_id"))
     # Both sides are plain scans, so Spark can split a fingerprint that very many documents share.
-    return marked.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    return marked.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the one with the smallest doc_id, null last.
+
+    Among rows of equal id the text's hash decides; rows equal in both are
+    one document and stay once.
+    """
+    groups = near_groups(docs.select(text, doc_id), text, doc_id, **options)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    kept = staged(groups.groupBy("root").agg(F.min(place).alias("kept")).select("kept.doc_id", "kept.text_hash").withColumnsRenamed({"doc_id": "_kept_id", "text_hash": "_kept_hash"}))
+    keyed = docs.withColumn("_hash", F.xxhash64(F.col(text)))
+    same = (F.col("_hash") == F.col("_kept_hash")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_kept_id"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates([doc_id, "_hash"]).drop("_hash")
 
 
 def fingerprint_text(fp: Column) -> Column:
