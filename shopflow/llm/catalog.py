@@ -12,6 +12,7 @@ from .decontaminate import decontaminate
 from .hilbert_neighbours import nearest
 from .language_crf import learn, predict
 from .line_windows import drop_later_lines
+from .lpf_dedup import remove_repeated
 from .mixing import mix
 from .oracle import LINE_WINDOWS
 from .paragraph_minhash import paragraph_duplicates
@@ -65,6 +66,11 @@ def op6_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated(table(spark, sf_dir, "documents", "doc_id", "text"), length=50)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_paragraph_minhash": op4_paragraph_minhash,
     "op5_secret_ownership": op5_secret_ownership,
     "op6_simhash_popcount": op6_simhash_popcount,
+    "op7_lpf_dedup": op7_lpf_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op9_token_counts": op9_token_counts,
     "op10_line_windows": op10_line_windows,
