@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopflow.llm.catalog import held_out
-from shopflow.llm.common import staged, table, with_columns_of
+from shopflow.llm.common import aside, staged, table
 from shopflow.llm.decontaminate import decontaminate
 from shopflow.llm.language_crf import UNKNOWN, learn, predict
 from shopflow.llm.line_windows import drop_later_lines
@@ -38,15 +38,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = learn(docs, ~held_out(F.col("doc_id")))
     if not model.languages:  # nothing to learn from: only texts without a letter are rejected
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    labelled = predict(docs.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(docs.columns)}), model, f"_{docs.columns.index('text')}")
-    kept = labelled.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE))
-    return kept.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    rest, back = aside(docs, "text")
+    labelled = predict(rest, model)
+    return back(labelled.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE)))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes later occurrences of three-line windows; a document of which nothing is left goes."""
-    kept = drop_later_lines(docs)
-    return _with_length(with_columns_of(kept.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))), docs))
+    rest, back = aside(docs, "text", "doc_id")
+    kept = drop_later_lines(rest).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    return _with_length(back(kept))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +57,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark", "item_id", "text")).filter(F.col("items").isNull()).drop("items")
+    rest, back = aside(docs, "text", "doc_id")
+    return back(decontaminate(rest, table(spark, sf_dir, "benchmark", "item_id", "text")).filter(F.col("items").isNull()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,11 +69,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     key = lambda: F.struct(F.col("doc_id"), F.xxhash64("text").alias("hash"))
     rows = docs.select(key().alias("doc_id"), "source", "text").dropDuplicates(["doc_id"])
-    taken = mix(rows).select(F.col("doc_id").alias("_key"), F.col("size").alias("_size"), F.col("target").alias("_target"), F.col("taken").alias("_taken"))
-    taken = staged(taken.filter("_taken > 0"))
-    return docs.join(taken, key().eqNullSafe(F.col("_key"))).select(
-        *docs.columns, F.col("_size").alias("size"), F.col("_target").alias("target"), F.col("_taken").alias("taken")
-    )
+    taken = staged(mix(rows).filter("taken > 0").select(F.col("doc_id").alias("_key"), "size", "target", "taken"))
+    rest, back = aside(docs, "doc_id", "text")
+    return back(rest.join(taken, key().eqNullSafe(F.col("_key"))), "size", "target", "taken")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,11 @@ def python_path(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder that the cluster names."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder and read again.
 
@@ -38,7 +44,7 @@ def staged(df: DataFrame) -> DataFrame:
     executor is lost.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -53,6 +59,17 @@ def lower_ascii(text) -> "F.Column":
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def with_columns_of(out: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, in their order and with their types."""
-    return out.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in docs.schema.fields])
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` with all columns but the ``used`` ones under names that clash with nothing, and the way back.
+
+    The second value takes a frame that still has these columns, and the names
+    of columns that were added: it returns the columns of ``docs`` and the
+    added ones.  A column of ``docs`` named like an added one is replaced.
+    """
+    names = docs.columns
+    hidden = [c if c in used else f"__{i}" for i, c in enumerate(names)]
+
+    def back(out: DataFrame, *added: str) -> DataFrame:
+        return out.select(*[F.col(f"`{h}`").alias(c) for c, h in zip(names, hidden, strict=True) if c not in added], *added)
+
+    return docs.toDF(*hidden), back

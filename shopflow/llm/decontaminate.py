@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, staged
+from .common import SPACE, aside, staged
 
 # Units that may follow a number.
 UNITS = (
@@ -161,4 +161,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     nothing; further columns stay and their names don't matter.
     """
     found = staged(contaminated(docs, benchmark, text, doc_id, **options))
-    return docs.join(found, document_key(F.col(doc_id), F.col(text)) == F.col("_key"), "left").drop("_key")
+    docs, back = aside(docs, text, doc_id)
+    return back(docs.join(found, document_key(F.col(doc_id), F.col(text)) == F.col("_key"), "left"), "items")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import python_path
+from .common import aside, python_path
 from .ranks import hashed
 
 UNKNOWN = "und"
@@ -251,6 +251,7 @@ def predict(docs: DataFrame, model: Field, text: str = "text") -> DataFrame:
     is; repeated rows get equal answers; further columns stay.
     """
     python_path(docs.sparkSession)
+    docs, back = aside(docs, text)
     given = [f.name for f in docs.schema.fields]
     schema = docs.schema
     out = StructType([*schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
@@ -273,4 +274,4 @@ def predict(docs: DataFrame, model: Field, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*whole.slice(begin, len(part)).columns, names, pa.array(np.clip(share, 0.0, 1.0))], [*given, "lang_pred", "score"])
                 begin, size = i + 1, 0
 
-    return docs.mapInArrow(label, out)
+    return back(docs.mapInArrow(label, out), "lang_pred", "score")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import aside, staged
 
 #: White space around a line that makes no difference (the line break itself never occurs in one).
 _BLANK = " \t\x0b\x0c\r"
@@ -67,6 +67,7 @@ def drop_later_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     same result; an empty table gives an empty result.
     """
     removed = later_lines(docs, text, doc_id, window).withColumnsRenamed({"_id": "_rid", "_text": "_rtext"})
+    docs, back = aside(docs, text, doc_id)
     keyed = docs.withColumns({"_id": F.col(doc_id), "_text": F.xxhash64(F.col(text))})
     joined = keyed.join(removed, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_text") == F.col("_rtext")), "left")
     lines = _lines(F.col(text))
@@ -75,8 +76,9 @@ def drop_later_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     )
     gone = F.transform("removed", lambda j: F.element_at("_at", j + 1))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), gone)
-    return full.withColumn(
+    out = full.withColumn(
         text, F.when(F.col("removed").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at("_l", i + 1)), "\n"))
     ).withColumns({
         "n_lines": F.size("_at").cast("long"), "n_removed": F.coalesce(F.size("removed"), F.lit(0)).cast("long"),
-    }).drop("_id", "_text", "_rid", "_rtext", "_l", "_at", "removed")
+    })
+    return back(out, "n_lines", "n_removed")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import python_path, staged
+from .common import python_path, shared_path, staged
 
 SEED_BYTES = 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -227,7 +227,7 @@ def _blocks(docs: DataFrame, text: str, doc_id: str, block_bytes: int, buckets:
     """The blocks in a table bucketed by ``block``: joins by block don't shuffle the texts."""
     name = f"llm_blocks_{uuid.uuid4().hex}"
     packed = _packed(docs, text, doc_id, block_bytes).withColumn("block", F.monotonically_increasing_id())
-    packed.write.bucketBy(buckets, "block").format("parquet").saveAsTable(name)
+    packed.write.bucketBy(buckets, "block").format("parquet").option("path", shared_path(docs.sparkSession)).saveAsTable(name)
     return docs.sparkSession.table(name)
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, python_path, staged, words
+from .common import aside, lower_ascii, python_path, staged, words
 from .graph import components
 
 _LOW = 0x5555555555555555
@@ -138,9 +138,10 @@ def one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     groups = near_groups(docs.select(text, doc_id), text, doc_id, **options)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     kept = staged(groups.groupBy("root").agg(F.min(place).alias("kept")).select("kept.doc_id", "kept.text_hash").withColumnsRenamed({"doc_id": "_kept_id", "text_hash": "_kept_hash"}))
+    docs, back = aside(docs, text, doc_id)
     keyed = docs.withColumn("_hash", F.xxhash64(F.col(text)))
     same = (F.col("_hash") == F.col("_kept_hash")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_kept_id"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates([doc_id, "_hash"]).drop("_hash")
+    return back(keyed.join(kept, same, "left_semi").dropDuplicates([doc_id, "_hash"]))
 
 
 def fingerprint_text(fp: Column) -> Column:

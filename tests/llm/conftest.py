@@ -1,0 +1,36 @@
+import pytest
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, key string, size int, items string, removed int, _id int, n_lines int"
+
+
+@pytest.fixture(scope="session")
+def documents(spark):
+    """Makes a documents table, with further columns whose names clash with inner ones, of (doc_id, text, lang, source) rows."""
+
+    def make(rows):
+        full = [(i, t, lang, s, None if t is None else len(t), "k", 1, "i", 2, 3, 4) for i, t, lang, s in rows]
+        return spark.createDataFrame(full, COLUMNS)
+
+    return make
+
+
+EDGES = [
+    (1, None, "en", "a"),
+    (2, "", "en", "a"),
+    (3, "   \n\t\n  ", None, "b"),
+    (None, "a text without an id, but with some words in it.", "en", None),
+    (4, "one", "en", "a"),
+    (5, "12345 ... !!!", "en", None),
+    (6, "the same text twice, of more than five words.\nsecond line\nthird line\nfourth line", "en", "a"),
+    (6, "the same text twice, of more than five words.\nsecond line\nthird line\nfourth line", "en", "a"),
+    (6, "another text with the same id, also of more than five words.", "en", "b"),
+    (7, "the same text twice, of more than five words.\nsecond line\nthird line\nfourth line", "de", "a"),
+    (8, "word " * 30_000, "en", "c"),
+    (9, "x" * 200_000, "en", "c"),
+    (10, "naïve Größe 😀 été ﬁn\x0b\x0c zwölf Boxkämpfer jagen Viktor quer über den Sylter Deich", "de", "b"),
+]
+
+
+@pytest.fixture(scope="session")
+def edges():
+    return EDGES
