@@ -7,8 +7,7 @@ ACTIONS model of :mod:`shopflow.schema` (:mod:`shopflow.operators`).
 Sources (:mod:`shopflow.sources`): delimited action-log text with reject
 routing, the parquet ``events`` table, orders joined to line items; sinks for
 JSON lines, ``field: value`` reports and TSV.  :mod:`shopflow.plans.report`
-runs the whole analysis as one job; :mod:`shopflow.streaming` ingests a
-growing folder of logs incrementally.
+runs the whole analysis as one job.
 """
 
 __version__ = "0.1.0"

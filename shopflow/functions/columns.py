@@ -60,3 +60,12 @@ def field_report(*names: str) -> Column:
     return F.concat_ws(
         ", ", *[F.concat(F.lit(f"{n}: "), F.col(n).cast("string")) for n in names]
     )
+
+
+# Fixed value: the white space that a blank field may hold (as Python's ``str.strip`` has it, in the Latin range).
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+
+
+def strip(col) -> Column:
+    """A text without leading and trailing white space of any kind."""
+    return F.btrim(_col(col), F.lit(WHITE_SPACE))

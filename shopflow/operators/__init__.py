@@ -1,7 +1,7 @@
 """All metric operators: ``(actions: DataFrame, *params) -> DataFrame``."""
 
 from shopflow.operators.funnel import funnel_counts, funnel_rates, funnel_step_loss
-from shopflow.operators.profile import dataset_profile, missing_profile
+from shopflow.operators.profile import dataset_profile, log_profile, missing_profile
 from shopflow.operators.repurchase import (
     buys_by_user_date,
     pay_days_by_user,
@@ -38,6 +38,8 @@ from shopflow.operators.value import (
     daily_consumption,
     paying_ratio_by_date,
     purchases,
+    user_item_purchases,
+    user_purchases,
 )
 
 __all__ = [n for n in dir() if not n.startswith("_") and n not in {"funnel", "profile", "repurchase", "traffic", "value"}]

@@ -1,4 +1,4 @@
-"""Dataset profile (O-1) and missing-value profile (P-5)."""
+"""Dataset profile (O-1), missing-value profile (P-5) and the profile of a raw log (P-5, P-6)."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopflow.schema import ACTION_COLUMNS, count_actions, count_actions_if
+from shopflow.functions.columns import strip
+from shopflow.schema import ACTION_COLUMNS, LAYOUT_5, LAYOUT_7, count_actions, count_actions_if
+from shopflow.sources.text_log import REJECT_REASON, parse_all
 
 
 def dataset_profile(actions: DataFrame) -> DataFrame:
@@ -27,7 +29,7 @@ def dataset_profile(actions: DataFrame) -> DataFrame:
 def _missing(df: DataFrame, name: str):
     col = F.col(name)
     if isinstance(df.schema[name].dataType, T.StringType):
-        return col.isNull() | (F.trim(col) == F.lit(""))
+        return col.isNull() | (strip(col) == F.lit(""))
     return col.isNull()
 
 
@@ -42,3 +44,24 @@ def missing_profile(actions: DataFrame, columns=ACTION_COLUMNS) -> DataFrame:
     )
     pairs = ", ".join(f"'{c}', m{i}" for i, c in enumerate(columns))
     return counts.selectExpr(f"stack({len(columns)}, {pairs}) AS (column_name, n_missing)")
+
+
+def log_profile(lines: DataFrame, layout: int = 7, column: str = "value", **parsing) -> DataFrame:
+    """P-5 and P-6 over the log itself, before anything is rejected.
+
+    ``column_name, n_missing, n_rejected``: per field, the lines in which it is
+    blank or absent, and the lines rejected because of it (``field_count`` for
+    a wrong number of fields).  Header lines are not counted.  One scan, one
+    aggregate.
+    """
+    parsed = parse_all(lines, layout=layout, column=column, **parsing)
+    parts = F.split("line", ",", -1)
+    fields = LAYOUT_7 if layout == 7 else LAYOUT_5
+    blank = {name: F.count_if(F.coalesce(strip(F.get(parts, F.lit(i))), F.lit("")) == "") for i, name in enumerate(fields)}
+    reasons = ("field_count", *LAYOUT_7)
+    row = parsed.agg(
+        *[blank.get(name, F.lit(None).cast("bigint")).alias(f"m{i}") for i, name in enumerate(reasons)],
+        *[F.count_if(F.col(REJECT_REASON) == name).alias(f"r{i}") for i, name in enumerate(reasons)],
+    )
+    triples = ", ".join(f"'{name}', m{i}, r{i}" for i, name in enumerate(reasons))
+    return row.selectExpr(f"stack({len(reasons)}, {triples}) AS (column_name, n_missing, n_rejected)")

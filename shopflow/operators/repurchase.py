@@ -7,6 +7,9 @@ of the log.  The reductions are hash aggregates with map-side combine, keyed
 on (user, day) so a hot user is spread over many reducers.  The only
 unpartitioned window (O-34) runs over the gap histogram, at most one row per
 distinct gap length.
+
+Purchases without a user are left out of every per-user metric, and those without
+an item of the per-item ones (W-1, O-32): unknown users or items are not one.
 """
 
 from __future__ import annotations
@@ -15,17 +18,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopflow.functions.columns import ratio
-from shopflow.operators.value import purchases
+from shopflow.operators.value import purchases, user_item_purchases, user_purchases
 from shopflow.schema import count_actions
 
 
+# Same-day repeats of one user that a gap list can hold: two bytes each, under Spark's 2 GB per value.
+MOST_REPEATS = 1_000_000_000
+
+
 def _by_user_date():
     return Window.partitionBy("user_id").orderBy("date")
 
 
 def pay_days_by_user(actions: DataFrame) -> DataFrame:
     """O-22: number of distinct days on which each user bought."""
-    return purchases(actions).groupBy("user_id").agg(F.count_distinct("date").alias("pay_days"))
+    return user_purchases(actions).groupBy("user_id").agg(F.count_distinct("date").alias("pay_days"))
 
 
 def repeat_buy_rate(actions: DataFrame) -> DataFrame:
@@ -41,7 +48,7 @@ def repeat_buy_rate(actions: DataFrame) -> DataFrame:
 
 
 def buys_by_user_date(actions: DataFrame) -> DataFrame:
-    """O-24: purchases per (user, date)."""
+    """O-24: purchases per (user, date); anonymous purchases are rows with a NULL user."""
     buys = purchases(actions)
     return buys.groupBy("user_id", "date").agg(count_actions(buys).alias("buy_count"))
 
@@ -52,7 +59,7 @@ def repurchase_gaps(actions: DataFrame) -> DataFrame:
     Gaps are >= 1 because same-day purchases collapse into one day first.
     ``date`` is the later day of each pair.
     """
-    days = purchases(actions).select("user_id", "date").distinct()
+    days = user_purchases(actions).select("user_id", "date").distinct()
     prev = F.lag("date").over(_by_user_date())
     gaps = days.select("user_id", "date", F.datediff("date", prev).alias("gap_days"))
     return gaps.where(F.col("gap_days").isNotNull())
@@ -65,15 +72,19 @@ def repurchase_gap_lists(actions: DataFrame) -> DataFrame:
     Same-day purchases give 0-day gaps, so a day with ``c`` purchases that
     follows a day ``g`` days earlier contributes ``g`` then ``c - 1`` zeros.
     The work therefore runs over one row per (user, day) carrying its count;
-    only the output string grows with a user's purchases.
+    only the output string grows with a user's purchases.  A string holds at
+    most 2 GB, so a user-day with over ``MOST_REPEATS`` purchases fails with a
+    message; :func:`repurchase_gap_runs` has the same content in bounded rows.
     """
-    buys = purchases(actions)
+    buys = user_purchases(actions)
     per_day = buys.groupBy("user_id", "date").agg(count_actions(buys).alias("c"))
     gap = F.datediff("date", F.lag("date").over(_by_user_date())).cast("string")
+    too_many = F.raise_error(F.lit("a user's gap list exceeds a string; use repurchase_gap_runs"))
+    repeats = F.when(F.col("c") - 1 <= MOST_REPEATS, F.col("c") - 1).otherwise(too_many.cast("bigint")).try_cast("int")
     # ",gap" (none on the first day) then ",0" per same-day repeat, built as one
     # string; the leading comma is then dropped.
     text = F.concat(F.coalesce(F.concat(F.lit(","), gap), F.lit("")),
-                    F.repeat(F.lit(",0"), (F.col("c") - 1).cast("int")))
+                    F.repeat(F.lit(",0"), repeats))
     piece = F.nullif(F.substring(text, 2, 2147483647), F.lit(""))
     pieces = per_day.select("user_id", "date", piece.alias("piece"))
     lists = pieces.groupBy("user_id").agg(
@@ -91,7 +102,7 @@ def repurchase_gap_runs(actions: DataFrame) -> DataFrame:
     ``repeats`` zeros.  Every row is bounded, so this form suits users whose
     list would be too long for one string value.
     """
-    buys = purchases(actions)
+    buys = user_purchases(actions)
     per_day = buys.groupBy("user_id", "date").agg(count_actions(buys).alias("c"))
     return per_day.select(
         "user_id",
@@ -112,7 +123,7 @@ def repurchase_item_intervals(actions: DataFrame) -> DataFrame:
     day.  Together the rows hold every interval of the per-item definition
     of O-32.
     """
-    buys = purchases(actions)
+    buys = user_item_purchases(actions)
     per_day = buys.groupBy("user_id", "item_id", "date").agg(count_actions(buys).alias("c"))
     nxt = F.lead("date").over(Window.partitionBy("user_id", "item_id").orderBy("date"))
     return per_day.select(
@@ -135,7 +146,7 @@ def repurchase_mean_by_user(actions: DataFrame) -> DataFrame:
     repeated item are absent.  ``avg_days_trunc`` is the integer mean
     (``sum div count``).
     """
-    buys = purchases(actions)
+    buys = user_item_purchases(actions)
     per_item = buys.groupBy("user_id", "item_id").agg(
         count_actions(buys).alias("n"), F.min("date").alias("first"), F.max("date").alias("last")
     )

@@ -77,13 +77,13 @@ def pv_uv_by_hour_on_day(actions: DataFrame, day) -> DataFrame:
 def pv_uv_join_on_day(actions: DataFrame, day) -> DataFrame:
     """J-1: O-7 computed as two hourly tables joined on ``hour``.
 
-    Both sides are keyed by hour of day, so each has at most 24 rows; the
-    broadcast is bounded by that domain, not by the data.
+    Both sides are keyed by hour of day, so each has at most 24 rows; Spark's
+    own size check broadcasts one of them.
     """
     day_rows = on_day(actions, day)
     pv = pv_by(day_rows, "hour")
     uv = uv_by(day_rows, "hour")
-    return pv.join(F.broadcast(uv), "hour", "inner").select("hour", "pv", "uv")
+    return pv.join(uv, "hour", "inner").select("hour", "pv", "uv")
 
 
 def pv_by_behavior_hour(actions: DataFrame) -> DataFrame:
@@ -116,15 +116,15 @@ def pv_behavior_pivot(actions: DataFrame) -> DataFrame:
 def hourly_day_vs_overall(actions: DataFrame, day) -> DataFrame:
     """R-2: PV/UV by hour over all days next to the same for ``day``.
 
-    The day side reads one day (pushed range) and has at most 24 rows, so it
-    is broadcast; this avoids the row-doubling Expand that two conditional
-    distinct counts in one aggregate would cost over the whole log.
+    The day side reads one day (pushed range) and has at most 24 rows, which
+    Spark broadcasts by its size; this avoids the row-doubling Expand that two
+    conditional distinct counts in one aggregate would cost over the whole log.
     """
     overall = pv_uv_by_hour(actions)
     on = pv_uv_by_hour_on_day(actions, day).select(
         "hour", F.col("pv").alias("pv_day"), F.col("uv").alias("uv_day")
     )
-    joined = overall.join(F.broadcast(on), "hour", "left")
+    joined = overall.join(on, "hour", "left")
     return joined.select(
         "hour",
         "pv",

@@ -23,9 +23,23 @@ def purchases(actions: DataFrame) -> DataFrame:
     return actions.where(behavior_is(actions, BUY))
 
 
+def user_purchases(actions: DataFrame) -> DataFrame:
+    """Purchases with a known user.
+
+    An anonymous purchase counts in PV and in the purchase totals, but it
+    belongs to nobody: per-user metrics leave it out, as UV does.
+    """
+    return purchases(actions).where(F.col("user_id").isNotNull())
+
+
+def user_item_purchases(actions: DataFrame) -> DataFrame:
+    """Purchases with a known user and a known item: unknown items are not the same item."""
+    return user_purchases(actions).where(F.col("item_id").isNotNull())
+
+
 def buy_count_by_user(actions: DataFrame) -> DataFrame:
-    """O-14: purchases per user."""
-    buys = purchases(actions)
+    """O-14: purchases per (known) user."""
+    buys = user_purchases(actions)
     return buys.groupBy("user_id").agg(count_actions(buys).alias("buy_count"))
 
 
@@ -52,13 +66,13 @@ def arpu_by_date(actions: DataFrame) -> DataFrame:
 
 
 def buys_by_date_user(actions: DataFrame) -> DataFrame:
-    """O-18: purchases per (date, user)."""
+    """O-18: purchases per (date, user); anonymous purchases are a row with a NULL user."""
     buys = purchases(actions)
     return buys.groupBy("date", "user_id").agg(count_actions(buys).alias("buy_count"))
 
 
 def arppu_by_date(actions: DataFrame) -> DataFrame:
-    """O-19: purchases per paying user per day; days without payers are absent.
+    """O-19: purchases per paying user per day; days without (known) payers are absent.
 
     ``count(*) / count(distinct user_id)`` over purchases: Spark pre-aggregates
     per (date, user) inside the distinct aggregate, which is the two-step plan
@@ -66,7 +80,7 @@ def arppu_by_date(actions: DataFrame) -> DataFrame:
     """
     buys = purchases(actions)
     d = buys.groupBy("date").agg(count_actions(buys).alias("buys"), F.count_distinct("user_id").alias("payers"))
-    return d.select("date", ratio("buys", "payers").alias("arppu"))
+    return d.where(F.col("payers") > 0).select("date", ratio("buys", "payers").alias("arppu"))
 
 
 def paying_ratio_by_date(actions: DataFrame) -> DataFrame:

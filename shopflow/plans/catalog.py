@@ -9,8 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shopflow.functions.ordering import by_frequency
 from shopflow.operators import funnel, profile, repurchase, traffic, value
 from shopflow.plans import sql_forms
+from shopflow.plans.messy_log import messy_lines, with_unknowns
 from shopflow.schema import pre_aggregate
 from shopflow.sources import sinks
 from shopflow.sources.events import read_events, table_path
@@ -45,6 +47,15 @@ def _parsed(spark: SparkSession, sf_dir: str):
     return parse_lines(render_lines(actions(spark, sf_dir), layout=7), layout=7)
 
 
+def _with_unknowns(fn, *args):
+    # The same operator on actions some of whose users and items are unknown.
+    return lambda spark, sf_dir: fn(with_unknowns(actions(spark, sf_dir)), *args)
+
+
+def _messy(spark: SparkSession, sf_dir: str, layout: int = 7):
+    return parse_lines(messy_lines(actions(spark, sf_dir), layout), layout=layout)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dataset_profile": _on(profile.dataset_profile),
     "missing_profile": _on(profile.missing_profile),
@@ -84,11 +95,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hourly_day_vs_overall": _on(traffic.hourly_day_vs_overall, DAY),
     "parse_action_lines": lambda spark, d: _parsed(spark, d)[0],
     "rejected_lines": lambda spark, d: rejected_counts(_parsed(spark, d)[1]),
+    # A log with header lines, cut fields, blank fields and ids that are no numbers, in both layouts.
+    "log_profile": lambda spark, d: profile.log_profile(messy_lines(actions(spark, d))),
+    "parse_messy_lines": lambda spark, d: _messy(spark, d)[0],
+    "parse_messy_lines_5": lambda spark, d: _messy(spark, d, 5)[0],
+    "rejected_messy_lines": lambda spark, d: rejected_counts(_messy(spark, d)[1]),
+    "rejected_messy_lines_5": lambda spark, d: rejected_counts(_messy(spark, d, 5)[1]),
+    "buy_count_distribution_small": _on(value.buy_count_distribution, (5, 10, 20)),
+    "repurchase_gap_frequency": lambda spark, d: by_frequency(repurchase.repurchase_gap_histogram(actions(spark, d)), "n"),
     "text_report": lambda spark, d: sinks.report_lines(traffic.pv_uv_by_date(actions(spark, d))),
     # C-1: the same metrics written as SQL CTEs and run through spark.sql.
     "arpu_by_date_sql": _on(sql_forms.arpu_by_date_sql),
     "paying_ratio_by_date_sql": _on(sql_forms.paying_ratio_by_date_sql),
     "repurchase_mean_by_user_sql": _on(sql_forms.repurchase_mean_by_user_sql),
+    # Over a named view (S-4), sorted (T-2).
+    "pv_uv_by_date_view": _on(sql_forms.pv_uv_by_date_view),
+    # Unknown users and items: left out of per-user and per-item metrics.
+    "unknowns_pv_uv_by_date": _with_unknowns(traffic.pv_uv_by_date),
+    "unknowns_arppu_by_date": _with_unknowns(value.arppu_by_date),
+    "unknowns_buy_count_distribution": _with_unknowns(value.buy_count_distribution, (5, 10, 20)),
+    "unknowns_repeat_buy_rate": _with_unknowns(repurchase.repeat_buy_rate),
+    "unknowns_repurchase_gaps": _with_unknowns(repurchase.repurchase_gaps),
+    "unknowns_repurchase_gap_lists": _with_unknowns(repurchase.repurchase_gap_lists),
+    "unknowns_repurchase_gap_cumulative": _with_unknowns(repurchase.repurchase_gap_cumulative),
+    "unknowns_repurchase_item_intervals": _with_unknowns(repurchase.repurchase_item_intervals),
+    "unknowns_repurchase_mean_by_user": _with_unknowns(repurchase.repurchase_mean_by_user),
     # The report job's plan: operators on the hourly pre-aggregate (n_actions).
     "pv_uv_by_date_hourly": _on_hourly(traffic.pv_uv_by_date),
     "arpu_by_date_hourly": _on_hourly(value.arpu_by_date),

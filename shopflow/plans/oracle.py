@@ -15,9 +15,9 @@ from shopflow.plans.catalog import DAY
 _ACTIONS = """A AS (
     SELECT event_id,
            user_id,
-           CAST(json_extract_string(props, '$.k') AS INTEGER) AS item_id,
-           CAST(floor(CAST(json_extract_string(props, '$.k') AS INTEGER) / 10) AS INTEGER)
-               AS item_category,
+           CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id,
+           CAST(json_extract_string(props, '$.k') AS BIGINT) // 10
+               - CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 < 0 THEN 1 ELSE 0 END AS item_category,
            CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3
                            WHEN 'purchase' THEN 4 ELSE 0 END AS behavior_type,
            ts AS "time",
@@ -68,10 +68,10 @@ _DAILY = (
 )
 _PAY_DAYS = (
     'p AS (SELECT user_id, count(DISTINCT "date") AS pay_days FROM A '
-    "WHERE behavior_type = 4 GROUP BY user_id)"
+    "WHERE behavior_type = 4 AND user_id IS NOT NULL GROUP BY user_id)"
 )
 _GAPS = (
-    'dd AS (SELECT DISTINCT user_id, "date" FROM A WHERE behavior_type = 4)',
+    'dd AS (SELECT DISTINCT user_id, "date" FROM A WHERE behavior_type = 4 AND user_id IS NOT NULL)',
     'g AS (SELECT user_id, "date", CAST(date_diff(\'day\', lag("date") OVER '
     '(PARTITION BY user_id ORDER BY "date"), "date") AS INTEGER) AS gap_days FROM dd)',
     "gg AS (SELECT * FROM g WHERE gap_days IS NOT NULL)",
@@ -89,16 +89,13 @@ _PAYING_RATIO = (
     'SELECT "date", paying_users, active_users, CASE WHEN active_users > 0 '
     "THEN paying_users::DOUBLE / active_users ELSE 0.0 END AS paying_ratio FROM pr"
 )
-_MEAN = (
-    _q(
-        "SELECT user_id, avg(diff_days) AS avg_days, "
-        "CAST(sum(diff_days) // count(*) AS BIGINT) AS avg_days_trunc FROM df GROUP BY user_id",
-        'pd AS (SELECT user_id, item_id, "date" AS purchase_date FROM A WHERE behavior_type = 4)',
-        "nx AS (SELECT user_id, item_id, purchase_date, lead(purchase_date) OVER "
-        "(PARTITION BY user_id, item_id ORDER BY purchase_date) AS next_date FROM pd)",
-        "df AS (SELECT user_id, date_diff('day', purchase_date, next_date) AS diff_days "
-        "FROM nx WHERE next_date IS NOT NULL)",
-    )
+# Every purchase with the day of the one before it, of the same user and item.
+_MEAN = _q(
+    "SELECT user_id, avg(wait) AS avg_days, CAST(sum(wait) // count(wait) AS BIGINT) AS avg_days_trunc "
+    "FROM waits GROUP BY user_id HAVING count(wait) > 0",
+    "waits AS (SELECT user_id, date_diff('day', lag(\"date\") OVER same_item, \"date\") AS wait FROM A "
+    "WHERE behavior_type = 4 AND user_id IS NOT NULL AND item_id IS NOT NULL "
+    'WINDOW same_item AS (PARTITION BY user_id, item_id ORDER BY "date"))',
 )
 
 
@@ -109,6 +106,7 @@ def _bucket_sql(bounds=(50, 100, 800)) -> tuple[str, str]:
     return (f"CASE {lo} ELSE {edges[-1]} END", f"CASE {lab} ELSE '[{edges[-1]},inf)' END")
 
 
+_PER_USER = "u AS (SELECT user_id, count(*) AS c FROM A WHERE behavior_type = 4 AND user_id IS NOT NULL GROUP BY user_id)"
 _B_LO, _B_LABEL = _bucket_sql()
 
 _MISSING_COLS = ("user_id", "item_id", "behavior_type", "item_category", "time", "date", "hour")
@@ -162,7 +160,7 @@ ORACLE_SQL: dict[str, str] = {
         "1.0::DOUBLE - y::DOUBLE / nullif(i, 0) AS l2 FROM c)",
     ),
     "buy_count_by_user": _q(
-        "SELECT user_id, count(*) AS buy_count FROM A WHERE behavior_type = 4 GROUP BY user_id"
+        "SELECT user_id, count(*) AS buy_count FROM A WHERE behavior_type = 4 AND user_id IS NOT NULL GROUP BY user_id"
     ),
     "actions_by_date_user_behavior": _q(
         'SELECT "date", user_id, behavior_type, count(*) AS n FROM A '
@@ -175,14 +173,14 @@ ORACLE_SQL: dict[str, str] = {
         'GROUP BY "date", user_id'
     ),
     "arppu_by_date": _q(
-        'SELECT "date", count(*)::DOUBLE / nullif(count(DISTINCT user_id), 0) AS arppu '
-        'FROM A WHERE behavior_type = 4 GROUP BY "date"'
+        'SELECT "date", count(*)::DOUBLE / count(DISTINCT user_id) AS arppu '
+        'FROM A WHERE behavior_type = 4 GROUP BY "date" HAVING count(user_id) > 0'
     ),
     "paying_ratio_by_date": _q(_PAYING_RATIO, f"pr AS ({_PAYING})"),
     "buy_count_distribution": _q(
         f"SELECT {_B_LO} AS bucket_lo, {_B_LABEL} AS bucket, count(*) AS users FROM u "
         "GROUP BY bucket_lo, bucket",
-        "u AS (SELECT user_id, count(*) AS c FROM A WHERE behavior_type = 4 GROUP BY user_id)",
+        _PER_USER,
     ),
     "pay_days_by_user": _q("SELECT * FROM p", _PAY_DAYS),
     "repeat_buy_rate": _q(
@@ -201,21 +199,21 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT user_id, coalesce(string_agg(gap, ',' ORDER BY rn), '') AS gaps "
         "FROM r GROUP BY user_id",
         'b AS (SELECT user_id, "date", row_number() OVER (PARTITION BY user_id ORDER BY "date", '
-        "event_id) AS rn FROM A WHERE behavior_type = 4)",
+        "event_id) AS rn FROM A WHERE behavior_type = 4 AND user_id IS NOT NULL)",
         "r AS (SELECT user_id, rn, CAST(date_diff('day', lag(\"date\") OVER "
         '(PARTITION BY user_id ORDER BY rn), "date") AS VARCHAR) AS gap FROM b)',
     ),
     "repurchase_gap_runs": _q(
         "SELECT user_id, \"date\", CAST(date_diff('day', lag(\"date\") OVER (PARTITION BY user_id "
         'ORDER BY "date"), "date") AS INTEGER) AS gap_days, repeats FROM pc',
-        'pc AS (SELECT user_id, "date", count(*) - 1 AS repeats FROM A WHERE behavior_type = 4 '
+        'pc AS (SELECT user_id, "date", count(*) - 1 AS repeats FROM A WHERE behavior_type = 4 AND user_id IS NOT NULL '
         'GROUP BY user_id, "date")',
     ),
     "repurchase_item_intervals": _q(
         "SELECT user_id, item_id, \"date\", next_date, "
         "CAST(date_diff('day', \"date\", next_date) AS INTEGER) AS days_to_next, repeats FROM nx2",
         'pid AS (SELECT user_id, item_id, "date", count(*) - 1 AS repeats FROM A '
-        'WHERE behavior_type = 4 GROUP BY user_id, item_id, "date")',
+        'WHERE behavior_type = 4 AND user_id IS NOT NULL AND item_id IS NOT NULL GROUP BY user_id, item_id, "date")',
         'nx2 AS (SELECT *, lead("date") OVER (PARTITION BY user_id, item_id ORDER BY "date") '
         "AS next_date FROM pid)",
     ),
@@ -238,8 +236,7 @@ ORACLE_SQL: dict[str, str] = {
         f"dy AS ({_PVUV_HOUR_DAY})",
     ),
     "parse_action_lines": _q(
-        "SELECT user_id, CAST(item_id AS BIGINT) AS item_id, behavior_type, "
-        "CAST(item_category AS BIGINT) AS item_category, date_trunc('hour', \"time\") AS \"time\", "
+        "SELECT user_id, item_id, behavior_type, item_category, date_trunc('hour', \"time\") AS \"time\", "
         '"date", "hour" FROM A WHERE behavior_type IN (1, 2, 3, 4)'
     ),
     "rejected_lines": _q(
@@ -253,6 +250,53 @@ ORACLE_SQL: dict[str, str] = {
 }
 
 
+# The messy log (shopflow.plans.messy_log): what each variant of a line means, straight from the events.
+_V = "M AS (SELECT *, event_id % 10 AS v FROM A)"
+_KNOWN = "behavior_type IN (1, 2, 3, 4)"
+_SHIFTED = (
+    "CASE WHEN v <> 1 THEN user_id END AS user_id, CASE WHEN v <> 2 THEN item_id END AS item_id, behavior_type, "
+    "CASE WHEN v <> 3 THEN item_category END AS item_category"
+)
+_REASONS_7 = (
+    "CASE WHEN v = 0 THEN 'field_count' WHEN v = 8 THEN 'user_id' "
+    f"WHEN v = 7 OR NOT ({_KNOWN}) THEN 'behavior_type' WHEN v = 5 THEN 'date' WHEN v = 6 THEN 'hour' END"
+)
+_REASONS_5 = (
+    "CASE WHEN v = 0 THEN 'field_count' WHEN v = 8 THEN 'user_id' "
+    f"WHEN v = 7 OR NOT ({_KNOWN}) THEN 'behavior_type' WHEN v = 4 THEN 'time' END"
+)
+_BLANKS = {
+    "user_id": "v = 1 OR (v <> 8 AND user_id IS NULL)",
+    "item_id": "v = 2 OR item_id IS NULL",
+    "behavior_type": "v = 7",
+    "item_category": "v IN (0, 3) OR item_category IS NULL",
+    "time": "v IN (0, 4)",
+    "date": "v IN (0, 5)",
+    "hour": "v IN (0, 6)",
+}
+ORACLE_SQL |= {
+    "log_profile": _q(
+        "SELECT 'field_count' AS column_name, CAST(NULL AS BIGINT) AS n_missing, count_if(reason = 'field_count') AS n_rejected FROM R UNION ALL "
+        + " UNION ALL ".join(f"SELECT '{c}', count_if({w}), count_if(reason = '{c}') FROM R" for c, w in _BLANKS.items()),
+        _V, f"R AS (SELECT *, {_REASONS_7} AS reason FROM M)",
+    ),
+    "parse_messy_lines": _q(
+        f"SELECT {_SHIFTED}, CASE WHEN v <> 4 THEN date_trunc('hour', \"time\") END AS \"time\", \"date\", \"hour\" FROM M "
+        f"WHERE {_REASONS_7} IS NULL",
+        _V,
+    ),
+    "parse_messy_lines_5": _q(
+        f"SELECT {_SHIFTED}, date_trunc('hour', \"time\") AS \"time\", \"date\", \"hour\" FROM M WHERE {_REASONS_5} IS NULL", _V
+    ),
+    "rejected_messy_lines": _q(f"SELECT {_REASONS_7} AS reason, count(*) AS n FROM M GROUP BY reason HAVING reason IS NOT NULL", _V),
+    "rejected_messy_lines_5": _q(f"SELECT {_REASONS_5} AS reason, count(*) AS n FROM M GROUP BY reason HAVING reason IS NOT NULL", _V),
+}
+_S_LO, _S_LABEL = _bucket_sql((5, 10, 20))
+ORACLE_SQL["buy_count_distribution_small"] = _q(
+    f"SELECT {_S_LO} AS bucket_lo, {_S_LABEL} AS bucket, count(*) AS users FROM u GROUP BY bucket_lo, bucket", _PER_USER
+)
+
+
 def _bigint_count_if(sql: str) -> str:
     """DuckDB's count_if is HUGEINT; Spark's is BIGINT.  Cast every call."""
     out, i = [], 0
@@ -270,6 +314,28 @@ def _bigint_count_if(sql: str) -> str:
         i = k
 
 
+def _with_unknowns(sql: str) -> str:
+    """The same SQL where every seventh event's user and every fifth event's item are unknown."""
+    start = "WITH " + _ACTIONS
+    assert sql.startswith(start)
+    known = _ACTIONS.replace("A AS (", "A0 AS (", 1)
+    unknown = (
+        "A AS (SELECT * REPLACE (CASE WHEN event_id % 7 <> 0 THEN user_id END AS user_id, "
+        "CASE WHEN event_id % 5 <> 0 THEN item_id END AS item_id) FROM A0)"
+    )
+    return "WITH " + known + ",\n" + unknown + sql[len(start):]
+
+
+for _k, _of in {
+    "pv_uv_by_date": "pv_uv_by_date", "arppu_by_date": "arppu_by_date", "buy_count_distribution": "buy_count_distribution_small",
+    "repeat_buy_rate": "repeat_buy_rate", "repurchase_gaps": "repurchase_gaps", "repurchase_gap_lists": "repurchase_gap_lists",
+    "repurchase_gap_cumulative": "repurchase_gap_cumulative", "repurchase_item_intervals": "repurchase_item_intervals",
+    "repurchase_mean_by_user": "repurchase_mean_by_user",
+}.items():
+    ORACLE_SQL["unknowns_" + _k] = _with_unknowns(ORACLE_SQL[_of])
+ORACLE_SQL["pv_uv_by_date_view"] = ORACLE_SQL["pv_uv_by_date"]
+ORACLE_SQL["repurchase_gap_frequency"] = ORACLE_SQL["repurchase_gap_histogram"]
+
 for _k in ("arppu_by_date", "pay_days_by_user", "repeat_buy_rate", "repurchase_gaps",
            "repurchase_gap_lists", "repurchase_mean_by_user", "repurchase_gap_cumulative"):
     ORACLE_SQL["order_" + _k] = _on_orders(ORACLE_SQL[_k])

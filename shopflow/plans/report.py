@@ -2,8 +2,8 @@
 
 1. Ingest: the action log (text, 5 or 7 columns) is parsed once and written
    as parquet under the shared checkpoint folder (or ``--stage-dir``),
-   partitioned by ``accepted`` and ``date``.  Rejected lines keep their text and reason in the same write,
-   so the input is scanned once.  The written table is the lineage cut: if
+   partitioned by ``accepted`` and ``date``.  Rejected lines keep their text
+   and reason in the same write, so the input is scanned once.  The written table is the lineage cut: if
    executors are lost later, metrics recompute from it, not from the text.
    A parquet ``events`` table can be used directly instead (no ingest).
 2. Hourly counts: one aggregate turns the log into one row per (date, hour,
@@ -11,7 +11,8 @@
 3. Metrics: every operator that needs no item column reads the hourly
    counts (day-level metrics touch one ``date=`` directory), the others the
    cleaned log; each writes under ``<out>/<metric>``; results reduced to key
-   cardinality are written as one file.
+   cardinality are written as one file, sorted by their key columns.
+4. The tables that the job itself staged are deleted when it ends well.
 
 Usage::
 
@@ -33,12 +34,13 @@ from pyspark.sql import functions as F
 if __package__ in (None, ""):
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
+from shopflow.functions.ordering import by_frequency, in_order  # noqa: E402
 from shopflow.operators import funnel, profile, repurchase, traffic, value  # noqa: E402
 from shopflow.sources import sinks  # noqa: E402
 from shopflow.sources.events import read_events  # noqa: E402
-from shopflow.schema import pre_aggregate  # noqa: E402
+from shopflow.schema import NATIVE, pre_aggregate  # noqa: E402
 from shopflow.session import ensure_checkpoint_dir  # noqa: E402
-from shopflow.sources.text_log import REJECT_REASON, parse_all, read_lines, read_parsed_table  # noqa: E402
+from shopflow.sources.text_log import REJECT_REASON, for_table, parse_all, read_lines, read_parsed_table  # noqa: E402
 
 # (name, operator, needs the day parameter, reduced to key cardinality,
 #  needs item columns -- runs on the full log instead of the hourly counts)
@@ -56,6 +58,9 @@ METRICS = [
     ("funnel_rates", funnel.funnel_rates, False, True, False),
     ("funnel_rates_on_day", funnel.funnel_rates, True, True, False),
     ("funnel_step_loss", funnel.funnel_step_loss, False, True, False),
+    ("actions_by_date_user_behavior", value.actions_by_date_user_behavior, False, False, False),
+    ("daily_consumption", value.daily_consumption, False, True, False),
+    ("buys_by_date_user", value.buys_by_date_user, False, False, False),
     ("buy_count_by_user", value.buy_count_by_user, False, False, False),
     ("buy_count_distribution", value.buy_count_distribution, False, True, False),
     ("arpu_by_date", value.arpu_by_date, False, True, False),
@@ -63,14 +68,26 @@ METRICS = [
     ("paying_ratio_by_date", value.paying_ratio_by_date, False, True, False),
     ("pay_days_by_user", repurchase.pay_days_by_user, False, False, False),
     ("repeat_buy_rate", repurchase.repeat_buy_rate, False, True, False),
+    ("buys_by_user_date", repurchase.buys_by_user_date, False, False, False),
     ("repurchase_gaps", repurchase.repurchase_gaps, False, False, False),
     ("repurchase_gap_lists", repurchase.repurchase_gap_lists, False, False, False),
     ("repurchase_gap_runs", repurchase.repurchase_gap_runs, False, False, False),
     ("repurchase_item_intervals", repurchase.repurchase_item_intervals, False, False, True),
     ("repurchase_mean_by_user", repurchase.repurchase_mean_by_user, False, False, True),
+    ("repurchase_gap_histogram", repurchase.repurchase_gap_histogram, False, True, False),
     ("repurchase_gap_cumulative", repurchase.repurchase_gap_cumulative, False, True, False),
 ]
 
+# Written only when asked for by name: one string per user, which a string's size bounds.
+ON_REQUEST = {"repurchase_gap_lists"}
+
+# Key columns by which a reduced result is written in order (others: their first column).
+SORT_KEYS = {
+    "pv_by_behavior_hour": ["behavior_type", "hour"],
+    "funnel_step_loss": ["step"],
+    "buy_count_distribution": ["bucket_lo"],
+}
+
 HOURLY_SCHEMA = "hour int, user_id bigint, behavior_type int, n_actions bigint, date date"
 
 
@@ -100,8 +117,7 @@ def ingest_text(
     on (accepted, date) through the ``rebalance`` hint, whose adaptive
     execution splits a hot day over several tasks and merges small ones.
     """
-    parsed = parse_all(read_lines(spark, path, spread), layout=layout, **kw)
-    parsed = parsed.withColumn("accepted", F.col(REJECT_REASON).isNull())
+    parsed = for_table(parse_all(read_lines(spark, path, spread), layout=layout, **kw))
     if rebalance and _adaptive(spark):
         parsed = parsed.hint("rebalance", "accepted", "date")
     if stage_dir is None:
@@ -110,6 +126,12 @@ def ingest_text(
     return read_parsed_table(spark, stage_dir)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this job staged, through the file system that holds it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 SINKS = {
     "json": sinks.write_json,  # K-1 JSON lines
     "text": sinks.write_report,  # K-2 "field: value, ..." lines
@@ -130,7 +152,7 @@ def hourly_counts(spark: SparkSession, actions: DataFrame, stage_dir: str | None
     per task and day."""
     if stage_dir is None:
         stage_dir = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hourly-{uuid.uuid4().hex}"
-    hourly = pre_aggregate(actions)
+    hourly = pre_aggregate(actions.drop(NATIVE))  # the written table has the codes to filter by
     if _adaptive(spark):
         hourly = hourly.hint("rebalance", "date")
     hourly.write.mode("overwrite").partitionBy("date").parquet(stage_dir)
@@ -147,20 +169,28 @@ def run(
     preaggregate: bool = True,
     parallel: int = 4,
     only=None,
+    gaps_by_frequency: bool = False,
 ) -> list[str]:
     """Write every metric under ``out``; returns the names written.
 
+    Reduced results are sorted by key; ``gaps_by_frequency`` puts the gap
+    histogram in the order of its counts instead, largest first.
+    ``repurchase_gap_lists`` is written only if ``only`` names it;
+    ``repurchase_gap_runs`` has the same content in rows of bounded size.
+
     With ``preaggregate`` (default) the metrics that need no item columns
     run on :func:`hourly_counts`; the operators count ``n_actions``, so the
     results are the same as on the log itself.
     """
     write = SINKS[sink]
-    chosen = [m for m in METRICS if only is None or m[0] in set(only)]
+    chosen = [m for m in METRICS if (m[0] not in ON_REQUEST if only is None else m[0] in set(only))]
     unknown = set(only or ()) - {m[0] for m in METRICS} - {"rejected_lines"}
     if unknown:
         raise ValueError(f"unknown metrics: {sorted(unknown)}")
+    staged = None
     if preaggregate and any(not m[4] for m in chosen):
-        counts = hourly_counts(spark, actions)
+        staged = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hourly-{uuid.uuid4().hex}"
+        counts = hourly_counts(spark, actions, staged)
     else:
         counts = actions
     jobs = []
@@ -175,13 +205,19 @@ def run(
 
     def save(job):
         name, df, reduced = job
+        if reduced:
+            by_count = gaps_by_frequency and name == "repurchase_gap_histogram"
+            df = by_frequency(df, "n") if by_count else in_order(df, *SORT_KEYS.get(name, df.columns[:1]))
         write(df, f"{out.rstrip('/')}/{name}", single_file=reduced)
         return name
 
     # Independent small jobs: a few driver threads let Spark's scheduler run
     # them side by side instead of leaving the cluster idle between them.
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
-        return list(pool.map(save, jobs))
+        names = list(pool.map(save, jobs))
+    if staged:
+        delete_folder(spark, staged)
+    return names
 
 
 def main(argv=None) -> None:
@@ -197,23 +233,29 @@ def main(argv=None) -> None:
     ap.add_argument("--no-preaggregate", action="store_true", help="run every metric on the full log")
     ap.add_argument("--spread", type=int, default=None, help="deal lines to N partitions (unsplittable input)")
     ap.add_argument("--parallel", type=int, default=4, help="metric jobs submitted at once")
-    ap.add_argument("--only", default=None, help="comma-separated metric names (default: all)")
+    ap.add_argument("--only", default=None, help="comma-separated metric names (default: all but repurchase_gap_lists)")
+    ap.add_argument("--gaps-by-frequency", action="store_true", help="gap histogram by count, largest first")
     args = ap.parse_args(argv)
 
     from shopflow.session import build_session
 
     spark = build_session(app="shopflow-report")  # reads spark.checkpoint.dir from the cluster
+    own_stage = None
     if args.format == "text":
+        if args.stage_dir is None:
+            own_stage = f"{ensure_checkpoint_dir(spark).rstrip('/')}/actions-{uuid.uuid4().hex}"
         actions, rejects = ingest_text(
-            spark, args.input, args.stage_dir, layout=args.layout, rebalance=args.rebalance, spread=args.spread
+            spark, args.input, args.stage_dir or own_stage, layout=args.layout, rebalance=args.rebalance, spread=args.spread
         )
     else:
         actions, rejects = read_events(spark, args.input), None
     written = run(
         spark, actions, args.out, args.day, rejects,
         sink=args.sink, preaggregate=not args.no_preaggregate, parallel=args.parallel,
-        only=args.only.split(",") if args.only else None,
+        only=args.only.split(",") if args.only else None, gaps_by_frequency=args.gaps_by_frequency,
     )
+    if own_stage:
+        delete_folder(spark, own_stage)
     for name in written:
         print(f"wrote {args.out.rstrip('/')}/{name}")
 

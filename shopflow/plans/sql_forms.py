@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from shopflow.operators.value import user_item_purchases
 from shopflow.schema import BUY
 
 
@@ -69,16 +70,19 @@ def paying_ratio_by_date_sql(actions: DataFrame) -> DataFrame:
 def repurchase_mean_by_user_sql(actions: DataFrame) -> DataFrame:
     """O-32 as a CTE: per (user, item) first/last day and count, then per user.
 
+    The SQL is over the purchases with a known user and item, bound as a
+    frame: their filter is then the one that reaches the scan.
+
     The intervals of one (user, item) sum to ``last - first``, so no window
     over every purchase is needed.
     """
     return _run(
-        actions,
-        f"""
+        user_item_purchases(actions),
+        """
         WITH per_item AS (
             SELECT user_id, item_id, count(*) AS n,
                    min(`date`) AS first_day, max(`date`) AS last_day
-            FROM {{A}} WHERE behavior_type = {BUY}
+            FROM {A}
             GROUP BY user_id, item_id
         ),
         per_user AS (
@@ -95,3 +99,14 @@ def repurchase_mean_by_user_sql(actions: DataFrame) -> DataFrame:
         WHERE intervals > 0
         """,
     )
+
+
+def pv_uv_by_date_view(actions: DataFrame, name: str = "actions") -> DataFrame:
+    """O-6 in SQL over the named view (S-4), in date order (T-2)."""
+    view = register(actions, name)
+    return actions.sparkSession.sql(
+        f"""
+        WITH per_user AS (SELECT `date`, user_id, count(*) AS n FROM {view} GROUP BY `date`, user_id)
+        SELECT `date`, sum(n) AS pv, count(user_id) AS uv FROM per_user GROUP BY `date` ORDER BY `date`
+        """
+    )

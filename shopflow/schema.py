@@ -107,5 +107,11 @@ def count_actions_if(frame: DataFrame, cond: Column) -> Column:
 
 def pre_aggregate(actions: DataFrame, keys=("date", "hour", "user_id", "behavior_type")) -> DataFrame:
     """One row per distinct ``keys`` with ``n_actions``; a map-side combined
-    aggregate.  Every operator that needs only ``keys`` runs on it unchanged."""
+    aggregate.  Every operator that needs only ``keys`` runs on it unchanged.
+
+    A native behaviour column is kept beside ``behavior_type``, so a filter on
+    a behaviour still reaches the scan; it splits the rows of a code only
+    where several native values mean it."""
+    if NATIVE in actions.columns and "behavior_type" in keys and NATIVE not in keys:
+        keys = (*keys, NATIVE)
     return actions.groupBy(*keys).agg(count_actions(actions).alias(WEIGHT))

@@ -7,6 +7,7 @@ partitions and switches joins to broadcast when a side turns out small.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -74,7 +75,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
     path = tempfile.mkdtemp(prefix="shopflow-ckpt-")
     sc.setCheckpointDir(path)

@@ -18,9 +18,9 @@ from shopflow.schema import native_column
 EVENT_BEHAVIORS = {1: ("view",), 2: ("click",), 3: ("signup",), 4: ("purchase",)}
 
 
-def _behavior_code(col):
+def _behavior_code(col, codes):
     expr = None
-    for code, kinds in EVENT_BEHAVIORS.items():
+    for code, kinds in codes.items():
         cond = col.isin(list(kinds))
         expr = F.when(cond, F.lit(code)) if expr is None else expr.when(cond, F.lit(code))
     return expr.otherwise(F.lit(0)).cast("int")
@@ -38,15 +38,16 @@ def props_k(props) -> "F.Column":
     return F.when(fast != F.lit(""), fast).otherwise(F.get_json_object(props, "$.k"))
 
 
-def from_events(events: DataFrame) -> DataFrame:
-    """ACTIONS view of an ``events`` frame.
+def from_events(events: DataFrame, codes: dict[int, tuple] = EVENT_BEHAVIORS) -> DataFrame:
+    """ACTIONS view of an ``events`` frame (P-4: ``codes`` maps each behaviour
+    code to the event kinds that mean it; all others are code 0).
 
     All columns are plain expressions over the scan, so column pruning and
     filter pushdown still reach parquet: a query that only needs
     ``date, user_id`` reads only ``ts, user_id``.
     """
     # try_cast: one malformed value gives a NULL item instead of failing the job.
-    item = props_k(F.col("props")).try_cast("int")
+    item = props_k(F.col("props")).try_cast("bigint")
     # Two projections: the category is derived from the already-extracted
     # item, so the pattern runs once per row.
     # ts as wall-clock time; a no-op for the driver's timestamp_ntz column.
@@ -56,18 +57,18 @@ def from_events(events: DataFrame) -> DataFrame:
         F.col("event_id"),
         F.col("user_id"),
         F.col("item_id"),
-        F.floor(F.col("item_id") / 10).cast("int").alias("item_category"),
-        _behavior_code(F.col("event_type")).alias("behavior_type"),
-        native_column(F.col("event_type"), EVENT_BEHAVIORS),
+        F.expr("item_id div 10 - if(item_id % 10 < 0, 1, 0)").alias("item_category"),
+        _behavior_code(F.col("event_type"), codes).alias("behavior_type"),
+        native_column(F.col("event_type"), codes),
         F.col("ts").alias("time"),
         F.to_date("ts").alias("date"),
         F.hour("ts").alias("hour"),
     )
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
+def read_events(spark: SparkSession, path: str, codes: dict[int, tuple] = EVENT_BEHAVIORS) -> DataFrame:
     """ACTIONS from an ``events`` parquet dataset (any Hadoop path)."""
-    return from_events(spark.read.parquet(path))
+    return from_events(spark.read.parquet(path), codes)
 
 
 def table_path(sf_dir: str, name: str) -> str:

@@ -13,6 +13,7 @@ from shopflow.functions.columns import field_report
 
 
 def _one(df: DataFrame, single_file: bool) -> DataFrame:
+    # Merging partitions keeps them in order, so a sorted frame stays sorted in its one file.
     return df.coalesce(1) if single_file else df
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shopflow.functions.columns import strip
 from shopflow.schema import ACTION_COLUMNS, ACTIONS, DEFAULT_VALID_CODES, LAYOUT_5, LAYOUT_7
 
 REJECT_REASON = "reason"
@@ -34,8 +35,18 @@ def _header(layout: int) -> str:
 
 
 def _field(parts: Column, i: int) -> Column:
-    """Field ``i`` trimmed; blank or missing -> NULL."""
-    return F.nullif(F.trim(F.get(parts, F.lit(i))), F.lit(""))
+    """Field ``i`` without surrounding white space; blank or missing -> NULL."""
+    return F.nullif(strip(F.get(parts, F.lit(i))), F.lit(""))
+
+
+def _behavior(field: str, codes: dict[int, tuple] | None) -> Column:
+    """The behaviour code: the field's number, or the code that ``codes`` lists its text under."""
+    if codes is None:
+        return F.col(field).try_cast("int")
+    expr = F.lit(None).cast("int")
+    for code, texts in codes.items():
+        expr = F.when(F.col(field).isin(*[str(t) for t in texts]), F.lit(int(code))).otherwise(expr)
+    return expr
 
 
 def _first_reason(checks) -> Column:
@@ -51,6 +62,7 @@ def parse_all(
     valid_codes=DEFAULT_VALID_CODES,
     mode: str = "permissive",
     column: str = "value",
+    codes: dict[int, tuple] | None = None,
 ) -> DataFrame:
     """Parse text lines into one frame: the ACTIONS columns, ``reason``
     (NULL for a good line) and the original ``line``.  Header lines vanish.
@@ -60,6 +72,8 @@ def parse_all(
     missing or not in ``valid_codes``, or no valid date / hour.  A blank
     ``user_id`` is kept as NULL (it counts in PV, not in UV).
     ``mode='strict'`` makes the first rejected line fail the job.
+    ``codes`` (P-4) reads logs with their own behaviour values: it maps each
+    code to the texts that mean it, for instance ``{1: ("pv", "view")}``.
     """
     if layout not in (5, 7):
         raise ValueError("layout must be 5 or 7")
@@ -85,7 +99,7 @@ def parse_all(
         "f0", "f1", "f3", "f4",
         F.col("f0").try_cast("bigint").alias("user_id"),
         F.col("f1").try_cast("bigint").alias("item_id"),
-        F.col("f2").try_cast("int").alias("behavior_type"),
+        _behavior("f2", codes).alias("behavior_type"),
         F.col("f3").try_cast("bigint").alias("item_category"),
         F.when(t_shape, F.substring(t, 1, 10).try_cast("date")).alias("t_day"),
         F.when(t_shape, F.substring(t, 12, 2).try_cast("int")).alias("t_hour"),
@@ -139,7 +153,7 @@ def parse_all(
         F.col("line").alias("line"),
         # A header has a non-numeric first field; the text test runs only then.
         # (A leading byte-order mark, as spreadsheet exports write, is ignored.)
-        (user_id.isNull() & F.lower(F.trim(F.replace("line", F.lit("\ufeff"), F.lit("")))).isin(headers))
+        (user_id.isNull() & F.lower(strip(F.replace("line", F.lit("\ufeff"), F.lit("")))).isin(headers))
         .alias("is_header"),
     )
     parsed = checked.select(F.inline(F.array(record))).where(~F.col("is_header")).drop("is_header")
@@ -156,13 +170,14 @@ def parse_lines(
     valid_codes=DEFAULT_VALID_CODES,
     mode: str = "permissive",
     column: str = "value",
+    codes: dict[int, tuple] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Parse text lines into (ACTIONS rows, rejected ``line, reason`` rows).
 
     See :func:`parse_all` for the rules.  Both frames come from the same
     plan; a caller that needs both should write :func:`parse_all` once.
     """
-    parsed = parse_all(lines, layout, valid_codes, mode, column)
+    parsed = parse_all(lines, layout, valid_codes, mode, column, codes)
     good = parsed.where(F.col(REJECT_REASON).isNull()).select(*ACTION_COLUMNS)
     rejects = parsed.where(F.col(REJECT_REASON).isNotNull()).select("line", REJECT_REASON)
     return good, rejects
@@ -188,17 +203,28 @@ def read_log(
     valid_codes=DEFAULT_VALID_CODES,
     mode: str = "permissive",
     spread: int | None = None,
+    codes: dict[int, tuple] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """S-1/S-5: scan and parse action-log text (see :func:`read_lines`).
 
     The header test is per line, not per split or per file.
     """
-    return parse_lines(read_lines(spark, path, spread), layout, valid_codes, mode)
+    return parse_lines(read_lines(spark, path, spread), layout, valid_codes, mode, codes=codes)
+
+
+def for_table(parsed: DataFrame) -> DataFrame:
+    """:func:`parse_all` rows as the parsed-log table holds them.
+
+    Accepted rows don't keep their text.  Rejected ones keep text and reason,
+    and no ``date``: one that was never checked makes no partition.
+    """
+    ok = F.col(REJECT_REASON).isNull()
+    return parsed.withColumns({"accepted": ok, "line": F.when(~ok, F.col("line")), "date": F.when(ok, F.col("date"))})
 
 
 def read_parsed_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(actions, rejects) from a parsed-log table written partitioned by
-    ``accepted`` and ``date`` (batch report or streaming ingest).
+    ``accepted`` and ``date`` (see :func:`for_table`).
 
     The schema is given, not inferred, so partition values keep their types
     and ``accepted=true`` is a partition filter (only those folders are read).

@@ -5,12 +5,15 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_CHECK, SF_SMALL
 from oracle_compare import compare, duck
+from shopflow.plans.catalog import QUERIES
+from shopflow.plans.oracle import ORACLE_SQL
 
-KEYS = sorted(E.queries())
+KEYS = sorted(QUERIES)
 
 
 def test_every_query_has_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE_SQL) <= set(E.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +42,7 @@ def test_buy_count_distribution_test_bounds(spark, cons):
     lo, label = oracle._bucket_sql((5, 10, 20))
     sql = oracle._bigint_count_if(oracle._q(
         f"SELECT {lo} AS bucket_lo, {label} AS bucket, count(*) AS users FROM u GROUP BY bucket_lo, bucket",
-        "u AS (SELECT user_id, count(*) AS c FROM A WHERE behavior_type = 4 GROUP BY user_id)",
+        oracle._PER_USER,
     ))
     got = sorted(tuple(r) for r in buy_count_distribution(catalog.actions(spark, SF_CHECK), (5, 10, 20)).collect())
     want = sorted(cons[SF_CHECK].sql(sql).fetchall())

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_CHECK
+from shopflow.plans.catalog import QUERIES
 
 
 def formatted(df):
@@ -17,7 +18,7 @@ def formatted(df):
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_no_python_no_cartesian(spark, key):
     text = formatted(E.queries()[key](spark, SF_CHECK))
     for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
@@ -31,7 +32,8 @@ def test_day_filter_pushed(spark):
 
 
 def test_buy_filter_pushed(spark):
-    for key in ("buy_count_by_user", "arppu_by_date", "repurchase_gaps", "repurchase_mean_by_user"):
+    for key in ("buy_count_by_user", "arppu_by_date", "repurchase_gaps", "repurchase_mean_by_user",
+                "repurchase_mean_by_user_sql", "repurchase_gap_lists_hourly"):
         text = formatted(E.queries()[key](spark, SF_CHECK))
         assert "EqualTo(event_type,purchase)" in text, key
 

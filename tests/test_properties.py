@@ -14,7 +14,7 @@ D0 = dt.date(2014, 12, 10)
 
 row = st.tuples(
     st.one_of(st.none(), st.integers(1, 4)),  # user (NULL allowed)
-    st.integers(1, 3),  # item
+    st.one_of(st.none(), st.integers(1, 3)),  # item (NULL allowed)
     st.integers(0, 4),  # behaviour code
     st.integers(0, 6),  # day offset
     st.integers(0, 23),  # hour
@@ -25,7 +25,7 @@ def frame(spark, rows):
     data = []
     for u, i, b, d, h in rows:
         day = D0 + dt.timedelta(days=d)
-        data.append((u, i, b, i // 2, dt.datetime.combine(day, dt.time(h)), day, h))
+        data.append((u, i, b, None if i is None else i // 2, dt.datetime.combine(day, dt.time(h)), day, h))
     return spark.createDataFrame(data, ACTIONS)
 
 
@@ -46,9 +46,10 @@ def brute(rows):
     purchases = defaultdict(list)  # user -> sorted purchase days (every purchase)
     per_item = defaultdict(list)
     for u, i, b, d, h in rows:
-        if b == 4:
+        if b == 4 and u is not None:
             purchases[u].append(d)
-            per_item[(u, i)].append(d)
+            if i is not None:
+                per_item[(u, i)].append(d)
     lists, gaps = {}, set()
     for u, days in purchases.items():
         days.sort()
@@ -84,7 +85,7 @@ def test_operators_match_definitions(spark, rows):
     assert {r["date"]: (r["pv"], r["uv"]) for r in traffic.pv_uv_by_date(A).collect()} == pvuv
     got = {r["date"]: r["arpu"] for r in value.arpu_by_date(A).collect()}
     assert got.keys() == arpu.keys() and all(near(got[k], arpu[k]) for k in got)
-    got = {r["date"]: r["arppu"] for r in value.arppu_by_date(A).collect() if r["arppu"] is not None}
+    got = {r["date"]: r["arppu"] for r in value.arppu_by_date(A).collect()}
     assert got.keys() == arppu.keys() and all(near(got[k], arppu[k]) for k in got)
     got = {r["date"]: r["paying_ratio"] for r in value.paying_ratio_by_date(A).collect()}
     assert got.keys() == paying.keys() and all(near(got[k], paying[k]) for k in got)
@@ -99,7 +100,7 @@ def test_operators_match_definitions(spark, rows):
 
 
 def brute_more(rows):
-    buys = [r for r in rows if r[2] == 4]
+    buys = [r for r in rows if r[2] == 4 and r[0] is not None]
     per_user_days = defaultdict(set)
     per_user_count = defaultdict(int)
     per_day_count = defaultdict(int)
@@ -108,7 +109,8 @@ def brute_more(rows):
         per_user_days[u].add(d)
         per_user_count[u] += 1
         per_day_count[(u, d)] += 1
-        per_item_day[(u, i, d)] += 1
+        if i is not None:
+            per_item_day[(u, i, d)] += 1
     purchasers = len(per_user_days)
     repeat = sum(1 for s in per_user_days.values() if len(s) > 1)
     rate = (purchasers, repeat, repeat / purchasers if purchasers else None)

@@ -24,13 +24,14 @@ def test_report_end_to_end(spark, scratch):
     parts = sorted(p for p in os.listdir(os.path.join(out, "actions")) if p.startswith("accepted="))
     assert parts == ["accepted=false", "accepted=true"]
     names = report.run(spark, good, out, day="2014-12-12", rejects=rejects)
-    assert len(names) == len(report.METRICS) + 1
+    assert len(names) == len(report.METRICS) + 1 - len(report.ON_REQUEST)
     pvuv = sorted((r["date"], r["pv"], r["uv"]) for r in read_json_dir(os.path.join(out, "pv_uv_by_date")))
     assert pvuv[1] == ("2014-12-12", 6, 2)
     rej = sorted((r["reason"], r["n"]) for r in read_json_dir(os.path.join(out, "rejected_lines")))
     assert rej == [("behavior_type", 2), ("field_count", 2)]
     arpu = {r["date"]: r["arpu"] for r in read_json_dir(os.path.join(out, "arpu_by_date"))}
     assert arpu["2014-12-13"] == 0.0
+    report.run(spark, good, out, only=["repurchase_gap_lists"])  # a string per user: only on request
     lists = {r["user_id"]: r["gaps"] for r in read_json_dir(os.path.join(out, "repurchase_gap_lists"))}
     assert lists == {10: "0,3,2", 11: ""}
     # Reduced results are one file each.
@@ -38,6 +39,51 @@ def test_report_end_to_end(spark, scratch):
     assert len(files) == 1
 
 
+def test_only_rejects_keep_their_line_and_no_date(spark, scratch):
+    src = write(os.path.join(scratch, "log.csv"), [HEADER, *GOOD, *BAD, "1,2,9,4,2014-12-10 18,1999-01-01,18"])
+    stage = os.path.join(scratch, "actions")
+    report.ingest_text(spark, src, stage, layout=7)
+    table = spark.read.parquet(stage)
+    assert table.where("accepted AND line IS NOT NULL").count() == 0
+    assert table.where("NOT accepted AND (line IS NULL OR date IS NOT NULL)").count() == 0
+    assert len([p for p in os.listdir(os.path.join(stage, "accepted=false")) if p.startswith("date=")]) == 1
+
+
+def test_reduced_results_are_written_in_order(spark, scratch):
+    src = write(os.path.join(scratch, "log.csv"), [HEADER, *GOOD])
+    good, _ = report.ingest_text(spark, src, os.path.join(scratch, "actions"), layout=7)
+    out = os.path.join(scratch, "out")
+    report.run(spark, good, out, day="2014-12-12", gaps_by_frequency=True)
+    for name, keys in (("pv_uv_by_date", ["date"]), ("pv_uv_by_hour", ["hour"]), ("pv_by_behavior_hour", ["behavior_type", "hour"]),
+                       ("arpu_by_date", ["date"]), ("repurchase_gap_cumulative", ["gap_days"])):
+        rows = [tuple(r[k] for k in keys) for r in read_json_dir(os.path.join(out, name))]
+        assert rows == sorted(rows) and len(rows) > 1, name
+    counts = [r["n"] for r in read_json_dir(os.path.join(out, "repurchase_gap_histogram"))]
+    assert counts == sorted(counts, reverse=True)
+
+
+def test_staged_tables_are_deleted(spark, scratch):
+    from shopflow.session import ensure_checkpoint_dir
+
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = {p for p in os.listdir(folder) if p.startswith(("actions-", "hourly-"))}
+    src = write(os.path.join(scratch, "log.csv"), [HEADER, *GOOD, *BAD])
+    report.main(["--input", src, "--layout", "7", "--out", os.path.join(scratch, "out"), "--only", "pv_uv_by_date,dataset_profile"])
+    assert {p for p in os.listdir(folder) if p.startswith(("actions-", "hourly-"))} == before
+
+
+def test_report_survives_a_user_with_billions_of_purchases(spark, scratch):
+    import datetime as dt
+
+    day = dt.date(2014, 12, 10)
+    rows = [(1, 7, 4, 1, dt.datetime(2014, 12, 10, 8), day, 8, 8_000_000_000), (2, 7, 1, 1, dt.datetime(2014, 12, 10, 8), day, 8, 1)]
+    actions = spark.createDataFrame(rows, "user_id long, item_id long, behavior_type int, item_category long, time timestamp_ntz, date date, hour int, n_actions long")
+    out = os.path.join(scratch, "out")
+    report.run(spark, actions, out)
+    runs = read_json_dir(os.path.join(out, "repurchase_gap_runs"))
+    assert [(r["user_id"], r["repeats"]) for r in runs] == [(1, 7_999_999_999)]
+
+
 def test_report_cli_on_events(spark, scratch):
     out = os.path.join(scratch, "ev")
     report.main(["--input", "/root/testdata/sf0.001/events.parquet", "--format", "events",

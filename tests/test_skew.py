@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from conftest import SF_CHECK
 from oracle_compare import compare, duck
+from shopflow.plans.catalog import QUERIES
 
 HOT = 0
 
@@ -49,7 +50,7 @@ def test_hot_keys_hold_a_third(spark, skewed):
     assert 0.25 < top / li.count() < 0.45
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_matches_oracle_under_skew(spark, skewed, con, key):
     problems = compare(spark, key, skewed, E.queries(), E.oracle_sql(), con)
     assert not problems, problems
