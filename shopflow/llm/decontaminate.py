@@ -38,6 +38,9 @@ UNITS = (
 NUMBER, UNIT, NAME = "", "", ""
 _MARKS = NUMBER + UNIT + NAME
 
+#: Signs that are no sentence punctuation; they go first, so that they part no number from its unit.
+_SYMBOLS = "#$%&*+<=>@[\\]^_`{|}~"
+
 _NAME = r"(?<=[\p{L}\p{N},] )(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])"
 _NUMBER = r"(?<![\p{L}\p{N}.,])([0-9]+(?:[.,:/][0-9]+)*)(?:\x20?((?i:" + "|".join(UNITS) + r")))?(?![\p{L}\p{N}])"
 _OTHER = r"[^\p{L}\p{N}\p{M}\x20\x09-\x0D" + _MARKS + "]+"
@@ -48,7 +51,7 @@ BROADCAST_ROWS = 1_000_000
 
 def template_text(text: Column) -> Column:
     """The lower-case text with placeholders before the words they stand for, without punctuation."""
-    free = F.translate(F.coalesce(text, F.lit("")), _MARKS, "")
+    free = F.translate(F.coalesce(text, F.lit("")), _MARKS + _SYMBOLS, "")
     named = F.regexp_replace(free, _NAME, NAME + "$1")
     numbered = F.when(named.rlike("[0-9]"), F.regexp_replace(named, _NUMBER, f"{NUMBER}$1 {UNIT}$2 ")).otherwise(named)
     return F.lower(F.regexp_replace(numbered, _OTHER, ""))

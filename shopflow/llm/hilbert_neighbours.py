@@ -128,6 +128,7 @@ def nearest(
     members = staged(members.select("class", "id").unionByName(single))
     askers = staged(own.filter("q").select("class", "id").unionByName(classes.filter("n = 1 AND q").select(F.col("rep").alias("class"), F.col("rep").alias("id"))))
 
+    dims = min(dims, dim + 1)
     directions, shifts = _directions(seed, dim, curves, dims)
 
     def projected(batch: pa.RecordBatch) -> np.ndarray:

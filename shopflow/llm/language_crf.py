@@ -266,7 +266,7 @@ def predict(docs: DataFrame, model: Field, text: str = "text") -> DataFrame:
                 if size < GROUP and i + 1 < len(texts):
                     continue
                 part = texts[begin : i + 1]
-                sums, counts = label_documents(model, part)
+                sums, counts = label_documents(model, part) if model.languages else (np.zeros((len(part), 0)), np.zeros(len(part)))
                 fine = np.array([n > 0 and bool(model.languages) and any(map(str.isalpha, t)) for n, t in zip(counts, part, strict=True)], bool)
                 best = sums.argmax(1) if model.languages else np.zeros(len(part), int)
                 names = pa.array([model.languages[k] if ok else UNKNOWN for k, ok in zip(best, fine, strict=True)], pa.string())
