@@ -18,7 +18,6 @@ of its own.  Paragraphs are compared as sets of five-word shingles.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,53 +30,67 @@ from .graph import components
 from .ranks import hashed
 
 SHINGLE = 5
-#: Up to and with sentence marks before white space, or to the line's end.
-_PARAGRAPH = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
 #: Nodes up to which those to be verified are broadcast, 8 bytes each.
 BROADCAST_ROWS = 2_000_000
-_REMEMBERED = 500_000
-_WORDS: dict[str, int] = {}
+_SPACES: list[np.ndarray] = []
 
 
-def _word_hashes(words: list[str]) -> np.ndarray:
-    import xxhash
+def _is_space(code: np.ndarray) -> np.ndarray:
+    if not _SPACES:
+        _SPACES.append(np.array([chr(c).isspace() for c in range(0x110000)]))
+    return _SPACES[0][code]
 
-    if len(_WORDS) > _REMEMBERED:
-        _WORDS.clear()
-    for w in set(words).difference(_WORDS):
-        _WORDS[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 4)
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+
+def _lower(text: str) -> str:
+    """Lower case, character by character where that would change the length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
 def _scrambled(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+    x = x ^ (x >> np.uint64(31))
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    return x
 
 
 class Paragraphs:
-    """The paragraphs of some texts: owner, place, span, node and shingles."""
+    """The paragraphs of some texts: owner, place, span, node and shingles.
+
+    A paragraph ends after . ! or ? before white space, and at a line's end.
+    All texts are cut into paragraphs and words, and these hashed, at once.
+    """
 
     def __init__(self, texts: list[str], least: int = SHINGLE):
-        words: list[str] = []
-        self.owner, self.place, self.start, self.end, sizes = [], [], [], [], []
-        for i, text in enumerate(texts):
-            place = 0
-            for m in _PARAGRAPH.finditer(text):
-                own = m.group().lower().split()
-                if len(own) >= least:
-                    self.owner.append(i)
-                    self.place.append(place)
-                    self.start.append(m.start())
-                    self.end.append(m.end())
-                    sizes.append(len(own))
-                    words += own
-                    place += 1
-        size = np.array(sizes, np.int64)
-        h = _word_hashes(words)
-        first = np.cumsum(size) - size
-        inside = np.arange(len(h)) - np.repeat(first, size)
+        sizes = np.array([len(t) for t in texts], np.int64) + 1
+        begins = np.cumsum(sizes) - sizes
+        code = np.frombuffer(_lower("\n".join([*texts, ""])).encode("utf-32-le", "surrogatepass"), np.uint32)
+        space = _is_space(code)
+        mark = (code == 46) | (code == 33) | (code == 63)
+        line = np.flatnonzero(code == 10)
+        ends = np.unique(np.concatenate([np.flatnonzero(mark[:-1] & space[1:]) + 1, line]))
+        starts = np.concatenate([[0], ends[:-1] + (code[ends[:-1]] == 10)])[: len(ends)]
+        solid = np.flatnonzero(~space)
+        first = np.flatnonzero(np.diff(solid, prepend=-2) > 1)  # of each word, among the solid ones
+        of = np.searchsorted(ends, solid[first], side="right")
+        counts = np.bincount(of, minlength=len(ends))
+        kept = counts >= least
+        letters = code[solid].astype(np.uint64)
+        letters *= np.uint64(0xD6E8FEB86659FD93)
+        lengths = np.diff(np.append(first, len(solid)))
+        letters += (solid - np.repeat(solid[first], lengths)).astype(np.uint64) * np.uint64(0x27D4EB2F165667C5)
+        h = _scrambled(np.add.reduceat(_scrambled(letters), first)) if len(first) else np.zeros(0, np.uint64)
+        h = h[kept[of]]
+
+        self.start, self.end = starts[kept], ends[kept]
+        self.owner = np.searchsorted(begins, self.start, side="right") - 1
+        self.start, self.end = self.start - begins[self.owner], self.end - begins[self.owner]
+        self.place = np.arange(len(self.owner)) - np.searchsorted(self.owner, self.owner, side="left")
+        size = counts[kept]
+        at_word = np.cumsum(size) - size
+        inside = np.arange(len(h)) - np.repeat(at_word, size)
         mixed = _scrambled(h + inside.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        self.node = _scrambled(np.add.reduceat(mixed, first) if len(size) else np.zeros(0, np.uint64)).view(np.int64)
+        self.node = _scrambled(np.add.reduceat(mixed, at_word) if len(size) else np.zeros(0, np.uint64)).view(np.int64)
         at = np.flatnonzero(np.repeat(size, size) - inside >= SHINGLE)
         s = np.zeros(len(at), np.uint64)
         for j in range(SHINGLE):
@@ -122,7 +135,7 @@ def occurrences(docs: DataFrame, text: str, doc_id: str, least: int = SHINGLE) -
             for i, j in _groups(texts):
                 p = Paragraphs(texts[i:j], least)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.array(p.owner, np.int64) + i)), pa.array(p.place, pa.int32()), pa.array(p.start, pa.int32()), pa.array(p.end, pa.int32()), pa.array(p.node)],
+                    [batch.column(0).take(pa.array(p.owner + i)), *[pa.array(x.astype(np.int32)) for x in (p.place, p.start, p.end)], pa.array(p.node)],
                     ["doc", "place", "start", "end", "node"],
                 )
 
