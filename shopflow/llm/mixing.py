@@ -60,43 +60,33 @@ def source_targets(sources: DataFrame, weight=weight_cycle(), epochs: int = 3) -
     )
 
 
-def sainte_lague(shares: DataFrame, blocks: Column, value: str, key: list[str], out: str) -> DataFrame:
-    """``out``: how many of all ``blocks`` go to each row by the highest quotients value / (2k + 1).
-
-    ``shares`` has unique ``key`` columns; ``blocks`` is the number of seats,
-    an expression over the columns ``_n`` (rows) and ``_sum`` (of ``value``).
-    A row's seats differ from its exact share by at most 1 + its share of
-    the rows, because moving the divisor moves all rows in proportion.
-    Seats below that range are given, those above are not, and those within
-    are ranked: about six per row, however many the seats.
+def sainte_lague(shares: DataFrame, seats: int, value: str, key: list[str], out: str) -> DataFrame:
+    """``out``: how many of ``seats`` go to each row by the highest quotients value / (2k + 1).
+
+    ``shares`` has unique ``key`` columns.  A row's seats differ from its
+    exact share by at most 1 + its share of the rows, because moving the
+    divisor moves all rows in proportion.  Seats below that range are given,
+    those above are not, and those within are ranked: about six per row,
+    however many the seats.  Equal quotients follow by key.
     """
-    totals = shares.agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_sum")).withColumn("_blocks", blocks.cast("long"))
-    exact = F.col("_blocks") * F.col(value) / F.col("_sum")
-    slack = F.ceil(F.col("_n") * F.col(value) / F.col("_sum")) + 2
-    # One row is broadcast.
-    ranged = (
-        shares.crossJoin(F.broadcast(totals))
-        .withColumn("_low", F.when(F.col("_sum") > 0, F.greatest(F.lit(0), F.floor(exact) - slack)).otherwise(F.lit(0)).cast("long"))
-        .withColumn("_high", F.when(F.col("_sum") > 0, F.ceil(exact) + slack).otherwise(F.lit(0)).cast("long"))
+    rows, total = shares.agg(F.count(F.lit(1)), F.sum(value)).first()
+    if not rows or not total:
+        return shares.withColumn(out, F.lit(0).cast("long"))
+    exact = F.col(value) * (seats / total)
+    slack = F.ceil(F.col(value) * (rows / total)) + 2
+    ranged = staged(
+        shares.withColumns({"_low": F.greatest(F.lit(0), F.floor(exact) - slack).cast("long"), "_high": (F.ceil(exact) + slack).cast("long")})
     )
-    ranged = staged(ranged)
-    open_seats = ranged.filter("_high > _low").select(
-        *key, "_blocks", value, F.explode(F.sequence("_low", F.col("_high") - 1)).alias("_k")
-    )
-    order = [(-F.col(value) / (2 * F.col("_k") + 1)).alias("_minus"), F.struct(*key).alias("_key")]
-    ranked = row_number(open_seats.select("_blocks", "_k", *order), ["_minus", "_key", "_k"], "_rank")
-    given = F.broadcast(ranged.agg(F.sum("_low").alias("_given")))
+    given = ranged.agg(F.sum("_low")).first()[0]
+    open_seats = ranged.select(F.struct(*key).alias("_key"), value, F.explode(F.sequence("_low", F.col("_high") - 1)).alias("_k"))
+    quotients = open_seats.select("_key", "_k", (-F.col(value) / (2 * F.col("_k") + 1)).alias("_minus"))
+    ranked = row_number(quotients, ["_minus", "_key", "_k"], "_rank")
     won = (
-        ranked.crossJoin(given)
-        .filter(F.col("_rank") < F.col("_blocks") - F.col("_given"))
-        .groupBy("_key")
-        .agg(F.count(F.lit(1)).alias("_won"))
+        ranked.filter(F.col("_rank") < seats - given).groupBy("_key").agg(F.count(F.lit(1)).alias("_won"))
         .select(*[F.col("_key")[k].alias(f"_k_{k}") for k in key], "_won")
     )
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key]
-    return ranged.join(won, same, "left").select(
-        *shares.columns, (F.col("_low") + F.coalesce("_won", F.lit(0))).alias(out)
-    )
+    return ranged.join(won, same, "left").select(*shares.columns, (F.col("_low") + F.coalesce("_won", F.lit(0))).alias(out))
 
 
 def mix(
@@ -136,9 +126,10 @@ def mix(
     parts = dealt.groupBy("source", "shard").agg(
         F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target")
     ).withColumn("share", F.when(F.col("source_size") > 0, F.col("target") * F.col("shard_size") / F.col("source_size")).otherwise(F.lit(0.0)))
+    words = sources.agg(F.sum("source_size")).first()[0] or 0
     quotas = sainte_lague(
         parts.select("source", "shard", "shard_size", "share"),
-        F.coalesce(F.round(F.col("_sum") / block), F.lit(0)),
+        round(words / block),
         "share",
         ["source", "shard"],
         "blocks",

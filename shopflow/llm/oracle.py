@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express, over whole tables."""
 
+from .secret_ownership import ACCESS, ASSIGN, ASSIGN_VALUE, GENERIC, HEX
+
 LINE_WINDOWS = r"""
 WITH lines AS (
   SELECT doc_id, text, i, ls[i + 1] AS raw, trim(ls[i + 1], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line
@@ -20,3 +22,39 @@ SELECT doc_id, count(k) AS n_lines, count(gk) AS n_removed,
        sha256(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE gk IS NULL), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+_VALUE = ASSIGN_VALUE.replace("'", "''")
+_PATTERNS = [p.replace("'", "''") for p in (ASSIGN, ACCESS, HEX, GENERIC)]
+
+SECRETS = (
+    "WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents), k AS ("
+    + " UNION ALL ".join(
+        f"SELECT doc_id, source, {i} AS kind, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g "
+        f"FROM t WHERE regexp_matches(text, '{p}')"
+        for i, p in enumerate(_PATTERNS)
+    )
+    + f"""), placed AS (
+  SELECT doc_id, source, kind, m[i] AS match,
+         list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k)
+), valued AS (
+  SELECT doc_id, source, kind, s, s + length(match) AS e, CASE kind WHEN 0 THEN regexp_extract(match, '{_VALUE}', 1) ELSE match END AS v FROM placed
+), base AS (
+  SELECT * FROM valued WHERE kind < 3 AND (kind > 0 OR length(v) >= 12)
+), found AS (
+  SELECT * FROM base UNION ALL
+  SELECT * FROM valued g WHERE kind = 3 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = g.doc_id AND b.s < g.e AND g.s < b.e)
+), owners AS (
+  SELECT v, count(DISTINCT coalesce('=' || source, '')) AS n_owners FROM found GROUP BY v
+), spans AS (
+  SELECT f.doc_id, f.kind, f.s, o.n_owners <= 1 AS live,
+         CASE f.kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'owned' END || ':' || f.s || ':' || f.e AS span
+  FROM found f JOIN owners o USING (v) WHERE f.kind < 3 OR o.n_owners <= 1
+)
+SELECT t.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (WHERE kind < 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY s, kind), '') AS spans, count(*) FILTER (WHERE live) AS n_live
+FROM t LEFT JOIN spans USING (doc_id) GROUP BY t.doc_id
+"""
+)
