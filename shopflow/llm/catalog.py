@@ -14,7 +14,7 @@ from .language_crf import learn, predict
 from .line_windows import drop_later_lines
 from .lpf_dedup import remove_repeated
 from .mixing import mix
-from .oracle import LINE_WINDOWS
+from .oracle import LINE_WINDOWS, SECRETS
 from .paragraph_minhash import paragraph_duplicates
 from .secret_ownership import scan_secrets, span_text
 from .simhash_popcount import fingerprint_text, near_groups
@@ -67,7 +67,7 @@ def op6_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = remove_repeated(table(spark, sf_dir, "documents", "doc_id", "text"), length=50)
+    kept = remove_repeated(table(spark, sf_dir, "documents", "doc_id", "text"), length=50, texts=False)
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -107,4 +107,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op10_line_windows": LINE_WINDOWS}
+ORACLE_SQL: dict[str, str] = {"op5_secret_ownership": SECRETS, "op10_line_windows": LINE_WINDOWS}

@@ -38,8 +38,9 @@ from .common import python_path, shared_path, staged
 
 SEED_BYTES = 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Low bits of a packed minimum: the position in the block.
-_PLACE = np.uint64((1 << 30) - 1)
+_CHUNK = 1 << 17
+#: Low bits of a packed minimum: the position in a chunk.
+_PLACE = np.uint64((1 << 18) - 1)
 _SMALLEST = np.iinfo(np.int64).min
 
 
@@ -56,6 +57,19 @@ def _words(data: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1)).copy().view("<u8").reshape(-1)
 
 
+def _words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.lib.stride_tricks.as_strided(data, (len(data) - 7, 8), (1, 1))[at]).view("<u8").reshape(-1)
+
+
+def _seeds(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A hash of sixteen bytes given as two words."""
+    x = first * _A
+    x ^= second * _B
+    x ^= x >> np.uint64(32)
+    x *= _B
+    return x
+
+
 class Block:
     """Some documents' bytes, one after another, with their anchors.
 
@@ -72,17 +86,11 @@ class Block:
         self.key = np.zeros(0, np.uint64)
         if n <= 0:
             return
-        w = _words(data)
-        seeds = _mixed(w[:-8] ^ _mixed(w[8:]))
-        # The smallest hash, and of equal ones the first, among the seeds of each string.
-        least = (seeds & ~_PLACE) | np.arange(len(seeds), dtype=np.uint64)
-        span = 1
-        while span * 2 <= width:
-            least = np.minimum(least[:-span], least[span:])
-            span *= 2
-        if span < width:
-            least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-        at = (least & _PLACE).astype(np.int64)
+        at = np.empty(n, np.int32)
+        for i in range(0, n, _CHUNK):  # pieces that a core's cache holds
+            part = data[i : i + _CHUNK + length - 1]
+            at[i : i + _CHUNK] = self._smallest(part, width)
+            at[i : i + _CHUNK] += i
         inside = np.zeros(n, bool)
         for end, size in zip(self.ends, sizes, strict=True):
             if size >= length:
@@ -93,12 +101,31 @@ class Block:
         a = at[p]
         new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1)]))
         self.low, self.high = p[new], p[np.append(new[1:], len(p)) - 1]
-        self.key = seeds[a[new]]
+        first = a[new].astype(np.int64)
+        self.key = _seeds(_words_at(data, first), _words_at(data, first + 8))
         self.doc = np.searchsorted(self.ends, self.low, side="right")
 
+    @staticmethod
+    def _smallest(data: np.ndarray, width: int) -> np.ndarray:
+        """For each string the place of its seed with the smallest hash, the first of equal ones."""
+        w = _words(data)
+        least = _seeds(w[:-8], w[8:])
+        other = np.empty_like(least)
+        least &= ~_PLACE
+        least |= np.arange(len(least), dtype=np.uint64)
+        span, left = 1, len(least)
+        while span < width:  # two buffers in turn
+            step = min(span, width - span)
+            left -= step
+            np.minimum(least[:left], least[step : step + left], out=other[:left])
+            least, other = other, least
+            span += step
+        return (least[:left] & _PLACE).astype(np.int32)
+
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct keys, each anchor's place among them, and per key its documents (2 for more) and occurrences."""
         keys, place, times = np.unique(self.key, return_inverse=True, return_counts=True)
+        place = place.reshape(-1)
         lowest = np.full(len(keys), np.iinfo(np.int64).max)
         highest = np.full(len(keys), _SMALLEST)
         ids = self.ids[self.doc]
@@ -106,11 +133,11 @@ class Block:
         np.maximum.at(highest, place, ids)
         return keys, place, 1 + (lowest < highest), times
 
-    def contexts(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def contexts(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """The contexts of the repeated keys (their places times two, plus one for heavy ones).
 
         Per occurrence its start, its number of strings, its document and the
-        distinct context it shows; then the hashes of the distinct contexts.
+        distinct context it shows; then the hashes and the distinct contexts.
         """
         keys, place, _, _ = self.distinct()
         state = np.zeros(len(keys), np.int8)
@@ -121,24 +148,19 @@ class Block:
         start = np.concatenate([self.low[light], np.repeat(self.low[heavy], counts) + inner])
         strings = np.concatenate([self.high[light] - self.low[light] + 1, np.ones(len(inner), np.int64)])
         doc = np.concatenate([self.doc[light], np.repeat(self.doc[heavy], counts)])
-        # Padded bytes and the size tell contexts apart exactly.
-        most = 2 * self.length - SEED_BYTES
-        padded = np.concatenate([self.data, np.zeros(most, np.uint8)])
-        rows = np.empty((len(start), most + 1), np.uint8)
-        for i in range(0, len(start), 1 << 16):
-            part = slice(i, i + (1 << 16))
-            rows[part, :most] = padded[start[part, None] + np.arange(most)]
-            rows[part, :most][np.arange(most) >= (strings[part, None] + self.length - 1)] = 0
-            rows[part, most] = strings[part]
-        _, first, which = np.unique(rows.view(f"V{most + 1}").reshape(-1), return_index=True, return_inverse=True)
+        raw = self.data.tobytes()
+        shown: dict[bytes, int] = {}
+        ends = start + strings + (self.length - 1)
+        which = np.fromiter((shown.setdefault(raw[i:j], len(shown)) for i, j in zip(start.tolist(), ends.tolist(), strict=True)), np.int64, len(start))
+        first = np.full(len(shown), len(start), np.int64)
+        np.minimum.at(first, which, np.arange(len(start)))
         seed = np.concatenate([self.key[light], np.zeros(len(inner), np.uint64)])
         if len(inner):
             own = np.full(len(inner), 7, np.uint64)
-            w = _words(padded)
             for j in [*range(0, self.length - 7, 8), self.length - 8]:
-                own = _mixed(own * _A + w[start[len(light) :] + j])
+                own = _mixed(own * _A + _words_at(self.data, start[len(light) :] + j))
             seed[len(light) :] = own
-        return start, strings, doc, which.reshape(-1), seed[first], first
+        return start, strings, doc, which, seed[first], list(shown)
 
 
 def previous_factors(contexts: list[bytes], docs: np.ndarray, length: int) -> np.ndarray:
@@ -159,8 +181,9 @@ def previous_factors(contexts: list[bytes], docs: np.ndarray, length: int) -> np
     # Suffixes whose first, middle and last words are alone have no equal: they need no place in the order.
     w = _words(data)
     look = _mixed(w[start] ^ _mixed(w[start + (length // 2 - 4)] ^ _mixed(w[start + length - 8])))
-    _, same, times = np.unique(look, return_inverse=True, return_counts=True)
-    some = np.flatnonzero(times[same] > 1)
+    sorted_ = np.argsort(look)
+    equal = look[sorted_][1:] == look[sorted_][:-1]
+    some = np.sort(sorted_[np.concatenate([equal, [False]]) | np.concatenate([[False], equal])]) if len(look) else sorted_
     if not len(some):
         return masks
     windows = np.lib.stride_tricks.as_strided(data, (len(data) - length + 1, length), (1, 1))
@@ -196,10 +219,11 @@ def _packed(docs: DataFrame, text: str, doc_id: str, block_bytes: int) -> DataFr
         ids: list[int] = []
         parts: list[bytes] = []
         size = 0
+        codec = pa.Codec("zstd", compression_level=7)
 
         def block() -> pa.RecordBatch:
             raw = b"".join(parts)
-            row = [np.array(ids, np.int64).tobytes(), np.array([len(p) for p in parts], np.int64).tobytes(), pa.compress(raw, codec="zstd", asbytes=True)]
+            row = [np.array(ids, np.int64).tobytes(), np.array([len(p) for p in parts], np.int64).tobytes(), codec.compress(raw, asbytes=True)]
             return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], ["ids", "sizes", "data"])
 
         for batch in batches:
@@ -232,12 +256,12 @@ def _blocks(docs: DataFrame, text: str, doc_id: str, block_bytes: int, buckets:
 
 
 def remove_repeated(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 50, block_bytes: int = 4 << 20, heavy: int = 1000, buckets: int | None = None
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 50, block_bytes: int = 2 << 20, heavy: int = 5000, buckets: int | None = None, texts: bool = True
 ) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept`` per row of ``docs``.
 
     ``spans`` are the removed runs (byte offsets, end exclusive), ``kept`` the
-    remaining bytes.  Null texts are empty; a null id is smaller than all
+    remaining bytes; both are null unless ``texts``.  Null texts are empty; a null id is smaller than all
     others.  Strings that occur within one document, or in rows of equal id
     only, stay; texts shorter than ``length`` bytes stay whole; an empty
     table gives an empty result; further columns are not read.
@@ -255,17 +279,16 @@ def remove_repeated(
             for row in batch.to_pylist():
                 keys, _, in_docs, times = _unpacked(row, length).distinct()
                 n = len(keys)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(np.full(n, row["block"], np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array(in_docs.astype(np.int8)), pa.array(times.astype(np.int32))],
-                    ["key", "block", "place", "docs", "times"],
-                )
+                # Place, documents and occurrences (up to 255 are told apart) in one number: 2 + 8 bits below the place.
+                about = (np.arange(n, dtype=np.int64) << 10) | (np.minimum(times, 255) << 2) | in_docs
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(n, row["block"], np.int64)), pa.array(about)], ["key", "block", "about"])
 
-    seen = blocks.select("block", "ids", "sizes", "data").mapInArrow(anchors, "key long, block long, place int, docs byte, times int")
+    seen = blocks.select("block", "ids", "sizes", "data").mapInArrow(anchors, "key long, block long, about long")
     by_key = Window.partitionBy("key")
     # One row per block and key: two rows, or one with two documents, make it a repeated one.
     # (Two blocks may hold the same id twice; such contexts simply find no smaller document.)
-    counted = seen.withColumn("all", F.sum("docs").over(by_key)).withColumn("often", F.sum("times").over(by_key))
-    told = counted.filter("all > 1").select("block", (F.col("place") * 2 + F.when(F.col("often") > heavy, 1).otherwise(0)).alias("place"))
+    counted = seen.withColumn("docs", F.sum(F.col("about").bitwiseAND(3)).over(by_key)).withColumn("times", F.sum(F.shiftright("about", 2).bitwiseAND(255)).over(by_key))
+    told = counted.filter("docs > 1").select("block", (F.shiftright("about", 10) * 2 + F.when(F.col("times") > heavy, 1).otherwise(0)).cast("int").alias("place"))
     told = staged(told.groupBy("block").agg(F.collect_list("place").alias("places")).withColumnRenamed("block", "of"))
 
     asked = blocks.join(told, F.col("block") == F.col("of"))
@@ -274,11 +297,9 @@ def remove_repeated(
         for batch in batches:
             for row in batch.to_pylist():
                 b = _unpacked(row, length)
-                start, strings, doc, which, keys, first = b.contexts(np.array(row["places"], np.int64))
+                _, _, doc, which, keys, bodies = b.contexts(np.array(row["places"], np.int64))
                 least = np.full(len(keys), np.iinfo(np.int64).max)
                 np.minimum.at(least, which, b.ids[doc])
-                raw = b.data.tobytes()
-                bodies = [raw[s : s + c + length - 1] for s, c in zip(start[first], strings[first], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.view(np.int64)), pa.array(bodies, pa.binary()), pa.array(np.full(len(keys), row["block"], np.int64)), pa.array(np.arange(len(keys), dtype=np.int32)), pa.array(least)],
                     ["key", "context", "block", "place", "doc"],
@@ -298,9 +319,19 @@ def remove_repeated(
             which = np.fromiter((place.setdefault(c, len(place)) for c in bodies), np.int64, len(bodies))
             least = np.full(len(place), np.iinfo(np.int64).max)
             np.minimum.at(least, which, docs_)
-            masks = previous_factors(list(place), least, length)
+            # A key with one context has no other to match.
+            distinct, keys = list(place), np.zeros(len(place), np.int64)
+            keys[which] = np.asarray(table.column("key"))
+            _, same, times = np.unique(keys, return_inverse=True, return_counts=True)
+            some = np.flatnonzero(times[same] > 1)
+            masks = np.zeros(len(place), np.uint64)
+            masks[some] = previous_factors([distinct[i] for i in some], least[some], length)
+            # A block knows its own smallest document: it hears of smaller ones and of matches inside.
+            news = np.flatnonzero((least[which] < docs_) | (masks[which] != 0))
+            which = which[news]
             return pa.RecordBatch.from_arrays(
-                [table.column("block").combine_chunks(), table.column("place").combine_chunks(), pa.array(least[which]), pa.array(masks[which].view(np.int64))], ["block", "place", "first", "mask"]
+                [table.column("block").combine_chunks().take(pa.array(news)), table.column("place").combine_chunks().take(pa.array(news)), pa.array(least[which]), pa.array(masks[which].view(np.int64))],
+                ["block", "place", "first", "mask"],
             )
 
         for batch in batches:
@@ -328,12 +359,15 @@ def remove_repeated(
                 b = _unpacked(row, length)
                 edge = np.zeros(len(b.data) + 1, np.int32)
                 if row["places"]:
-                    start, strings, doc, which, keys, _ = b.contexts(np.array(row["places"], np.int64))
-                    own = answered[i].values
-                    order = np.asarray(own.field("place"))
-                    first, mask = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint64)
-                    first[order] = np.asarray(own.field("first"))
-                    mask[order] = np.asarray(own.field("mask")).view(np.uint64)
+                    start, strings, doc, which, keys, shown = b.contexts(np.array(row["places"], np.int64))
+                    del shown
+                    first, mask = np.full(len(keys), np.iinfo(np.int64).max), np.zeros(len(keys), np.uint64)
+                    np.minimum.at(first, which, b.ids[doc])
+                    if answered[i].is_valid:
+                        own = answered[i].values
+                        order = np.asarray(own.field("place"))
+                        first[order] = np.asarray(own.field("first"))
+                        mask[order] = np.asarray(own.field("mask")).view(np.uint64)
                     bits = np.where(b.ids[doc] > first[which], np.uint64(0xFFFFFFFFFFFFFFFF), mask[which])
                     for j in range(int(strings.max(initial=0))):
                         hit = (strings > j) & ((bits >> np.uint64(j)) & np.uint64(1)).astype(bool)
@@ -352,8 +386,8 @@ def remove_repeated(
                     out["n_removed"].append(size - len(kept))
                     out["n_spans"].append(len(turns) // 2)
                     out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                    out["spans"].append([{"start": s, "end": e} for s, e in turns.reshape(-1, 2).tolist()])
-                    out["kept"].append(kept)
+                    out["spans"].append([{"start": s, "end": e} for s, e in turns.reshape(-1, 2).tolist()] if texts else None)
+                    out["kept"].append(kept if texts else None)
                 yield pa.RecordBatch.from_pydict(out, schema=_RESULT)
 
     return final.select("block", "ids", "sizes", "data", "places", "answers").mapInArrow(assembled, _RESULT_SQL)
