@@ -89,7 +89,7 @@ def main(argv):
     from shopflow.session import build_session
 
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
-    keys = argv[2:] or list(E.queries())
+    keys = argv[2:] or list(E.oracle_sql())
     spark = build_session("local[8]", conf={"spark.sql.shuffle.partitions": "8"})
     spark.sparkContext.setLogLevel("ERROR")
     q, o = E.queries(), E.oracle_sql()

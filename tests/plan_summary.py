@@ -47,20 +47,19 @@ def summarize(text: str) -> dict:
 
 
 def main(argv):
-    import __spark_entry__ as E
+    from shopflow.plans.catalog import QUERIES
     from shopflow.session import build_session
 
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     spark = build_session("local[8]", conf={"spark.sql.shuffle.partitions": "8"})
     spark.sparkContext.setLogLevel("ERROR")
     print("# PLANS\n")
-    print(f"Physical plans of every registered query (`explain('formatted')`, {sf_dir}, AQE on,")
+    print(f"Physical plans of every query on action logs (`explain('formatted')`, {sf_dir}, AQE on,")
     print("before runtime re-planning). Generated by `tests/plan_summary.py`.")
-    print("Broadcasts listed here are either the hour-keyed sides (at most 24 rows) or the")
-    print("small `orders` file under `autoBroadcastJoinThreshold` at this size.\n")
+    print("Broadcasts listed here are Spark's own, of sides under `autoBroadcastJoinThreshold` at this size.\n")
     print("| query | exchanges: partitioning | broadcast | window | expand | pushed filters | columns read |")
     print("|---|---|---|---|---|---|---|")
-    for key, fn in E.queries().items():
+    for key, fn in QUERIES.items():
         s = summarize(formatted(fn(spark, sf_dir)))
         keys = "<br>".join(s["shuffle_keys"]) or "—"
         pushed = "<br>".join(s["pushed"]) or "—"
