@@ -158,8 +158,8 @@ def chains_of(text: str) -> list[list[str]]:
     return out
 
 
-def label_documents(model: Field, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Per text the sum of its words' distributions, and its number of words."""
+def label_words(model: Field, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """All words of the texts, their distributions (words x languages), and per chain its text and its size."""
     words: list[str] = []
     sizes: list[int] = []
     owner: list[int] = []
@@ -168,15 +168,21 @@ def label_documents(model: Field, texts: list[str]) -> tuple[np.ndarray, np.ndar
             words += chain
             sizes.append(len(chain))
             owner.append(i)
+    size, of = np.array(sizes, np.int64), np.array(owner, np.int64)
+    if not words:
+        return words, np.zeros((0, len(model.languages))), of, size
+    rows = model.rows_of(words)
+    marginals, _ = forward_backward(model.table[rows].astype(np.float64), model.jumps, np.cumsum(size) - size, size, counted=False)
+    return words, marginals, of, size
+
+
+def label_documents(model: Field, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the sum of its words' distributions, and its number of words."""
+    words, marginals, of, size = label_words(model, texts)
     sums = np.zeros((len(texts), len(model.languages)))
     if words:
-        rows = model.rows_of(words)
-        size = np.array(sizes, np.int64)
-        starts = np.cumsum(size) - size
-        marginals, _ = forward_backward(model.table[rows].astype(np.float64), model.jumps, starts, size, counted=False)
-        np.add.at(sums, np.array(owner), np.add.reduceat(marginals, starts, axis=0))
-    counts = np.bincount(np.array(owner, np.int64), weights=np.array(sizes, float), minlength=len(texts)) if owner else np.zeros(len(texts))
-    return sums, counts
+        np.add.at(sums, of, np.add.reduceat(marginals, np.cumsum(size) - size, axis=0))
+    return sums, np.bincount(of, weights=size, minlength=len(texts))
 
 
 def fit_field(sample: list[tuple[str, str]], words: int = 300, buckets: int = 1 << 17, epochs: int = 4, seed: int = 3, rate: float = 0.5) -> Field:
@@ -275,3 +281,35 @@ def predict(docs: DataFrame, model: Field, text: str = "text") -> DataFrame:
                 begin, size = i + 1, 0
 
     return back(docs.mapInArrow(label, out), "lang_pred", "score")
+
+
+def word_languages(docs: DataFrame, model: Field, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id, place, word, lang, p``: the most probable language of every word of every text.
+
+    For code-switched texts.  Words are in lower case, ``place`` counts them
+    from 0 in each row; texts without words give no rows, and so does a model
+    without languages.
+    """
+    python_path(docs.sparkSession)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            texts = [t or "" for t in whole.column(1).to_pylist()]
+            begin = size = 0
+            for i, t in enumerate(texts):
+                size += len(t)
+                if size < GROUP and i + 1 < len(texts):
+                    continue
+                words, marginals, of, sizes = label_words(model, texts[begin : i + 1] if model.languages else [])
+                owner = np.repeat(of, sizes)
+                place = np.arange(len(words)) - np.searchsorted(owner, owner, side="left")
+                best = marginals.argmax(1) if words else np.zeros(0, np.int64)
+                names = pa.array([model.languages[k] for k in best], pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [whole.column(0).slice(begin).take(pa.array(owner)), pa.array(place, pa.int64()), pa.array(words, pa.string()), names, pa.array(marginals.max(1) if words else np.zeros(0))],
+                    ["doc_id", "place", "word", "lang", "p"],
+                )
+                begin, size = i + 1, 0
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(label, "doc_id long, place long, word string, lang string, p double")

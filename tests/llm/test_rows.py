@@ -12,7 +12,7 @@ from shopflow.llm.catalog import held_out
 from shopflow.llm.common import table
 from shopflow.llm.decontaminate import decontaminate
 from shopflow.llm.hilbert_neighbours import hilbert_keys, nearest
-from shopflow.llm.language_crf import Field, fit_field, forward_backward, label_documents, learn, predict
+from shopflow.llm.language_crf import Field, fit_field, forward_backward, label_documents, learn, predict, word_languages
 from shopflow.llm.mixing import mix
 from shopflow.llm.ranks import row_number
 from shopflow.llm.secret_ownership import KINDS, scan_secrets, span_text
@@ -184,6 +184,17 @@ def test_words_of_switched_text_are_labelled():
     assert sums[1].argmax() == 1 and sums[2].argmax() == 0
 
 
+def test_word_languages_of_a_switched_text(spark, documents):
+    en, de = "the cat sat on the mat and looked at the moon", "die katze lag auf der matte und sah den mond an"
+    model = fit_field([(f"{en} " * 20, "en"), (f"{de} " * 20, "de")], epochs=8)
+    rows = word_languages(documents([(1, f"{en}\n{de}", "en", "a"), (2, None, "en", "a"), (3, "7", "en", "a"), (4, "the moon", "en", "a")]), model).collect()
+    first = sorted((r for r in rows if r["doc_id"] == 1), key=lambda r: r["place"])
+    assert [r["word"] for r in first] == f"{en} {de}".split() and [r["place"] for r in first] == list(range(22))
+    assert [r["lang"] for r in first] == ["en"] * 11 + ["de"] * 11 and all(0.5 <= r["p"] <= 1 for r in first)
+    assert [r["word"] for r in sorted((r for r in rows if r["doc_id"] == 4), key=lambda r: r["place"])] == ["the", "moon"]
+    assert {r["doc_id"] for r in rows} == {1, 4}
+
+
 def test_language_held_out_accuracy(spark):
     docs = table(spark, SF_CHECK, "documents", "doc_id", "text", "lang")
     model = learn(docs, ~held_out(F.col("doc_id")))
