@@ -238,13 +238,22 @@ def fit_field(sample: list[tuple[str, str]], words: int = 300, buckets: int = 1
 def learn(docs: DataFrame, known: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_rows: int = 300, sample_words: int = 300, seed: int = 3) -> Field:
     """A field fitted on at most ``sample_rows`` rows of each language, a seeded choice among those where ``known``.
 
-    Only ids are ranked; the texts of the chosen rows, at most
+    The rows of a language whose hashes are smallest are taken: a first cut,
+    set by the language's number of rows, leaves few more than are wanted to
+    be ranked.  Only ids are ranked; the texts of the chosen rows, at most
     ``40 * sample_words`` characters of each, come to the driver.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(known & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(hashed(F.col("id"), seed=seed), "id")
-    chosen = rows.select("id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample_rows).select(F.col("id").alias("chosen")).distinct()
-    sample = rows.join(F.broadcast(chosen), F.col("id") == F.col("chosen")).select("id", F.substring("text", 1, 40 * sample_words).alias("text"), "lang")
+    # One row per language, as the fitted table has one column per language.
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "of")
+    wanted = sample_rows + 6 * sample_rows**0.5 + 20
+    draw = hashed(F.col("id"), seed=seed)
+    low = F.pmod(draw, F.lit(1 << 30)) * F.col("n") <= F.lit(wanted * (1 << 30))
+    order = Window.partitionBy("lang").orderBy("draw", "id")
+    near = rows.join(F.broadcast(sizes), F.col("lang") == F.col("of")).filter(low).select("id", "lang", F.pmod(draw, F.lit(1 << 30)).alias("draw")).distinct()
+    chosen = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample_rows).select(F.col("id").alias("chosen")).distinct()
+    # One text for each id and language, however often they repeat.
+    sample = rows.join(F.broadcast(chosen), F.col("id") == F.col("chosen")).groupBy("id", "lang").agg(F.min(F.substring("text", 1, 40 * sample_words)).alias("text"))
     return fit_field([(r["text"], r["lang"]) for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["id"], r["text"]))], sample_words, seed=seed)
 
 
