@@ -35,7 +35,7 @@ UNITS = (
 ).split()
 
 #: Placeholders: private-use characters, put before the word they stand for.
-NUMBER, UNIT, NAME = "", "", ""
+NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
 _MARKS = NUMBER + UNIT + NAME
 
 #: Signs that are no sentence punctuation; they go first, so that they part no number from its unit.
