@@ -8,6 +8,12 @@ own block and of the two beside it, so at least ``block`` neighbours on
 either side along the curve.  The blocks' best are merged over all orderings
 and scored again on the original vectors.
 
+How far a query has to look depends on the table.  The true neighbours of a
+bounded sample of queries are found by comparing these with every row, and
+their ranks tell which windows hold enough of them: larger blocks, then more
+blocks on either side.  Where windows that do would meet as many places as
+the table has rows, every query is compared with every row instead.
+
 Largest inner product is turned into nearest point by one more coordinate,
 sqrt(m^2 - |x|^2) with the largest norm m, which queries have as 0.
 
@@ -23,7 +29,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import python_path, staged
-from .ranks import row_number
+from .ranks import hashed, row_number
+
+#: Blocks grow up to this many times their first size; beyond, more of them are met.
+LARGEST = 8
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -82,6 +91,61 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def true_neighbours(classes: DataFrame, asked: list, dim: int, top: int) -> DataFrame:
+    """``q, rep``: the ``top`` rows of largest inner product for each row of ``asked`` (rep, v), by its number, from all rows."""
+    reps, x = np.array([r["rep"] for r in asked], np.int64), np.array([r["v"] for r in asked], np.float64).reshape(-1, dim)
+
+    def best(batches):
+        ids, scores = np.zeros((len(reps), 0), np.int64), np.zeros((len(reps), 0))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = np.asarray(batch.column("rep"))
+            found = x @ _matrix(batch.column("v"), dim).T
+            found[reps[:, None] == own[None, :]] = -np.inf
+            ids, scores = np.hstack([ids, np.broadcast_to(own, found.shape)]), np.hstack([scores, found])
+            if scores.shape[1] > top:
+                at = np.argpartition(-scores, top - 1, axis=1)[:, :top]
+                ids, scores = np.take_along_axis(ids, at, 1), np.take_along_axis(scores, at, 1)
+        who = np.broadcast_to(np.arange(len(reps))[:, None], ids.shape)
+        fine = scores > -np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(who[fine].astype(np.int32)), pa.array(ids[fine]), pa.array(scores[fine])], ["q", "rep", "score"])
+
+    by_score = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
+    found = classes.select("rep", "v").mapInArrow(best, "q int, rep long, score double")
+    return found.withColumn("_place", F.row_number().over(by_score)).filter(F.col("_place") <= top).select("q", "rep")
+
+
+def windows_for(classes: DataFrame, ranked: DataFrame, n: int, dim: int, top: int, curves: int, block: int, sample: int, least_recall: float) -> tuple[int, int, float] | None:
+    """Block size, blocks on either side, and measured recall of the narrowest windows that reach ``least_recall``, or None for none narrower than the table.
+
+    Reached means that the sample's mean less two standard errors is.
+    """
+    if n <= 2 * block:
+        return block, 1, 1.0  # all blocks are neighbours
+    asked = classes.filter("q").orderBy(hashed(F.col("rep"), seed=11), "rep").limit(sample).select("rep", "v").collect()
+    if not asked:
+        return block, 1, 1.0
+    truth = true_neighbours(classes, asked, dim, top).collect()
+    # At most sample * (top + 1) rows are looked up, in every ordering.
+    wanted = sorted({r["rep"] for r in truth} | {r["rep"] for r in asked})
+    looked_up = classes.sparkSession.createDataFrame([(int(i),) for i in wanted], "wanted long")
+    place = np.zeros((len(wanted), curves), np.int64)
+    for r in ranked.join(F.broadcast(looked_up), F.col("crep") == F.col("wanted")).select("curve", "crep", "place").collect():
+        place[np.searchsorted(wanted, r["crep"]), r["curve"]] = r["place"]
+    of = np.array([r["q"] for r in truth])
+    a = place[np.searchsorted(wanted, [asked[q]["rep"] for q in of])]
+    b = place[np.searchsorted(wanted, [r["rep"] for r in truth])]
+    size, reach = block, 1
+    while (size, reach) == (block, 1) or curves * (2 * reach + 1) * size < n:
+        held = (np.abs(a // size - b // size) <= reach).any(1)
+        recall = np.bincount(of, held, len(asked)) / np.maximum(np.bincount(of, minlength=len(asked)), 1)
+        if recall.mean() - 2 * recall.std() / np.sqrt(len(asked)) >= least_recall:
+            return size, reach, float(recall.mean())
+        size, reach = (2 * size, 1) if size < LARGEST * block else (size, 2 * reach)
+    return None
+
+
 def nearest(
     vectors: DataFrame,
     is_query: Column,
@@ -93,11 +157,15 @@ def nearest(
     bits: int = 6,
     block: int = 2048,
     seed: int = 1,
+    sample: int = 128,
+    least_recall: float = 0.9,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``top`` rows of largest inner product found for each query.
 
     ``is_query`` marks the query rows; every row but the query's own is a
-    candidate.  Ties go to the smaller id.  Null ids and vectors that are
+    candidate.  ``curves`` orderings and ``block`` ranks are where the windows
+    begin; they widen until a ``sample`` of queries finds ``least_recall`` of
+    its true neighbours, at the latest when all rows are compared.  Ties go to the smaller id.  Null ids and vectors that are
     null, empty, zero or hold null or non-finite components take no part;
     nor do vectors of another length than the most frequent one (the longest
     of these at a tie).  Repeated rows are one row.  An empty table gives an
@@ -159,11 +227,24 @@ def nearest(
 
     keys = classes.select("v", "rep").mapInArrow(keyed, f"curve int, key long, rep {id_type}")
     # Every ordering has n rows, so the rank within it follows from the rank over all.
-    ranked = row_number(keys, ["curve", "key", "rep"], "at").select(
-        "curve", F.floor((F.col("at") - F.col("curve").cast("long") * n) / block).alias("block"), F.col("rep").alias("crep")
+    ranked = staged(
+        row_number(keys, ["curve", "key", "rep"], "at").select("curve", (F.col("at") - F.col("curve").cast("long") * n).alias("place"), F.col("rep").alias("crep"))
     )
-    placed = ranked.join(classes, F.col("crep") == F.col("rep")).select("curve", "block", "rep", "v", "q")
-    beside = placed.filter("q").withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
+    windows = windows_for(classes, ranked, n, dim, top, curves, block, sample, least_recall)
+    steps = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    if windows:
+        size, reach, _ = windows
+        # A block's queries come in shares of those of three blocks, so that no group grows with the reach.
+        sides = (2 * reach + 3) // 3
+        placed = ranked.join(classes, F.col("crep") == F.col("rep")).select("curve", F.floor(F.col("place") / size).alias("block"), "rep", "v", "q")
+        beside = placed.filter("q").withColumn("off", F.explode(F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long"))))
+        beside = beside.withColumn("block", F.col("block") + F.col("off")).withColumn("side", F.floor((F.col("off") + reach) / 3)).drop("off")
+    else:
+        # Every query meets every row once.
+        blocks, sides = -(-n // (LARGEST * block)), -(-classes.filter("q").count() // (LARGEST * block))
+        placed = classes.select(F.lit(0).alias("curve"), F.pmod(hashed(F.col("rep"), seed=12), F.lit(blocks)).alias("block"), "rep", "v", "q")
+        beside = placed.filter("q").withColumn("side", F.pmod(hashed(F.col("rep"), seed=13), F.lit(sides))).withColumn("block", steps(blocks))
+    placed = placed.withColumn("side", steps(sides))
     dealt = placed.withColumn("asks", F.lit(False)).unionByName(beside.withColumn("asks", F.lit(True))).drop("q")
     keep = top + 12  # some more than asked for: the order among them is made anew in double precision
 
@@ -184,7 +265,7 @@ def nearest(
         cat = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
         return pa.table({"qrep": cat(out_q), "crep": cat(out_c)})
 
-    found = dealt.groupBy("curve", "block").applyInArrow(best, "qrep long, crep long").distinct()
+    found = dealt.groupBy("curve", "block", "side").applyInArrow(best, "qrep long, crep long").distinct()
     left = classes.select(F.col("rep").alias("qr"), F.col("v").alias("qv"))
     right = classes.select(F.col("rep").alias("cr"), F.col("v").alias("cv"))
     scored = found.join(left, F.col("qrep") == F.col("qr")).join(right, F.col("crep") == F.col("cr")).select("qrep", "crep", dot(F.col("qv"), F.col("cv")).alias("score"))

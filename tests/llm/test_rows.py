@@ -83,6 +83,23 @@ def test_nearest_recall_on_the_table(spark):
     assert found >= 0.9 * total
 
 
+@pytest.mark.parametrize(("dim", "block", "curves"), [(64, 32, 4), (3, 4, 2)])
+def test_nearest_recall_follows_the_row_count(spark, dim, block, curves):
+    """Windows far narrower than the table: 64 dimensions without structure need all rows, three only wider windows."""
+    x = np.random.default_rng(2).normal(size=(6000, dim))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    vectors = _vectors(spark, [(i, v.tolist(), 0, "x") for i, v in enumerate(x)])
+    got = {(r["query_id"], r["vec_id"]) for r in nearest(vectors, F.col("vec_id") % 20 == 0, block=block, curves=curves, dims=min(dim, 8)).collect()}
+    e = x.astype(np.float64)
+    found = total = 0
+    for q in range(0, 6000, 20):
+        s = e @ e[q]
+        s[q] = -np.inf
+        found += sum((q, int(i)) in got for i in np.argsort(-s)[:20])
+        total += 20
+    assert found >= 0.9 * total
+
+
 def test_row_number_over_partitions(spark):
     rows = [(random.Random(i).randrange(50), i) for i in range(500)]
     got = sorted(row_number(spark.createDataFrame(rows, "a int, b int"), ["a", "b"], "at").collect(), key=lambda r: r["at"])
