@@ -12,6 +12,12 @@ each original slot value stands for the value it most often meets; windows
 that disagree with that reading don't count.  A document is contaminated by
 an item if windows at ``least`` of the item's positions agree.
 
+A document that holds an item more than once, each time with other values,
+has a reading per copy.  A copy's windows lie about as far from the item's
+everywhere, so where the reading of the whole document disagrees, that of
+each band of such shifts counts too, in bands of one shift and of twice as
+many and so on, so that words may be put in or left out within a copy.
+
 An item can only get there if one of its rarest windows meets, because all
 but ``least`` of them may be missing.  Pairs of document and item start from
 those, so a phrase that very many items share makes no pairs by itself, and
@@ -102,6 +108,16 @@ def template_windows(rows: DataFrame, key: list[str], text: str, window: int) ->
     return hashed.select(*key, F.explode(every).alias("_x")).select(*key, "_x.pos", "_x.h", "_x.slots")
 
 
+def agreeing(meeting: DataFrame, by: list[str]) -> DataFrame:
+    """``by, found``: the number of item positions whose windows agree with the reading of their group."""
+    slots = meeting.filter(F.size("slots") > 0).withColumn("s", F.explode(F.arrays_zip("original", "slots"))).withColumn("o", F.col("s.original"))
+    reading = slots.groupBy(*by, "o").agg(F.mode("s.slots", True).alias("v"))
+    agree = (
+        slots.join(reading, [*by, "o"]).groupBy(*by, "pos", "original", "slots").agg(F.min(F.col("s.slots") == F.col("v")).alias("agrees")).filter("agrees").select(*by, "pos")
+    )
+    return meeting.filter(F.size("slots") == 0).select(*by, "pos").unionByName(agree).groupBy(*by).agg(F.count_distinct("pos").alias("found"))
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -126,7 +142,7 @@ def contaminated(
 
     keyed = docs.select(document_key(F.col(doc_id), F.col(text)).alias("doc"), F.col(text).alias("text"))
     windows = template_windows(keyed, ["doc"], "text", window)
-    met = staged(windows.join(known, F.col("h") == F.col("bh")).select("doc", "h", "slots").distinct())
+    met = staged(windows.join(known, F.col("h") == F.col("bh")).select("doc", F.col("pos").alias("at"), "h", "slots").distinct())
 
     # At least ceil(least * n) of an item's n positions must meet: one of its n - ceil(least * n) + 1 rarest does.
     position = items.join(frequency, F.col("h") == F.col("bh")).groupBy("item", "pos").agg(F.min("n").alias("n"))
@@ -136,19 +152,27 @@ def contaminated(
     first = items.join(sized.select("item", F.explode("rare").alias("pos")), ["item", "pos"]).select("item", F.col("h").alias("rh")).distinct()
     pairs = staged(met.select("doc", "h").distinct().join(first, F.col("h") == F.col("rh")).select("doc", "item").distinct())
 
-    meeting = staged(
-        pairs.join(items, "item").join(met.withColumnsRenamed({"doc": "mdoc", "h": "mh"}), (F.col("doc") == F.col("mdoc")) & (F.col("h") == F.col("mh")))
-        .select("doc", "item", "pos", "original", "slots")
-    )
-    slots = meeting.filter(F.size("slots") > 0).withColumn("s", F.explode(F.arrays_zip("original", "slots")))
-    reading = slots.groupBy("doc", "item", F.col("s.original").alias("o")).agg(F.count(F.lit(1)).alias("n"), F.mode("s.slots", True).alias("v"))
-    agreeing = (
-        slots.withColumn("o", F.col("s.original")).join(reading.select("doc", "item", "o", "v"), ["doc", "item", "o"])
-        .groupBy("doc", "item", "pos", "original", "slots").agg(F.min(F.col("s.slots") == F.col("v")).alias("agrees"))
-        .filter("agrees").select("doc", "item", "pos")
-    )
-    counted = meeting.filter(F.size("slots") == 0).select("doc", "item", "pos").unionByName(agreeing).groupBy("doc", "item").agg(F.count_distinct("pos").alias("found"))
-    held = counted.join(sized.select("item", "needed"), "item").filter("found >= needed")
+    def meetings(of: DataFrame, windows: DataFrame, *more: Column) -> DataFrame:
+        return of.join(items, "item").join(windows.withColumnsRenamed({"doc": "mdoc", "h": "mh"}), (F.col("doc") == F.col("mdoc")) & (F.col("h") == F.col("mh"))).select(
+            "doc", "item", "pos", "original", "slots", *more
+        )
+
+    whole = ["doc", "item"]
+    meeting = staged(meetings(pairs, met.select("doc", "h", "slots").distinct()))
+    enough = sized.select("item", "needed")
+    at_once = staged(agreeing(meeting, whole).join(enough, "item").filter("found >= needed").select(*whole))
+    # Only where enough positions meet at all can those of one copy be enough.
+    rest = meeting.groupBy(*whole).agg(F.count_distinct("pos").alias("found")).join(enough, "item").filter("found >= needed").select(*whole)
+    rest = staged(rest.join(at_once, whole, "left_anti"))
+    shifted = staged(meetings(rest, met, (F.col("at") - F.col("pos")).alias("shift")))
+    reach = shifted.groupBy(*whole).agg((F.max("shift") - F.min("shift") + 1).alias("reach"))
+    scales = F.sequence(F.lit(0), F.ceil(F.log2("reach")).cast("int"))
+    # Bands of 2^scale shifts, and as many half a band further.
+    width = F.expr("shiftleft(1, scale)")
+    banded = shifted.join(reach, whole).withColumn("scale", F.explode(scales)).withColumn("half", F.explode(F.when(F.col("scale") > 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    banded = banded.withColumn("band", F.floor((F.col("shift") + F.col("half") * width / 2) / width)).drop("reach", "shift").distinct()
+    copies = agreeing(banded, [*whole, "scale", "half", "band"]).join(enough, "item").filter("found >= needed").select(*whole).distinct()
+    held = at_once.unionByName(copies)
     return held.groupBy(F.col("doc").alias("_key")).agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 

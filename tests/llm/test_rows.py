@@ -142,6 +142,24 @@ def test_slots_that_disagree_dont_count(spark, documents):
     assert got == {1: [1], 2: None}
 
 
+def test_each_copy_has_its_own_reading(spark, documents):
+    item = "She has 3 apples and 4 pears, eats 1 apples and 2 pears, and buys 5 apples and 6 pears more. How many are left?"
+    rng = random.Random(10)
+
+    def sheet(n, words=lambda: ""):
+        return "\n".join(words() + re.sub("[0-9]", lambda m: str(rng.randrange(10, 1000)), item) for _ in range(n))
+
+    longer = "on the way home from the market of the old town she has 3 apples and 4 pears in a blue bag that her kind brother gave her last year and eats 1 apples"
+    shifted = longer.replace("kind brother", "kind older brother")
+    other = "She has 3 apples and 4 pears, eats no plums at all and buys nothing more."
+    rows = [(n, sheet(n), "en", "a") for n in (1, 2, 5, 30)]
+    rows += [(100 + n, sheet(n, lambda: " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(9))) + " "), "en", "a") for n in (2, 5, 30)]
+    rows += [(200, item + "\n" + sheet(9), "en", "a"), (201, "\n".join([other] * 9), "en", "a")]
+    rows += [(300, " ".join(shifted.replace("3", str(k)).replace("4", str(2 * k)).replace("1", str(3 * k)) + "." for k in (11, 15, 17)), "en", "a")]
+    got = {r["doc_id"]: r["items"] for r in decontaminate(documents(rows), _items(spark, [item, longer])).collect()}
+    assert got == {**{i: [1] for i, *_ in rows}, 201: None, 300: [2]}
+
+
 def test_decontamination_matches_window_coverage(spark):
     """Without placeholders the rule is: 0.8 of an item's five-word windows."""
     docs, items = table(spark, SF, "documents", "doc_id", "text"), table(spark, SF, "benchmark", "item_id", "text")
