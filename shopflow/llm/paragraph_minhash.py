@@ -4,6 +4,12 @@ A paragraph here is a sentence of a line: a line is cut at sentence ends, so
 that a passage pasted into the middle of another line still has paragraphs
 of its own.  Paragraphs are compared as sets of five-word shingles.
 
+Sentences of fewer than five words (lists, verse, code) are joined with those
+after them, and with those before them, until they have five: these passages
+overlap, so that a copy is met wherever it begins, and are compared by equal
+words only.  A text that is shorter as a whole is one passage.  A sign of a
+script without blanks is a word.
+
 1. Every paragraph becomes a 64-bit number of its lower-case words; equal
    ones are one node from here on, however many there are.
 2. Each node has ``bands`` keys of ``rows`` MinHashes.  With 6 x 2 a pair of
@@ -33,6 +39,8 @@ SHINGLE = 5
 #: Nodes up to which those to be verified are broadcast, 8 bytes each.
 BROADCAST_ROWS = 2_000_000
 _SPACES: list[np.ndarray] = []
+#: Scripts without blanks between words: Thai, Lao, Burmese, Khmer, kana, Han (first and last code point).
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
 
 def _is_space(code: np.ndarray) -> np.ndarray:
@@ -41,6 +49,13 @@ def _is_space(code: np.ndarray) -> np.ndarray:
     return _SPACES[0][code]
 
 
+def _is_unspaced(code: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(code), bool)
+    for low, high in _UNSPACED if len(code) and code.max() >= _UNSPACED[0][0] else ():
+        out |= (code >= low) & (code <= high)
+    return out
+
+
 def _lower(text: str) -> str:
     """Lower case, character by character where that would change the length."""
     low = text.lower()
@@ -54,10 +69,17 @@ def _scrambled(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _nodes(h: np.ndarray, inside: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The number of each run of words, from the words' hashes and their places in it."""
+    mixed = _scrambled(h + inside.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return _scrambled(np.add.reduceat(mixed, begins) if len(begins) else np.zeros(0, np.uint64)).view(np.int64)
+
+
 class Paragraphs:
     """The paragraphs of some texts: owner, place, span, node and shingles.
 
-    A paragraph ends after . ! or ? before white space, and at a line's end.
+    A paragraph ends after . ! or ? before white space, after their wide
+    forms, and at a line's end.
     All texts are cut into paragraphs and words, and these hashed, at once.
     """
 
@@ -68,10 +90,18 @@ class Paragraphs:
         space = _is_space(code)
         mark = (code == 46) | (code == 33) | (code == 63)
         line = np.flatnonzero(code == 10)
-        ends = np.unique(np.concatenate([np.flatnonzero(mark[:-1] & space[1:]) + 1, line]))
+        wide = (code == 0x3002) | (code == 0xFF01) | (code == 0xFF1F)
+        ends = np.unique(np.concatenate([np.flatnonzero((mark[:-1] & space[1:]) | (wide[:-1] & (code[1:] != 10))) + 1, line]))
         starts = np.concatenate([[0], ends[:-1] + (code[ends[:-1]] == 10)])[: len(ends)]
         solid = np.flatnonzero(~space)
-        first = np.flatnonzero(np.diff(solid, prepend=-2) > 1)  # of each word, among the solid ones
+        alone = _is_unspaced(code[solid])
+        begun = np.diff(solid, prepend=-2) > 1
+        begun[1:] |= alone[1:] | alone[:-1]
+        if wide.any():
+            cut = np.zeros(len(code), bool)
+            cut[ends] = True
+            begun |= cut[solid]
+        first = np.flatnonzero(begun)  # of each word, among the solid ones
         of = np.searchsorted(ends, solid[first], side="right")
         counts = np.bincount(of, minlength=len(ends))
         kept = counts >= least
@@ -80,17 +110,20 @@ class Paragraphs:
         lengths = np.diff(np.append(first, len(solid)))
         letters += (solid - np.repeat(solid[first], lengths)).astype(np.uint64) * np.uint64(0x27D4EB2F165667C5)
         h = _scrambled(np.add.reduceat(_scrambled(letters), first)) if len(first) else np.zeros(0, np.uint64)
+        owner = np.searchsorted(begins, starts, side="right") - 1
+        full = np.flatnonzero(counts)
+        number = np.cumsum(counts > 0) - 1
+        self._all = h, counts[full], owner[full], starts[full] - begins[owner[full]], ends[full] - begins[owner[full]]
         h = h[kept[of]]
 
         self.start, self.end = starts[kept], ends[kept]
         self.owner = np.searchsorted(begins, self.start, side="right") - 1
         self.start, self.end = self.start - begins[self.owner], self.end - begins[self.owner]
-        self.place = np.arange(len(self.owner)) - np.searchsorted(self.owner, self.owner, side="left")
+        self.place = number[kept] - np.searchsorted(owner[full], self.owner, side="left")
         size = counts[kept]
         at_word = np.cumsum(size) - size
         inside = np.arange(len(h)) - np.repeat(at_word, size)
-        mixed = _scrambled(h + inside.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        self.node = _scrambled(np.add.reduceat(mixed, at_word) if len(size) else np.zeros(0, np.uint64)).view(np.int64)
+        self.node = _nodes(h, inside, at_word)
         at = np.flatnonzero(np.repeat(size, size) - inside >= SHINGLE)
         s = np.zeros(len(at), np.uint64)
         for j in range(SHINGLE):
@@ -99,6 +132,26 @@ class Paragraphs:
         self.counts = size - (SHINGLE - 1)
         self.begin = np.cumsum(self.counts) - self.counts
 
+    def passages(self, least: int) -> tuple[np.ndarray, ...]:
+        """owner, place, start, end, node of the passages that short sentences are joined to."""
+        h, counts, owner, start, end = self._all
+        m = len(counts)
+        words = np.concatenate([[0], np.cumsum(counts)])
+        low, high = np.searchsorted(owner, owner, side="left"), np.searchsorted(owner, owner, side="right")  # the text's sentences
+        i = np.flatnonzero(counts < least)
+        after = np.searchsorted(words, words[i] + least, side="left")
+        before = np.searchsorted(words, words[i + 1] - least, side="right") - 1
+        ahead, back = after <= high[i], before >= low[i]
+        small = np.flatnonzero((low == np.arange(m)) & (words[high] - words[low] < least))
+        begin = np.concatenate([i[ahead], before[back], small])
+        until = np.concatenate([after[ahead], i[back] + 1, high[small]])
+        begin, until = np.unique(np.stack([begin, until]), axis=1) if len(begin) else (begin, until)
+        size = words[until] - words[begin]
+        at_word = np.cumsum(size) - size
+        inside = np.arange(size.sum()) - np.repeat(at_word, size)
+        node = _nodes(h[np.repeat(words[begin], size) + inside], inside, at_word)
+        return owner[begin], begin - low[begin], start[begin], end[until - 1], node
+
     def __len__(self) -> int:
         return len(self.owner)
 
@@ -127,17 +180,18 @@ def _groups(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]
 
 
 def occurrences(docs: DataFrame, text: str, doc_id: str, least: int = SHINGLE) -> DataFrame:
-    """``doc, place, start, end, node``: every paragraph of at least ``least`` words, its span in code points."""
+    """``doc, place, start, end, node``: every paragraph of at least ``least`` words and every passage, its span in code points."""
 
     def found(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for i, j in _groups(texts):
                 p = Paragraphs(texts[i:j], least)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(p.owner + i)), *[pa.array(x.astype(np.int32)) for x in (p.place, p.start, p.end)], pa.array(p.node)],
-                    ["doc", "place", "start", "end", "node"],
-                )
+                for owner, place, start, end, node in ((p.owner, p.place, p.start, p.end, p.node), p.passages(least)):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(owner + i)), *[pa.array(x.astype(np.int32)) for x in (place, start, end)], pa.array(node)],
+                        ["doc", "place", "start", "end", "node"],
+                    )
 
     return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(found, "doc long, place int, start int, end int, node long")
 
@@ -236,24 +290,33 @@ def later_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     roots = staged(components(links(docs, text, least=least, **options)).withColumnRenamed("node", "of"))
     classed = staged(every.join(roots, F.col("node") == F.col("of"), "left").select("doc", "place", "start", "end", F.coalesce("root", "node").alias("class")))
     firsts = staged(
-        classed.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("first")).filter("n > 1").select(F.col("class").alias("c"), "first")
+        classed.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place", "end")).alias("first")).filter("n > 1").select(F.col("class").alias("c"), "first")
     )
-    later = classed.join(firsts, F.col("class") == F.col("c")).filter(~F.struct("doc", "place").eqNullSafe(F.col("first")))
+    later = classed.join(firsts, F.col("class") == F.col("c")).filter(~F.struct("doc", "place").eqNullSafe(F.struct("first.doc", "first.place")))
+    # A passage that overlaps the first one keeps what both have.
+    begin = F.when(F.col("doc").eqNullSafe(F.col("first.doc")), F.greatest("start", "first.end")).otherwise(F.col("start"))
+    later = later.withColumn("start", begin).filter(F.col("start") < F.col("end"))
     return later.select("doc", "place", "start", "end", F.col("first.doc").alias("first_doc"), F.col("first.place").alias("first_place"))
 
 
 def paragraph_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """``doc_id, spans, first_docs`` per row of ``docs``: removed spans in code points, and the documents that keep a copy.
 
-    Paragraphs of fewer than five words are never removed; null and empty
-    texts have none.  The first paragraph of a class, by doc_id (null first)
+    Spans that overlap are one span.  Sentences of fewer than five words go
+    with the passages they are joined to; null and empty texts have none.  The first paragraph of a class, by doc_id (null first)
     and place, stays.  Rows that share a doc_id count as one document, and
     those equal in place too are one paragraph; an empty table gives an empty
     result; further columns are not read.
     """
     later = later_paragraphs(docs, text, doc_id, **options)
-    lists = later.groupBy(F.col("doc").alias("_doc")).agg(
-        F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"), F.sort_array(F.collect_set("first_doc")).alias("first_docs")
+    ordered = Window.partitionBy("doc").orderBy("start", "end")
+    reached = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    apart = later.withColumn("apart", F.coalesce((F.col("start") >= reached).cast("int"), F.lit(1)))
+    merged = apart.withColumn("island", F.sum("apart").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc", "island").agg(
+        F.struct(F.min("start").alias("start"), F.max("end").alias("end")).alias("span"), F.collect_set("first_doc").alias("firsts")
+    )
+    lists = merged.groupBy(F.col("doc").alias("_doc")).agg(
+        F.sort_array(F.collect_list("span")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("firsts")))).alias("first_docs")
     )
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"))
     none = "cast(array() as array<struct<start:int,end:int>>)", "cast(array() as array<bigint>)"

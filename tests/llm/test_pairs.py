@@ -262,3 +262,19 @@ def test_a_passage_inside_other_text_is_found(spark, documents):
     got = {r["doc_id"]: len(r["spans"]) for r in paragraph_duplicates(documents(rows)).collect()}
     assert got[2] >= 6 and got[1] == got[3] == 0
 
+
+def test_copies_of_short_sentences_are_found(spark, documents):
+    rng = random.Random(11)
+    junk = " ".join("".join(rng.choice("ABCDEFGH") for _ in range(6)) + rng.choice(["!!", ".!!", "?"]) for _ in range(150))
+    verse = "\n".join(" ".join(f"v{j}x{i}" for i in range(1 + j % 4)) for j in range(20))
+    lines = ["春眠不觉晓处处闻啼鸟", "夜来风雨声花落知多少", "白日依山尽黄河入海流"]
+    texts = {
+        1: junk, 2: junk, 3: "one word. " + junk.lower() + " Two.",
+        4: verse, 5: "Something\nelse\n" + verse + "\nafter it", 6: "Hello you", 7: "hello  you", 8: "Hello them",
+        9: "\n".join(lines), 10: "新的文字在这里。" + lines[1] + "。另外的文字也在这里", 11: "la. " * 12, 12: "Yes.\nNo.\nA sentence of its own, with ten words.",
+    }
+    found = paragraph_duplicates(documents([(i, t, "en", "a") for i, t in texts.items()]))
+    got = {r["doc_id"]: "".join(texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"]).split() for r in found.collect()}
+    want = {i: [] for i in texts} | {2: junk.split(), 3: junk.lower().split(), 5: verse.split(), 7: ["hello", "you"], 11: ["la."] * 7}
+    assert {i: x for i, x in got.items() if i != 10} == {i: x for i, x in want.items() if i != 10}
+    assert "".join(got[10]).strip("。") == lines[1]
