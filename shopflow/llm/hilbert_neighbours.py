@@ -262,6 +262,14 @@ def nearest(
             fine = np.take_along_axis(scores, at, 1) > -np.inf
             out_q.append(np.repeat(who[i : i + 256], k).reshape(-1, k)[fine])
             out_c.append(ids[at][fine])
+            # Where more rows tie with the last kept score, up to rounding, those of the smallest ids are kept too.
+            last = np.take_along_axis(scores, at, 1).min(1, keepdims=True)
+            slack = 1e-12 * (1.0 + np.abs(last))
+            near = (scores >= last - slack) & (scores <= last + slack) & (scores > -np.inf)
+            for q in np.flatnonzero(near.sum(1) > np.take_along_axis(near, at, 1).sum(1)):
+                tied = np.sort(ids[near[q]])[:keep]
+                out_q.append(np.full(len(tied), who[i + q]))
+                out_c.append(tied)
         cat = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
         return pa.table({"qrep": cat(out_q), "crep": cat(out_c)})
 

@@ -100,6 +100,19 @@ def test_nearest_recall_follows_the_row_count(spark, dim, block, curves):
     assert found >= 0.9 * total
 
 
+def test_ties_of_many_vectors_go_to_the_smaller_ids(spark):
+    """Binary vectors: hundreds of different ones tie at every score."""
+    bits = np.random.default_rng(3).permutation(np.arange(1, 1024))
+    x = ((bits[:, None] >> np.arange(10)) & 1).astype(np.float64)
+    got = nearest(_vectors(spark, [(i, v.tolist(), 0, "x") for i, v in enumerate(x)]), F.col("vec_id") % 20 == 0).collect()
+    by_query = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        by_query.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in range(0, 1023, 20):
+        s = x @ x[q]
+        assert by_query[q] == sorted((i for i in range(1023) if i != q), key=lambda i: (-s[i], i))[:20]
+
+
 def test_row_number_over_partitions(spark):
     rows = [(random.Random(i).randrange(50), i) for i in range(500)]
     got = sorted(row_number(spark.createDataFrame(rows, "a int, b int"), ["a", "b"], "at").collect(), key=lambda r: r["at"])
