@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_BENCH, SF_CHECK, SF_SMALL
+from paths import SF_BENCH, SF_CHECK, SF_SMALL
 from shopflow.operators import repurchase, traffic, value
 from shopflow.plans import sql_forms
 from shopflow.plans.catalog import DAY, actions

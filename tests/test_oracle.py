@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_CHECK, SF_SMALL
+from paths import SF_CHECK, SF_SMALL
 from oracle_compare import compare, duck
 from shopflow.plans.catalog import QUERIES
 from shopflow.plans.oracle import ORACLE_SQL

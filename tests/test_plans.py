@@ -7,7 +7,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_CHECK
+from paths import SF_CHECK
 from shopflow.plans.catalog import QUERIES
 
 

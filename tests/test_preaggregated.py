@@ -3,7 +3,7 @@ behaviour with ``n_actions``) give exactly the raw-log results."""
 
 import pytest
 
-from conftest import SF_CHECK
+from paths import SF_CHECK
 from shopflow.operators import funnel, repurchase, traffic, value
 from shopflow.plans.catalog import DAY, actions
 from shopflow.schema import pre_aggregate

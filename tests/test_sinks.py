@@ -5,7 +5,7 @@ import os
 from shopflow.operators import traffic
 from shopflow.plans.catalog import actions
 from shopflow.sources import sinks
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_json_tsv_report_round_trip(spark, scratch):

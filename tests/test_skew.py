@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from conftest import SF_CHECK
+from paths import SF_CHECK
 from oracle_compare import compare, duck
 from shopflow.plans.catalog import QUERIES
 

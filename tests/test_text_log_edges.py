@@ -87,7 +87,7 @@ def test_header_with_byte_order_mark(spark):
 def test_render_then_parse_round_trip(spark, layout):
     from pyspark.sql import functions as F
 
-    from conftest import SF_SMALL
+    from paths import SF_SMALL
     from shopflow.plans.catalog import actions
     from shopflow.schema import ACTION_COLUMNS
     from shopflow.sources.text_log import parse_lines, render_lines
