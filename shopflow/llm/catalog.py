@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe_fragments
 from .common import table
 from .decontaminate import decontaminate
 from .hilbert_neighbours import nearest
@@ -86,6 +87,15 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_bpe_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = bpe_fragments.encode(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary)
+    decoded = bpe_fragments.decode(encoded, vocabulary)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -103,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_token_counts": op9_token_counts,
     "op10_line_windows": op10_line_windows,
+    "op11_bpe_fragments": op11_bpe_fragments,
     "pipeline": pipeline,
 }
 
