@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_fragments
-from .common import table
+from .common import staged, table
 from .decontaminate import decontaminate
 from .hilbert_neighbours import nearest
 from .language_crf import learn, predict
@@ -18,6 +19,7 @@ from .mixing import mix
 from .oracle import LINE_WINDOWS, SECRETS
 from .paragraph_minhash import paragraph_duplicates
 from .secret_ownership import scan_secrets, span_text
+from .sharded_lloyd import lloyd
 from .simhash_popcount import fingerprint_text, near_groups
 from .token_counts import token_counts
 
@@ -96,6 +98,17 @@ def op11_bpe_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op13_sharded_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = lloyd(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=40, rounds=5, dims=64, scale=256, seed="2")
+    found = staged(found)
+    inertia = {r[0]: r[1] for r in found.groupBy("cluster").agg(F.sum("distance")).collect()}  # one row per centroid
+    total = sum(inertia.values())
+    digest = lambda c: hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()
+    about = [(c, inertia[c], total, digest(centroids[c].tolist())) for c in sorted(inertia)]
+    about = spark.createDataFrame(about, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return found.join(F.broadcast(about), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -114,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_line_windows": op10_line_windows,
     "op11_bpe_fragments": op11_bpe_fragments,
+    "op13_sharded_lloyd": op13_sharded_lloyd,
     "pipeline": pipeline,
 }
 
