@@ -21,6 +21,7 @@ from .paragraph_minhash import paragraph_duplicates
 from .secret_ownership import scan_secrets, span_text
 from .sharded_lloyd import lloyd
 from .simhash_popcount import fingerprint_text, near_groups
+from .spelling_blocks import spelling_forms
 from .token_counts import token_counts
 
 
@@ -98,6 +99,10 @@ def op11_bpe_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_spelling_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op13_sharded_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, centroids = lloyd(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=40, rounds=5, dims=64, scale=256, seed="2")
     found = staged(found)
@@ -127,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_line_windows": op10_line_windows,
     "op11_bpe_fragments": op11_bpe_fragments,
+    "op12_spelling_blocks": op12_spelling_blocks,
     "op13_sharded_lloyd": op13_sharded_lloyd,
     "pipeline": pipeline,
 }
