@@ -1,6 +1,6 @@
 """All metric operators: ``(actions: DataFrame, *params) -> DataFrame``."""
 
-from shopflow.operators.funnel import funnel_counts, funnel_rates, funnel_step_loss
+from shopflow.operators.funnel import funnel_counts, funnel_rates, funnel_step_loss, ordered_funnel, ordered_funnel_times
 from shopflow.operators.profile import dataset_profile, log_profile, missing_profile
 from shopflow.operators.repurchase import (
     buys_by_user_date,
@@ -8,6 +8,7 @@ from shopflow.operators.repurchase import (
     repeat_buy_rate,
     repurchase_gap_cumulative,
     repurchase_gap_histogram,
+    repurchase_gap_list_parts,
     repurchase_gap_lists,
     repurchase_gap_runs,
     repurchase_gaps,

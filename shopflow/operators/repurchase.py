@@ -22,8 +22,10 @@ from shopflow.operators.value import purchases, user_item_purchases, user_purcha
 from shopflow.schema import count_actions
 
 
-# Same-day repeats of one user that a gap list can hold: two bytes each, under Spark's 2 GB per value.
-MOST_REPEATS = 1_000_000_000
+# Bytes of one user's gap list: a string value is at most 2 GB in Spark.
+LONGEST_LIST = 2_000_000_000
+# Gaps in one part of a list that is cut into parts: at most a few MB of text.
+PART = 500_000
 
 
 def _by_user_date():
@@ -73,26 +75,62 @@ def repurchase_gap_lists(actions: DataFrame) -> DataFrame:
     follows a day ``g`` days earlier contributes ``g`` then ``c - 1`` zeros.
     The work therefore runs over one row per (user, day) carrying its count;
     only the output string grows with a user's purchases.  A string holds at
-    most 2 GB, so a user-day with over ``MOST_REPEATS`` purchases fails with a
-    message; :func:`repurchase_gap_runs` has the same content in bounded rows.
+    most 2 GB, so a user whose days' pieces add up to more than
+    ``LONGEST_LIST`` bytes fails with a message before any is built;
+    :func:`repurchase_gap_list_parts` has no such limit.
     """
     buys = user_purchases(actions)
     per_day = buys.groupBy("user_id", "date").agg(count_actions(buys).alias("c"))
-    gap = F.datediff("date", F.lag("date").over(_by_user_date())).cast("string")
-    too_many = F.raise_error(F.lit("a user's gap list exceeds a string; use repurchase_gap_runs"))
-    repeats = F.when(F.col("c") - 1 <= MOST_REPEATS, F.col("c") - 1).otherwise(too_many.cast("bigint")).try_cast("int")
-    # ",gap" (none on the first day) then ",0" per same-day repeat, built as one
-    # string; the leading comma is then dropped.
-    text = F.concat(F.coalesce(F.concat(F.lit(","), gap), F.lit("")),
-                    F.repeat(F.lit(",0"), repeats))
+    per_day = per_day.select("user_id", "date", "c", F.datediff("date", F.lag("date").over(_by_user_date())).cast("string").alias("gap"))
+    # Bytes of ",gap" (none on the first day) and ",0" per same-day repeat, over all days of the user.
+    size = F.coalesce(F.length("gap") + 1, F.lit(0)) + 2 * (F.col("c") - 1)
+    whole = F.sum(size).over(_by_user_date().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    too_many = F.raise_error(F.lit("a user's gap list exceeds a string; use repurchase_gap_list_parts"))
+    repeats = F.when(F.col("size") <= LONGEST_LIST, F.col("c") - 1).otherwise(too_many.cast("bigint")).try_cast("int")
+    # The leading comma is then dropped.
+    text = F.concat(F.coalesce(F.concat(F.lit(","), F.col("gap")), F.lit("")), F.repeat(F.lit(",0"), repeats))
     piece = F.nullif(F.substring(text, 2, 2147483647), F.lit(""))
-    pieces = per_day.select("user_id", "date", piece.alias("piece"))
+    pieces = per_day.withColumn("size", whole).select("user_id", "date", piece.alias("piece"))
     lists = pieces.groupBy("user_id").agg(
         F.expr("listagg(piece, ',') WITHIN GROUP (ORDER BY date)").alias("gaps")
     )
     return lists.select("user_id", F.coalesce("gaps", F.lit("")).alias("gaps"))
 
 
+def repurchase_gap_list_parts(actions: DataFrame, part: int = PART) -> DataFrame:
+    """O-31 for lists of any length: ``user_id, part, n, gaps``, numbered parts of at most ``part`` gaps each.
+
+    A user's parts, joined by commas in the order of ``part`` (from 0), are
+    the list of :func:`repurchase_gap_lists`; ``n`` is the number of gaps in a
+    part.  A user with a single purchase has one empty part.
+
+    A running count over a user's days gives the place of each day's gaps in
+    the list, and with it the parts that the day takes part in: a day of
+    billions of purchases is a row per part, each text of bounded length, and
+    (user, part) groups are put together apart from each other.
+    """
+    if part < 1:
+        raise ValueError("a part holds at least one gap")
+    runs = repurchase_gap_runs(actions)
+    placed = runs.withColumn("n", F.col("repeats") + F.col("gap_days").isNotNull().cast("bigint"))
+    before = F.sum("n").over(_by_user_date().rowsBetween(Window.unboundedPreceding, -1))
+    placed = placed.withColumn("start", F.coalesce(before, F.lit(0).cast("bigint"))).withColumn("end", F.col("start") + F.col("n"))
+    # A user's first day may have no gap: its row still makes the first part.
+    parts = F.expr(f"sequence(start div {part}, greatest(start, end - 1) div {part})")
+    cut = placed.select("user_id", "date", "gap_days", "start", "end", F.explode(parts).alias("part"))
+    cut = cut.select(
+        "user_id", "date", "part",
+        F.expr(f"least(end, (part + 1) * {part}) - greatest(start, part * {part})").alias("n"),
+        F.when(F.col("start") >= F.col("part") * part, F.col("gap_days")).cast("string").alias("gap"),
+    )
+    # ",gap" where the day begins in this part, then a ",0" per further purchase; the leading comma goes.
+    zeros = (F.col("n") - F.col("gap").isNotNull().cast("bigint")).cast("int")
+    text = F.concat(F.coalesce(F.concat(F.lit(","), F.col("gap")), F.lit("")), F.repeat(F.lit(",0"), zeros))
+    pieces = cut.select("user_id", "date", "part", "n", F.nullif(F.substring(text, 2, 2147483647), F.lit("")).alias("piece"))
+    lists = pieces.groupBy("user_id", "part").agg(F.sum("n").alias("n"), F.expr("listagg(piece, ',') WITHIN GROUP (ORDER BY date)").alias("gaps"))
+    return lists.select("user_id", "part", "n", F.coalesce("gaps", F.lit("")).alias("gaps"))
+
+
 def repurchase_gap_runs(actions: DataFrame) -> DataFrame:
     """O-31 as rows: one row per (user, purchase day) with the gap from the
     previous purchase day (NULL on the first) and ``repeats``, the number of

@@ -73,6 +73,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "funnel_rates": _on(funnel.funnel_rates),
     "funnel_rates_on_day": _on(funnel.funnel_rates, DAY),
     "funnel_step_loss": _on(funnel.funnel_step_loss),
+    "ordered_funnel": _on(funnel.ordered_funnel),
+    "ordered_funnel_on_day": _on(funnel.ordered_funnel, DAY),
+    "ordered_funnel_times": _on(funnel.ordered_funnel_times),
+    "ordered_funnel_hourly": _on_hourly(funnel.ordered_funnel),
     "buy_count_by_user": _on(value.buy_count_by_user),
     "actions_by_date_user_behavior": _on(value.actions_by_date_user_behavior),
     "daily_consumption": _on(value.daily_consumption),
@@ -87,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "repurchase_gaps": _on(repurchase.repurchase_gaps),
     "repurchase_gap_lists": _on(repurchase.repurchase_gap_lists),
     "repurchase_gap_runs": _on(repurchase.repurchase_gap_runs),
+    "repurchase_gap_list_parts": _on(repurchase.repurchase_gap_list_parts),
+    "repurchase_gap_list_parts_small": _on(repurchase.repurchase_gap_list_parts, 3),
     "repurchase_item_intervals": _on(repurchase.repurchase_item_intervals),
     "repurchase_mean_by_user": _on(repurchase.repurchase_mean_by_user),
     "repurchase_gap_histogram": _on(repurchase.repurchase_gap_histogram),
@@ -116,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "unknowns_buy_count_distribution": _with_unknowns(value.buy_count_distribution, (5, 10, 20)),
     "unknowns_repeat_buy_rate": _with_unknowns(repurchase.repeat_buy_rate),
     "unknowns_repurchase_gaps": _with_unknowns(repurchase.repurchase_gaps),
+    "unknowns_ordered_funnel": _with_unknowns(funnel.ordered_funnel),
     "unknowns_repurchase_gap_lists": _with_unknowns(repurchase.repurchase_gap_lists),
     "unknowns_repurchase_gap_cumulative": _with_unknowns(repurchase.repurchase_gap_cumulative),
     "unknowns_repurchase_item_intervals": _with_unknowns(repurchase.repurchase_item_intervals),
@@ -130,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "order_repeat_buy_rate": _on_orders(repurchase.repeat_buy_rate),
     "order_repurchase_gaps": _on_orders(repurchase.repurchase_gaps),
     "order_repurchase_gap_lists": _on_orders(repurchase.repurchase_gap_lists),
+    "order_repurchase_gap_list_parts": _on_orders(repurchase.repurchase_gap_list_parts, 10),
     "order_repurchase_mean_by_user": _on_orders(repurchase.repurchase_mean_by_user, items=True),
     "order_repurchase_gap_cumulative": _on_orders(repurchase.repurchase_gap_cumulative),
 }

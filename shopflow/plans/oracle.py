@@ -62,6 +62,43 @@ _FUNNEL_RATES = (
     "100.0::DOUBLE * y / nullif(b, 0) AS buy_rate, "
     "100.0::DOUBLE * y / nullif(i, 0) AS interest_to_buy_rate FROM c"
 )
+# Every order of a browse, an interest and a buy of the same user that does not go back in time, pair by pair.
+_STEPS = (
+    "s AS (SELECT user_id, CASE behavior_type WHEN 1 THEN 0 WHEN 4 THEN 2 ELSE 1 END AS step, "
+    "date_trunc('hour', \"time\") AS tt FROM A WHERE user_id IS NOT NULL AND behavior_type IN (1, 2, 3, 4){where})",
+    "f0 AS (SELECT user_id, min(tt) AS t FROM s WHERE step = 0 GROUP BY user_id)",
+    "f1 AS (SELECT y.user_id, min(y.tt) AS t FROM s x JOIN s y ON x.user_id = y.user_id AND x.step = 0 AND y.step = 1 "
+    "AND y.tt >= x.tt GROUP BY y.user_id)",
+    "f2 AS (SELECT z.user_id, min(z.tt) AS t FROM s x JOIN s y ON x.user_id = y.user_id AND x.step = 0 AND y.step = 1 AND y.tt >= x.tt "
+    "JOIN s z ON z.user_id = y.user_id AND z.step = 2 AND z.tt >= y.tt GROUP BY z.user_id)",
+    "ft AS (SELECT user_id, f0.t AS browse, f1.t AS interest, f2.t AS buy FROM f0 LEFT JOIN f1 USING (user_id) LEFT JOIN f2 USING (user_id))",
+    "fc AS (SELECT count(browse) AS u0, count(interest) AS u1, count(buy) AS u2, "
+    "sum(epoch(interest - browse) // 3600) AS h1, sum(epoch(buy - interest) // 3600) AS h2 FROM ft)",
+    "fl AS (SELECT *, 1.0::DOUBLE - u1::DOUBLE / nullif(u0, 0) AS l1, 1.0::DOUBLE - u2::DOUBLE / nullif(u1, 0) AS l2 FROM fc)",
+)
+_ORDERED = (
+    "SELECT 'browse' AS step, u0 AS users, NULL::DOUBLE AS loss, false AS is_largest, NULL::DOUBLE AS mean_hours FROM fl UNION ALL "
+    "SELECT 'interest', u1, l1, coalesce(l1 >= coalesce(l2, l1), false), h1::DOUBLE / nullif(u1, 0) FROM fl UNION ALL "
+    "SELECT 'buy', u2, l2, coalesce(l2 >= coalesce(l1, l2), false), h2::DOUBLE / nullif(u2, 0) FROM fl"
+)
+
+
+def _steps(where: str = "") -> list[str]:
+    return [_STEPS[0].format(where=where), *_STEPS[1:]]
+
+
+def _gap_parts(size: int) -> str:
+    """Every gap of the direct definition with its place in the list; a part is ``size`` places."""
+    return _q(
+        f"SELECT user_id, CAST(greatest(rn - 2, 0) // {size} AS BIGINT) AS part, count(gap) AS n, coalesce(string_agg(gap, ',' ORDER BY rn), '') AS gaps "
+        "FROM r GROUP BY ALL",
+        'b AS (SELECT user_id, "date", row_number() OVER (PARTITION BY user_id ORDER BY "date", '
+        "event_id) AS rn FROM A WHERE behavior_type = 4 AND user_id IS NOT NULL)",
+        "r AS (SELECT user_id, rn, CAST(date_diff('day', lag(\"date\") OVER "
+        '(PARTITION BY user_id ORDER BY rn), "date") AS VARCHAR) AS gap FROM b)',
+    )
+
+
 _DAILY = (
     'd AS (SELECT "date", count_if(behavior_type = 4) AS buys, '
     'count(DISTINCT user_id) AS active_users FROM A GROUP BY "date")'
@@ -159,6 +196,9 @@ ORACLE_SQL: dict[str, str] = {
         "l AS (SELECT 1.0::DOUBLE - i::DOUBLE / nullif(b, 0) AS l1, "
         "1.0::DOUBLE - y::DOUBLE / nullif(i, 0) AS l2 FROM c)",
     ),
+    "ordered_funnel": _q(_ORDERED, *_steps()),
+    "ordered_funnel_on_day": _q(_ORDERED, *_steps(f' AND "date" = {_D}')),
+    "ordered_funnel_times": _q("SELECT * FROM ft", *_steps()),
     "buy_count_by_user": _q(
         "SELECT user_id, count(*) AS buy_count FROM A WHERE behavior_type = 4 AND user_id IS NOT NULL GROUP BY user_id"
     ),
@@ -203,6 +243,8 @@ ORACLE_SQL: dict[str, str] = {
         "r AS (SELECT user_id, rn, CAST(date_diff('day', lag(\"date\") OVER "
         '(PARTITION BY user_id ORDER BY rn), "date") AS VARCHAR) AS gap FROM b)',
     ),
+    "repurchase_gap_list_parts": _gap_parts(500_000),
+    "repurchase_gap_list_parts_small": _gap_parts(3),
     "repurchase_gap_runs": _q(
         "SELECT user_id, \"date\", CAST(date_diff('day', lag(\"date\") OVER (PARTITION BY user_id "
         'ORDER BY "date"), "date") AS INTEGER) AS gap_days, repeats FROM pc',
@@ -327,7 +369,7 @@ def _with_unknowns(sql: str) -> str:
 
 
 for _k, _of in {
-    "pv_uv_by_date": "pv_uv_by_date", "arppu_by_date": "arppu_by_date", "buy_count_distribution": "buy_count_distribution_small",
+    "ordered_funnel": "ordered_funnel", "pv_uv_by_date": "pv_uv_by_date", "arppu_by_date": "arppu_by_date", "buy_count_distribution": "buy_count_distribution_small",
     "repeat_buy_rate": "repeat_buy_rate", "repurchase_gaps": "repurchase_gaps", "repurchase_gap_lists": "repurchase_gap_lists",
     "repurchase_gap_cumulative": "repurchase_gap_cumulative", "repurchase_item_intervals": "repurchase_item_intervals",
     "repurchase_mean_by_user": "repurchase_mean_by_user",
@@ -339,10 +381,11 @@ ORACLE_SQL["repurchase_gap_frequency"] = ORACLE_SQL["repurchase_gap_histogram"]
 for _k in ("arppu_by_date", "pay_days_by_user", "repeat_buy_rate", "repurchase_gaps",
            "repurchase_gap_lists", "repurchase_mean_by_user", "repurchase_gap_cumulative"):
     ORACLE_SQL["order_" + _k] = _on_orders(ORACLE_SQL[_k])
+ORACLE_SQL["order_repurchase_gap_list_parts"] = _on_orders(_gap_parts(10))
 
 ORACLE_SQL = {k: _bigint_count_if(v) for k, v in ORACLE_SQL.items()}
 ORACLE_SQL["arpu_by_date_sql"] = ORACLE_SQL["arpu_by_date"]
 ORACLE_SQL["paying_ratio_by_date_sql"] = ORACLE_SQL["paying_ratio_by_date"]
 ORACLE_SQL["repurchase_mean_by_user_sql"] = ORACLE_SQL["repurchase_mean_by_user"]
-for _k in ("pv_uv_by_date", "arpu_by_date", "repurchase_gap_lists"):
+for _k in ("ordered_funnel", "pv_uv_by_date", "arpu_by_date", "repurchase_gap_lists"):
     ORACLE_SQL[_k + "_hourly"] = ORACLE_SQL[_k]

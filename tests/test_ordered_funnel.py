@@ -1,0 +1,72 @@
+"""The funnel in order: hand-made users, a user who holds a third of the log, empty and unknown ones."""
+
+import datetime as dt
+
+from shopflow.operators import funnel
+from shopflow.schema import pre_aggregate
+
+SCHEMA = "user_id long, item_id long, behavior_type int, item_category long, time timestamp_ntz, date date, hour int"
+
+
+def frame(spark, rows):
+    """Rows of (user, behaviour, hours since the log's start)."""
+    start = dt.datetime(2014, 12, 1)
+    full = []
+    for user, code, h in rows:
+        t = start + dt.timedelta(hours=h)
+        full.append((user, 1, code, 1, t, t.date(), t.hour))
+    return spark.createDataFrame(full, SCHEMA)
+
+
+def hours(spark, rows, **kw):
+    start = dt.datetime(2014, 12, 1)
+    got = funnel.ordered_funnel_times(frame(spark, rows), **kw).collect()
+    return {r["user_id"]: tuple(None if t is None else int((t - start).total_seconds() // 3600) for t in (r["browse"], r["interest"], r["buy"])) for r in got}
+
+
+def test_order_decides(spark):
+    rows = [
+        (1, 1, 5), (1, 3, 6), (1, 4, 30),  # all in order
+        (2, 4, 1), (2, 2, 2), (2, 1, 3),  # all, in the wrong order
+        (3, 2, 1), (3, 1, 2), (3, 3, 4), (3, 4, 3),  # an early interest and a buy before the next one don't count
+        (4, 1, 7), (4, 2, 7), (4, 4, 7),  # the same hour counts as in order
+        (5, 3, 1), (5, 4, 2),  # never browsed
+        (None, 1, 1), (None, 2, 1), (None, 4, 1),  # nobody
+        (6, 1, 9), (6, 1, 2), (6, 2, 11), (6, 3, 4), (6, 4, 12), (6, 4, 3), (6, 0, 1),
+    ]
+    assert hours(spark, rows) == {1: (5, 6, 30), 2: (3, None, None), 3: (2, 4, None), 4: (7, 7, 7), 6: (2, 4, 12)}
+    got = {r["step"]: tuple(r)[1:] for r in funnel.ordered_funnel(frame(spark, rows)).collect()}
+    assert got["browse"] == (5, None, False, None)
+    assert got["interest"] == (4, 1 - 4 / 5, False, (1 + 2 + 0 + 2) / 4)
+    assert got["buy"] == (3, 1 - 3 / 4, True, (24 + 0 + 8) / 3)
+
+
+def test_one_day_and_own_steps(spark):
+    rows = [(1, 1, 1), (1, 2, 26), (1, 4, 27), (2, 1, 25), (2, 4, 26)]
+    assert hours(spark, rows, day="2014-12-02") == {2: (25, None, None)}
+    direct = funnel.ordered_funnel(frame(spark, rows), steps={"browse": (1,), "buy": (4,)}).collect()
+    assert [(r["step"], r["users"], r["is_largest"]) for r in direct] == [("browse", 2, False), ("buy", 2, True)]
+
+
+def test_hot_user_is_reduced_to_its_hours(spark):
+    rows = [(9, code, h) for h in range(0, 72) for code in (1, 2, 4) for _ in range(40)] + [(u, 1, u) for u in range(100, 300)]
+    actions = frame(spark, rows).repartition(6)
+    assert hours(spark, rows)[9] == (0, 0, 0)
+    reached = {r["step"]: r["users"] for r in funnel.ordered_funnel(actions).collect()}
+    assert reached == {"browse": 201, "interest": 1, "buy": 1}
+    again = funnel.ordered_funnel(pre_aggregate(actions)).collect()
+    assert again == funnel.ordered_funnel(actions).collect()
+
+
+def test_nobody(spark):
+    rows = funnel.ordered_funnel(frame(spark, [])).collect()
+    assert [(r["users"], r["loss"], r["is_largest"]) for r in rows] == [(0, None, False)] * 3
+
+
+def test_one_scan_two_shuffles_and_no_join(spark):
+    from paths import SF_SMALL
+    from shopflow.plans.catalog import actions
+
+    plan = funnel.ordered_funnel_times(actions(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+    assert "DataFilters: [(((event_type" in plan  # of behaviours and known users, at the scan
