@@ -1,7 +1,8 @@
 """All metric operators: ``(actions: DataFrame, *params) -> DataFrame``."""
 
 from shopflow.operators.funnel import funnel_counts, funnel_rates, funnel_step_loss, ordered_funnel, ordered_funnel_times
-from shopflow.operators.profile import dataset_profile, log_profile, missing_profile
+from shopflow.operators.outliers import activity, activity_cuts, outlier_groups, without_outliers
+from shopflow.operators.profile import dataset_profile, file_quality, log_profile, missing_profile
 from shopflow.operators.repurchase import (
     buys_by_user_date,
     pay_days_by_user,
@@ -42,5 +43,6 @@ from shopflow.operators.value import (
     user_item_purchases,
     user_purchases,
 )
+from shopflow.operators.visitors import count_visitors, number_users, uv_between, uv_by_period, uv_rolling, visitor_bitmaps
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in {"funnel", "profile", "repurchase", "traffic", "value"}]
+__all__ = [n for n in dir() if not n.startswith("_") and n not in {"funnel", "outliers", "profile", "repurchase", "traffic", "value", "visitors"}]

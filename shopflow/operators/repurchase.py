@@ -205,13 +205,17 @@ def repurchase_gap_histogram(actions: DataFrame) -> DataFrame:
 
 
 def repurchase_gap_cumulative(actions: DataFrame) -> DataFrame:
-    """O-34: histogram plus the running share of gaps up to each length.
+    """O-34: histogram plus the running share of gaps up to each length."""
+    return cumulative_share(repurchase_gap_histogram(actions))
+
+
+def cumulative_share(hist: DataFrame) -> DataFrame:
+    """``gap_days, n, cum_share`` of a histogram ``gap_days, n``.
 
     The running sum is an unpartitioned window, but over the histogram: at
     most one row per distinct gap length, which is bounded by the number of
     days the log spans, never by its rows.
     """
-    hist = repurchase_gap_histogram(actions)
     # Same ordering, two frames: one Window operator computes both sums.
     ordered = Window.orderBy("gap_days")
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -10,9 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shopflow.functions.ordering import by_frequency
-from shopflow.operators import funnel, profile, repurchase, traffic, value
+from shopflow.operators import funnel, outliers, profile, repurchase, traffic, value, visitors
 from shopflow.plans import sql_forms
+from shopflow.plans.batches import files_by_day, stored
 from shopflow.plans.messy_log import messy_lines, with_unknowns
+from shopflow.plans.store import ActionStore
 from shopflow.schema import pre_aggregate
 from shopflow.sources import sinks
 from shopflow.sources.events import read_events, table_path
@@ -56,6 +58,26 @@ def _messy(spark: SparkSession, sf_dir: str, layout: int = 7):
     return parse_lines(messy_lines(actions(spark, sf_dir), layout), layout=layout)
 
 
+def _on_visitors(fn, *args, keys=("date",)):
+    # Distinct users of many days from the bitmaps of each.
+    return lambda spark, sf_dir: fn(visitors.visitor_bitmaps(actions(spark, sf_dir), *keys), *args)
+
+
+_STORES: dict[tuple[str, str], ActionStore] = {}
+
+
+def _from_store(metric):
+    # The same metric from a store that has taken the log in three batches, late lines included.
+    # The store is filled once per session and folder; every metric reads it.
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _STORES:
+            _STORES[key] = stored(spark, actions(spark, sf_dir), DAY)
+        return metric(_STORES[key])
+
+    return query
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dataset_profile": _on(profile.dataset_profile),
     "missing_profile": _on(profile.missing_profile),
@@ -99,6 +121,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "repurchase_gap_cumulative": _on(repurchase.repurchase_gap_cumulative),
     "pv_behavior_pivot": _on(traffic.pv_behavior_pivot),
     "hourly_day_vs_overall": _on(traffic.hourly_day_vs_overall, DAY),
+    # Visitors of any days, from bitmaps per day.
+    "uv_rolling_7_days": _on_visitors(visitors.uv_rolling, 7),
+    "uv_by_week": _on_visitors(visitors.uv_by_period, "week"),
+    "uv_by_month": _on_visitors(visitors.uv_by_period, "month"),
+    "uv_by_hour_bitmaps": _on_visitors(visitors.count_visitors, "hour", keys=("date", "hour")),
+    # P-6: groups of actions that are far too many.
+    "activity_cuts": _on(outliers.activity_cuts),
+    "activity_cuts_daily": _on(outliers.activity_cuts, ("user_id", "date")),
+    "outlier_user_days": _on(outliers.outlier_groups, "q99", ("user_id", "date")),
+    "pv_uv_by_date_without_outliers": lambda spark, d: traffic.pv_uv_by_date(outliers.without_outliers(actions(spark, d), "q99", ("user_id", "date"))),
+    # S-3, P-5 per input file.
+    "file_quality": lambda spark, d: profile.file_quality(files_by_day(spark, actions(spark, d))),
+    # S-5, S-6: the log taken batch by batch.
+    "store_pv_uv_by_date": _from_store(lambda s: traffic.pv_uv_by_date(s.hourly())),
+    "store_arpu_by_date": _from_store(lambda s: value.arpu_by_date(s.hourly())),
+    "store_dataset_profile": _from_store(lambda s: s.dataset_profile()),
+    "store_missing_profile": _from_store(lambda s: s.missing_profile()),
+    "store_repurchase_mean_by_user": _from_store(lambda s: repurchase.repurchase_mean_by_user(s.purchases())),
+    "store_uv_rolling_7_days": _from_store(lambda s: visitors.uv_rolling(s.visitors(), 7)),
+    # O-30, O-33, O-34 over batches: from each batch's change of the histogram.
+    "store_repurchase_gap_histogram": _from_store(lambda s: s.gap_histogram()),
+    "store_repurchase_gap_cumulative": _from_store(lambda s: s.gap_cumulative()),
+    "store_last_purchase_days": _from_store(lambda s: s.last_purchase_days()),
     "parse_action_lines": lambda spark, d: _parsed(spark, d)[0],
     "rejected_lines": lambda spark, d: rejected_counts(_parsed(spark, d)[1]),
     # A log with header lines, cut fields, blank fields and ids that are no numbers, in both layouts.

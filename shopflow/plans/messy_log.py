@@ -17,8 +17,8 @@ BLANK = {"user_id": 1, "item_id": 2, "item_category": 3, "time": 4, "date": 5, "
 CUT, SPOILT = 0, 8
 
 
-def messy_lines(actions: DataFrame, layout: int = 7) -> DataFrame:
-    """One ``value`` line per event, and the header lines."""
+def messy_lines(actions: DataFrame, layout: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One ``value`` line per event, and the header lines, with the columns ``keep`` beside them."""
     fields = LAYOUT_7 if layout == 7 else LAYOUT_5
     variant = F.col("event_id") % 10
     day_hour = F.concat(F.col("date").cast("string"), F.lit(" "), F.lpad(F.col("hour").cast("string"), 2, "0"))
@@ -33,7 +33,7 @@ def messy_lines(actions: DataFrame, layout: int = 7) -> DataFrame:
     line = F.when(variant == CUT, F.concat_ws(",", *parts[:3])).otherwise(F.concat_ws(",", *parts))
     header = F.lit(",".join(fields))
     lines = F.when(F.col("event_id") % 50 == 0, F.array(header, line)).otherwise(F.array(line))
-    return actions.select(F.explode(lines).alias("value"))
+    return actions.select(F.explode(lines).alias("value"), *keep)
 
 
 def with_unknowns(actions: DataFrame) -> DataFrame:

@@ -333,6 +333,55 @@ ORACLE_SQL |= {
     "rejected_messy_lines": _q(f"SELECT {_REASONS_7} AS reason, count(*) AS n FROM M GROUP BY reason HAVING reason IS NOT NULL", _V),
     "rejected_messy_lines_5": _q(f"SELECT {_REASONS_5} AS reason, count(*) AS n FROM M GROUP BY reason HAVING reason IS NOT NULL", _V),
 }
+_BLANK_LINE = " OR ".join(f"({w})" for w in _BLANKS.values())
+ORACLE_SQL["file_quality"] = _q(
+    'SELECT strftime("date", \'%Y-%m-%d\') AS file, count(*) AS n_lines, '
+    f"count_if({_BLANK_LINE}) AS n_blank, count(reason) AS n_rejected, count(reason)::DOUBLE / count(*) AS reject_share, "
+    "(SELECT reason FROM R r2 WHERE r2.\"date\" = R.\"date\" AND reason IS NOT NULL GROUP BY reason "
+    "ORDER BY count(*) DESC, list_position(['field_count', 'user_id', 'item_id', 'behavior_type', 'item_category', 'time', 'date', 'hour'], reason) LIMIT 1) AS main_reason "
+    'FROM R GROUP BY "date"',
+    _V, f"R AS (SELECT *, {_REASONS_7} AS reason FROM M)",
+)
+
+
+def _cuts(keys: str) -> tuple[str, ...]:
+    """The cuts by DuckDB's own quantiles and moments over the groups themselves, not their histogram."""
+    return (
+        f"act AS (SELECT {keys}, count(*) AS n FROM A WHERE user_id IS NOT NULL GROUP BY {keys})",
+        "q AS (SELECT quantile_disc(n, 0.25)::DOUBLE AS q25, quantile_disc(n, 0.75)::DOUBLE AS q75, quantile_disc(n, 0.99)::DOUBLE AS q99, "
+        "quantile_disc(n, 0.999)::DOUBLE AS q999, sum(n)::DOUBLE / count(*) AS m, sum(n * n)::DOUBLE / count(*) AS m2 FROM act)",
+        "cuts AS (SELECT 'q99' AS rule, q99 AS cut FROM q UNION ALL SELECT 'q999', q999 FROM q "
+        "UNION ALL SELECT 'iqr', q75 + 1.5::DOUBLE * (q75 - q25) FROM q "
+        "UNION ALL SELECT 'mean_3sd', m + 3.0::DOUBLE * sqrt(greatest(m2 - m * m, 0.0::DOUBLE)) FROM q)",
+    )
+
+
+_BEYOND = (
+    "SELECT rule, cut, (SELECT count(*) FROM act WHERE n > cut) AS n_groups, "
+    "CAST((SELECT coalesce(sum(n), 0) FROM act WHERE n > cut) AS BIGINT) AS n_actions FROM cuts"
+)
+_USER_DAY = 'user_id, "date"'
+ORACLE_SQL |= {
+    "activity_cuts": _q(_BEYOND, *_cuts(_USER_DAY + ', "hour"')),
+    "activity_cuts_daily": _q(_BEYOND, *_cuts(_USER_DAY)),
+    "outlier_user_days": _q("SELECT act.*, cut FROM act, cuts WHERE rule = 'q99' AND n > cut", *_cuts(_USER_DAY)),
+    "pv_uv_by_date_without_outliers": _q(
+        'SELECT "date", count(*) AS pv, count(DISTINCT user_id) AS uv FROM A WHERE NOT EXISTS '
+        "(SELECT 1 FROM act, cuts WHERE rule = 'q99' AND n > cut AND act.user_id = A.user_id AND act.\"date\" = A.\"date\") GROUP BY \"date\"",
+        *_cuts(_USER_DAY),
+    ),
+    "uv_rolling_7_days": _q(
+        'SELECT e."date", count(DISTINCT user_id) AS uv FROM (SELECT DISTINCT "date" FROM A WHERE user_id IS NOT NULL) e '
+        'JOIN A ON A."date" BETWEEN e."date" - 6 AND e."date" GROUP BY e."date"'
+    ),
+    "uv_by_week": _q("SELECT CAST(date_trunc('week', \"date\") AS DATE) AS start, count(DISTINCT user_id) AS uv FROM A WHERE user_id IS NOT NULL GROUP BY start"),
+    "uv_by_month": _q("SELECT CAST(date_trunc('month', \"date\") AS DATE) AS start, count(DISTINCT user_id) AS uv FROM A WHERE user_id IS NOT NULL GROUP BY start"),
+    "uv_by_hour_bitmaps": ORACLE_SQL["uv_by_hour"],
+    "store_last_purchase_days": _q('SELECT user_id, max("date") AS last_date FROM A WHERE behavior_type = 4 AND user_id IS NOT NULL GROUP BY user_id'),
+}
+for _k in ("pv_uv_by_date", "arpu_by_date", "dataset_profile", "missing_profile", "repurchase_mean_by_user", "uv_rolling_7_days",
+           "repurchase_gap_histogram", "repurchase_gap_cumulative"):
+    ORACLE_SQL["store_" + _k] = ORACLE_SQL[_k]
 _S_LO, _S_LABEL = _bucket_sql((5, 10, 20))
 ORACLE_SQL["buy_count_distribution_small"] = _q(
     f"SELECT {_S_LO} AS bucket_lo, {_S_LABEL} AS bucket, count(*) AS users FROM u GROUP BY bucket_lo, bucket", _PER_USER

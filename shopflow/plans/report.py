@@ -11,13 +11,19 @@
 3. Metrics: every operator that needs no item column reads the hourly
    counts (day-level metrics touch one ``date=`` directory), the others the
    cleaned log; each writes under ``<out>/<metric>``; results reduced to key
-   cardinality are written as one file, sorted by their key columns.
+   cardinality are written as one file, the others as several, both in the
+   order of their key columns.
 4. The tables that the job itself staged are deleted when it ends well.
 
 Usage::
 
     spark-submit shopflow/plans/report.py --input hdfs:///logs/user_action.csv \\
         --layout 7 --out hdfs:///reports/run1 --day 2014-12-12
+
+A log that arrives in pieces goes to a store (:mod:`shopflow.plans.store`)
+piece by piece; the report then reads the store, not the log::
+
+    ... --store hdfs:///stores/actions --input hdfs:///logs/monday.csv --batch monday --out hdfs:///reports/run2
 """
 
 from __future__ import annotations
@@ -35,9 +41,10 @@ if __package__ in (None, ""):
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 from shopflow.functions.ordering import by_frequency, in_order  # noqa: E402
-from shopflow.operators import funnel, profile, repurchase, traffic, value  # noqa: E402
+from shopflow.operators import funnel, outliers, profile, repurchase, traffic, value  # noqa: E402
 from shopflow.sources import sinks  # noqa: E402
 from shopflow.sources.events import read_events  # noqa: E402
+from shopflow.plans.store import ActionStore  # noqa: E402
 from shopflow.schema import NATIVE, pre_aggregate  # noqa: E402
 from shopflow.session import ensure_checkpoint_dir  # noqa: E402
 from shopflow.sources.text_log import REJECT_REASON, for_table, parse_all, read_lines, read_parsed_table  # noqa: E402
@@ -58,6 +65,9 @@ METRICS = [
     ("funnel_rates", funnel.funnel_rates, False, True, False),
     ("funnel_rates_on_day", funnel.funnel_rates, True, True, False),
     ("funnel_step_loss", funnel.funnel_step_loss, False, True, False),
+    ("ordered_funnel", funnel.ordered_funnel, False, True, False),
+    ("ordered_funnel_times", funnel.ordered_funnel_times, False, False, False),
+    ("activity_cuts", outliers.activity_cuts, False, True, False),
     ("actions_by_date_user_behavior", value.actions_by_date_user_behavior, False, False, False),
     ("daily_consumption", value.daily_consumption, False, True, False),
     ("buys_by_date_user", value.buys_by_date_user, False, False, False),
@@ -71,6 +81,7 @@ METRICS = [
     ("buys_by_user_date", repurchase.buys_by_user_date, False, False, False),
     ("repurchase_gaps", repurchase.repurchase_gaps, False, False, False),
     ("repurchase_gap_lists", repurchase.repurchase_gap_lists, False, False, False),
+    ("repurchase_gap_list_parts", repurchase.repurchase_gap_list_parts, False, False, False),
     ("repurchase_gap_runs", repurchase.repurchase_gap_runs, False, False, False),
     ("repurchase_item_intervals", repurchase.repurchase_item_intervals, False, False, True),
     ("repurchase_mean_by_user", repurchase.repurchase_mean_by_user, False, False, True),
@@ -78,14 +89,22 @@ METRICS = [
     ("repurchase_gap_cumulative", repurchase.repurchase_gap_cumulative, False, True, False),
 ]
 
-# Written only when asked for by name: one string per user, which a string's size bounds.
-ON_REQUEST = {"repurchase_gap_lists"}
+# Written only when asked for by name: the lists written out, which ``repurchase_gap_runs`` has in little space.
+ON_REQUEST = {"repurchase_gap_lists", "repurchase_gap_list_parts"}
 
-# Key columns by which a reduced result is written in order (others: their first column).
+# Key columns by which a result is written in order (others: their first column).
 SORT_KEYS = {
     "pv_by_behavior_hour": ["behavior_type", "hour"],
     "funnel_step_loss": ["step"],
+    "ordered_funnel": ["step"],
     "buy_count_distribution": ["bucket_lo"],
+    "actions_by_date_user_behavior": ["date", "user_id", "behavior_type"],
+    "buys_by_date_user": ["date", "user_id"],
+    "buys_by_user_date": ["user_id", "date"],
+    "repurchase_gaps": ["user_id", "date"],
+    "repurchase_gap_list_parts": ["user_id", "part"],
+    "repurchase_gap_runs": ["user_id", "date"],
+    "repurchase_item_intervals": ["user_id", "item_id", "date"],
 }
 
 HOURLY_SCHEMA = "hour int, user_id bigint, behavior_type int, n_actions bigint, date date"
@@ -161,7 +180,7 @@ def hourly_counts(spark: SparkSession, actions: DataFrame, stage_dir: str | None
 
 def run(
     spark: SparkSession,
-    actions: DataFrame,
+    actions: DataFrame | None,
     out: str,
     day=None,
     rejects: DataFrame | None = None,
@@ -170,13 +189,22 @@ def run(
     parallel: int = 4,
     only=None,
     gaps_by_frequency: bool = False,
+    ordered: bool = True,
+    store: ActionStore | None = None,
 ) -> list[str]:
     """Write every metric under ``out``; returns the names written.
 
-    Reduced results are sorted by key; ``gaps_by_frequency`` puts the gap
+    T-1: results are sorted by key.  Those reduced to key cardinality are one
+    file; the others are range-partitioned by their keys and sorted within,
+    so that the files, in the order of their names, are one sorted list
+    (``ordered=False`` writes them as they come, a shuffle less).  ``gaps_by_frequency`` puts the gap
     histogram in the order of its counts instead, largest first.
-    ``repurchase_gap_lists`` is written only if ``only`` names it;
-    ``repurchase_gap_runs`` has the same content in rows of bounded size.
+    ``repurchase_gap_lists`` and ``repurchase_gap_list_parts`` are written
+    only if ``only`` names them; ``repurchase_gap_runs`` has the same content
+    in rows of bounded size.
+
+    With a ``store`` the metrics come from its tables, and ``actions`` is not
+    needed.
 
     With ``preaggregate`` (default) the metrics that need no item columns
     run on :func:`hourly_counts`; the operators count ``n_actions``, so the
@@ -188,7 +216,16 @@ def run(
     if unknown:
         raise ValueError(f"unknown metrics: {sorted(unknown)}")
     staged = None
-    if preaggregate and any(not m[4] for m in chosen):
+    own = {}
+    if store is not None:
+        actions, counts = store.purchases(), store.hourly()
+        own = {
+            "dataset_profile": store.dataset_profile,
+            "missing_profile": store.missing_profile,
+            "repurchase_gap_histogram": store.gap_histogram,
+            "repurchase_gap_cumulative": store.gap_cumulative,
+        }
+    elif preaggregate and any(not m[4] for m in chosen):
         staged = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hourly-{uuid.uuid4().hex}"
         counts = hourly_counts(spark, actions, staged)
     else:
@@ -198,14 +235,15 @@ def run(
         if needs_day and day is None:
             continue
         src = actions if raw_only else counts
-        jobs.append((name, op(src, day) if needs_day else op(src), reduced))
+        df = own[name]() if name in own else op(src, day) if needs_day else op(src)
+        jobs.append((name, df, reduced))
     if rejects is not None and (only is None or "rejected_lines" in only):
         by_reason = rejects.groupBy(REJECT_REASON).agg(F.count(F.lit(1)).alias("n"))
         jobs.append(("rejected_lines", by_reason, True))
 
     def save(job):
         name, df, reduced = job
-        if reduced:
+        if reduced or ordered:
             by_count = gaps_by_frequency and name == "repurchase_gap_histogram"
             df = by_frequency(df, "n") if by_count else in_order(df, *SORT_KEYS.get(name, df.columns[:1]))
         write(df, f"{out.rstrip('/')}/{name}", single_file=reduced)
@@ -222,7 +260,7 @@ def run(
 
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(description="user-behaviour report over an action log")
-    ap.add_argument("--input", required=True, help="text log path, or an events parquet path")
+    ap.add_argument("--input", default=None, help="text log path, or an events parquet path")
     ap.add_argument("--format", choices=["text", "events"], default="text")
     ap.add_argument("--layout", type=int, choices=[5, 7], default=7)
     ap.add_argument("--out", required=True, help="shared output folder")
@@ -235,13 +273,22 @@ def main(argv=None) -> None:
     ap.add_argument("--parallel", type=int, default=4, help="metric jobs submitted at once")
     ap.add_argument("--only", default=None, help="comma-separated metric names (default: all but repurchase_gap_lists)")
     ap.add_argument("--gaps-by-frequency", action="store_true", help="gap histogram by count, largest first")
+    ap.add_argument("--unsorted", action="store_true", help="per-user results as they come, not in key order")
+    ap.add_argument("--store", default=None, help="shared folder of the batch store: report from it")
+    ap.add_argument("--batch", default=None, help="with --store: add the input to it under this name first")
     args = ap.parse_args(argv)
+    if args.store is None and (args.input is None or args.batch is not None):
+        ap.error("--input is required without --store, and --batch needs --store")
+    if (args.input is None) != (args.batch is None) and args.store is not None:
+        ap.error("with --store, --input and --batch come together")
 
     from shopflow.session import build_session
 
     spark = build_session(app="shopflow-report")  # reads spark.checkpoint.dir from the cluster
-    own_stage = None
-    if args.format == "text":
+    own_stage = store = actions = rejects = None
+    if args.input is None:
+        pass
+    elif args.format == "text":
         if args.stage_dir is None:
             own_stage = f"{ensure_checkpoint_dir(spark).rstrip('/')}/actions-{uuid.uuid4().hex}"
         actions, rejects = ingest_text(
@@ -249,10 +296,16 @@ def main(argv=None) -> None:
         )
     else:
         actions, rejects = read_events(spark, args.input), None
+    if args.store is not None:
+        store = ActionStore(spark, args.store)
+        if args.batch is not None:
+            store.apply(args.batch, actions, rejects)
+        rejects = store.table("rejects")
     written = run(
         spark, actions, args.out, args.day, rejects,
         sink=args.sink, preaggregate=not args.no_preaggregate, parallel=args.parallel,
         only=args.only.split(",") if args.only else None, gaps_by_frequency=args.gaps_by_frequency,
+        ordered=not args.unsorted, store=store,
     )
     if own_stage:
         delete_folder(spark, own_stage)

@@ -63,6 +63,7 @@ def parse_all(
     mode: str = "permissive",
     column: str = "value",
     codes: dict[int, tuple] | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Parse text lines into one frame: the ACTIONS columns, ``reason``
     (NULL for a good line) and the original ``line``.  Header lines vanish.
@@ -74,20 +75,22 @@ def parse_all(
     ``mode='strict'`` makes the first rejected line fail the job.
     ``codes`` (P-4) reads logs with their own behaviour values: it maps each
     code to the texts that mean it, for instance ``{1: ("pv", "view")}``.
+    ``keep`` names further columns of ``lines`` that stay beside the line.
     """
     if layout not in (5, 7):
         raise ValueError("layout must be 5 or 7")
     if mode not in ("permissive", "strict"):
         raise ValueError("mode must be 'permissive' or 'strict'")
     headers = [_header(5), _header(7)]
-    body = lines.select(F.col(column).alias("line"))
+    body = lines.select(F.col(column).alias("line"), *keep)
 
     # Staged projections: each field is split, trimmed and cast once and then
     # referenced by name, which keeps the generated code small.
-    split = body.select("line", F.split("line", ",", -1).alias("parts"))
+    split = body.select("line", *keep, F.split("line", ",", -1).alias("parts"))
     parts = F.col("parts")
     raw = split.select(
         "line",
+        *keep,
         F.size(parts).alias("n_fields"),
         *[_field(parts, k).alias(f"f{k}") for k in range(layout)],
     )
@@ -95,6 +98,7 @@ def parse_all(
     t_shape = t.rlike(_TIME)
     typed = raw.select(
         "line",
+        *keep,
         "n_fields",
         "f0", "f1", "f3", "f4",
         F.col("f0").try_cast("bigint").alias("user_id"),
@@ -151,6 +155,7 @@ def parse_all(
         hour.alias("hour"),
         reason.alias(REJECT_REASON),
         F.col("line").alias("line"),
+        *[F.col(c).alias(c) for c in keep],
         # A header has a non-numeric first field; the text test runs only then.
         # (A leading byte-order mark, as spreadsheet exports write, is ignored.)
         (user_id.isNull() & F.lower(strip(F.replace("line", F.lit("\ufeff"), F.lit("")))).isin(headers))
@@ -183,16 +188,19 @@ def parse_lines(
     return good, rejects
 
 
-def read_lines(spark: SparkSession, path: str, spread: int | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, spread: int | None = None, with_file: bool = False) -> DataFrame:
     """Log lines from any Hadoop path (file, dir, glob).
 
     Plain text splits by block, so a large file is read in parallel.  A
     compressed file that cannot be split (gzip) is read by one task; with
     ``spread=N`` its lines are dealt round-robin to N partitions right after
     the read, so the parse and everything after it run in parallel even when
-    one such file holds a large share of the log.
+    one such file holds a large share of the log.  ``with_file`` adds
+    ``file``, the path of the file that each line is from.
     """
     lines = spark.read.text(path)
+    if with_file:
+        lines = lines.select("value", F.col("_metadata.file_path").alias("file"))
     return lines.repartition(spread) if spread else lines
 
 
