@@ -1,0 +1,103 @@
+"""The batch store: batches in any order equal one run, a batch that fails half-way can be applied again."""
+
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from paths import SF_SMALL
+from shopflow.operators import repurchase, traffic, value, visitors
+from shopflow.plans import report
+from shopflow.plans.catalog import actions
+from shopflow.plans.store import ActionStore
+from shopflow.sources.text_log import render_lines
+from test_fixture_log import BAD, GOOD, HEADER, write
+from test_ordered_funnel import frame
+from test_report import read_json_dir
+
+
+def rows(df):
+    return sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=str)
+
+
+def check(store, A):
+    """Every metric of the store against the same one on all actions."""
+    assert rows(traffic.pv_uv_by_date(store.hourly())) == rows(traffic.pv_uv_by_date(A))
+    assert rows(repurchase.repurchase_gap_runs(store.hourly())) == rows(repurchase.repurchase_gap_runs(A))
+    assert rows(repurchase.repurchase_mean_by_user(store.purchases())) == rows(repurchase.repurchase_mean_by_user(A))
+    assert rows(store.gap_histogram()) == rows(repurchase.repurchase_gap_histogram(A))
+    days = value.user_purchases(A).groupBy("user_id").agg(F.max("date").alias("last_date"))
+    assert rows(store.last_purchase_days()) == rows(days)
+    assert rows(visitors.count_visitors(store.visitors(), "date")) == rows(A.where("user_id IS NOT NULL").groupBy("date").agg(F.count_distinct("user_id").alias("uv")))
+
+
+def test_late_lines_and_days_between_known_ones(spark, scratch):
+    rng = random.Random(3)
+    log = [(rng.choice([1, 2, 3, 10**15, -7, None]), rng.choice([1, 2, 4, 4]), rng.randrange(24 * 20)) for _ in range(400)]
+    order = sorted(log, key=lambda r: r[2])
+    store = ActionStore(spark, os.path.join(scratch, "store"))
+    parts = [order[:100], order[200:], order[100:200], [], log[:40]]  # the third lies between, the last once more
+    for i, part in enumerate(parts):
+        days = store.apply(f"b{i}", frame(spark, part))
+        assert days == sorted({r.date for r in frame(spark, part).collect()})
+    check(store, frame(spark, [r for p in parts for r in p]))
+    assert store.batches() == ["b0", "b1", "b2", "b3", "b4"]
+    assert store.apply("b2", frame(spark, log)) == []  # known: nothing happens
+    # Users have one number each, of their own.
+    numbers = store.table("users").collect()
+    assert len({r["user_id"] for r in numbers}) == len({r["number"] for r in numbers}) == len(numbers) == 5
+    assert not os.path.exists(os.path.join(scratch, "store", "working", "b0"))
+
+
+@pytest.mark.parametrize("fail_at", [7, 10, 13])
+def test_a_batch_that_fails_is_applied_again(spark, scratch, monkeypatch, fail_at):
+    store = ActionStore(spark, os.path.join(scratch, "store"))
+    first, second = [(u, c, h) for u in (1, 2) for c in (1, 4) for h in (3, 60)], [(u, 4, h) for u in (1, 2, 3) for h in (30, 60, 90)]
+    store.apply("one", frame(spark, first))
+    done, once = [], ActionStore._once
+
+    def failing(self, *args):
+        done.append(args[1])
+        if len(done) == fail_at:
+            raise RuntimeError("lost")
+        once(self, *args)
+
+    monkeypatch.setattr(ActionStore, "_once", failing)
+    with pytest.raises(RuntimeError):
+        store.apply("two", frame(spark, second))
+    assert store.batches() == ["one"]
+    assert rows(store.gap_histogram()) == rows(repurchase.repurchase_gap_histogram(frame(spark, first)))
+    store.apply("two", frame(spark, second))
+    check(store, frame(spark, first + second))
+
+
+def test_report_from_a_store_equals_the_report_of_the_whole_log(spark, scratch):
+    """Two text files as two batches, rejects included, through the command line."""
+    A = actions(spark, SF_SMALL).where("behavior_type > 0")
+    lines = [r[0] for r in render_lines(A).collect()]
+    random.Random(1).shuffle(lines)
+    one, two, both = (write(os.path.join(scratch, f), x) for f, x in (("1.csv", [HEADER, *lines[:500], *BAD]), ("2.csv", [HEADER, *lines[500:], *GOOD]), ("all.csv", [*lines, *BAD, *GOOD])))
+    store, out, whole = (os.path.join(scratch, x) for x in ("store", "out", "whole"))
+    report.main(["--store", store, "--input", one, "--batch", "1", "--out", out, "--only", "pv_uv_by_date"])
+    report.main(["--store", store, "--input", two, "--batch", "2", "--out", out, "--day", "2024-01-12"])
+    report.main(["--input", both, "--out", whole, "--day", "2024-01-12"])
+    names = sorted(n for n in os.listdir(whole) if not n.startswith("."))
+    assert names == sorted(n for n in os.listdir(out) if not n.startswith(".")) and len(names) > 25
+    for name in names:
+        assert sorted(map(str, read_json_dir(os.path.join(out, name)))) == sorted(map(str, read_json_dir(os.path.join(whole, name)))), name
+    with pytest.raises(SystemExit):
+        report.main(["--store", store, "--input", one, "--out", out])
+
+
+def test_per_user_results_are_sorted_across_files(spark, scratch):
+    A = actions(spark, SF_SMALL)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        report.run(spark, A, scratch, only=["buys_by_user_date", "actions_by_date_user_behavior", "repurchase_gap_runs"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for name, keys in (("buys_by_user_date", ("user_id", "date")), ("actions_by_date_user_behavior", ("date", "user_id", "behavior_type")), ("repurchase_gap_runs", ("user_id", "date"))):
+        found = [tuple(r.get(k) or "" if k == "date" else r.get(k, -1) for k in keys) for r in read_json_dir(os.path.join(scratch, name))]
+        assert found == sorted(found) and len(found) > 100, name
+        assert len([f for f in os.listdir(os.path.join(scratch, name)) if f.endswith(".json")]) > 3, name
