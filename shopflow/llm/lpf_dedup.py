@@ -2,24 +2,29 @@
 
 A byte goes if a string of ``length`` bytes that covers it also starts in a
 document with a smaller id.  Whether it does is read off the suffixes in
-their order: of each suffix the nearest ones before and after it that belong
-to a smaller document hold its longest previous factor, and the string
-repeats if that is at least ``length``.
+their order: going from a suffix to the nearest ones before and after it that
+belong to a smaller document, the common prefix that is left on the way is
+its longest previous factor, and the string repeats if that is at least
+``length``.
 
 Only suffixes that can match are ordered together.  The smallest hash of all
 16-byte strings within ``length`` bytes is the same in every copy, so such
 anchors meet in Spark by their hash:
 
-1. Documents are packed into blocks, compressed, in a bucketed table, which
-   each later step reads by bucket instead of shuffling texts.
+1. Documents are packed into blocks, compressed, with the places of their
+   anchors, in a table bucketed by block, which each later step reads by
+   bucket instead of shuffling texts.
 2. Each block sends its distinct anchors once; a window over each hash tells
    the blocks which of theirs occur in more than one document.
-3. Those anchors' contexts, all the strings they stand for, go to the task of
-   their hash, once per block.  There the suffixes are ordered and the
-   previous factors found.  An anchor with very many occurrences sends each
-   of its strings by the string's own hash instead, so what meets in a task
-   is one row per block, however common a passage is.
-4. The answers come back by block, and the documents are put together.
+3. Of those anchors' contexts, all the strings they stand for, a block sends
+   a hash.  Where all contexts of an anchor are the same text, that text's
+   smallest document is all there is to know.
+4. The others go to the task of their anchor as text, once per block.  There
+   the suffixes are ordered and the previous factors found.  An anchor with
+   very many occurrences sends each of its strings by the string's own hash
+   instead, so what meets in a task is one row per block, however common a
+   passage is.
+5. The answers come back by block, and the documents are put together.
 
 Memory is bounded by a block and by a run of contexts with one hash.
 """
@@ -77,15 +82,18 @@ class Block:
     stands for start at ``low[i]`` to ``high[i]``, in document ``doc[i]``.
     """
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, data: np.ndarray, length: int):
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, data: np.ndarray, length: int, anchors: bytes | None = None):
         self.ids, self.sizes, self.data, self.length = ids, sizes, data, length
         self.ends = np.cumsum(sizes)
         n, width = len(data) - length + 1, length - SEED_BYTES + 1
         none = np.zeros(0, np.int64)
-        self.low = self.high = self.doc = none
+        self.low = self.high = self.first = self.doc = none
         self.key = np.zeros(0, np.uint64)
         if n <= 0:
             return
+        if anchors is not None:
+            self._place(*self._unpacked(anchors))
+            return
         at = np.empty(n, np.int32)
         for i in range(0, n, _CHUNK):  # pieces that a core's cache holds
             part = data[i : i + _CHUNK + length - 1]
@@ -100,11 +108,31 @@ class Block:
             return
         a = at[p]
         new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1)]))
-        self.low, self.high = p[new], p[np.append(new[1:], len(p)) - 1]
-        first = a[new].astype(np.int64)
-        self.key = _seeds(_words_at(data, first), _words_at(data, first + 8))
+        self._place(p[new], p[np.append(new[1:], len(p)) - 1], a[new].astype(np.int64))
+
+    def _place(self, low: np.ndarray, high: np.ndarray, first: np.ndarray) -> None:
+        self.low, self.high, self.first = low, high, first
+        if not len(low):
+            return
+        self.key = _seeds(_words_at(self.data, first), _words_at(self.data, first + 8))
         self.doc = np.searchsorted(self.ends, self.low, side="right")
 
+    def packed(self) -> bytes:
+        """The anchors' places, as distances that are mostly zero or small."""
+        if not len(self.low):
+            return b""
+        skipped = self.low - np.concatenate([[0], self.high[:-1] + 1])
+        parts = [skipped.astype("<u4"), (self.high - self.low).astype(np.uint8), (self.first - self.low).astype(np.uint8)]
+        return b"".join(p.tobytes() for p in parts)
+
+    @staticmethod
+    def _unpacked(anchors: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(anchors) // 6
+        skipped = np.frombuffer(anchors, "<u4", n).astype(np.int64)
+        wide, inner = np.frombuffer(anchors, np.uint8, n, 4 * n).astype(np.int64), np.frombuffer(anchors, np.uint8, n, 5 * n).astype(np.int64)
+        high = np.cumsum(skipped + wide + 1) - 1
+        return high - wide, high, high - wide + inner
+
     @staticmethod
     def _smallest(data: np.ndarray, width: int) -> np.ndarray:
         """For each string the place of its seed with the smallest hash, the first of equal ones."""
@@ -133,11 +161,12 @@ class Block:
         np.maximum.at(highest, place, ids)
         return keys, place, 1 + (lowest < highest), times
 
-    def contexts(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    def contexts(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The contexts of the repeated keys (their places times two, plus one for heavy ones).
 
         Per occurrence its start, its number of strings, its document and the
-        distinct context it shows; then the hashes and the distinct contexts.
+        distinct context it shows; per distinct context an occurrence of it,
+        the hash by which it meets others, and the hash of its text.
         """
         keys, place, _, _ = self.distinct()
         state = np.zeros(len(keys), np.int8)
@@ -148,28 +177,40 @@ class Block:
         start = np.concatenate([self.low[light], np.repeat(self.low[heavy], counts) + inner])
         strings = np.concatenate([self.high[light] - self.low[light] + 1, np.ones(len(inner), np.int64)])
         doc = np.concatenate([self.doc[light], np.repeat(self.doc[heavy], counts)])
+        key, shown = self._hashes(start, strings + (self.length - 1))
+        key[: len(light)] = self.key[light]  # heavy ones meet by their string's own hash
+        order = np.lexsort((shown, key))
+        new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (shown[order][1:] != shown[order][:-1])]) if len(order) else np.zeros(0, bool)
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        first = order[new]
+        return start, strings, doc, which, first, key[first], shown[first]
+
+    def _hashes(self, start: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the bytes at ``start``, of ``sizes`` (at least eight) bytes each."""
+        one, two = sizes.astype(np.uint64) * _A, sizes.astype(np.uint64) * _B
+        for j in range(0, int(sizes.max(initial=0)), 8):  # the last word may overlap the one before
+            on = np.flatnonzero(sizes > j)  # contexts that reach so far
+            word = _words_at(self.data, start[on] + np.minimum(j, sizes[on] - 8))
+            one[on], two[on] = _mixed(one[on] ^ word), _mixed((two[on] + word) * _B)
+        return one, two
+
+    def texts(self, start: np.ndarray, strings: np.ndarray) -> list[bytes]:
+        """The contexts' bytes."""
         raw = self.data.tobytes()
-        shown: dict[bytes, int] = {}
-        ends = start + strings + (self.length - 1)
-        which = np.fromiter((shown.setdefault(raw[i:j], len(shown)) for i, j in zip(start.tolist(), ends.tolist(), strict=True)), np.int64, len(start))
-        first = np.full(len(shown), len(start), np.int64)
-        np.minimum.at(first, which, np.arange(len(start)))
-        seed = np.concatenate([self.key[light], np.zeros(len(inner), np.uint64)])
-        if len(inner):
-            own = np.full(len(inner), 7, np.uint64)
-            for j in [*range(0, self.length - 7, 8), self.length - 8]:
-                own = _mixed(own * _A + _words_at(self.data, start[len(light) :] + j))
-            seed[len(light) :] = own
-        return start, strings, doc, which, seed[first], list(shown)
+        return [raw[i:j] for i, j in zip(start.tolist(), (start + strings + (self.length - 1)).tolist(), strict=True)]
 
 
 def previous_factors(contexts: list[bytes], docs: np.ndarray, length: int) -> np.ndarray:
     """For distinct contexts with the smallest document of each: bit j says that string j is in a smaller document.
 
     The suffixes at every string of every context are put in the order of
-    their first ``length`` bytes.  Among neighbours that agree in all of
-    these, the previous and the next smaller value of the document are found
-    by jumping: from a neighbour that is not smaller to that one's own answer.
+    their first ``length`` bytes, with the common prefix of each and the one
+    before.  From each suffix, jumps lead to the previous and to the next one
+    of a smaller document: from a neighbour that is not smaller to that one's
+    own answer, the common prefix shrinking to the least one on the way.  The
+    larger of the two is the longest previous factor, as far as ``length``
+    bytes; a way ends where it falls below.
     """
     sizes = np.array([len(c) for c in contexts], np.int64)
     data = np.frombuffer(b"".join(contexts) + bytes(8), np.uint8)
@@ -178,7 +219,7 @@ def previous_factors(contexts: list[bytes], docs: np.ndarray, length: int) -> np
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     start = (np.cumsum(sizes) - sizes)[owner] + inner
     masks = np.zeros(len(contexts), np.uint64)
-    # Suffixes whose first, middle and last words are alone have no equal: they need no place in the order.
+    # Suffixes whose first, middle and last words are alone have no previous factor of that length: they need no place in the order.
     w = _words(data)
     look = _mixed(w[start] ^ _mixed(w[start + (length // 2 - 4)] ^ _mixed(w[start + length - 8])))
     sorted_ = np.argsort(look)
@@ -191,29 +232,31 @@ def previous_factors(contexts: list[bytes], docs: np.ndarray, length: int) -> np
     pads = np.zeros((len(some), -length % 8), np.uint8)
     columns = np.concatenate([text, pads], 1).view(">u8").astype(np.uint64)
     order = np.lexsort(columns.T[::-1])
-    value = docs[owner[some]][order]
-    agree = np.concatenate([[False], (columns[order][1:] == columns[order][:-1]).all(1)])  # common prefix with the one before: all of it
-    run = np.cumsum(~agree) - 1
-    n = len(value)
-    smaller = np.zeros(n, bool)
+    value, text = docs[owner[some]][order], text[order]
+    n = len(order)
+    common = np.zeros(n + 1, np.int64)  # of each suffix and the one before; none at the ends
+    for i in range(0, n - 1, 1 << 16):
+        apart = text[i + 1 : i + 1 + (1 << 16)] != text[i : i + (1 << 16)][: n - 1 - i]
+        common[i + 1 : i + 1 + len(apart)] = np.where(apart.any(1), apart.argmax(1), length)
+    factor = np.zeros(n, np.int64)
     for step in (-1, 1):
         at = np.arange(n) + step
-        while True:
-            fits = (at >= 0) & (at < n)
-            fits[fits] = run[at[fits]] == run[fits]
-            open_ = fits.copy()
-            open_[fits] = value[at[fits]] >= value[fits]
-            if not open_.any():
+        prefix = (common[:-1] if step < 0 else common[1:]).copy()
+        while True:  # prefix is the least one on the way to ``at``
+            open_ = np.flatnonzero(prefix >= length)
+            open_ = open_[value[at[open_]] >= value[open_]]
+            if not len(open_):
                 break
+            prefix[open_] = np.minimum(prefix[open_], prefix[at[open_]])
             at[open_] = at[at[open_]]
-        smaller |= fits
-    hit = some[order[smaller]]
+        factor = np.maximum(factor, prefix)
+    hit = some[order[factor >= length]]
     np.bitwise_or.at(masks, owner[hit], np.uint64(1) << inner[hit].astype(np.uint64))
     return masks
 
 
-def _packed(docs: DataFrame, text: str, doc_id: str, block_bytes: int) -> DataFrame:
-    """Rows ``ids, sizes, data``: documents in blocks of about ``block_bytes``."""
+def _packed(docs: DataFrame, text: str, doc_id: str, block_bytes: int, length: int) -> DataFrame:
+    """Rows ``ids, sizes, data, anchors``: documents in blocks of about ``block_bytes``."""
 
     def pack(batches):
         ids: list[int] = []
@@ -223,8 +266,11 @@ def _packed(docs: DataFrame, text: str, doc_id: str, block_bytes: int) -> DataFr
 
         def block() -> pa.RecordBatch:
             raw = b"".join(parts)
-            row = [np.array(ids, np.int64).tobytes(), np.array([len(p) for p in parts], np.int64).tobytes(), codec.compress(raw, asbytes=True)]
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], ["ids", "sizes", "data"])
+            numbers, sizes = np.array(ids, np.int64), np.array([len(p) for p in parts], np.int64)
+            anchors = Block(numbers, sizes, np.frombuffer(raw, np.uint8), length).packed()
+            row = [numbers.tobytes(), sizes.tobytes(), codec.compress(raw, asbytes=True), codec.compress(anchors, asbytes=True)]
+            values = [*[pa.array([x], pa.binary()) for x in row], pa.array([len(anchors)], pa.int64())]
+            return pa.RecordBatch.from_arrays(values, ["ids", "sizes", "data", "anchors", "n_anchors"])
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -238,21 +284,58 @@ def _packed(docs: DataFrame, text: str, doc_id: str, block_bytes: int) -> DataFr
             yield block()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(pack, "ids binary, sizes binary, data binary")
+    return rows.mapInArrow(pack, "ids binary, sizes binary, data binary, anchors binary, n_anchors long")
 
 
 def _unpacked(row: dict, length: int) -> Block:
     sizes = np.frombuffer(row["sizes"], np.int64)
     data = pa.decompress(row["data"], decompressed_size=int(sizes.sum()), codec="zstd", asbytes=True) if sizes.sum() else b""
-    return Block(np.frombuffer(row["ids"], np.int64), sizes, np.frombuffer(data, np.uint8), length)
+    anchors = pa.decompress(row["anchors"], decompressed_size=row["n_anchors"], codec="zstd", asbytes=True) if row["n_anchors"] else b""
+    return Block(np.frombuffer(row["ids"], np.int64), sizes, np.frombuffer(data, np.uint8), length, anchors)
 
 
-def _blocks(docs: DataFrame, text: str, doc_id: str, block_bytes: int, buckets: int) -> DataFrame:
-    """The blocks in a table bucketed by ``block``: joins by block don't shuffle the texts."""
+#: Columns that a block is unpacked from.
+_BLOCK = ("block", "ids", "sizes", "data", "anchors", "n_anchors")
+
+
+def _blocks(docs: DataFrame, text: str, doc_id: str, block_bytes: int, buckets: int, length: int) -> DataFrame:
+    """The blocks in a table bucketed by ``block``: joins by block don't shuffle the texts.
+
+    The table has a name only until its files are known; they stay in the
+    shared folder, as all that is staged.
+    """
+    spark = docs.sparkSession
     name = f"llm_blocks_{uuid.uuid4().hex}"
-    packed = _packed(docs, text, doc_id, block_bytes).withColumn("block", F.monotonically_increasing_id())
-    packed.write.bucketBy(buckets, "block").format("parquet").option("path", shared_path(docs.sparkSession)).saveAsTable(name)
-    return docs.sparkSession.table(name)
+    packed = _packed(docs, text, doc_id, block_bytes, length).withColumn("block", F.monotonically_increasing_id())
+    packed.write.bucketBy(buckets, "block").format("parquet").option("path", shared_path(spark)).saveAsTable(name)
+    blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return blocks
+
+
+def _least(b: Block, doc: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
+    """The smallest id of each of a block's ``n`` distinct contexts."""
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, which, b.ids[doc])
+    return least
+
+
+def _runs(batches, rows: int = 40_000):
+    """Tables of about ``rows`` rows from batches sorted by ``key``, none of which ends within a key."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            table = pa.Table.from_batches(held)
+            keys = np.asarray(table.column("key"))
+            cut = int(np.searchsorted(keys, keys[-1], side="left"))  # the last key may go on
+            if cut:
+                yield table.slice(0, cut)
+                held, n = table.slice(cut).to_batches(), len(keys) - cut
+    if n:
+        yield pa.Table.from_batches(held)
 
 
 def remove_repeated(
@@ -272,7 +355,7 @@ def remove_repeated(
     spark = docs.sparkSession
     python_path(spark)
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = _blocks(docs, text, doc_id, block_bytes, buckets or shuffle)
+    blocks = _blocks(docs, text, doc_id, block_bytes, buckets or shuffle, length)
 
     def anchors(batches):
         for batch in batches:
@@ -283,7 +366,7 @@ def remove_repeated(
                 about = (np.arange(n, dtype=np.int64) << 10) | (np.minimum(times, 255) << 2) | in_docs
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(n, row["block"], np.int64)), pa.array(about)], ["key", "block", "about"])
 
-    seen = blocks.select("block", "ids", "sizes", "data").mapInArrow(anchors, "key long, block long, about long")
+    seen = blocks.select(*_BLOCK).mapInArrow(anchors, "key long, block long, about long")
     by_key = Window.partitionBy("key")
     # One row per block and key: two rows, or one with two documents, make it a repeated one.
     # (Two blocks may hold the same id twice; such contexts simply find no smaller document.)
@@ -291,83 +374,91 @@ def remove_repeated(
     told = counted.filter("docs > 1").select("block", (F.shiftright("about", 10) * 2 + F.when(F.col("times") > heavy, 1).otherwise(0)).cast("int").alias("place"))
     told = staged(told.groupBy("block").agg(F.collect_list("place").alias("places")).withColumnRenamed("block", "of"))
 
-    asked = blocks.join(told, F.col("block") == F.col("of"))
+    held_by = blocks.join(told, F.col("block") == F.col("of"))
 
     def contexts(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 b = _unpacked(row, length)
-                _, _, doc, which, keys, bodies = b.contexts(np.array(row["places"], np.int64))
-                least = np.full(len(keys), np.iinfo(np.int64).max)
-                np.minimum.at(least, which, b.ids[doc])
+                _, _, doc, which, first, keys, shown = b.contexts(np.array(row["places"], np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.view(np.int64)), pa.array(shown.view(np.int64)), pa.array(np.full(len(keys), row["block"], np.int64)), pa.array(np.arange(len(keys), dtype=np.int32)), pa.array(_least(b, doc, which, len(keys)))],
+                    ["key", "shown", "block", "place", "doc"],
+                )
+
+    sent = held_by.select(*_BLOCK, "places").mapInArrow(contexts, "key long, shown long, block long, place int, doc long")
+
+    def compared(batches):
+        for table in _runs(batches):
+            key, shown, doc = (np.asarray(table.column(c)) for c in ("key", "shown", "doc"))
+            order = np.lexsort((doc, shown, key))
+            new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (shown[order][1:] != shown[order][:-1])])
+            text = np.empty(len(order), np.int64)  # number of the context's text
+            text[order] = np.cumsum(new) - 1
+            least = doc[order[new]]
+            _, same, texts = np.unique(key[order[new]], return_inverse=True, return_counts=True)
+            several = texts[same.reshape(-1)] > 1
+            # A block knows its own smallest document: it hears of smaller ones, and of contexts that differ.
+            news = np.flatnonzero((least[text] < doc) | several[text])
+            yield pa.RecordBatch.from_arrays(
+                [*[table.column(c).combine_chunks().take(pa.array(news)) for c in ("block", "place")], pa.array(least[text[news]]), pa.array(several[text[news]])], ["block", "place", "first", "differs"]
+            )
+
+    met = sent.repartition(shuffle, "key").sortWithinPartitions("key")
+    equal = met.mapInArrow(compared, "block long, place int, first long, differs boolean")
+    equal = equal.groupBy("block").agg(F.collect_list(F.struct("place", "first", "differs")).alias("equal"))
+    equal = staged(equal.withColumnRenamed("block", "equal_of"))
+
+    differing = held_by.join(equal.filter(F.exists("equal", lambda x: x["differs"])), F.col("block") == F.col("equal_of"))
+
+    def bodies(batches):
+        for batch in batches:
+            answered = batch.column("equal")
+            for i, row in enumerate(batch.select([*_BLOCK, "places"]).to_pylist()):
+                b = _unpacked(row, length)
+                start, strings, doc, which, first, keys, _ = b.contexts(np.array(row["places"], np.int64))
+                own = answered[i].values
+                place = np.asarray(own.field("place"))[np.asarray(own.field("differs"))]
+                least = _least(b, doc, which, len(keys))[place]
+                texts = b.texts(start[first[place]], strings[first[place]])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(bodies, pa.binary()), pa.array(np.full(len(keys), row["block"], np.int64)), pa.array(np.arange(len(keys), dtype=np.int32)), pa.array(least)],
+                    [pa.array(keys[place].view(np.int64)), pa.array(texts, pa.binary()), pa.array(np.full(len(place), row["block"], np.int64)), pa.array(place.astype(np.int32)), pa.array(least)],
                     ["key", "context", "block", "place", "doc"],
                 )
 
-    sent = asked.select("block", "ids", "sizes", "data", "places").mapInArrow(contexts, "key long, context binary, block long, place int, doc long")
+    sent = differing.select(*_BLOCK, "places", "equal").mapInArrow(bodies, "key long, context binary, block long, place int, doc long")
     met = sent.repartition(shuffle, "key").sortWithinPartitions("key")
 
     def factors(batches):
-        held: list[pa.RecordBatch] = []
-        rows = 0
-
-        def answer(table: pa.Table) -> pa.RecordBatch:
+        for table in _runs(batches):
             bodies = table.column("context").to_pylist()
-            docs_ = np.asarray(table.column("doc"))
             place: dict[bytes, int] = {}
             which = np.fromiter((place.setdefault(c, len(place)) for c in bodies), np.int64, len(bodies))
             least = np.full(len(place), np.iinfo(np.int64).max)
-            np.minimum.at(least, which, docs_)
-            # A key with one context has no other to match.
-            distinct, keys = list(place), np.zeros(len(place), np.int64)
-            keys[which] = np.asarray(table.column("key"))
-            _, same, times = np.unique(keys, return_inverse=True, return_counts=True)
-            some = np.flatnonzero(times[same] > 1)
-            masks = np.zeros(len(place), np.uint64)
-            masks[some] = previous_factors([distinct[i] for i in some], least[some], length)
-            # A block knows its own smallest document: it hears of smaller ones and of matches inside.
-            news = np.flatnonzero((least[which] < docs_) | (masks[which] != 0))
-            which = which[news]
-            return pa.RecordBatch.from_arrays(
-                [table.column("block").combine_chunks().take(pa.array(news)), table.column("place").combine_chunks().take(pa.array(news)), pa.array(least[which]), pa.array(masks[which].view(np.int64))],
-                ["block", "place", "first", "mask"],
-            )
+            np.minimum.at(least, which, np.asarray(table.column("doc")))
+            masks = previous_factors(list(place), least, length)
+            news = np.flatnonzero(masks[which] != 0)
+            yield pa.RecordBatch.from_arrays([*[table.column(c).combine_chunks().take(pa.array(news)) for c in ("block", "place")], pa.array(masks[which[news]].view(np.int64))], ["block", "place", "mask"])
 
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= 40_000:
-                table = pa.Table.from_batches(held)
-                keys = np.asarray(table.column("key"))
-                cut = int(np.searchsorted(keys, keys[-1], side="left"))  # the last key may go on
-                if cut:
-                    yield answer(table.slice(0, cut))
-                    held, rows = table.slice(cut).to_batches(), len(keys) - cut
-        if rows:
-            yield answer(pa.Table.from_batches(held))
-
-    answers = met.mapInArrow(factors, "block long, place int, first long, mask long")
-    lists = answers.groupBy("block").agg(F.collect_list(F.struct("place", "first", "mask")).alias("answers"))
-    lists = staged(lists.withColumnRenamed("block", "answered"))
-    final = blocks.join(told, F.col("block") == F.col("of"), "left").join(lists, F.col("block") == F.col("answered"), "left")
+    found = met.mapInArrow(factors, "block long, place int, mask long")
+    found = staged(found.groupBy("block").agg(F.collect_list(F.struct("place", "mask")).alias("factors")).withColumnRenamed("block", "factors_of"))
+    final = blocks.join(told, F.col("block") == F.col("of"), "left").join(equal, F.col("block") == F.col("equal_of"), "left").join(found, F.col("block") == F.col("factors_of"), "left")
 
     def assembled(batches):
         for batch in batches:
-            answered = batch.column("answers")
-            for i, row in enumerate(batch.select(["block", "ids", "sizes", "data", "places"]).to_pylist()):
+            answered, matched = batch.column("equal"), batch.column("factors")
+            for i, row in enumerate(batch.select([*_BLOCK, "places"]).to_pylist()):
                 b = _unpacked(row, length)
                 edge = np.zeros(len(b.data) + 1, np.int32)
                 if row["places"]:
-                    start, strings, doc, which, keys, shown = b.contexts(np.array(row["places"], np.int64))
-                    del shown
-                    first, mask = np.full(len(keys), np.iinfo(np.int64).max), np.zeros(len(keys), np.uint64)
-                    np.minimum.at(first, which, b.ids[doc])
+                    start, strings, doc, which, _, keys, _ = b.contexts(np.array(row["places"], np.int64))
+                    first, mask = _least(b, doc, which, len(keys)), np.zeros(len(keys), np.uint64)
                     if answered[i].is_valid:
                         own = answered[i].values
-                        order = np.asarray(own.field("place"))
-                        first[order] = np.asarray(own.field("first"))
-                        mask[order] = np.asarray(own.field("mask")).view(np.uint64)
+                        first[np.asarray(own.field("place"))] = np.asarray(own.field("first"))
+                    if matched[i].is_valid:
+                        own = matched[i].values
+                        mask[np.asarray(own.field("place"))] = np.asarray(own.field("mask")).view(np.uint64)
                     bits = np.where(b.ids[doc] > first[which], np.uint64(0xFFFFFFFFFFFFFFFF), mask[which])
                     for j in range(int(strings.max(initial=0))):
                         hit = (strings > j) & ((bits >> np.uint64(j)) & np.uint64(1)).astype(bool)
@@ -390,7 +481,7 @@ def remove_repeated(
                     out["kept"].append(kept if texts else None)
                 yield pa.RecordBatch.from_pydict(out, schema=_RESULT)
 
-    return final.select("block", "ids", "sizes", "data", "places", "answers").mapInArrow(assembled, _RESULT_SQL)
+    return final.select(*_BLOCK, "places", "equal", "factors").mapInArrow(assembled, _RESULT_SQL)
 
 
 _RESULT = pa.schema([

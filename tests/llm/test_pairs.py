@@ -195,6 +195,28 @@ def test_repeated_bytes_edges(spark, documents, edges):
     assert remove_repeated(documents([])).count() == 0
 
 
+def test_dedup_leaves_no_table_behind(spark, documents):
+    before = {t.name for t in spark.catalog.listTables()}
+    text = "a passage that two documents share, and that is longer than fifty bytes of text. "
+    got = remove_repeated(documents([(1, text, "en", "a"), (2, "x" + text, "en", "a")]))
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert {r["doc_id"]: (r["n_removed"], r["kept"]) for r in got.collect()} == {1: (0, bytearray(text.encode())), 2: (len(text), bytearray(b"x"))}
+
+
+def test_longest_previous_factors_decide():
+    """Random contexts over few letters against a plain search in smaller documents."""
+    rng = random.Random(4)
+    for _ in range(30):
+        base = bytes(rng.choice(b"ab") for _ in range(90))
+        contexts = list({base[(s := rng.randrange(20)) : s + rng.randrange(30, 60)] if rng.random() < 0.8 else bytes(rng.choice(b"ab") for _ in range(40)) for _ in range(12)})
+        docs = np.array([rng.randrange(6) for _ in contexts])
+        got = previous_factors(contexts, docs, 30)
+        for c, doc, mask in zip(contexts, docs, got):
+            for j in range(len(c) - 29):
+                earlier = any(c[j : j + 30] in o for o, d in zip(contexts, docs) if d < doc)
+                assert bool(int(mask) >> j & 1) == earlier
+
+
 def test_previous_factors_of_small_contexts():
     text = b"0123456789" * 8
     masks = previous_factors([text[:50], text[:60], text[5:60]], np.array([5, 3, 9]), 50)
