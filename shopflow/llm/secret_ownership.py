@@ -6,13 +6,14 @@ Every candidate's hash is counted over distinct repositories and owners in
 the whole corpus: a value that many owners copied is an example, one that
 stays with its owner looks live.
 
-Only DataFrame functions: a text is split at a pattern's matches, and the
-lengths of the pieces and of the matches give the spans in code points.
+Only DataFrame functions: a text is split at a pattern's matches, and running
+sums of the lengths of the pieces and of the matches give the spans in code
+points.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -30,41 +31,41 @@ GENERIC = r"[A-Za-z0-9_-]{20,}"
 KINDS = ["assign", "access", "hex", "owned"]
 
 
-def spans_of(text: Column, pattern: str) -> Column:
-    """Structs ``start, end, match`` of the leftmost non-overlapping matches, in code points."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    both = F.arrays_zip(matches.alias("m"), F.slice(F.transform(gaps, lambda g: F.length(g)), 1, F.size(matches)).alias("g"))
-    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)").alias("out"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["g"] + F.length(x["m"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + F.length(x["m"])).alias("end"), x["m"].alias("match")))).alias("out"),
-    )
-    return F.aggregate(both, empty, step, lambda acc: acc["out"])
-
-
-def _none() -> Column:
-    return F.expr("cast(array() as array<struct<kind:int,start:int,end:int,value:string>>)")
+_FOUND = "array<struct<kind:int,gap:int,match:string>>"
 
 
-def candidates(text: Column) -> dict[str, Column]:
-    """Arrays of ``kind, start, end, value`` by kind; ``kind`` is the place in KINDS."""
+def matches_of(kind: int, text: Column, pattern: str) -> Column:
+    """Structs ``kind, gap, match`` of the leftmost non-overlapping matches; ``gap`` is the code points since the one before."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.slice(F.transform(F.split(text, pattern, -1), lambda g: F.length(g)), 1, F.size(matches))
+    typed = F.transform(F.arrays_zip(matches.alias("m"), gaps.alias("g")), lambda x: F.struct(F.lit(kind).alias("kind"), x["g"].alias("gap"), x["m"].alias("match")))
+    return F.when(text.rlike(pattern), typed).otherwise(F.expr(f"cast(array() as {_FOUND})"))
 
-    def typed(kind: int, spans: Column, value) -> Column:
-        return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), value(s["match"]).alias("value")))
 
-    def where(pattern: str, found: Column) -> Column:
-        return F.when(text.rlike(pattern), found).otherwise(_none())
+def spans_of(found: DataFrame) -> DataFrame:
+    """One row per span of ``found`` (``row``, ``matches`` and others): ``kind, start, end, value``.
 
-    whole = lambda m: m
-    assign = F.filter(typed(0, spans_of(text, ASSIGN), lambda m: F.regexp_extract(m, ASSIGN_VALUE, 1)), lambda s: F.length(s["value"]) >= 12)
-    mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]")
-    return {
-        "assign": where(ASSIGN, assign),
-        "access": where(ACCESS, typed(1, spans_of(text, ACCESS), whole)),
-        "hex": where(HEX, typed(2, spans_of(text, HEX), whole)),
-        "generic": where(GENERIC, F.filter(typed(3, spans_of(text, GENERIC), whole), mixed)),
-    }
+    Places are running sums over the matches of a row and kind, in windows:
+    the work grows with the number of matches, also of one text that has
+    millions.  Matches whose value is too short, or not of the mixed shape,
+    count in the sums and go then.  Spans of the generic kind go where a base
+    span overlaps them: one that begins before reaches into them, or the
+    next one begins before their end.
+    """
+    others = [c for c in found.columns if c != "matches"]
+    each = found.select(*others, F.posexplode("matches").alias("pos", "m")).select(*others, "pos", "m.kind", "m.gap", "m.match")
+    so_far = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = each.withColumn("end", F.sum(F.col("gap") + F.length("match")).over(so_far).cast("int"))
+    value = F.when(F.col("kind") == 0, F.regexp_extract("match", ASSIGN_VALUE, 1)).otherwise(F.col("match"))
+    spans = placed.select(*others, "kind", (F.col("end") - F.length("match")).alias("start"), "end", value.alias("value"))
+    mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[a-z]") & F.col("value").rlike("[A-Z]")
+    spans = spans.filter(F.when(F.col("kind") == 0, F.length("value") >= 12).when(F.col("kind") == 3, mixed).otherwise(True))
+    base = F.col("kind") < 3
+    before = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = spans.withColumn("reached", F.max(F.when(base, F.col("end"))).over(before)).withColumn("next", F.min(F.when(base, F.col("start"))).over(after))
+    covered = (F.coalesce(F.col("reached"), F.lit(0)) > F.col("start")) | F.coalesce(F.col("next") < F.col("end"), F.lit(False))
+    return met.filter(base | ~covered).drop("reached", "next")
 
 
 def ownership(found: DataFrame, most_owners: int = 1) -> DataFrame:
@@ -92,20 +93,17 @@ def scan_secrets(
 
     ``base`` has the spans of the three fixed kinds, ``spans`` also those of
     the generic shape whose value at most ``most_owners`` owners hold, and
-    that no base span covers.  Null texts are empty and have no spans;
-    repeated rows each keep their spans and count as one repository.
+    that no base span overlaps.  Null texts are empty and have no spans;
+    repeated rows each keep their spans and count as one repository.  The
+    work grows in proportion to a text's length and its matches: a text of
+    millions of matches is one row whose spans are sorted like others.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kinds = candidates(F.col("text"))
-    found = staged(rows.select("doc_id", "repository", "owner", *[c.alias(k) for k, c in kinds.items()]).withColumn("row", F.expr("uuid()")))
-    base = F.concat("assign", "access", "hex")
-    fresh = F.filter("generic", lambda g: ~F.exists("base", lambda b: (b["start"] < g["end"]) & (g["start"] < b["end"])))
-    split = found.withColumn("base", base).withColumn("all", F.concat("base", fresh))
-    each = staged(
-        split.select("row", "repository", "owner", F.explode("all").alias("s")).select(
-            "row", "repository", "owner", "s.kind", "s.start", "s.end", F.sha2(F.col("s.value"), 256).alias("value_hash")
-        )
-    )
+    patterns = (ASSIGN, ACCESS, HEX, GENERIC)
+    matches = F.concat(*[matches_of(kind, F.col("text"), pattern) for kind, pattern in enumerate(patterns)])
+    found = staged(rows.select("doc_id", "repository", "owner", matches.alias("matches")).withColumn("row", F.expr("uuid()")))
+    each = spans_of(found.select("row", "repository", "owner", "matches"))
+    each = staged(each.select("row", "repository", "owner", "kind", "start", "end", F.sha2("value", 256).alias("value_hash")))
     known = staged(ownership(each.select("value_hash", "repository", "owner"), most_owners).withColumnRenamed("value_hash", "hash"))
     rated = each.join(known, F.col("value_hash") == F.col("hash")).filter((F.col("kind") < 3) | F.col("live"))
     per_row = rated.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "n_repositories", "n_owners", "live"))).alias("spans"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -293,6 +294,25 @@ def test_secret_spans_match_patterns(spark, documents, edges):
     assert scan_secrets(documents([])).count() == 0
 
 
+def test_secrets_of_very_long_texts(spark, documents):
+    """Hundreds of thousands of matches in one text, of all kinds and overlapping: the same spans, in seconds."""
+    rng = random.Random(2)
+    runs = "\n".join(f"{rng.getrandbits(96):024x}" for _ in range(120_000))
+    mixed = " ".join(rng.choice([f"token={rng.getrandbits(80):020x}", f"AKIA{rng.getrandbits(70)}", f"key_{rng.getrandbits(90):X}aZ", "plain words"]) for _ in range(60_000))
+    began = time.time()
+    got = scan_secrets(documents([(1, runs, "en", "a"), (2, mixed, "en", "b"), (3, runs[:100], "en", "c")]))
+    got = {r["doc_id"]: r["b"] for r in got.select("doc_id", span_text(F.col("base")).alias("b")).collect()}
+    assert time.time() - began < 90
+    assert got == {1: _base(runs), 2: _base(mixed), 3: _base(runs[:100])}
+
+
+def test_generic_spans_give_way_to_base_ones(spark, documents):
+    generic = "Zx9Kq2Lm4Np6Rs8Tv0Wy1Ab3"
+    texts = {1: generic, 2: f"secret={generic}", 3: f"{generic} token: 0123456789abcd", 4: f"0123456789abcdef {generic} 0123456789abcdef", 5: f"Zq_{'0123456789abcdef'}_X9{generic}"}
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in scan_secrets(documents([(i, t, "en", "a") for i, t in texts.items()])).collect()}
+    assert got == {1: [3], 2: [0], 3: [3, 0], 4: [2, 3, 2], 5: [2]}
+
+
 def test_ownership_separates_examples_from_live_values(spark, documents):
     live, copied = "Zx9Kq2Lm4Np6Rs8Tv0Wy1Ab3", "EXAMPLEexample0123456789key"
     rows = [(1, f"use {live} here", "en", "a"), (2, f"again {live}", "en", "a"), *((10 + i, f"see {copied}", "en", f"s{i}") for i in range(4)), (20, f"token = {live}", "en", None)]
