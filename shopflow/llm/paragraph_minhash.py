@@ -15,9 +15,14 @@ script without blanks is a word.
 2. Each node has ``bands`` keys of ``rows`` MinHashes.  With 6 x 2 a pair of
    similarity 0.8 meets with probability 0.998, one of 0.3 with 0.43.
 3. Nodes with a common key are compared: each with the following ones of its
-   bucket where a bucket holds at most ``bucket`` nodes, and block against
-   block where it holds more, which gives the links that join a block's
-   nodes, not all pairs.  The exact Jaccard similarity decides.
+   bucket, where a bucket holds at most ``bucket`` nodes.  Larger buckets come
+   from what many paragraphs share, such as an opening, and most of their
+   nodes are not similar.  Two sets of similarity 0.8 share one of the rarest
+   fifth of their shingles, so the nodes of large buckets meet again by each
+   of these: a common opening then brings nothing together.  Groups that are
+   large even so hold copies with small changes: they are compared block
+   against block, which gives the links that join a block's nodes, not all
+   pairs.  The exact Jaccard similarity decides.
 4. Components of the links are the classes; the first paragraph of a class,
    by doc_id and position, stays and the later ones are removed.
 """
@@ -36,8 +41,8 @@ from .graph import components
 from .ranks import hashed
 
 SHINGLE = 5
-#: Nodes up to which those to be verified are broadcast, 8 bytes each.
-BROADCAST_ROWS = 2_000_000
+#: Numbers of nodes or documents that are broadcast: up to 60 bytes each as measured, 30 MB.
+BROADCAST_ROWS = 500_000
 _SPACES: list[np.ndarray] = []
 #: Scripts without blanks between words: Thai, Lao, Burmese, Khmer, kana, Han (first and last code point).
 _UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
@@ -167,7 +172,7 @@ class Paragraphs:
         return out.view(np.int64)
 
 
-def _groups(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def _groups(texts: list[str], most: int = 400_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``most`` characters together."""
     begin = size = 0
     for i, t in enumerate(texts):
@@ -211,8 +216,12 @@ def band_rows(docs: DataFrame, text: str, bands: int, rows: int, least: int = SH
     return docs.select(F.col(text).alias("text")).mapInArrow(found, "key long, node long")
 
 
-def shingle_sets(docs: DataFrame, text: str, wanted: DataFrame, least: int = SHINGLE) -> DataFrame:
-    """``node, shingles`` of the nodes in ``wanted`` (column ``node``)."""
+def shingle_sets(docs: DataFrame, text: str, doc_id: str, every: DataFrame, wanted: DataFrame, least: int = SHINGLE) -> DataFrame:
+    """``node, shingles`` of the nodes in ``wanted`` (column ``node``).
+
+    Only one document of each node (of ``every``, the occurrences) is cut
+    again, as long as their ids can be broadcast; beyond that, all are.
+    """
 
     def found(batches):
         for batch in batches:
@@ -224,36 +233,64 @@ def shingle_sets(docs: DataFrame, text: str, wanted: DataFrame, least: int = SHI
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(node), lists], ["node", "shingles"])
 
+    rows = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc"))
+    holders = staged(every.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc")).alias("of")).select("of.doc").distinct())
+    if holders.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(holders.withColumnRenamed("doc", "of")), F.col("doc").eqNullSafe(F.col("of")), "left_semi")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    every = docs.select(F.col(text).alias("text")).mapInArrow(found, "node long, shingles array<long>")
-    return every.join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
+    cut = rows.select("text").mapInArrow(found, "node long, shingles array<long>")
+    return cut.join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
 
 
-def _similar(a, b, least: float):
-    common = F.size(F.array_intersect(a, b))
-    return common >= F.lit(least) * (F.size(a) + F.size(b) - common)
+def _rare_shingles(sets: DataFrame, least_similarity: float) -> DataFrame:
+    """``key, node``: for each node its rarest shingles, one of which it shares with every node as similar as that.
+
+    Of ``n`` shingles two such nodes share ``least_similarity * n`` at least,
+    so that leaving out one fewer than that many leaves one in common; which
+    ones are left out is the same for all nodes if they go by rarity.  Those
+    that no other node has bring nothing together.
+    """
+    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    times = each.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("times"))
+    ranked = each.join(times, F.col("key") == F.col("of")).withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("times", "key")))
+    shared = F.ceil(F.lit(least_similarity) * F.col("n") - F.lit(1e-9))
+    return ranked.filter((F.col("rank") <= F.col("n") - shared + 1) & (F.col("times") > 1)).select("key", "node")
 
 
-def links(docs: DataFrame, text: str, least_similarity: float = 0.8, bands: int = 6, rows: int = 2, bucket: int = 32, block: int = 512, least: int = SHINGLE) -> DataFrame:
-    """``a, b``: nodes of similar paragraphs."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _met(rows: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """From ``key, node``: the pairs ``a, b`` of keys with at most ``bucket`` nodes, and ``key, node, n`` of the others."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # One shuffle serves the distinct rows and the windows of a bucket.
-    dealt = band_rows(docs, text, bands, rows, least).repartition(n, "key").dropDuplicates(["key", "node"])
-    by_key = Window.partitionBy("key")
-    ordered = by_key.orderBy("node")
+    dealt = rows.repartition(n, "key").dropDuplicates(["key", "node"])
+    ordered = Window.partitionBy("key").orderBy("node")
     counted = dealt.withColumn("n", F.count(F.lit(1)).over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn(
         "next", F.collect_list("node").over(ordered.rowsBetween(1, bucket - 1))
     )
     met = staged(counted.filter("n > 1").select("key", "node", "n", F.when(F.col("n") <= bucket, F.col("next")).alias("next")))
-    pairs = staged(met.filter(f"n <= {bucket}").select(F.col("node").alias("a"), F.explode("next").alias("b")).distinct())
-    large = met.filter(f"n > {bucket}").select("key", "node", "n")
-    wanted = staged(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct())
-    sets = staged(shingle_sets(docs, text, wanted, least))
+    return met.filter(f"n <= {bucket}").select(F.col("node").alias("a"), F.explode("next").alias("b")), met.filter(f"n > {bucket}").select("key", "node", "n")
+
+
+def _similar(a, b, least: float):
+    common = F.size(F.array_intersect(a, b))
+    return common >= F.lit(least) * (F.size(a) + F.size(b) - common)
+
+
+def links(
+    docs: DataFrame, every: DataFrame, text: str, doc_id: str, least_similarity: float = 0.8, bands: int = 6, rows: int = 2, bucket: int = 32, block: int = 512, least: int = SHINGLE
+) -> DataFrame:
+    """``a, b``: nodes of similar paragraphs; ``every`` are the occurrences in ``docs``."""
+    pairs, large = _met(band_rows(docs, text, bands, rows, least), bucket)
+    pairs = staged(pairs.distinct())
+    crowd = staged(large.select("node").distinct())
+    wanted = staged(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowd).distinct())
+    sets = staged(shingle_sets(docs, text, doc_id, every, wanted, least))
+    more, large = _met(_rare_shingles(sets.join(crowd, "node", "left_semi"), least_similarity), bucket)
+    pairs = pairs.unionByName(more).distinct()
     left, right = (sets.select(F.col("node").alias(f"n{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
     close = pairs.join(left, F.col("a") == F.col("na")).join(right, F.col("b") == F.col("nb")).filter(_similar(F.col("sa"), F.col("sb"), least_similarity)).select("a", "b")
 
-    # Buckets of more nodes: block against block, each block of about ``block`` nodes.
+    # Groups of more nodes: block against block, each block of about ``block`` nodes.
     blocks = F.ceil(F.col("n") / block)
     placed = large.withColumn("blocks", blocks).withColumn("i", F.pmod(hashed(F.col("node"), seed=4), F.col("blocks")))
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi")))
@@ -287,7 +324,7 @@ def later_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """``doc, place, start, end, first_doc, first_place``: the paragraphs that repeat an earlier one."""
     python_path(docs.sparkSession)
     every = staged(occurrences(docs, text, doc_id, least))
-    roots = staged(components(links(docs, text, least=least, **options)).withColumnRenamed("node", "of"))
+    roots = staged(components(links(docs, every, text, doc_id, least=least, **options)).withColumnRenamed("node", "of"))
     classed = staged(every.join(roots, F.col("node") == F.col("of"), "left").select("doc", "place", "start", "end", F.coalesce("root", "node").alias("class")))
     firsts = staged(
         classed.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place", "end")).alias("first")).filter("n > 1").select(F.col("class").alias("c"), "first")

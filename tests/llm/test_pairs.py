@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ import xxhash
 from shopflow.llm.graph import components
 from shopflow.llm.line_windows import drop_later_lines
 from shopflow.llm.lpf_dedup import previous_factors, remove_repeated
-from shopflow.llm.paragraph_minhash import SHINGLE, paragraph_duplicates
+from shopflow.llm.paragraph_minhash import SHINGLE, _rare_shingles, paragraph_duplicates
 from shopflow.llm.simhash_popcount import links, majority_bits, near_groups, one_of_each_group
 
 
@@ -270,6 +271,44 @@ def test_paragraphs_match_brute_force(spark, documents):
         assert got == want
 
 
+def _openings(rng, n, copies):
+    """Texts of one opening and own words after it; every ``copies``-th is followed by a copy with one word changed."""
+    opening = " ".join(f"open{i}" for i in range(14))
+    out = []
+    for i in range(n):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(30)]
+        out.append(f"{opening} {' '.join(own)}")
+        if i % copies == 0:
+            out.append(f"{opening} {' '.join([*own[:-1], 'changed'])}")
+    return out
+
+
+def test_a_shared_opening_brings_nothing_together(spark, documents):
+    """Work grows with the number of texts, not with its square, and the near copies among them are found."""
+    rng = random.Random(12)
+    took = []
+    for n in (1500, 6000):
+        texts = _openings(rng, n, 50)
+        began = time.time()
+        found = {r["doc_id"] for r in paragraph_duplicates(documents([(i, t, "en", "a") for i, t in enumerate(texts)])).collect() if r["spans"]}
+        took.append(time.time() - began)
+        assert found == {i for i, t in enumerate(texts) if t.endswith("changed")}
+    assert took[1] < 5 * took[0]
+
+
+def test_similar_sets_share_a_rare_shingle(spark):
+    rng = random.Random(13)
+    sets = {}
+    for i in range(120):
+        base = sets[rng.choice(list(sets))] if sets and rng.random() < 0.6 else [rng.randrange(300) for _ in range(rng.randrange(1, 25))]
+        sets[i] = sorted(set(base[: len(base) - rng.randrange(3)] + [rng.randrange(300) for _ in range(rng.randrange(2))])) or [1]
+    rare = {}
+    for r in _rare_shingles(spark.createDataFrame([(i, x) for i, x in sets.items()], "node long, shingles array<long>"), 0.8).collect():
+        rare.setdefault(r["node"], set()).add(r["key"])
+    near = [(a, b) for a in sets for b in range(a) if len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))]
+    assert len(near) > 20 and all(rare[a] & rare[b] for a, b in near)
+
+
 def test_paragraph_edges(spark, documents, edges):
     got = paragraph_duplicates(documents(edges))
     assert got.count() == len(edges)
