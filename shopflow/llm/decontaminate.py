@@ -1,8 +1,9 @@
 """Benchmark decontamination (2): template windows with typed placeholders.
 
-A text becomes a sequence of template tokens: numbers, units after a number
-and capitalised words inside a sentence are placeholders, other words their
-lower-case letters and digits.  Windows of template tokens of the benchmark
+A text becomes a sequence of template tokens: numbers, in digits or words,
+units after digits and capitalised words inside a sentence are placeholders,
+other words their lower-case letters and digits.  A sign of a script without
+blanks is a word.  Windows of template tokens of the benchmark
 are hash-joined with those of the documents, so a question whose numbers,
 units or names were changed still meets its original.  A window with a name
 is looked up twice, with the name as a word and with its placeholder.
@@ -23,6 +24,11 @@ but ``least`` of them may be missing.  Pairs of document and item start from
 those, so a phrase that very many items share makes no pairs by itself, and
 nothing is lost.
 
+An item shorter than a window has its whole template instead.  A phrase so
+short says little inside a text, so it is found where a line of a document
+is that template, with slots that agree; if it has fewer than two words
+beside its slots, with the same values in them.
+
 Only DataFrame functions.
 """
 
@@ -40,6 +46,17 @@ UNITS = (
     "year years dollar dollars euro euros cent cents usd eur percent mph kmh kph hz khz mhz w kw volt volts degree degrees celsius fahrenheit"
 ).split()
 
+_ONES = "one two three four five six seven eight nine".split()
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+# Numbers in words, as they are without punctuation ("twenty-one" is "twentyone").
+NUMBER_WORDS = [
+    *"zero ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million billion dozen".split(),
+    *_ONES, *_TENS, *[t + o for t in _TENS for o in _ONES],
+]
+
+#: Thai, Lao, Burmese, Khmer, kana, Han: scripts without blanks between words.
+_UNSPACED = r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}]"
+
 #: Placeholders: private-use characters, put before the word they stand for.
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
 _MARKS = NUMBER + UNIT + NAME
@@ -60,7 +77,22 @@ def template_text(text: Column) -> Column:
     free = F.translate(F.coalesce(text, F.lit("")), _MARKS + _SYMBOLS, "")
     named = F.regexp_replace(free, _NAME, NAME + "$1")
     numbered = F.when(named.rlike("[0-9]"), F.regexp_replace(named, _NUMBER, f"{NUMBER}$1 {UNIT}$2 ")).otherwise(named)
-    return F.lower(F.regexp_replace(numbered, _OTHER, ""))
+    plain = F.regexp_replace(numbered, _OTHER, "")
+    return F.lower(F.when(plain.rlike(_UNSPACED), F.regexp_replace(plain, f"({_UNSPACED})", " $1 ")).otherwise(plain))
+
+
+def template_tokens(text: Column) -> Column:
+    """The template tokens: placeholders are put before what they stand for."""
+    words = F.filter(F.split(template_text(text), SPACE), lambda x: (x != "") & (x != UNIT))
+    return F.transform(words, lambda x: F.when(x.isin(*NUMBER_WORDS), F.concat(F.lit(NUMBER), x)).otherwise(x))
+
+
+def _mark(token: Column) -> Column:
+    return F.substring(token, 1, 1)
+
+
+def _value(token: Column) -> Column:
+    return F.substring(token, 2, 1 << 30)
 
 
 def template_windows(rows: DataFrame, key: list[str], text: str, window: int) -> DataFrame:
@@ -70,10 +102,9 @@ def template_windows(rows: DataFrame, key: list[str], text: str, window: int) ->
     Every token is hashed once, and a window's hash is that of its tokens'
     hashes; only the windows around placeholders are looked at more closely.
     """
-    tokens = rows.select(*key, template_text(F.col(text)).alias("_t")).select(
-        *key, F.col("_t").rlike(f"[{_MARKS}]").alias("_marked"), F.filter(F.split("_t", SPACE), lambda x: (x != "") & (x != UNIT)).alias("_w")
-    )
-    first = lambda x: F.substring(x, 1, 1)
+    tokens = rows.select(*key, template_tokens(F.col(text)).alias("_w"))
+    tokens = tokens.withColumn("_marked", F.exists("_w", lambda x: _mark(x).isin(*_MARKS)))
+    first = _mark
     no_slots = F.expr("cast(array() as array<string>)")
     no_starts = F.expr("cast(array() as array<int>)")
 
@@ -95,7 +126,7 @@ def template_windows(rows: DataFrame, key: list[str], text: str, window: int) ->
         return F.struct(i.alias("pos"), F.xxhash64(*[F.get(F.col(of), i + j) for j in range(window)]).alias("h"), slots.alias("slots"))
 
     def filled(starts: Column, of: str, marks: str) -> Column:
-        held = lambda i: F.transform(F.filter(F.slice("_w", i + 1, window), lambda x: first(x).isin(*marks)), lambda x: F.substring(x, 2, 1 << 30))
+        held = lambda i: F.transform(F.filter(F.slice("_w", i + 1, window), lambda x: first(x).isin(*marks)), _value)
         return F.filter(F.transform(starts, lambda i: whole(i, of, held(i))), lambda w: F.size(w["slots"]) <= window - 2)
 
     free = F.when(F.size("_near") == 0, F.col("_starts")).otherwise(F.array_except("_starts", "_near"))
@@ -131,8 +162,9 @@ def contaminated(
     """``_key, items``: documents that hold benchmark items, with the sorted distinct item ids.
 
     ``_key`` is ``document_key``.  Items of fewer than ``window`` template
-    words, null and empty ones among them, identify nothing; so do shorter
-    documents.  Repeated items and repeated documents are each found.
+    words are found as lines; null and empty ones, and those of punctuation
+    alone, identify nothing.  Repeated items and repeated documents are each
+    found.
     """
     items = staged(template_windows(benchmark, [item_id], item_text, window).select(F.col(item_id).alias("item"), "pos", "h", F.col("slots").alias("original")).distinct())
     frequency = staged(items.groupBy("h").agg(F.count_distinct("item").alias("n")).select(F.col("h").alias("bh"), "n"))
@@ -173,12 +205,47 @@ def contaminated(
     banded = banded.withColumn("band", F.floor((F.col("shift") + F.col("half") * width / 2) / width)).drop("reach", "shift").distinct()
     copies = agreeing(banded, [*whole, "scale", "half", "band"]).join(enough, "item").filter("found >= needed").select(*whole).distinct()
     held = at_once.unionByName(copies)
+    short = short_items(benchmark, item_text, item_id, window)
+    if not short.isEmpty():
+        held = held.unionByName(_lines_of(keyed, short))
     return held.groupBy(F.col("doc").alias("_key")).agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
+def _short_forms(tokens: DataFrame, key: str) -> DataFrame:
+    """``key, h, slots`` of whole templates ``_w``: with names as words and as placeholders; slot values count in ``h`` where little else does."""
+
+    def form(marks: str) -> Column:
+        slots = F.transform(F.filter("_w", lambda x: _mark(x).isin(*marks)), _value)
+        template = F.transform("_w", lambda x: F.when(_mark(x).isin(*marks), _mark(x)).otherwise(F.ltrim(x, F.lit(NAME))))
+        telling = F.size("_w") - F.size(slots) >= 2
+        return F.struct(F.xxhash64(template, F.when(~telling, slots)).alias("h"), slots.alias("slots"))
+
+    return tokens.select(key, F.explode(F.array_distinct(F.array(form(NUMBER + UNIT), form(_MARKS)))).alias("f")).select(key, "f.h", "f.slots")
+
+
+def short_items(benchmark: DataFrame, item_text: str, item_id: str, window: int) -> DataFrame:
+    """``item, h, original``: the forms of the items that are shorter than a window."""
+    tokens = benchmark.select(F.col(item_id).alias("item"), template_tokens(F.col(item_text)).alias("_w"))
+    forms = _short_forms(tokens.filter((F.size("_w") > 0) & (F.size("_w") < window)), "item")
+    return staged(forms.withColumnRenamed("slots", "original").distinct())
+
+
+def _lines_of(keyed: DataFrame, short: DataFrame) -> DataFrame:
+    """``doc, item``: documents with a line that is a short item's template with slots that agree."""
+    lines = keyed.select("doc", F.explode(F.split("text", "\n")).alias("line")).distinct()
+    longest = short.agg(F.max(F.size("original"))).first()[0]  # no more slots than a window has words
+    tokens = lines.select("doc", template_tokens(F.col("line")).alias("_w"))
+    forms = _short_forms(tokens.filter(F.size("_w") > 0), "doc").filter(F.size("slots") <= longest)
+    if short.count() <= BROADCAST_ROWS:
+        short = F.broadcast(short)
+    met = forms.join(short.withColumnRenamed("h", "sh"), F.col("h") == F.col("sh")).withColumn("s", F.arrays_zip("original", "slots"))
+    agree = F.forall("s", lambda x: F.forall("s", lambda y: (x["original"] != y["original"]) | (x["slots"] == y["slots"])))
+    return met.filter(agree).select("doc", "item").distinct()
+
+
 def document_key(doc_id: Column, text: Column) -> Column:
-    """One number for a document's id and text, so that rows which share an id keep their own findings."""
-    return F.xxhash64(text, doc_id)
+    """A document's id and the hash of its text, so that rows which share an id keep their own findings."""
+    return F.struct(doc_id.alias("id"), F.xxhash64(text).alias("hash"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:

@@ -148,6 +148,24 @@ def test_decontamination_cases(spark, documents, text, hit):
     assert [r["items"] for r in got] == [[1] if hit else None]
 
 
+def test_short_items_and_scripts_without_blanks(spark, documents):
+    items = ["to be or not", "白日依山尽黄河入海流欲穷千里目更上一层楼", "Is 7 prime?", "Yes", "你好", "42"]
+    hits = {
+        1: ("to be or not", [1]), 2: ("Before it.\n  To be, or not?\nafter it", [1]), 3: ("some say to be or not to be is the question here", None),
+        4: ("他说白日依山尽黄河入海流欲穷千里目更上一层楼是名句", [2]), 5: ("白日依山尽，黄河入海流。", None), 6: ("Is 11 prime?", [3]), 7: ("is it prime", None),
+        8: ("yes\nno", [4]), 9: ("yes and no", None), 10: ("你好", [5]), 11: ("你好吗", None), 12: ("42", [6]), 13: ("43", None), 14: ("", None), 15: (None, None),
+    }
+    got = {r["doc_id"]: r["items"] for r in decontaminate(documents([(i, t, "zh", "a") for i, (t, _) in hits.items()]), _items(spark, items)).collect()}
+    assert got == {i: want for i, (_, want) in hits.items()}
+
+
+def test_numbers_in_words_are_numbers(spark, documents):
+    item = "Tom has seven red apples and gives five of them to Mary, who eats twenty-one green pears a week. How many are left?"
+    texts = [item.replace("seven", "four").replace("five", "three"), item.replace("seven", "12").replace("five", "9").replace("twenty-one", "30"), item.replace("red apples and gives", "dogs but never sells")]
+    got = [r["items"] for r in sorted(decontaminate(documents([(i, t, "en", "a") for i, t in enumerate(texts)]), _items(spark, [item])).collect(), key=lambda r: r["doc_id"])]
+    assert got == [[1], [1], None]
+
+
 def test_slots_that_disagree_dont_count(spark, documents):
     item = "it takes 3 men 4 days to dig 3 holes with 3 spades and 4 carts while 3 women need 4 days for 4 walls"
     same = "it takes 8 men 9 days to dig 8 holes with 8 spades and 9 carts while 8 women need 9 days for 9 walls"
