@@ -14,8 +14,11 @@ their ranks tell which windows hold enough of them: larger blocks, then more
 blocks on either side.  Where windows that do would meet as many places as
 the table has rows, every query is compared with every row instead.
 
-Largest inner product is turned into nearest point by one more coordinate,
-sqrt(m^2 - |x|^2) with the largest norm m, which queries have as 0.
+For the orderings, largest inner product is turned into nearest point by one
+more coordinate, sqrt(m^2 - |x|^2) with the largest norm m.  A query is a row
+of the table and has its place in the orderings by the same rule, so for
+vectors of unequal norms a neighbour's place says less; the measured recall
+then asks for wider windows.  The windows and their recall go to the log.
 
 Equal vectors are one row in the search, however many there are, and come
 apart again at the end.
@@ -23,6 +26,8 @@ apart again at the end.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +36,9 @@ from pyspark.sql import functions as F
 from .common import python_path, staged
 from .ranks import hashed, row_number
 
+#: Tells the windows chosen and the recall measured for them.
+_LOG = logging.getLogger(__name__)
+
 #: Blocks grow up to this many times their first size; beyond, more of them are met.
 LARGEST = 8
 
@@ -141,8 +149,10 @@ def windows_for(classes: DataFrame, ranked: DataFrame, n: int, dim: int, top: in
         held = (np.abs(a // size - b // size) <= reach).any(1)
         recall = np.bincount(of, held, len(asked)) / np.maximum(np.bincount(of, minlength=len(asked)), 1)
         if recall.mean() - 2 * recall.std() / np.sqrt(len(asked)) >= least_recall:
+            _LOG.info("recall %.3f of %d queries against brute force: %d rows, blocks of %d, %d on either side", recall.mean(), len(asked), n, size, reach)
             return size, reach, float(recall.mean())
         size, reach = (2 * size, 1) if size < LARGEST * block else (size, 2 * reach)
+    _LOG.info("no windows narrower than the table reach recall %.2f of %d queries: all %d rows are compared", least_recall, len(asked), n)
     return None
 
 
@@ -168,7 +178,8 @@ def nearest(
     its true neighbours, at the latest when all rows are compared.  Ties go to the smaller id.  Null ids and vectors that are
     null, empty, zero or hold null or non-finite components take no part;
     nor do vectors of another length than the most frequent one (the longest
-    of these at a tie).  Repeated rows are one row.  An empty table gives an
+    of these at a tie).  Rows of one id are one row: of
+    different vectors the smallest in the order of arrays stands for it.  An empty table gives an
     empty result; further columns are not read.
     """
     spark = vectors.sparkSession
@@ -184,6 +195,11 @@ def nearest(
         return spark.createDataFrame([], result)
     dim = int(sizes["dim"])
     rows = rows.filter(F.size("v") == dim)
+    # Rows of one id are one row.  Only the vectors of such ids are moved for it.
+    twice = staged(rows.groupBy(F.col("id").alias("twice")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("twice"))
+    met = F.col("id") == F.col("twice")
+    several = rows.join(twice, met, "left_semi").groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
+    rows = rows.join(twice, met, "left_anti").unionByName(several)
 
     # Equal vectors are one class, named by its smallest id.
     classes = staged(rows.groupBy("v").agg(F.min("id").alias("rep"), F.max("q").alias("q"), F.count_distinct("id").alias("n")))
@@ -264,8 +280,10 @@ def nearest(
             out_c.append(ids[at][fine])
             # Where more rows tie with the last kept score, up to rounding, those of the smallest ids are kept too.
             last = np.take_along_axis(scores, at, 1).min(1, keepdims=True)
+            full = last > -np.inf  # else all candidates are kept
+            last = np.where(full, last, 0.0)
             slack = 1e-12 * (1.0 + np.abs(last))
-            near = (scores >= last - slack) & (scores <= last + slack) & (scores > -np.inf)
+            near = (scores >= last - slack) & (scores <= last + slack) & full
             for q in np.flatnonzero(near.sum(1) > np.take_along_axis(near, at, 1).sum(1)):
                 tied = np.sort(ids[near[q]])[:keep]
                 out_q.append(np.full(len(tied), who[i + q]))

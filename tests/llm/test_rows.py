@@ -63,6 +63,13 @@ def test_nearest_matches_brute_force_with_ties_and_bad_rows(spark):
         assert sorted(r["rank"] for r in got if r["query_id"] == q) == list(range(1, 21))
 
 
+def test_rows_of_one_id_are_one_row(spark):
+    rows = [(20, [1.0, 0.0], 0, ""), (20, [0.5, 2.0], 0, ""), (3, [1.0, 1.0], 0, ""), (3, [1.0, -5.0], 0, ""), (5, [2.0, 0.0], 0, ""), (5, [2.0, 0.0], 0, "")]
+    got = nearest(_vectors(spark, rows), F.col("vec_id") % 20 == 0).collect()
+    # The smaller vectors stand for 20 and 3: (0.5, 2) and (1, -5).
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(20, 1, 5, 1.0), (20, 2, 3, -9.5)]
+
+
 def test_nearest_of_few_or_none(spark):
     assert nearest(_vectors(spark, []), F.lit(True)).count() == 0
     assert nearest(_vectors(spark, [(1, None, 0, "")]), F.lit(True)).count() == 0
