@@ -16,7 +16,8 @@ from .language_crf import learn, predict
 from .line_windows import drop_later_lines
 from .lpf_dedup import remove_repeated
 from .mixing import mix
-from .oracle import LINE_WINDOWS, SECRETS
+from .oracle import LINE_WINDOWS, SECRETS, SPELLING
+from .oracle import lloyd as lloyd_sql
 from .paragraph_minhash import paragraph_duplicates
 from .secret_ownership import scan_secrets, span_text
 from .sharded_lloyd import lloyd
@@ -138,4 +139,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op5_secret_ownership": SECRETS, "op10_line_windows": LINE_WINDOWS}
+ORACLE_SQL: dict[str, str] = {
+    "op5_secret_ownership": SECRETS,
+    "op10_line_windows": LINE_WINDOWS,
+    "op12_spelling_blocks": SPELLING,
+    "op13_sharded_lloyd": lloyd_sql(),
+}

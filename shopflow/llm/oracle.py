@@ -58,3 +58,60 @@ SELECT t.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (
 FROM t LEFT JOIN spans USING (doc_id) GROUP BY t.doc_id
 """
 )
+
+#: CRC-32 by a table of 256 steps; words one edit apart by what is left when a letter is taken out.
+SPELLING = r"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, b: xor(a >> 1, (a & 1) * 3988292384)) ORDER BY i) AS steps FROM range(256) AS t(i)
+), runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), counted AS MATERIALIZED (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS said, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(said, ''), lambda s: CASE WHEN ord(s) < 128 THEN [ord(s)] ELSE [195, ord(s) - 64] END))),
+    lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM counted, crc
+), words AS MATERIALIZED (
+  SELECT word, sum(n) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), gaps AS MATERIALIZED (
+  SELECT word, n, i, word[:i - 1] AS head, word[i + 1:] AS tail FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n AS m FROM gaps a JOIN gaps b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON g.head || g.tail = w.word
+  UNION SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON g.head || g.tail = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, encode(other)) AS other, max(m) AS m FROM near GROUP BY word
+), formed AS MATERIALIZED (
+  SELECT word, CASE WHEN m >= 2 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS root FROM formed UNION ALL SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = chain.root WHERE form IS NOT NULL
+)
+SELECT f.word, f.form, r.root, CAST(f.n AS BIGINT) AS n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM formed f JOIN (SELECT chain.word, root FROM chain JOIN formed ON formed.word = root WHERE form IS NULL) r ON r.word = f.word
+"""
+
+
+def lloyd(k: int = 40, rounds: int = 5, dims: int = 64, scale: int = 256, seed: str = "2") -> str:
+    """Every round spelt out: all distances, the nearest centroid, the floors of the means."""
+    ctes = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS g "
+        f"FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})",
+        "x AS MATERIALIZED (SELECT r, unnest(range(1, len(g) + 1)) AS j, unnest(g) AS v FROM kept)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')), g) - 1 AS c, g FROM kept QUALIFY c < {k})",
+    ]
+    for i in range(rounds + 1):
+        ctes.append(
+            f"a{i} AS MATERIALIZED (SELECT r, c, d FROM (SELECT r, c, CAST(list_sum(list_transform(list_zip(kept.g, c{i}.g), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d "
+            f"FROM kept, c{i}) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"
+        )
+        if i < rounds:
+            ctes.append(
+                f"u{i} AS MATERIALIZED (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS g "
+                f"FROM (SELECT c, j, sum(v) AS s, count(*) AS n FROM x JOIN a{i} USING (r) GROUP BY c, j) GROUP BY c)"
+            )
+            ctes.append(f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(u{i}.g, c{i}.g) AS g FROM c{i} LEFT JOIN u{i} USING (c))")
+    n = rounds
+    return "WITH " + ",\n".join(ctes) + (
+        f"\nSELECT vec_id, CAST(a{n}.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a{n}.c) AS BIGINT) AS cluster_inertia, "
+        f"CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{n}.g, ',')) AS centroid_sha256 FROM a{n} JOIN kept USING (r) JOIN c{n} ON c{n}.c = a{n}.c"
+    )
