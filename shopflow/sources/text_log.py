@@ -34,18 +34,33 @@ def _header(layout: int) -> str:
     return ",".join(LAYOUT_7 if layout == 7 else LAYOUT_5)
 
 
-def _field(parts: Column, i: int) -> Column:
-    """Field ``i`` without surrounding white space; blank or missing -> NULL."""
-    return F.nullif(strip(F.get(parts, F.lit(i))), F.lit(""))
+# Nearly all fields are clean.  A field is read as it is first, and without the
+# white space around it (a slow search for each of a set of signs) only where
+# that gave nothing: the conditions below are evaluated in order.
+
+
+def _number(field: str, kind: str) -> Column:
+    """The field as a number; blank, missing or no number -> NULL."""
+    return F.coalesce(F.col(field).try_cast(kind), strip(field).try_cast(kind))
+
+
+def _shaped(field: str, shape: str, read) -> Column:
+    """``read`` of the field if it has the shape, else NULL."""
+    return F.when(F.col(field).rlike(shape), read(F.col(field))).when(strip(field).rlike(shape), read(strip(field)))
+
+
+def _spoilt(field: str, value: Column) -> Column:
+    """Something that is not blank was not understood."""
+    return value.isNull() & F.coalesce(strip(field) != F.lit(""), F.lit(False))
 
 
 def _behavior(field: str, codes: dict[int, tuple] | None) -> Column:
     """The behaviour code: the field's number, or the code that ``codes`` lists its text under."""
     if codes is None:
-        return F.col(field).try_cast("int")
+        return _number(field, "int")
     expr = F.lit(None).cast("int")
     for code, texts in codes.items():
-        expr = F.when(F.col(field).isin(*[str(t) for t in texts]), F.lit(int(code))).otherwise(expr)
+        expr = F.when(strip(field).isin(*[str(t) for t in texts]), F.lit(int(code))).otherwise(expr)
     return expr
 
 
@@ -84,7 +99,7 @@ def parse_all(
     headers = [_header(5), _header(7)]
     body = lines.select(F.col(column).alias("line"), *keep)
 
-    # Staged projections: each field is split, trimmed and cast once and then
+    # Staged projections: each field is split and cast once and then
     # referenced by name, which keeps the generated code small.
     split = body.select("line", *keep, F.split("line", ",", -1).alias("parts"))
     parts = F.col("parts")
@@ -92,25 +107,23 @@ def parse_all(
         "line",
         *keep,
         F.size(parts).alias("n_fields"),
-        *[_field(parts, k).alias(f"f{k}") for k in range(layout)],
+        *[F.get(parts, F.lit(k)).alias(f"f{k}") for k in range(layout)],
     )
-    t = F.col("f4")
-    t_shape = t.rlike(_TIME)
     typed = raw.select(
         "line",
         *keep,
         "n_fields",
         "f0", "f1", "f3", "f4",
-        F.col("f0").try_cast("bigint").alias("user_id"),
-        F.col("f1").try_cast("bigint").alias("item_id"),
+        _number("f0", "bigint").alias("user_id"),
+        _number("f1", "bigint").alias("item_id"),
         _behavior("f2", codes).alias("behavior_type"),
-        F.col("f3").try_cast("bigint").alias("item_category"),
-        F.when(t_shape, F.substring(t, 1, 10).try_cast("date")).alias("t_day"),
-        F.when(t_shape, F.substring(t, 12, 2).try_cast("int")).alias("t_hour"),
+        _number("f3", "bigint").alias("item_category"),
+        _shaped("f4", _TIME, lambda t: F.substring(t, 1, 10).try_cast("date")).alias("t_day"),
+        _shaped("f4", _TIME, lambda t: F.substring(t, 12, 2).try_cast("int")).alias("t_hour"),
         *(
             [
-                F.when(F.col("f5").rlike(_DATE), F.col("f5").try_cast("date")).alias("d7"),
-                F.col("f6").try_cast("int").alias("h7"),
+                _shaped("f5", _DATE, lambda d: d.try_cast("date")).alias("d7"),
+                _number("f6", "int").alias("h7"),
             ]
             if layout == 7
             else []
@@ -122,7 +135,7 @@ def parse_all(
     time = F.when(F.col("t_ok"), day.cast("timestamp_ntz") + F.make_dt_interval(hours=hr))
     if layout == 7:
         date, hour = F.col("d7"), F.col("h7")
-        time_bad = F.col("f4").isNotNull() & ~F.col("t_ok")
+        time_bad = ~F.col("t_ok") & F.coalesce(strip("f4") != F.lit(""), F.lit(False))
     else:
         date, hour = F.when(F.col("t_ok"), day), F.when(F.col("t_ok"), hr)
         time_bad = ~F.col("t_ok")
@@ -132,10 +145,10 @@ def parse_all(
     reason = _first_reason(
         [
             ("field_count", F.col("n_fields") != F.lit(layout)),
-            ("user_id", F.col("f0").isNotNull() & user_id.isNull()),
-            ("item_id", F.col("f1").isNotNull() & item_id.isNull()),
+            ("user_id", _spoilt("f0", user_id)),
+            ("item_id", _spoilt("f1", item_id)),
             ("behavior_type", ~F.coalesce(behavior.isin(list(valid_codes)), F.lit(False))),
-            ("item_category", F.col("f3").isNotNull() & category.isNull()),
+            ("item_category", _spoilt("f3", category)),
             ("time", time_bad),
             ("date", date.isNull()),
             ("hour", ~F.coalesce(hour.between(0, 23), F.lit(False))),
