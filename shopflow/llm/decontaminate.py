@@ -78,13 +78,18 @@ def template_text(text: Column) -> Column:
     named = F.regexp_replace(free, _NAME, NAME + "$1")
     numbered = F.when(named.rlike("[0-9]"), F.regexp_replace(named, _NUMBER, f"{NUMBER}$1 {UNIT}$2 ")).otherwise(named)
     plain = F.regexp_replace(numbered, _OTHER, "")
-    return F.lower(F.when(plain.rlike(_UNSPACED), F.regexp_replace(plain, f"({_UNSPACED})", " $1 ")).otherwise(plain))
+    # These signs have three bytes and more; most texts need no look at their signs.
+    unspaced = (F.octet_length(plain) > F.length(plain) + 1) & plain.rlike(_UNSPACED)
+    return F.lower(F.when(unspaced, F.regexp_replace(plain, f"({_UNSPACED})", " $1 ")).otherwise(plain))
 
 
-def template_tokens(text: Column) -> Column:
-    """The template tokens: placeholders are put before what they stand for."""
-    words = F.filter(F.split(template_text(text), SPACE), lambda x: (x != "") & (x != UNIT))
-    return F.transform(words, lambda x: F.when(x.isin(*NUMBER_WORDS), F.concat(F.lit(NUMBER), x)).otherwise(x))
+def with_tokens(rows: DataFrame, key: list[str], text: Column) -> DataFrame:
+    """``key, _w, _marked``: the template tokens, placeholders put before what they stand for, and whether there are any."""
+    words = F.filter(F.split("_t", SPACE), lambda x: (x != "") & (x != UNIT))
+    split = rows.select(*key, template_text(text).alias("_t")).select(*key, F.col("_t").rlike(f"[{_MARKS}]").alias("_m"), words.alias("_s"))
+    numbers = split.withColumn("_n", F.arrays_overlap("_s", F.array(*[F.lit(w) for w in NUMBER_WORDS])))
+    marked = F.transform("_s", lambda x: F.when(x.isin(*NUMBER_WORDS), F.concat(F.lit(NUMBER), x)).otherwise(x))
+    return numbers.select(*key, F.when(F.col("_n"), marked).otherwise(F.col("_s")).alias("_w"), (F.col("_m") | F.col("_n")).alias("_marked"))
 
 
 def _mark(token: Column) -> Column:
@@ -102,8 +107,7 @@ def template_windows(rows: DataFrame, key: list[str], text: str, window: int) ->
     Every token is hashed once, and a window's hash is that of its tokens'
     hashes; only the windows around placeholders are looked at more closely.
     """
-    tokens = rows.select(*key, template_tokens(F.col(text)).alias("_w"))
-    tokens = tokens.withColumn("_marked", F.exists("_w", lambda x: _mark(x).isin(*_MARKS)))
+    tokens = with_tokens(rows, key, F.col(text))
     first = _mark
     no_slots = F.expr("cast(array() as array<string>)")
     no_starts = F.expr("cast(array() as array<int>)")
@@ -225,7 +229,7 @@ def _short_forms(tokens: DataFrame, key: str) -> DataFrame:
 
 def short_items(benchmark: DataFrame, item_text: str, item_id: str, window: int) -> DataFrame:
     """``item, h, original``: the forms of the items that are shorter than a window."""
-    tokens = benchmark.select(F.col(item_id).alias("item"), template_tokens(F.col(item_text)).alias("_w"))
+    tokens = with_tokens(benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("line")), ["item"], F.col("line"))
     forms = _short_forms(tokens.filter((F.size("_w") > 0) & (F.size("_w") < window)), "item")
     return staged(forms.withColumnRenamed("slots", "original").distinct())
 
@@ -234,7 +238,7 @@ def _lines_of(keyed: DataFrame, short: DataFrame) -> DataFrame:
     """``doc, item``: documents with a line that is a short item's template with slots that agree."""
     lines = keyed.select("doc", F.explode(F.split("text", "\n")).alias("line")).distinct()
     longest = short.agg(F.max(F.size("original"))).first()[0]  # no more slots than a window has words
-    tokens = lines.select("doc", template_tokens(F.col("line")).alias("_w"))
+    tokens = with_tokens(lines, ["doc"], F.col("line"))
     forms = _short_forms(tokens.filter(F.size("_w") > 0), "doc").filter(F.size("slots") <= longest)
     if short.count() <= BROADCAST_ROWS:
         short = F.broadcast(short)
