@@ -14,7 +14,7 @@ from shopflow.llm.common import table
 from shopflow.llm.decontaminate import decontaminate
 from shopflow.llm.hilbert_neighbours import hilbert_keys, nearest
 from shopflow.llm.language_crf import Field, fit_field, forward_backward, label_documents, learn, predict, word_languages
-from shopflow.llm.mixing import mix
+from shopflow.llm.mixing import mix, sainte_lague
 from shopflow.llm.ranks import row_number
 from shopflow.llm.secret_ownership import KINDS, scan_secrets, span_text
 from shopflow.llm.token_counts import pieces, token_counts
@@ -391,6 +391,20 @@ def test_mix_reaches_its_targets(spark, documents):
     assert sorted(map(tuple, first)) == sorted(map(tuple, again))
 
 
+@pytest.mark.parametrize("seats", [0, 1, 7, 100, 1001])
+def test_seats_go_to_the_highest_quotients(spark, seats):
+    """Against a plain loop that gives one seat after another."""
+    rng = random.Random(seats)
+    shares = {(f"s{i % 4}", i): rng.choice([0.0, 1.0, 1.0, 2.0, 5.5, 40.0, 900.0]) for i in range(40)}
+    won = dict.fromkeys(shares, 0)
+    for _ in range(seats):
+        best = min(shares, key=lambda k: (-shares[k] / (2 * won[k] + 1), k, won[k]))
+        won[best] += 1
+    frame = spark.createDataFrame([(*k, v) for k, v in shares.items()], "source string, shard long, share double").repartition(3)
+    got = sainte_lague(frame, seats, "share", ["source", "shard"], "blocks").collect()
+    assert {(r["source"], r["shard"]): r["blocks"] for r in got} == won
+
+
 def test_mix_edges(spark, documents, edges):
     got = mix(documents(edges)).collect()
     assert len(got) == len(edges)
