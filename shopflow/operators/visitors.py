@@ -77,6 +77,8 @@ def uv_rolling(bitmaps: DataFrame, days: int) -> DataFrame:
     the others map-side: what moves is bitmaps, not actions.
     """
     windows = F.sequence(F.col("date"), F.date_add("date", days - 1))
-    sent = bitmaps.select(F.explode(windows).alias("end"), "bucket", "users")
-    present = bitmaps.select(F.col("date").alias("end")).distinct()
-    return count_visitors(sent.join(present, "end", "left_semi"), "end").withColumnRenamed("end", "date")
+    sent = bitmaps.select("date", F.explode(windows).alias("end"), "bucket", "users")
+    whole = sent.groupBy("end", "bucket").agg(F.bitmap_or_agg("users").alias("users"), F.max(F.col("date") == F.col("end")).alias("own"))
+    # Days after the last one, or between, that have no bitmap of their own are no days of the table.
+    counts = whole.groupBy("end").agg(F.sum(F.bitmap_count("users")).alias("uv"), F.max("own").alias("own"))
+    return counts.where("own").select(F.col("end").alias("date"), "uv")

@@ -46,6 +46,12 @@ def test_ids_of_any_size_are_exact(spark, scratch):
     assert visitors.count_visitors(visitors.visitor_bitmaps(A.limit(0))).first()["uv"] == 0
 
 
+def test_rolling_windows_over_days_without_visitors(spark):
+    log = [(1, 1, 0), (2, 1, 24 * 3), (1, 1, 24 * 3), (3, 1, 24 * 9), (None, 1, 24 * 5)]
+    got = visitors.uv_rolling(visitors.visitor_bitmaps(frame(spark, log)), 4).collect()
+    assert sorted((r["date"].day, r["uv"]) for r in got) == [(1, 1), (4, 2), (10, 1)]
+
+
 def test_crawler_is_cut_and_others_stay(spark):
     log = [(u, 1, h) for u in range(200) for h in (1, 2)] + [(999, 1, 5)] * 500 + [(None, 1, 5)] * 900
     A = frame(spark, log).repartition(5)
