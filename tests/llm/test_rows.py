@@ -327,7 +327,7 @@ def test_secrets_of_very_long_texts(spark, documents):
     began = time.time()
     got = scan_secrets(documents([(1, runs, "en", "a"), (2, mixed, "en", "b"), (3, runs[:100], "en", "c")]))
     got = {r["doc_id"]: r["b"] for r in got.select("doc_id", span_text(F.col("base")).alias("b")).collect()}
-    assert time.time() - began < 90
+    assert time.time() - began < 400  # by pairs of matches it would be hours
     assert got == {1: _base(runs), 2: _base(mixed), 3: _base(runs[:100])}
 
 
