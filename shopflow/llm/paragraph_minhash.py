@@ -216,11 +216,24 @@ def band_rows(docs: DataFrame, text: str, bands: int, rows: int, least: int = SH
     return docs.select(F.col(text).alias("text")).mapInArrow(found, "key long, node long")
 
 
-def shingle_sets(docs: DataFrame, text: str, doc_id: str, every: DataFrame, wanted: DataFrame, least: int = SHINGLE) -> DataFrame:
-    """``node, shingles`` of the nodes in ``wanted`` (column ``node``).
+def node_table(every: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, n, first, asked`` of the nodes that occur more than once or are in ``wanted`` (column ``node``).
 
-    Only one document of each node (of ``every``, the occurrences) is cut
-    again, as long as their ids can be broadcast; beyond that, all are.
+    ``n`` counts the occurrences, ``first`` (doc, place, end) is the first of
+    them, ``asked`` says that ``wanted`` has the node.  What comes later joins
+    these rows, not one per occurrence: most paragraphs occur once and are
+    like no other.
+    """
+    each = every.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place", "end")).alias("first"))
+    asked = wanted.select(F.col("node").alias("of"))
+    return each.join(asked, F.col("node") == F.col("of"), "left").select("node", "n", "first", F.col("of").isNotNull().alias("asked")).filter("n > 1 or asked")
+
+
+def shingle_sets(docs: DataFrame, text: str, doc_id: str, nodes: DataFrame, least: int = SHINGLE) -> DataFrame:
+    """``node, shingles`` of the nodes that are ``asked`` for (see :func:`node_table`).
+
+    Only the first document of each node is cut again, as long as their ids
+    can be broadcast; beyond that, all are.
     """
 
     def found(batches):
@@ -234,7 +247,8 @@ def shingle_sets(docs: DataFrame, text: str, doc_id: str, every: DataFrame, want
                 yield pa.RecordBatch.from_arrays([pa.array(node), lists], ["node", "shingles"])
 
     rows = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc"))
-    holders = staged(every.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc")).alias("of")).select("of.doc").distinct())
+    wanted = nodes.filter("asked").select("node")
+    holders = staged(nodes.filter("asked").select("first.doc").distinct())
     if holders.count() <= BROADCAST_ROWS:
         rows = rows.join(F.broadcast(holders.withColumnRenamed("doc", "of")), F.col("doc").eqNullSafe(F.col("of")), "left_semi")
     if wanted.count() <= BROADCAST_ROWS:
@@ -278,13 +292,14 @@ def _similar(a, b, least: float):
 
 def links(
     docs: DataFrame, every: DataFrame, text: str, doc_id: str, least_similarity: float = 0.8, bands: int = 6, rows: int = 2, bucket: int = 32, block: int = 512, least: int = SHINGLE
-) -> DataFrame:
-    """``a, b``: nodes of similar paragraphs; ``every`` are the occurrences in ``docs``."""
+) -> tuple[DataFrame, DataFrame]:
+    """``a, b``: nodes of similar paragraphs; ``every`` are the occurrences in ``docs``.  Beside them, the :func:`node_table` that has all these nodes."""
     pairs, large = _met(band_rows(docs, text, bands, rows, least), bucket)
     pairs = staged(pairs.distinct())
     crowd = staged(large.select("node").distinct())
     wanted = staged(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowd).distinct())
-    sets = staged(shingle_sets(docs, text, doc_id, every, wanted, least))
+    nodes = staged(node_table(every, wanted))
+    sets = staged(shingle_sets(docs, text, doc_id, nodes, least))
     more, large = _met(_rare_shingles(sets.join(crowd, "node", "left_semi"), least_similarity), bucket)
     pairs = pairs.unionByName(more).distinct()
     left, right = (sets.select(F.col("node").alias(f"n{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
@@ -317,19 +332,19 @@ def links(
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     far = dealt_blocks.groupBy("key", "lo", "hi").applyInArrow(joined, "a long, b long")
-    return close.unionByName(far)
+    return close.unionByName(far), nodes
 
 
 def later_paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = SHINGLE, **options) -> DataFrame:
     """``doc, place, start, end, first_doc, first_place``: the paragraphs that repeat an earlier one."""
     python_path(docs.sparkSession)
     every = staged(occurrences(docs, text, doc_id, least))
-    roots = staged(components(links(docs, every, text, doc_id, least=least, **options)).withColumnRenamed("node", "of"))
-    classed = staged(every.join(roots, F.col("node") == F.col("of"), "left").select("doc", "place", "start", "end", F.coalesce("root", "node").alias("class")))
-    firsts = staged(
-        classed.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place", "end")).alias("first")).filter("n > 1").select(F.col("class").alias("c"), "first")
-    )
-    later = classed.join(firsts, F.col("class") == F.col("c")).filter(~F.struct("doc", "place").eqNullSafe(F.struct("first.doc", "first.place")))
+    linked, nodes = links(docs, every, text, doc_id, least=least, **options)
+    roots = staged(components(linked).withColumnRenamed("node", "of"))
+    classed = staged(nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", "n", "first", F.coalesce("root", "node").alias("class")))
+    firsts = classed.groupBy("class").agg(F.sum("n").alias("all"), F.min("first").alias("first")).filter("all > 1").select(F.col("class").alias("c"), "first")
+    repeated = staged(classed.select(F.col("node").alias("of"), "class").join(firsts, F.col("class") == F.col("c")).select("of", "first"))
+    later = every.join(repeated, F.col("node") == F.col("of")).filter(~F.struct("doc", "place").eqNullSafe(F.struct("first.doc", "first.place")))
     # A passage that overlaps the first one keeps what both have.
     begin = F.when(F.col("doc").eqNullSafe(F.col("first.doc")), F.greatest("start", "first.end")).otherwise(F.col("start"))
     later = later.withColumn("start", begin).filter(F.col("start") < F.col("end"))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from shopflow.llm import paragraph_minhash
 from shopflow.llm.graph import components
 from shopflow.llm.line_windows import drop_later_lines
 from shopflow.llm.lpf_dedup import previous_factors, remove_repeated
@@ -317,6 +318,24 @@ def test_paragraph_edges(spark, documents, edges):
     assert paragraph_duplicates(documents([])).count() == 0
 
 
+def test_occurrences_are_written_once(spark, documents, monkeypatch):
+    """What is written after them is a row per node that repeats or is like another, not one per occurrence."""
+    rng = random.Random(14)
+    rows = [(i, " ".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) + "." for _ in range(6)), "en", "a") for i in range(150)]
+    rows += [(200, rows[3][1], "en", "a"), (201, " ".join([*rows[5][1].split()[:29], "changed."]), "en", "a")]
+    sizes, staged = [], paragraph_minhash.staged
+
+    def counted(frame):
+        out = staged(frame)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(paragraph_minhash, "staged", counted)
+    got = {r["doc_id"]: (len(r["spans"]), r["first_docs"]) for r in paragraph_duplicates(documents(rows)).collect() if r["spans"]}
+    assert got == {200: (6, [3]), 201: (1, [5])}
+    assert sizes[0] == 150 * 6 + 7 and sum(n > 100 for n in sizes) == 1
+
+
 def test_a_passage_inside_other_text_is_found(spark, documents):
     passage = " ".join(" ".join(f"p{j}x{i}" for i in range(9)) + "." for j in range(7))
     rows = [(1, passage, "en", "a"), (2, "some words before it " + passage + " and some after it", "en", "b"), (3, "clean text of its own that nothing else has in common.", "en", "b")]
