@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopflow.schema import day_literal
+from shopflow.schema import WEIGHT, day_literal
 
 #: Numbers of one task's users start at a multiple of this (as ``monotonically_increasing_id`` has it).
 _TASK_NUMBERS = 1 << 33
@@ -44,10 +44,14 @@ def visitor_bitmaps(actions: DataFrame, *keys: str, numbers: DataFrame | None =
 
     Actions are reduced to one row per key and user first, with a map-side
     combine; only those are sorted into buckets.  ``numbers`` (``user_id,
-    number``) replaces the ids by numbers that lie together.
+    number``) replaces the ids by numbers that lie together; actions that are
+    counts already are then not reduced once more, as the same bit set twice
+    is one bit, and move once, to their users' numbers.
     """
     keys = keys or ("date",)
-    rows = actions.where(F.col("user_id").isNotNull()).select(*keys, "user_id").distinct()
+    rows = actions.where(F.col("user_id").isNotNull()).select(*keys, "user_id")
+    if numbers is None or WEIGHT not in actions.columns:
+        rows = rows.distinct()
     rows = rows.withColumn("number", F.col("user_id")) if numbers is None else rows.join(numbers, "user_id")
     bits = rows.select(*keys, F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").alias("bit"))
     return bits.groupBy(*keys, "bucket").agg(F.bitmap_construct_agg("bit").alias("users"))

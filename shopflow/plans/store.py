@@ -21,8 +21,8 @@ of their own.
 
 A batch that fails half-way is applied again under the same name: its
 folders that are complete are kept, the merged days are written to a folder
-of their own before any day is replaced, and replacing them twice does no
-harm.  Readers see a batch's folders once ``applied`` has it.  One writer at
+of their own before any day is replaced, and each is then moved to its place:
+what an attempt did not move, the next one does.  Readers see a batch's folders once ``applied`` has it.  One writer at
 a time.
 """
 
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shopflow.operators.profile import missing_profile
 from shopflow.operators.repurchase import cumulative_share
@@ -84,6 +85,23 @@ class ActionStore:
         if not self._exists(f"{path}/_SUCCESS"):
             frame.write.mode("overwrite").partitionBy(*by).parquet(path)
 
+    def _replace_days(self, merged: str, name: str) -> None:
+        """Moves the folders of the merged days to where the old ones were: names change, no row is copied."""
+        fs, source = self._hadoop(merged)
+        _, table = self._hadoop(self._path(name))
+        fs.mkdirs(table)
+        for entry in fs.listStatus(source):  # one folder per day
+            folder = entry.getPath().getName()
+            if folder.startswith("date="):
+                _, day = self._hadoop(self._path(name, folder))
+                fs.delete(day, True)
+                if not fs.rename(entry.getPath(), day):
+                    raise OSError(f"{folder} of {name} was not moved")
+
+    def _empty(self, schema: str) -> DataFrame:
+        """No rows: the plan knows that, and no task runs for them."""
+        return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema)]).where(F.lit(False))
+
     # Reading -------------------------------------------------------------
 
     def batches(self) -> list[str]:
@@ -96,10 +114,10 @@ class ActionStore:
         """One of the tables above, without rows of batches that are not applied."""
         if name in _DAY_TABLES:
             schema = _DAY_TABLES[name]
-            return self.spark.read.schema(schema).parquet(self._path(name)) if self._exists(self._path(name)) else self.spark.createDataFrame([], schema)
+            return self.spark.read.schema(schema).parquet(self._path(name)) if self._exists(self._path(name)) else self._empty(schema)
         schema, applied = _BATCH_TABLES[name], self.batches()
         if not applied:
-            return self.spark.createDataFrame([], schema).drop("batch")
+            return self._empty(schema).drop("batch")
         return self.spark.read.schema(schema).parquet(self._path(name)).where(F.col("batch").isin(applied)).drop("batch")
 
     def hourly(self) -> DataFrame:
@@ -167,21 +185,24 @@ class ActionStore:
         self._once(met, self._path("catalogue", f"batch={batch}"))
         self._once(new["missing"], self._path("missing", f"batch={batch}"))
         if rejects is None:
-            rejects = self.spark.createDataFrame([], "line string, reason string")
+            rejects = self._empty("line string, reason string")
         self._once(rejects.select("line", "reason"), self._path("rejects", f"batch={batch}"))
         self._once(self._new_days(new["hourly"], days), f"{work}/buy_days")
         bought = self.spark.read.schema("user_id bigint, date date").parquet(f"{work}/buy_days")
-        self._once(self._gap_change(bought), self._path("gaps", f"batch={batch}"))
+        self._once(self._earlier(bought), f"{work}/earlier")
+        earlier = self.spark.read.schema("user_id bigint, first date, last_date date").parquet(f"{work}/earlier")
+        self._once(self._gap_change(bought, earlier), self._path("gaps", f"batch={batch}"))
         self._once(bought.groupBy("user_id").agg(F.max("date").alias("last_date")), self._path("last", f"batch={batch}"))
 
         # All days are merged before the first one is replaced.
         self._once(self._merged("hourly", new["hourly"], days, _HOURLY_KEYS), f"{work}/merged/hourly", "date")
         self._once(self._merged("purchases", new["purchases"], days, _PURCHASE_KEYS), f"{work}/merged/purchases", "date")
-        bitmaps = self._days("visitors", days).unionByName(visitor_bitmaps(new["hourly"], numbers=known))
-        self._once(bitmaps.groupBy("date", "bucket").agg(F.bitmap_or_agg("users").alias("users")), f"{work}/merged/visitors", "date")
-        for name, schema in _DAY_TABLES.items():
-            merged = self.spark.read.schema(schema).parquet(f"{work}/merged/{name}")
-            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(self._path(name))
+        bitmaps = visitor_bitmaps(new["hourly"], numbers=known)
+        if self._meets("visitors", days):
+            bitmaps = self._days("visitors", days).unionByName(bitmaps).groupBy("date", "bucket").agg(F.bitmap_or_agg("users").alias("users"))
+        self._once(bitmaps, f"{work}/merged/visitors", "date")
+        for name in _DAY_TABLES:
+            self._replace_days(f"{work}/merged/{name}", name)
         self._once(new["hourly"].agg(F.coalesce(F.sum(WEIGHT), F.lit(0).cast("bigint")).alias("actions")), self._path("applied", f"batch={batch}"))
         self._delete(work)
         return sorted(days)
@@ -190,9 +211,14 @@ class ActionStore:
         """The rows of these days: a filter on folders."""
         return self.table(name).where(F.col("date").isin(days)) if days else self.table(name).where(F.lit(False))
 
+    def _meets(self, name: str, days: list) -> bool:
+        """Whether the table has one of these days; a batch's rows for days of its own are added up already."""
+        return any(d is None or self._exists(self._path(name, f"date={d}")) for d in days)
+
     def _merged(self, name: str, new: DataFrame, days: list, keys: tuple) -> DataFrame:
-        both = self._days(name, days).unionByName(new)
-        merged = both.groupBy(*keys).agg(F.sum(WEIGHT).alias(WEIGHT))
+        merged = new
+        if self._meets(name, days):
+            merged = self._days(name, days).unionByName(new).groupBy(*keys).agg(F.sum(WEIGHT).alias(WEIGHT))
         adaptive = self.spark.conf.get("spark.sql.adaptive.enabled", "true").lower() == "true"
         return merged.hint("rebalance", "date") if adaptive else merged
 
@@ -204,26 +230,30 @@ class ActionStore:
     def _new_days(self, hourly: DataFrame, days: list) -> DataFrame:
         """``user_id, date``: purchase days of the batch that the store does not have."""
         bought = user_purchases(hourly).select("user_id", "date").distinct()
+        if not self._meets("hourly", days):
+            return bought
         return bought.join(user_purchases(self._days("hourly", days)).select("user_id", "date"), ["user_id", "date"], "left_anti")
 
-    def _gap_change(self, bought: DataFrame) -> DataFrame:
+    def _earlier(self, bought: DataFrame) -> DataFrame:
+        """``user_id, first, last_date``: the first new purchase day of each user who bought before, and the last day known."""
+        return bought.groupBy("user_id").agg(F.min("date").alias("first")).join(self.last_purchase_days(), "user_id").select("user_id", "first", "last_date")
+
+    def _gap_change(self, bought: DataFrame, earlier: DataFrame) -> DataFrame:
         """What new purchase days change in the histogram of gaps.
 
         Where all of a user's new days lie after the last one known, that day
         is all that is needed of the past.  Only users with late lines have
-        their purchase days read again: their gaps before go, those after come.
+        their purchase days read again: their gaps before go, those after
+        come.  One window over known and new days sees both kinds of gaps.
         """
-        last = self.last_purchase_days().join(bought.select("user_id").distinct(), "user_id", "left_semi")
-        first = bought.groupBy("user_id").agg(F.min("date").alias("first"))
-        late = first.join(last, "user_id").where("first < last_date").select("user_id")
-        on_time = bought.join(late, "user_id", "left_anti").unionByName(last.join(late, "user_id", "left_anti").withColumnRenamed("last_date", "date"))
-        before = user_purchases(self.hourly()).select("user_id", "date").distinct().join(late, "user_id", "left_semi")
-        after = before.unionByName(bought.join(late, "user_id", "left_semi"))
-        change = _gaps(on_time, 1).unionByName(_gaps(after, 1)).unionByName(_gaps(before, -1))
-        return change.groupBy("gap_days").agg(F.sum("n").alias("n")).where("n <> 0")
-
-
-def _gaps(days: DataFrame, sign: int) -> DataFrame:
-    """``gap_days, n``: the histogram of gaps between a user's days, times ``sign``."""
-    gap = F.datediff("date", F.lag("date").over(Window.partitionBy("user_id").orderBy("date")))
-    return days.select(gap.alias("gap_days")).where("gap_days IS NOT NULL").groupBy("gap_days").agg((F.count(F.lit(1)) * sign).alias("n"))
+        late = earlier.where("first < last_date").select("user_id")
+        known = earlier.where("NOT first < last_date").select("user_id", F.col("last_date").alias("date"))
+        if not late.isEmpty():
+            known = known.unionByName(user_purchases(self.hourly()).select("user_id", "date").distinct().join(late, "user_id", "left_semi"))
+        both = bought.select("user_id", "date", F.lit(None).cast("date").alias("known")).unionByName(known.select("user_id", "date", F.col("date").alias("known")))
+        ordered = Window.partitionBy("user_id").orderBy("date")
+        after = F.datediff("date", F.lag("date").over(ordered))
+        before = F.datediff("known", F.max("known").over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
+        changes = F.array(F.struct(F.col("after").alias("gap_days"), F.lit(1).cast("bigint").alias("n")), F.struct(F.col("before").alias("gap_days"), F.lit(-1).cast("bigint").alias("n")))
+        gaps = both.select(after.alias("after"), before.alias("before")).select(F.inline(changes))
+        return gaps.where("gap_days IS NOT NULL").groupBy("gap_days").agg(F.sum("n").alias("n")).where("n <> 0")

@@ -2,6 +2,7 @@
 
 import os
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from paths import SF_SMALL
 from shopflow.operators import repurchase, traffic, value, visitors
 from shopflow.plans import report
+from shopflow.plans.batches import stored
 from shopflow.plans.catalog import actions
 from shopflow.plans.store import ActionStore
 from shopflow.sources.text_log import render_lines
@@ -72,6 +74,49 @@ def test_a_batch_that_fails_is_applied_again(spark, scratch, monkeypatch, fail_a
     check(store, frame(spark, first + second))
 
 
+def test_the_actions_are_read_once_for_all_batches(spark):
+    A = actions(spark, SF_SMALL)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(event):
+        read.add(1)
+        return event
+
+    store = stored(spark, A.withColumn("event_id", F.udf(seen, "long").asNondeterministic()("event_id")), "2024-01-12")
+    assert read.value == A.count() > 100
+    check(store, A)
+
+
+@pytest.mark.parametrize("lost", ["hourly", "purchases", "visitors"])
+def test_days_that_were_not_moved_are_moved_next_time(spark, scratch, monkeypatch, lost):
+    """The merged days are the files that the store has afterwards, also after a failure between two of them."""
+    store = ActionStore(spark, os.path.join(scratch, "store"))
+    first, second = [(u, c, h) for u in (1, 2) for c in (1, 4) for h in (3, 60)], [(u, 4, h) for u in (1, 2, 3) for h in (3, 30, 60, 90)]
+    store.apply("one", frame(spark, first))
+    replace = ActionStore._replace_days
+    merged = os.path.join(scratch, "store", "working", "two", "merged", lost)
+
+    def files(root):
+        return {os.path.relpath(os.path.join(d, f), root) for d, _, names in os.walk(root) for f in names if f.endswith(".parquet")}
+
+    def failing(self, path, name):
+        if name == lost:
+            days = sorted(d for d in os.listdir(merged) if d.startswith("date="))
+            shutil.rmtree(os.path.join(scratch, "store", name, days[0]), ignore_errors=True)
+            os.rename(os.path.join(merged, days[0]), os.path.join(scratch, "store", name, days[0]))
+            raise RuntimeError("lost")
+        replace(self, path, name)
+
+    monkeypatch.setattr(ActionStore, "_replace_days", failing)
+    with pytest.raises(RuntimeError):
+        store.apply("two", frame(spark, second))
+    left = files(merged)
+    monkeypatch.setattr(ActionStore, "_replace_days", replace)
+    store.apply("two", frame(spark, second))
+    assert left and left <= files(os.path.join(scratch, "store", lost))
+    check(store, frame(spark, first + second))
+
+
 def test_report_from_a_store_equals_the_report_of_the_whole_log(spark, scratch):
     """Two text files as two batches, rejects included, through the command line."""
     A = actions(spark, SF_SMALL).where("behavior_type > 0")
