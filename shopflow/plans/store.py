@@ -15,9 +15,9 @@ metrics need, in tables of one shared folder::
     applied/batch=     one row, written last: the batch counts
 
 A batch may hold lines of any day.  The days it touches are read from the
-day tables, merged with the batch and written again (dynamic partition
-overwrite); all other days stay as they are.  The batch tables get a folder
-of their own.
+day tables, merged with the batch and written again, and their folders take
+the place of the old ones; all other days stay as they are.  The batch tables
+get a folder of their own.
 
 A batch that fails half-way is applied again under the same name: its
 folders that are complete are kept, the merged days are written to a folder
